@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import mixing
+from seqlattice.llm import decontamination, mixing, pii, tokenstore
 from seqlattice.llm.common import table
 
 
@@ -57,5 +57,41 @@ select doc_id, size, source_size, target, (full_passes * size + part)::bigint as
 from seg
 """
 
-QUERIES = {"op5_mixing": op5_mixing}
-ORACLE = {"op5_mixing": OP5_SQL}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.token_files(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_shingles", "shared_shingles", F.floor(F.col("containment") * 1e6).alias("containment_ppm"))
+
+
+#: Words, then distinct 5-word shingles (fewer words: the whole sequence) of documents and items.
+OP10_SQL = r"""
+with raw as (
+  select 'd' as side, doc_id as id, text from documents union all select 'i', item_id, text from benchmark),
+words as (
+  select side, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from raw where text is not null),
+grams as (
+  select side, id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else [array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)] end) as g
+  from words where len(w) > 0),
+sets as (select distinct side, id, g from grams),
+size as (select id, count(*) as n from sets where side = 'i' group by 1)
+select d.id as doc_id, i.id as item_id, any_value(s.n)::bigint as item_shingles, count(*)::bigint as shared_shingles,
+       floor(count(*)::double / any_value(s.n) * 1e6)::bigint as containment_ppm
+from sets d join sets i on d.g = i.g and d.side = 'd' and i.side = 'i' join size s on s.id = i.id
+group by d.id, i.id having 100 * count(*) >= 80 * any_value(s.n)
+"""
+
+QUERIES = {"op5_mixing": op5_mixing, "op7_pii": op7_pii, "op8_token_files": op8_token_files, "op10_decontamination": op10_decontamination}
+ORACLE = {"op5_mixing": OP5_SQL, "op10_decontamination": OP10_SQL}
