@@ -5,8 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import decontamination, mixing, pii, tokenstore
-from seqlattice.llm.common import table
+from seqlattice.llm import decontamination, langid, mixing, pii, quality, tokenstore
+from seqlattice.llm.common import fold, table
+
+
+def held_out(n: int, rest: int):
+    return F.coalesce(fold("doc_id", n) == rest, F.lit(False))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = quality.train(docs, labels.where(fold("doc_id", 5) != 0))
+    found = quality.score(docs, chain)
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"), "bad_lines")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(fold("doc_id", 5) != 0))
+    return langid.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,5 +110,5 @@ from sets d join sets i on d.g = i.g and d.side = 'd' and i.side = 'i' join size
 group by d.id, i.id having 100 * count(*) >= 80 * any_value(s.n)
 """
 
-QUERIES = {"op5_mixing": op5_mixing, "op7_pii": op7_pii, "op8_token_files": op8_token_files, "op10_decontamination": op10_decontamination}
+QUERIES = {"op2_quality": op2_quality, "op3_language": op3_language, "op5_mixing": op5_mixing, "op7_pii": op7_pii, "op8_token_files": op8_token_files, "op10_decontamination": op10_decontamination}
 ORACLE = {"op5_mixing": OP5_SQL, "op10_decontamination": OP10_SQL}
