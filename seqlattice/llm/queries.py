@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import decontamination, langid, mixing, pii, quality, tokenstore
+from seqlattice.llm import decontamination, fingerprints, langid, mixing, pii, quality, tokenstore
 from seqlattice.llm.common import fold, table
 
 
@@ -74,6 +74,10 @@ select doc_id, size, source_size, target, (full_passes * size + part)::bigint as
 from seg
 """
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_versions(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -110,5 +114,5 @@ from sets d join sets i on d.g = i.g and d.side = 'd' and i.side = 'i' join size
 group by d.id, i.id having 100 * count(*) >= 80 * any_value(s.n)
 """
 
-QUERIES = {"op2_quality": op2_quality, "op3_language": op3_language, "op5_mixing": op5_mixing, "op7_pii": op7_pii, "op8_token_files": op8_token_files, "op10_decontamination": op10_decontamination}
+QUERIES = {"op2_quality": op2_quality, "op3_language": op3_language, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op7_pii": op7_pii, "op8_token_files": op8_token_files, "op10_decontamination": op10_decontamination}
 ORACLE = {"op5_mixing": OP5_SQL, "op10_decontamination": OP10_SQL}
