@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Paragraph pieces end at the first word end past so many characters.
-PIECE = 80
+PIECE = 120
 #: Cells in each of the three tables of a fingerprint.
 CELLS = 8
 TABLES, ROUNDS = 3, 40
-#: Retries: tables of at least (sizes' sum) / 2 cells, then two and four times that, each with other hash functions.
+#: Retries: tables of 0.45 times the sizes' sum and a few cells, then two and four times that, each with other hash functions.
 RETRIES = (1, 2, 4)
 #: Documents in a bucket of the ordered walk, and the most buckets (their borders are kept on the driver).
 BUCKET_ROWS, MOST_BUCKETS = 2000, 1 << 16
@@ -40,12 +40,8 @@ def _check(key: Column) -> Column:
     return F.xxhash64(F.lit("check"), key)
 
 
-def _placed(keys: Column, cells: Column, seed: int) -> Column:
-    """Digests with their check value and their cell in each table."""
-    return F.transform(keys, lambda k: F.struct(k.alias("key"), _check(k).alias("check"), *[F.pmod(F.xxhash64(F.lit(seed * TABLES + t), k), cells).alias(f"c{t}") for t in range(TABLES)]))
-
-
-_ZERO = "struct(0 as n, 0L as key, 0L as check)"
+def _place(key: Column, cells: Column, seed: int, t: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed * TABLES + t), key), cells)
 
 
 def _cell(n: Column, key: Column, check: Column) -> Column:
@@ -53,39 +49,51 @@ def _cell(n: Column, key: Column, check: Column) -> Column:
 
 
 def sketch(keys: Column, cells: Column, seed: int = 0) -> Column:
-    """The cells of all tables, one table after the other."""
+    """struct(t0, t1, t2): the cells of each table. A cell that no digest falls into is found without a look at each."""
     add = lambda a, k: _cell(a["n"] + 1, a["key"].bitwiseXOR(k["key"]), a["check"].bitwiseXOR(k["check"]))
-    one = lambda placed, t: F.transform(F.sequence(F.lit(0).cast("long"), cells - 1), lambda c: F.aggregate(F.filter(placed, lambda k: k[f"c{t}"] == c), F.expr(_ZERO), add))
-    return _let(_placed(keys, cells, seed), lambda placed: F.concat(*[one(placed, t) for t in range(TABLES)]))
+    zero = F.expr("struct(0 as n, 0L as key, 0L as check)")
+
+    def one(t: int) -> Column:
+        placed = F.transform(keys, lambda k: F.struct(k.alias("key"), _check(k).alias("check"), _place(k, cells, seed, t).alias("at")))
+        fill = lambda ks, c: F.when(F.array_contains(ks["at"], c), F.aggregate(F.filter(ks, lambda k: k["at"] == c), zero, add)).otherwise(zero)
+        return _let(placed, lambda ks: F.transform(F.sequence(F.lit(0).cast("long"), cells - 1), lambda c: fill(ks, c)))
+
+    return F.struct(*[one(t).alias(f"t{t}") for t in range(TABLES)])
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["check"].bitwiseXOR(y["check"])))
+    less = lambda x, y: _cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["check"].bitwiseXOR(y["check"]))
+    return F.struct(*[F.zip_with(a[f"t{t}"], b[f"t{t}"], less).alias(f"t{t}") for t in range(TABLES)])
 
 
 def peel(cells: Column, width: Column, seed: int = 0) -> Column:
-    """struct(cells, only_a, only_b): what is left after peeling, and the recovered digests of each version."""
-    pure = lambda cs: F.array_distinct(F.transform(F.filter(cs, lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"]))), lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
+    """struct(cells, only_a, only_b, done): what is left after peeling, and the recovered digests of each version.
+
+    A round takes the digests of all cells that hold just one, and takes them out of their cells in every table.
+    """
+    single = lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"]))
+    pure = lambda cs: F.array_distinct(F.transform(F.concat(*[F.filter(cs[f"t{t}"], single) for t in range(TABLES)]), lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
+    take = lambda c, k: _cell(c["n"] - k["n"], c["key"].bitwiseXOR(k["key"]), c["check"].bitwiseXOR(k["check"]))
 
-    def drop(cs: Column, found: Column) -> Column:
-        take = lambda c, k: _cell(c["n"] - k["n"], c["key"].bitwiseXOR(k["key"]), c["check"].bitwiseXOR(_check(k["key"])))
-        at = F.transform(found, lambda k: F.struct(k["n"].alias("n"), k["key"].alias("key"), F.array(*[F.pmod(F.xxhash64(F.lit(seed * TABLES + t), k["key"]), width) + width * t for t in range(TABLES)]).alias("at")))
-        return _let(at, lambda ks: F.transform(cs, lambda c, i: F.aggregate(F.filter(ks, lambda k: F.element_at(k["at"], (F.floor(i / width) + 1).cast("int")) == i), c, take)))
+    def drop(cs: Column, found: Column, t: int) -> Column:
+        placed = F.transform(found, lambda k: F.struct(k["n"].alias("n"), k["key"].alias("key"), _check(k["key"]).alias("check"), _place(k["key"], width, seed, t).alias("at")))
+        return _let(placed, lambda ks: F.transform(cs[f"t{t}"], lambda c, i: F.when(F.array_contains(ks["at"], i.cast("long")), F.aggregate(F.filter(ks, lambda k: k["at"] == i), c, take)).otherwise(c)))
 
     side = lambda found, n: F.transform(F.filter(found, lambda k: k["n"] == n), lambda k: k["key"])
 
     def step(state: Column, _: Column) -> Column:
-        go = lambda found: F.when(F.size(found) == 0, state).otherwise(F.struct(
-            drop(state["cells"], found).alias("cells"), F.array_union(state["only_a"], side(found, 1)).alias("only_a"), F.array_union(state["only_b"], side(found, -1)).alias("only_b")))
-        return _let(pure(state["cells"]), go)
+        go = lambda found: F.struct(
+            F.when(F.size(found) == 0, state["cells"]).otherwise(F.struct(*[drop(state["cells"], found, t).alias(f"t{t}") for t in range(TABLES)])).alias("cells"),
+            F.array_union(state["only_a"], side(found, 1)).alias("only_a"), F.array_union(state["only_b"], side(found, -1)).alias("only_b"), (F.size(found) == 0).alias("done"))
+        return F.when(state["done"], state).otherwise(_let(pure(state["cells"]), go))
 
     none = F.array().cast("array<bigint>")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(cells.alias("cells"), none.alias("only_a"), none.alias("only_b")), step)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(cells.alias("cells"), none.alias("only_a"), none.alias("only_b"), F.lit(False).alias("done")), step)
 
 
 def _decoded(state: Column, size_a: Column, size_b: Column) -> Column:
     """Jaccard likeness of the two digest sets; null where peeling stalled or its counts can't be true."""
-    clean = F.forall(state["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0))
+    clean = F.forall(F.concat(*[state["cells"][f"t{t}"] for t in range(TABLES)]), lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0))
     a, b = F.size(state["only_a"]), F.size(state["only_b"])
     fits = (size_a - a == size_b - b) & (size_a >= a)
     return F.when(clean & fits, F.when(size_a + b == 0, F.lit(1.0)).otherwise((size_a - a) / (size_a + b)))
@@ -97,7 +105,7 @@ def likeness(keys_a: Column, sketch_a: Column, keys_b: Column, sketch_b: Column)
     a, b = F.size(keys_a), F.size(keys_b)
     tries = [_let(peel(subtract(sketch_a, sketch_b), F.lit(CELLS).cast("long")), lambda s: _decoded(s, a, b))]
     for seed, times in enumerate(RETRIES, 1):
-        width = (F.ceil((a + b) / 2) + CELLS).cast("long") * times
+        width = (F.ceil((a + b) * 0.45) + CELLS).cast("long") * times
         tries.append(_let(width, lambda w, seed=seed: _let(peel(subtract(sketch(keys_a, w, seed), sketch(keys_b, w, seed)), w, seed), lambda s: _decoded(s, a, b))))
     return F.coalesce(*tries, F.lit(0.0))
 
@@ -105,7 +113,7 @@ def likeness(keys_a: Column, sketch_a: Column, keys_b: Column, sketch_b: Column)
 def fingerprint_text(cells: Column, size: Column) -> Column:
     """The sketch as hexadecimal text: the number of digests, then count, key and check of every cell."""
     hexed = lambda v, n: F.lpad(F.hex(v), n, "0")
-    return F.concat(hexed(size, 8), F.array_join(F.transform(cells, lambda c: F.concat(hexed(c["n"], 8), hexed(c["key"], 16), hexed(c["check"], 16))), ""))
+    return F.concat(hexed(size, 8), F.array_join(F.transform(F.concat(*[cells[f"t{t}"] for t in range(TABLES)]), lambda c: F.concat(hexed(c["n"], 8), hexed(c["key"], 16), hexed(c["check"], 16))), ""))
 
 
 def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
