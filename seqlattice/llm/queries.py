@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import decontamination, fingerprints, langid, mixing, pii, quality, tokenstore
+from seqlattice.llm import decontamination, fingerprints, jaccard_join, langid, mixing, pii, quality, tokenstore
 from seqlattice.llm.common import fold, table
 
 
@@ -13,6 +13,32 @@ def held_out(n: int, rest: int):
     return F.coalesce(fold("doc_id", n) == rest, F.lit(False))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, then components by walking the links.
+OP1_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents where text is not null),
+grams as (
+  select distinct doc_id, unnest(case when len(w) < 4 then [array_to_string(w, ' ')] else [array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)] end) as g
+  from words where len(w) > 0),
+size as (select doc_id, count(*) as n from grams group by 1),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select a, b from pairs join size x on x.doc_id = a join size y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (
+  select doc_id as a, doc_id as b from documents
+  union
+  select r.a, l.b from reach r join both_ways l on l.a = r.b)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, r.component_id
+from documents d left join size s using (doc_id) join (select a, min(b) as component_id from reach group by 1) r on r.a = d.doc_id
+"""
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     chain = quality.train(docs, labels.where(fold("doc_id", 5) != 0))
@@ -114,5 +140,5 @@ from sets d join sets i on d.g = i.g and d.side = 'd' and i.side = 'i' join size
 group by d.id, i.id having 100 * count(*) >= 80 * any_value(s.n)
 """
 
-QUERIES = {"op2_quality": op2_quality, "op3_language": op3_language, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op7_pii": op7_pii, "op8_token_files": op8_token_files, "op10_decontamination": op10_decontamination}
-ORACLE = {"op5_mixing": OP5_SQL, "op10_decontamination": OP10_SQL}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_quality": op2_quality, "op3_language": op3_language, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op7_pii": op7_pii, "op8_token_files": op8_token_files, "op10_decontamination": op10_decontamination}
+ORACLE = {"op1_jaccard_join": OP1_SQL, "op5_mixing": OP5_SQL, "op10_decontamination": OP10_SQL}
