@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import decontamination, fingerprints, jaccard_join, langid, mixing, pii, quality, tokenstore
+from seqlattice.llm import decontamination, fingerprints, jaccard_join, langid, lm_scoring, mixing, pii, quality, tokenstore
 from seqlattice.llm.common import fold, table
 
 
@@ -52,6 +52,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.language_model_scores(table(spark, sf_dir, "documents"), held_out(7, 2))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum_mix(table(spark, sf_dir, "documents"))
     first = F.coalesce(F.floor(F.try_element_at("positions", F.lit(1)) * 1e6), F.lit(-1)).alias("first_position_ppm")
@@ -140,5 +144,5 @@ from sets d join sets i on d.g = i.g and d.side = 'd' and i.side = 'i' join size
 group by d.id, i.id having 100 * count(*) >= 80 * any_value(s.n)
 """
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_quality": op2_quality, "op3_language": op3_language, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op7_pii": op7_pii, "op8_token_files": op8_token_files, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_quality": op2_quality, "op3_language": op3_language, "op4_lm_scoring": op4_lm_scoring, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op7_pii": op7_pii, "op8_token_files": op8_token_files, "op10_decontamination": op10_decontamination}
 ORACLE = {"op1_jaccard_join": OP1_SQL, "op5_mixing": OP5_SQL, "op10_decontamination": OP10_SQL}
