@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import decontamination, fingerprints, jaccard_join, langid, lm_scoring, mixing, pii, quality, tokenstore
+from seqlattice.llm import decontamination, fingerprints, jaccard_join, langid, lm_scoring, mixing, pii, quality, suffix_dedup, tokenstore
 from seqlattice.llm.common import fold, table
 
 
@@ -122,6 +122,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.token_files(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "item_shingles", "shared_shingles", F.floor(F.col("containment") * 1e6).alias("containment_ppm"))
@@ -144,5 +148,5 @@ from sets d join sets i on d.g = i.g and d.side = 'd' and i.side = 'i' join size
 group by d.id, i.id having 100 * count(*) >= 80 * any_value(s.n)
 """
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_quality": op2_quality, "op3_language": op3_language, "op4_lm_scoring": op4_lm_scoring, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op7_pii": op7_pii, "op8_token_files": op8_token_files, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_quality": op2_quality, "op3_language": op3_language, "op4_lm_scoring": op4_lm_scoring, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op7_pii": op7_pii, "op8_token_files": op8_token_files, "op9_suffix_dedup": op9_suffix_dedup, "op10_decontamination": op10_decontamination}
 ORACLE = {"op1_jaccard_join": OP1_SQL, "op5_mixing": OP5_SQL, "op10_decontamination": OP10_SQL}
