@@ -54,6 +54,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of text that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def text_rows(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``docs.select(columns)`` for a Python stage: bounds the batches that Spark hands to Python workers, unless the session already does."""
+    conf = docs.sparkSession.conf
+    for key, usual, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{key}", None)
+        if now == usual or usual is None and (now is None or not now.isdigit() or int(now) > value):
+            conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+    return docs.select(*columns)
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id's text modulo n; null for a null id."""
     return F.crc32(F.col(id_col).cast("string")) % F.lit(n)

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlattice.llm.common import batches_of, materialize
+from seqlattice.llm.common import batches_of, materialize, text_rows
 
 RARE = 1e-5
 LONGEST = 5
@@ -123,6 +123,6 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             names = np.array([*model.languages, UNDETERMINED], object)[np.where(decided, best, k)]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(np.where(decided, share, 0.0))})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlattice.llm.common import text_rows
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 #: Spans of the added kinds stay from this score on; those of the base kinds always stay.
@@ -146,7 +147,7 @@ def find_pii(docs: DataFrame, keep: float = KEEP_SCORE, id_col: str = "doc_id",
                 base.append(joined(base_spans(text)) if found else "")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, kind), pa.array(base, pa.string())], ["doc_id", "spans", "base"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def redact(docs: DataFrame, keep: float = KEEP_SCORE, text_col: str = "text") -> DataFrame:
@@ -180,6 +181,3 @@ def digest(found: DataFrame) -> DataFrame:
         F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",").alias("spans"),
     )
 
-
-def sha256_of(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

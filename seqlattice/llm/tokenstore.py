@@ -19,13 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqlattice.llm.common import batches_of, materialize, scratch_path
+from seqlattice.llm.common import batches_of, materialize, scratch_path, span_hashes, text_bytes, text_rows, word_spans
 
 END_ID = 2
 #: The dictionary is trained on this many documents (those of the smallest id hash), on this many ids of each.
@@ -43,25 +42,63 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
+class PieceIds:
+    """Ids of the pieces seen so far in this worker, looked up by 64-bit hash; emptied when it holds ``MOST`` pieces."""
+
+    MOST = 2_000_000
+
+    def __init__(self, tokenizer_path: str) -> None:
+        self.tok = _tokenizer(tokenizer_path)
+        self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.start, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.kind)
+
+    def find(self, keys: np.ndarray, piece) -> np.ndarray:
+        """Places of the keys; ``piece(i)`` gives the text of an unknown one."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if not len(new):
+            return at
+        if len(self.keys) + len(new) > self.MOST and len(self.keys):
+            self.clear()
+            return self.find(keys, piece)
+        sizes, ids = [], []
+        for lo in range(0, len(new), 20_000):
+            got = [e.ids for e in self.tok.encode_batch_fast([piece(i) for i in new[lo : lo + 20_000]], add_special_tokens=False)]
+            sizes += map(len, got)
+            ids.append(np.fromiter((i for x in got for i in x), self.kind))
+        size = np.array(sizes, np.int32)
+        start = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+        merged = np.concatenate([self.keys, keys[new]])
+        order = np.argsort(merged, kind="stable")
+        self.keys, self.start, self.size = merged[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+        self.flat = np.concatenate([self.flat, *ids])
+        return np.searchsorted(self.keys, keys)
+
+
 def encode_texts(texts: pa.Array, tokenizer_path: str, end_id: int = END_ID) -> list[np.ndarray]:
-    """Ids of each text with the end id. Pieces between spaces and line feeds are encoded once for each distinct one.
+    """Ids of each text with the end id. Pieces between ASCII white space are encoded once for each distinct one.
 
     Sound for tokenizers whose pre-tokenizer drops white space, so that no token crosses it; ``tests`` hold the result
     against encoding whole texts.
     """
-    tok = _tokenizer(tokenizer_path)
-    lists = pc.split_pattern_regex(texts.cast(pa.large_string()).fill_null(""), "[ \n]+")
-    pieces = lists.flatten().dictionary_encode()
-    known = [e.ids for e in tok.encode_batch_fast(pieces.dictionary.to_pylist(), add_special_tokens=False)]
-    size = np.fromiter(map(len, known), np.int64, len(known))
-    flat = np.fromiter((i for ids in known for i in ids), np.uint32, int(size.sum()))
-    start = np.cumsum(size) - size
-    code = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    each = size[code]
-    ends = np.cumsum(each)
-    ids = flat[np.repeat(start[code] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-    at = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-    return [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(at[:-1], at[1:])]
+    known = _loaded.get(("pieces", tokenizer_path))
+    if known is None:
+        known = _loaded["pieces", tokenizer_path] = PieceIds(tokenizer_path)
+    raw, at = text_bytes(texts)
+    starts, ends, word_at = word_spans(raw, at)
+    pieces = pa.array(span_hashes(raw, starts, ends)).dictionary_encode()
+    code = pieces.indices.to_numpy(zero_copy_only=False)
+    one = np.empty(len(pieces.dictionary), np.int64)
+    one[code] = np.arange(len(code))
+    place = known.find(pieces.dictionary.to_numpy(zero_copy_only=False), lambda i: raw[starts[one[i]] : ends[one[i]]].tobytes().decode())[code]
+    each = known.size[place].astype(np.int64)
+    stop = np.cumsum(each)
+    ids = known.flat[np.repeat(known.start[place] - (stop - each), each) + np.arange(stop[-1] if len(stop) else 0)]
+    cut = np.concatenate([[0], stop])[word_at]
+    return [np.append(ids[a:b], ids.dtype.type(end_id)) for a, b in zip(cut[:-1], cut[1:])]
 
 
 def _width(tokenizer_path: str) -> int:
@@ -74,11 +111,11 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     picked = [r[0] for r in docs.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS).collect() if r[0] is not None]
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, "text"):
+        for b in batches_of(batches, "text", 4 << 20):
             ids = encode_texts(b.column("text"), tokenizer_path)
             yield pa.RecordBatch.from_pydict({"ids": pa.array([x[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for x in ids], pa.binary())})
 
-    rows = docs.where(F.col(id_col).isin(picked)).select(F.col(text_col).alias("text")).mapInArrow(sample, "ids binary")
+    rows = text_rows(docs.where(F.col(id_col).isin(picked)), F.col(text_col).alias("text")).mapInArrow(sample, "ids binary")
     samples = sorted(bytes(r[0]) for r in rows.limit(2 * SAMPLE_DOCS).collect())
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -95,7 +132,7 @@ def _encoded(docs: DataFrame, tokenizer_path: str, dictionary: bytes, id_col: st
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
-        for b in batches_of(batches, "text"):
+        for b in batches_of(batches, "text", 4 << 20):
             ids = encode_texts(b.column("text"), tokenizer_path)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"),
@@ -103,7 +140,7 @@ def _encoded(docs: DataFrame, tokenizer_path: str, dictionary: bytes, id_col: st
                 "frame": pa.array([press.compress(x.astype(f"<u{width}").tobytes()) for x in ids], pa.binary()),
             })
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, n long, frame binary")
+    return text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, n long, frame binary")
 
 
 def _blocks(width: int, dict_hash: str):
