@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlattice.llm.common import batches_of, lower_ascii, shingle_hashes, span_hashes, text_bytes, word_spans
+from seqlattice.llm.common import batches_of, lower_ascii, shingle_hashes, span_hashes, text_bytes, text_rows, word_spans
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles of the items that one pass over the documents carries; larger benchmarks take more passes.
@@ -95,6 +95,24 @@ class ItemIndex:
         return out
 
 
+def item_blocks(items: DataFrame, n: int, percent: int, item_col: str, item_text_col: str, block_shingles: int) -> Iterator[ItemIndex]:
+    """Indexes of the items in blocks of at most ``block_shingles`` shingles; a larger item is a block by itself."""
+    block, size = [], 0
+    for row in item_sets(items, n, item_col, item_text_col).toLocalIterator():
+        if not row["shingles"]:
+            continue
+        if block and size + len(row["shingles"]) > block_shingles:
+            yield ItemIndex(block, percent)
+            block, size = [], 0
+        block.append((row["item_id"], row["shingles"]))
+        size += len(row["shingles"])
+    if block:
+        yield ItemIndex(block, percent)
+
+
+FOUND = "doc_id long, item_id long, item_shingles long, shared_shingles long, containment double"
+
+
 def contained_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
                     text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, item_id, item_shingles, shared_shingles, containment) for every document that holds at least ``percent``
@@ -105,7 +123,7 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent
     of fewer than n words is one shingle. Repeated rows and ids each give their own rows. Empty tables give no rows.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def search(held) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,16 +138,29 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent
                     "containment": pa.array(shared / np.maximum(index.size[i], 1)),
                 })
 
-        return texts.mapInArrow(run, "doc_id long, item_id long, item_shingles long, shared_shingles long, containment double")
+        return texts.mapInArrow(run, FOUND)
 
-    out, block, size = None, [], 0
-    for row in item_sets(items, n, item_col, item_text_col).toLocalIterator():
-        if not row["shingles"]:
-            continue
-        if block and size + len(row["shingles"]) > block_shingles:
-            found = search(spark.sparkContext.broadcast(ItemIndex(block, percent)))
-            out, block, size = found if out is None else out.unionByName(found), [], 0
-        block.append((row["item_id"], row["shingles"]))
-        size += len(row["shingles"])
-    found = search(spark.sparkContext.broadcast(ItemIndex(block, percent)))
-    return found if out is None else out.unionByName(found)
+    out = spark.createDataFrame([], FOUND)
+    for index in item_blocks(items, n, percent, item_col, item_text_col, block_shingles):
+        out = out.unionByName(search(spark.sparkContext.broadcast(index)))
+    return out
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text_col: str = "text",
+                      item_col: str = "item_id", item_text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The rows, with all their columns, that hold no item (see ``contained_items``)."""
+
+    def clean(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches_of(batches, text_col, 8 << 20):
+                h, at = shingle_sets(b.column(text_col), n)
+                keep = np.ones(b.num_rows, bool)
+                keep[[r for r, _, _ in held.value.matches(h, np.repeat(np.arange(b.num_rows), np.diff(at)))]] = False
+                yield b.filter(pa.array(keep))
+
+        return run
+
+    rows = text_rows(docs, F.col("*"))
+    for index in item_blocks(items, n, percent, item_col, item_text_col, block_shingles):
+        rows = rows.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    return rows

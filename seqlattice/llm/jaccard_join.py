@@ -366,3 +366,15 @@ def similar_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     named = profiles.select("doc_id", "n", "node").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of one document of each component: that with the smallest id.
+
+    Rows of one id stay or go together; they stay if one of them is the first of its component. Rows without an id stay.
+    """
+    found = similar_components(docs, n, percent, id_col=id_col, text_col=text_col)
+    verdict = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
+    gone = materialize(verdict.where("not first").select(F.col("doc_id").alias("gone")), "duplicates")
+    small = gone.count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col("gone"), "left_anti")

@@ -117,3 +117,14 @@ def curriculum_mix(docs: DataFrame, weights=WEIGHTS, shapes=SHAPES, share: float
 def training_order(mixed: DataFrame, position: str = "position") -> DataFrame:
     """Rows range-sorted by training position; partition files follow each other in reading order."""
     return mixed.repartitionByRange(F.col(position), F.col("doc_id")).sortWithinPartitions(position, "doc_id")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows, with all their columns, once for every pass in which the mix reads them; unread ones go.
+
+    Rows of one id get the most passes that any of them has.
+    """
+    mixed = curriculum_mix(docs, id_col=id_col, **options)
+    passes = mixed.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max(F.size("positions")).alias("mixed_passes")).where("mixed_passes > 0")
+    read = docs.join(passes, F.col(id_col).cast("long").eqNullSafe(F.col("mixed_id")))
+    return read.withColumn("mixed_pass", F.explode(F.sequence(F.lit(1), F.col("mixed_passes")))).select(*[docs[c] for c in docs.columns])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlattice.llm.common import batches_of, span_hashes, text_bytes, word_spans
+from seqlattice.llm.common import batches_of, span_hashes, text_bytes, text_rows, word_spans
 
 #: The chain is fitted on at most so many labelled rows (those of the smallest id hash), and on so many lines of each chain.
 TRAIN_ROWS, TRAIN_LINES = 6000, 48
@@ -201,7 +201,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
         for b in batches_of(batches, "text", 8 << 20):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, scores(b.column("text"), chain))], ["doc_id", "score", "bad_lines"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, bad_lines long")
+    return text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, bad_lines long")
 
 
 def scores(texts: pa.Array, chain: Chain) -> tuple[np.ndarray, np.ndarray]:
@@ -211,3 +211,13 @@ def scores(texts: pa.Array, chain: Chain) -> tuple[np.ndarray, np.ndarray]:
     value = 1 / (1 + np.exp(-np.clip(chain.slope * _logit(mean) + chain.shift, -30, 30)))
     bad = np.diff(np.concatenate([[0], np.cumsum(good < 0.5)])[first])
     return np.where(np.isnan(mean), chain.prior, value), bad.astype(np.int64)
+
+
+def keep_good(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score reaches ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches, text_col, 8 << 20):
+            yield b.filter(pa.array(scores(b.column(text_col), chain)[0] >= threshold))
+
+    return text_rows(docs, F.col("*")).mapInArrow(run, docs.schema)
