@@ -1,0 +1,25 @@
+"""Scratch folders for queries that write and read files again."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in spark.checkpoint.dir, which executors share; in a temporary folder where that is unset (local runs)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = getattr(spark.sparkContext, "_seqlattice_scratch", None)
+        if root is None:
+            root = tempfile.mkdtemp(prefix="spark-scratch-")
+            atexit.register(shutil.rmtree, root, True)
+            spark.sparkContext._seqlattice_scratch = root
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
