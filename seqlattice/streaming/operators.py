@@ -50,12 +50,13 @@ def next_budget(sims: list[float], budgets: list[int], rule: Rule) -> int:
     return rule.intervals[0][2] if mean < rule.intervals[0][0] else rule.intervals[-1][2]
 
 
-def stream_allocate(states: DataFrame, rule: Rule, idle: str = "1 hour", first: int = FIRST_BUDGET, seq: str = "seq_id", pos: str = "pos", vector: str = "vector", ts: str | None = None) -> DataFrame:
+def stream_allocate(states: DataFrame, rule: Rule, idle: str | None = None, first: int = FIRST_BUDGET, seq: str = "seq_id", pos: str = "pos", vector: str = "vector") -> DataFrame:
     """(seq, pos, num_tokens) of each new state of each sequence. States must come in order of ``pos`` between batches.
 
     State kept a sequence: the unit vectors and budgets so far; dropped after ``idle`` of processing time without a new state.
+    With ``idle`` a query never runs out of batches, so leave it out where the stream is to end with its data.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -74,7 +75,8 @@ def stream_allocate(states: DataFrame, rule: Rule, idle: str = "1 hour", first:
             flat += v.tolist()
             out.append((key[0], int(p), int(budgets[-1])))
         state.update((flat, budgets, width))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["seq_id", "pos", "num_tokens"])
 
-    return states.groupBy(seq).applyInPandasWithState(run, "seq_id long, pos long, num_tokens int", "flat array<double>, budgets array<int>, width int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return states.groupBy(seq).applyInPandasWithState(run, "seq_id long, pos long, num_tokens int", "flat array<double>, budgets array<int>, width int", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
