@@ -377,4 +377,4 @@ def keep_first(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", te
     verdict = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
     gone = materialize(verdict.where("not first").select(F.col("doc_id").alias("gone")), "duplicates")
     small = gone.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col("gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == gone["gone"], "left_anti")

@@ -125,6 +125,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     Rows of one id get the most passes that any of them has.
     """
     mixed = curriculum_mix(docs, id_col=id_col, **options)
-    passes = mixed.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max(F.size("positions")).alias("mixed_passes")).where("mixed_passes > 0")
-    read = docs.join(passes, F.col(id_col).cast("long").eqNullSafe(F.col("mixed_id")))
-    return read.withColumn("mixed_pass", F.explode(F.sequence(F.lit(1), F.col("mixed_passes")))).select(*[docs[c] for c in docs.columns])
+    passes = mixed.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max(F.size("positions")).alias("passes")).where("passes > 0")
+    each = passes.select("mixed_id", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    return docs.join(each, docs[id_col].cast("long").eqNullSafe(each["mixed_id"])).select(*[docs[c] for c in docs.columns])

@@ -174,7 +174,8 @@ def fit_chain(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndar
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Chain:
     """Fit on at most ``rows`` labelled documents; their lines' features come from the executors."""
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    chosen = docs.join(F.broadcast(picked), F.col(id_col) == F.col("id")).select("id", "label", F.col(text_col).alias("text"))
+    texts = text_rows(docs, F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    chosen = texts.join(F.broadcast(picked), F.col("doc") == F.col("id")).select("id", "label", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, "text"):
