@@ -71,7 +71,7 @@ def model_dataset_matrix(models: DataFrame, datasets: DataFrame, files: DataFram
     """
     name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
     listed = files.select(F.col("path"), name.alias("_name"), F.size(F.split("path", "/")).alias("_depth"))
-    pairs = models.crossJoin(F.broadcast(datasets)).withColumn("_name", F.concat_ws("_", "model", "dataset"))
+    pairs = models.crossJoin(datasets).withColumn("_name", F.concat_ws("_", "model", "dataset"))
     best = pairs.join(listed, "_name", "left").where(F.col("path").isNull() | F.contains(F.col("path"), F.concat(F.col("model"), F.lit("/"))))
     pick = best.groupBy("model", "dataset").agg(F.min_by("path", F.struct("_depth", "path")).alias("path"))
     return pairs.select("model", "dataset").join(pick, ["model", "dataset"], "left").withColumn("found", F.col("path").isNotNull())

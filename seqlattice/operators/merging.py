@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlattice.functions import images as im
+from seqlattice.sources.scratch import scratch_path
 
 
 def dedupe_last(df: DataFrame, key: list[str], order: str | list[str]) -> DataFrame:
@@ -76,9 +77,16 @@ def global_index(rank: Column, local: Column, world: int) -> Column:
 
 
 def row_position(df: DataFrame, order: list[str], out: str = "position", shards: int = 200) -> DataFrame:
-    """0, 1, 2 .. in the given order: counts of range parts, then a window within each, so no task holds all rows."""
+    """0, 1, 2 .. in the given order: counts of range parts, then a window within each, so no task holds all rows.
+
+    The parts are written down first: their borders are sampled, so a second run of the same plan could draw others.
+    """
+    path = scratch_path(df.sparkSession, "ranged")
     ranged = df.repartitionByRange(shards, *order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row a part
     base = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return ranged.withColumn("_at", within).join(base, "_part").withColumn(out, F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqlattice.operators import merging as mg
 from seqlattice.plans import fixtures as fx
 from seqlattice.plans.queries import MERGED_SQL, _budgets, _merged, _parts, joined, query
-from seqlattice.plans.scratch import scratch_path
+from seqlattice.sources.scratch import scratch_path
 from seqlattice.sources import io
 
 TURNS = "conv_id long, turn long, role string, text string"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqlattice.plans import fixtures as fx
 from seqlattice.plans.queries import ALLOCATE_SQL, MERGED_SQL, _budgets, joined, query
-from seqlattice.plans.scratch import scratch_path
+from seqlattice.sources.scratch import scratch_path
 from seqlattice.streaming import operators as st
 
 
