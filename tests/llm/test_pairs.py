@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import SF, documents, edge_rows
+from rows import SF, documents, edge_rows
 from plain import component_ids, held_items, without_repeats
 from pyspark.sql import functions as F
 

@@ -3,7 +3,7 @@
 import zlib
 
 import numpy as np
-from conftest import SF
+from rows import SF
 from plain import component_ids, held_items
 
 import corpus_pipeline

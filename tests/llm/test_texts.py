@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from compare import assert_same, connection
-from conftest import SF, edge_rows
+from rows import SF, edge_rows
 from plain import words
 from pyspark.sql import functions as F
 
