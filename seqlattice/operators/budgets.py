@@ -26,6 +26,13 @@ class Rule:
         return all(a >= b for a, b in zip(budgets, budgets[1:]))
 
 
+#: The published rule.
+PUBLISHED = Rule(0.8, (
+    (0.0146636962890625, 0.5141110742621287, 100), (0.5141110742621287, 0.6114225139405205, 100), (0.6114225139405205, 0.6942610713686086, 100),
+    (0.6942610713686086, 0.7789873044191151, 100), (0.7789873044191151, 0.8632919368878046, 100), (0.8632919368878046, 0.9308384486607144, 81),
+    (0.9308384486607144, 0.9689558189153915, 49), (0.9689558189153915, 0.9928425683439073, 49), (0.9928425683439073, 0.9961789012729387, 9), (0.9961789012729387, 1.0009765625000002, 9)))
+
+
 def interval_table(raw: DataFrame, budget_key: str = "budget") -> DataFrame:
     """Rows (scheme, alpha, tsim_left, tsim_right, <budget columns>) -> (scheme, alpha, left, right, budget), budgets half-even."""
     budget = F.coalesce(F.col(budget_key).cast("double"), F.lit(MISSING_BUDGET))

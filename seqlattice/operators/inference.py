@@ -13,8 +13,8 @@ from seqlattice.functions.vectors import is_perfect_square
 
 #: Marks of the prompt format, the first image's budget, and the budgets that later images may have.
 USER, ASSISTANT = "<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n"
-IMAGE_START, IMAGE_END, IMAGE_PAD, BUDGET_PAD = "<|vision_start|>", "<|vision_end|>", "<|image_pad|>", "<|delta_pad|>"
-FIRST_BUDGET, BUDGETS = 144, (9, 49, 81, 100)
+IMAGE_START, IMAGE_END, IMAGE_PAD, BUDGET_PAD = "<|vision_start|>", "<|vision_end|>", "<|image_pad|>", "<|vision_pad|>"
+FIRST_BUDGET, BUDGETS = 144, (144,)
 EOS = 16384
 
 

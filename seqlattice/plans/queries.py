@@ -424,7 +424,7 @@ GRID_SQL = "list_transform(range(1, n_in + 1), lambda i: ((2 + i % 3) * (4 + i %
 FIRSTED_SQL = "list_concat([144], num_tokens[2:n_in])"
 
 
-@query("p7_render_prompts", SAMPLES_SQL + f""" select conv_id, '<|im_start|>user' || chr(10) || array_to_string(list_transform(range(1, least(n_in, len(num_tokens)) + 1), lambda i: '<|vision_start|>' || repeat('<|image_pad|>', {GRID_SQL}[i]) || '<|vision_end|><|vision_start|>' || repeat('<|delta_pad|>', {FIRSTED_SQL}[i]) || '<|vision_end|>'), '') || 'q' || conv_id || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) as prompt from smp where n_in <= len(num_tokens)""")
+@query("p7_render_prompts", SAMPLES_SQL + f""" select conv_id, '<|im_start|>user' || chr(10) || array_to_string(list_transform(range(1, least(n_in, len(num_tokens)) + 1), lambda i: '<|vision_start|>' || repeat('<|image_pad|>', {GRID_SQL}[i]) || '<|vision_end|><|vision_start|>' || repeat('<|vision_pad|>', {FIRSTED_SQL}[i]) || '<|vision_end|>'), '') || 'q' || conv_id || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) as prompt from smp where n_in <= len(num_tokens)""")
 def p7(spark, sf):
     s = _samples(spark, sf).where("n_in <= size(num_tokens)")
     prompt = inf.render_prompt(F.concat(F.lit("q"), F.col("conv_id").cast("string")), _grids(F.col("n_in")), inf.usable_budgets(F.col("num_tokens"), F.col("n_in")))

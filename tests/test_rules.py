@@ -68,6 +68,11 @@ def test_interval_edges(spark, x, want):
     assert bg.budget_for_tsim(spark.createDataFrame([(x,)], "tsim double"), bg.interval_table(table)).head()["budget"] == want
 
 
+@pytest.mark.parametrize("x,want", [(-0.2, 100), (0.5, 100), (0.9, 81), (0.95, 49), (0.99, 49), (0.995, 9), (1.0009765625, 9), (1.1, 9)])
+def test_published_rule(spark, x, want):
+    assert bg.PUBLISHED.monotone and one(spark, bg.budget_column(F.col("v"), bg.PUBLISHED), v=F.lit(x)) == want
+
+
 def test_missing_and_half_budgets(spark):
     raw = spark.createDataFrame([("a", 0.8, 0.0, 0.5, 80.5), ("a", 0.8, 0.5, 1.0, None)], "scheme string, alpha double, tsim_left double, tsim_right double, budget double")
     assert [r["budget"] for r in bg.interval_table(raw).orderBy("left").collect()] == [80, 9]
