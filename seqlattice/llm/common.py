@@ -47,10 +47,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Row groups of written tables: small ones, so that writers of wide rows buffer little.
+ROW_GROUP = 16 << 20
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -112,7 +116,7 @@ def _odd_powers(base: int, n: int) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 22
+_BLOCK = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
