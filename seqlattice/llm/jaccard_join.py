@@ -46,7 +46,7 @@ def shingle_levels(docs: DataFrame, n: int, id_col: str, text_col: str) -> np.nd
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for b in batches_of(batches, "text", 8 << 20):
+        for b in batches_of(batches, "text", 2 << 20):
             slots = np.concatenate(document_sets(b.column("text"), n)) >> np.uint64(48)
             total += np.bincount(slots.astype(np.int64), minlength=COUNTERS)
         yield pa.RecordBatch.from_pydict({"counter": pa.array(np.arange(COUNTERS)), "n": pa.array(total)})
@@ -98,11 +98,6 @@ def bitmap_bits(n: int) -> int:
     return max(64, 1 << int(n - 1).bit_length()) if n else 64
 
 
-def fold_bitmap(b: np.ndarray, bits: int) -> np.ndarray:
-    """A wider bitmap reduced to ``bits`` slots: slots that fall together are added modulo two."""
-    return np.bitwise_xor.reduce(b.reshape(-1, bits // 8), axis=0)
-
-
 class Components:
     """Union-find over row numbers; the smallest number names a component."""
 
@@ -123,32 +118,24 @@ class Components:
 
 def possible_links(size: np.ndarray, payload: list[bytes], known: Components, percent: int) -> Components:
     """Components of the sets that their sizes and parity bitmaps don't keep apart."""
+    root = np.array([known.find(i) for i in range(len(size))], np.int64)
     bits = np.array([len(p) * 8 for p in payload])
-    maps = {int(w): np.stack([np.frombuffer(payload[i], np.uint8) for i in np.flatnonzero(bits == w)]) for w in np.unique(bits)}
-    members = {w: np.flatnonzero(bits == w) for w in maps}
+    members = {int(w): np.flatnonzero(bits == w) for w in np.unique(bits)}
+    maps = {w: np.stack([np.frombuffer(payload[i], np.uint8) for i in m]) for w, m in members.items()}
     for i in range(len(size)):
-        mine = np.frombuffer(payload[i], np.uint8)
-        for w in (int(bits[i]), int(bits[i]) * 2):
-            if w not in maps:
-                continue
-            cand, other = members[w], maps[w]
-            if w == bits[i]:
-                later = cand > i
-                cand, other = cand[later], other[later]
-                one = mine
-            else:  # compare in the narrower width
-                other = np.bitwise_xor(other[:, : len(mine)], other[:, len(mine) :])
-                one = mine
-            root = known.find(i)
-            open_ = np.array([known.find(int(j)) != root for j in cand], bool) if len(cand) else np.zeros(0, bool)
+        mine, w = np.frombuffer(payload[i], np.uint8), int(bits[i])
+        later = members[w] > i
+        wider = members.get(2 * w, np.zeros(0, np.int64))
+        for cand, other in ((members[w][later], lambda ok: maps[w][later][ok]), (wider, lambda ok: np.bitwise_xor(maps[2 * w][ok][:, : len(mine)], maps[2 * w][ok][:, len(mine) :]))):
             least = need(size[i], size[cand], percent)
-            ok = open_ & (least <= np.minimum(size[i], size[cand]))
+            ok = (root[cand] != root[i]) & (least <= np.minimum(size[i], size[cand]))
             if not ok.any():
                 continue
-            cand, other, least = cand[ok], other[ok], least[ok]
-            apart = np.bitwise_count(other ^ one).sum(axis=1, dtype=np.int64)
-            for j in cand[apart <= size[i] + size[cand] - 2 * least]:
-                known.join(i, int(j))
+            cand, least = cand[ok], least[ok]
+            apart = np.bitwise_count(other(ok) ^ mine).sum(axis=1, dtype=np.int64)
+            for old in np.unique(root[cand[apart <= size[i] + size[cand] - 2 * least]]):
+                root[(root == old) | (root == root[i])] = min(old, root[i])
+    known.up = root.tolist()
     return known
 
 
@@ -323,7 +310,7 @@ def similar_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, n, id_col, text_col))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, "text", 4 << 20):
+        for b in batches_of(batches, "text", 2 << 20):
             sets = document_sets(b.column("text"), n)
             sizes = [prefix_sizes(len(s), percent) if len(s) else (0, 0) for s in sets]
             ordered = [global_order(s, levels.value) for s in sets]
@@ -337,13 +324,17 @@ def similar_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     texts = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profiles = materialize(texts.mapInArrow(profile, PROFILE), "profiles")
     filled = profiles.where("n > 0")
+    by_node = materialize(filled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bitmap").alias("payload"), F.first("extra").alias("extra")), "nodes")
+    copies = materialize(filled.select("doc_id", "node").join(by_node.select("node", "first_id"), "node").where("doc_id <> first_id").select("doc_id", "node"), "copies")
+    if copies.count() <= MOST_BROADCAST:  # equal sets need no postings of their own; with more of them they only cost room
+        filled = filled.join(F.broadcast(copies), ["doc_id", "node"], "left_anti")
     postings = filled.select(F.explode("prefix").alias("token"), "node")
     shared = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
     held = materialize(postings.join(shared, "token").distinct(), "postings")
-    by_node = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("payload"), F.first("extra").alias("extra"))
     counts = held.groupBy("node").agg(F.count("*").alias("held"))
-    alive = materialize(by_node.join(counts, "node").where("held >= extra").drop("held", "extra"), "nodes")
-    held = held.join(alive.select("node"), "node")
+    alive = materialize(by_node.join(counts, "node").where("held >= extra").select("node", F.col("first_id").alias("doc_id"), "n", "payload"), "alive")
+    living = alive.select("node")
+    held = materialize(held.join(F.broadcast(living) if alive.count() <= MOST_BROADCAST else living, "node"), "alive-postings")
     # shingles with the same nodes are one bucket
     marks = held.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("k > 1")
     buckets = marks.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token")
@@ -352,7 +343,7 @@ def similar_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     groups = materialize(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, "text", 4 << 20):
+        for b in batches_of(batches, "text", 2 << 20):
             plain = document_sets(b.column("text"), n)
             same = set_names(plain) == b.column("node").to_numpy()  # an id may stand for several texts
             b, sets = b.filter(pa.array(same)), [global_order(s, levels.value) for s, ok in zip(plain, same) if ok]
