@@ -32,7 +32,7 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 
 def item_sets(items: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, "text"):
+        for b in batches_of(batches, "text", 1 << 20):
             h, at = shingle_sets(b.column("text"), n)
             rows = [np.unique(h[a:z]).view(np.int64) for a, z in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_pydict({"item_id": b.column("item_id"), "shingles": pa.array(rows, pa.list_(pa.int64()))})
@@ -128,7 +128,7 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent
     def search(held) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = held.value
-            for b in batches_of(batches, "text", 8 << 20):
+            for b in batches_of(batches, "text", 1 << 20):
                 h, at = shingle_sets(b.column("text"), n)
                 found = index.matches(h, np.repeat(np.arange(b.num_rows), np.diff(at)))
                 r, i, shared = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
@@ -152,7 +152,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = SHINGLE, perce
 
     def clean(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches_of(batches, text_col, 8 << 20):
+            for b in batches_of(batches, text_col, 1 << 20):
                 h, at = shingle_sets(b.column(text_col), n)
                 keep = np.ones(b.num_rows, bool)
                 keep[[r for r, _, _ in held.value.matches(h, np.repeat(np.arange(b.num_rows), np.diff(at)))]] = False

@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     chosen = texts.join(F.broadcast(picked), F.col("doc") == F.col("id")).select("id", "label", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, "text"):
+        for b in batches_of(batches, "text", 1 << 20):
             x, size, first = lines_of(b.column("text"))
             yield pa.RecordBatch.from_pydict({
                 "id": b.column("id"), "label": b.column("label").cast(pa.int32()),
@@ -199,7 +199,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, "text", 8 << 20):
+        for b in batches_of(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, scores(b.column("text"), chain))], ["doc_id", "score", "bad_lines"])
 
     return text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, bad_lines long")
@@ -218,7 +218,7 @@ def keep_good(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, text_
     """The rows, with all their columns, whose score reaches ``threshold``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, text_col, 8 << 20):
+        for b in batches_of(batches, text_col, 1 << 20):
             yield b.filter(pa.array(scores(b.column(text_col), chain)[0] >= threshold))
 
     return text_rows(docs, F.col("*")).mapInArrow(run, docs.schema)

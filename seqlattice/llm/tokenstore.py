@@ -45,7 +45,7 @@ def _tokenizer(path: str):
 class PieceIds:
     """Ids of the pieces seen so far in this worker, looked up by 64-bit hash; emptied when it holds ``MOST`` pieces."""
 
-    MOST = 2_000_000
+    MOST = 1_000_000
 
     def __init__(self, tokenizer_path: str) -> None:
         self.tok = _tokenizer(tokenizer_path)
@@ -111,7 +111,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     picked = [r[0] for r in docs.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS).collect() if r[0] is not None]
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, "text", 4 << 20):
+        for b in batches_of(batches, "text", 2 << 20):
             ids = encode_texts(b.column("text"), tokenizer_path)
             yield pa.RecordBatch.from_pydict({"ids": pa.array([x[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for x in ids], pa.binary())})
 
@@ -132,7 +132,7 @@ def _encoded(docs: DataFrame, tokenizer_path: str, dictionary: bytes, id_col: st
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
-        for b in batches_of(batches, "text", 4 << 20):
+        for b in batches_of(batches, "text", 2 << 20):
             ids = encode_texts(b.column("text"), tokenizer_path)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"),
