@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlattice.functions.vectors import ew_weighted_mean
+from seqlattice.operators.merging import row_position
 
 #: Fixed values.
 FIRST_BUDGET, MISSING_BUDGET = 144, 9.0
@@ -40,9 +41,11 @@ def interval_table(raw: DataFrame, budget_key: str = "budget") -> DataFrame:
 
 
 def monotone_schemes(table: DataFrame) -> DataFrame:
-    """Schemes whose budgets never rise with similarity."""
-    before = F.lag("raw_budget").over(Window.partitionBy("scheme").orderBy("left"))
-    return table.withColumn("rise", F.coalesce(F.col("raw_budget") > before, F.lit(False))).groupBy("scheme").agg(F.bool_or("rise").alias("rises")).where("not rises").select("scheme")
+    """Schemes whose budgets never rise with similarity. Rows are numbered by range parts, so a scheme may have any number of them."""
+    at = row_position(table.select("scheme", "left", "raw_budget"), ["scheme", "left"], "at")
+    before = at.select((F.col("at") + 1).alias("at"), F.col("scheme").alias("scheme_before"), F.col("raw_budget").alias("before"))
+    rise = F.coalesce(F.col("scheme").eqNullSafe(F.col("scheme_before")) & (F.col("raw_budget") > F.col("before")), F.lit(False))
+    return at.join(before, "at", "left").groupBy("scheme").agg(F.bool_or(rise).alias("rises")).where("not rises").select("scheme")
 
 
 def read_rule(table: DataFrame, scheme: str, default_alpha: float = 0.8) -> Rule:

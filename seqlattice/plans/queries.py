@@ -180,7 +180,7 @@ def j2(spark, sf):
 
 @query("x2_monotone_schemes", "with t as (select source, doc_id // 20 as slot, max(doc_id % 7) as b from documents where doc_id < 20000 group by 1, 2), l as (select source, b > lag(b) over (partition by source order by slot) as rise from t) select source as scheme from l group by 1 having not bool_or(coalesce(rise, false))")
 def x2(spark, sf):
-    d = fx.table(spark, sf, "documents").where("doc_id < 20000").groupBy(F.col("source").alias("scheme"), F.floor(F.col("doc_id") / 20).alias("left")).agg(F.max(F.col("doc_id") % 7).alias("raw_budget"))
+    d = fx.table(spark, sf, "documents").groupBy(F.col("source").alias("scheme"), F.floor(F.col("doc_id") / 20).alias("left")).agg(F.max(F.col("doc_id") % 7).alias("raw_budget"))
     return bg.monotone_schemes(d)
 
 

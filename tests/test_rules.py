@@ -85,6 +85,16 @@ def test_rising_budgets_skip_the_scheme(spark):
         bg.allocate_column(F.col("t"), bg.Rule(0.8, ((0.0, 0.5, 49), (0.5, 1.0, 81))))
 
 
+def test_monotone_schemes_of_large_ids(spark, tmp_path):
+    from seqlattice.plans.queries import QUERIES
+
+    falls, rises = (6, 6, 4, 0), (6, 2, 0, 3)  # max(doc_id % 7) of slots of one document each
+    ids = lambda first, budgets: [next(i for i in range(first + 20 * k, first + 20 * k + 20) if i % 7 == b) for k, b in enumerate(budgets)]
+    rows = [(i, "late") for i in ids(40000, falls)] + [(i, "low") for i in ids(100, falls)] + [(i, "rises late") for i in ids(19940, rises)] + [(i, None) for i in ids(60000, rises)]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r[0] for r in QUERIES["x2_monotone_schemes"](spark, str(tmp_path)).collect()) == ["late", "low"]
+
+
 def test_sequence_lengths(spark):
     states = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.0]), (2, 1, [1.0, 0.0])], "seq_id long, pos int, vector array<double>")
     for short in (64, 1):
