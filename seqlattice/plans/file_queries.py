@@ -73,10 +73,8 @@ def s6(spark, sf):
     path = scratch_path(spark, "intervals")
     one.write.partitionBy("label").text(path)
     # the folder names the scheme here, as Spark names the files
-    df = io.read_intervals(spark, [path])
-    folder = spark.read.schema(io.INTERVALS).option("multiLine", True).json(path).select("label", F.explode("tsim_intervals").alias("i"), F.col("config.alpha").alias("alpha"))
-    checked = folder.groupBy(F.col("label").cast("string").alias("scheme")).agg(F.count("*").alias("n"), F.round(F.sum("i.tsim_left"), 4).alias("left_sum"), F.sum("i.budget").alias("budgets"), F.first("alpha").alias("alpha"))
-    return checked.where(F.lit(df.columns == ["scheme", "alpha", "tsim_left", "tsim_right", "budget"]))
+    rows = io.read_intervals(spark, [path], folder="label")
+    return rows.groupBy("scheme").agg(F.count("*").alias("n"), F.round(F.sum("tsim_left"), 4).alias("left_sum"), F.sum("budget").alias("budgets"), F.first("alpha").alias("alpha"))
 
 
 @query("s7_read_task_config", "with t as (select n_name, r_name, row_number() over (partition by r_name order by n_name) - 1 as i from nation join region on n_regionkey = r_regionkey) select r_name as group_name, i::int as dataset_idx, n_name || '.json' as path, n_name || '_tokens.json' as token from t")
@@ -96,8 +94,10 @@ PART = "_global_idx long, n long"
 def s8(spark, sf):
     path = scratch_path(spark, "parts")
     io.write_parts(_parts(spark, sf).where("rank <> 5").drop("rank"), path, 8)
-    renamed = spark.read.schema("_global_idx long, n long, result_part_rank int").json(path)
-    return renamed.groupBy(F.col("result_part_rank").alias("rank")).agg(F.count("*").alias("n_rows"), F.sum("_global_idx").alias("ids"))
+    parts = io.read_parts(spark, path, PART, world_size=8, array=False)
+    ranks = spark.range(8).select(F.col("id").cast("int").alias("rank"))
+    counts = parts.groupBy("rank").agg(F.count("*").alias("n_rows"), F.sum("_global_idx").alias("ids"))
+    return ranks.join(mg.missing_parts(ranks, parts), "rank", "left_anti").join(counts, "rank", "left")
 
 
 @query("s9_write_image_lists", f"with {fx.MSG_SQL} select conv_id as row_idx, coalesce(array_to_string(paths, ','), '') as paths from res")

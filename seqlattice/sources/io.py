@@ -48,11 +48,12 @@ def read_budget_table(spark: SparkSession, path: str) -> DataFrame:
     return read_json_array(spark, path, BUDGET_TABLE)
 
 
-def read_intervals(spark: SparkSession, paths: list[str], budget_key: str = "budget") -> DataFrame:
-    """(scheme, alpha, tsim_left, tsim_right, budget) of interval files; the scheme is the file's name without ending."""
-    schema = INTERVALS.replace("budget:double", f"{budget_key}:double")
+def read_intervals(spark: SparkSession, paths: list[str], budget_key: str = "budget", folder: str | None = None) -> DataFrame:
+    """(scheme, alpha, tsim_left, tsim_right, budget) of interval files; the scheme is the file's name without ending, or what
+    the files' folders ``<folder>=<scheme>`` say."""
+    schema = INTERVALS.replace("budget:double", f"{budget_key}:double") + (f", `{folder}` string" if folder else "")
     df = spark.read.schema(schema).option("multiLine", True).json(paths)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    name = F.col(f"`{folder}`") if folder else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
     flat = df.select(name.alias("scheme"), F.col("config.alpha").alias("alpha"), F.explode("tsim_intervals").alias("i"))
     return flat.select("scheme", "alpha", "i.tsim_left", "i.tsim_right", F.col(f"i.{budget_key}").alias("budget"))
 
@@ -65,14 +66,17 @@ def read_task_config(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parts(spark: SparkSession, path: str, schema: T.StructType | str, world_size: int | None = None, strict: bool = False, array: bool = True) -> DataFrame:
-    """Result parts ``result_part_rank<r>`` under ``path`` with their ``rank``. No part: an error.
+    """Result parts under ``path`` with their ``rank``: files ``result_part_rank<r>..``, or the files of folders
+    ``result_part_rank=<r>`` as ``write_parts`` makes them (JSON Lines: ``array=False``). No part: an error.
 
     With ``world_size``, missing ranks are an error if ``strict``, else left to ``missing_parts``.
     """
-    reader = spark.read.schema(schema).option("pathGlobFilter", "result_part_rank*").option("recursiveFileLookup", True).option("mode", "FAILFAST")
-    df = reader.option("multiLine", array).json(path).withColumn("rank", F.regexp_extract(F.col("_metadata.file_path"), r"result_part_rank(\d+)", 1).cast("int"))
-    if not df.inputFiles():
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    files = [r[0] for r in listed.where(F.col("path").rlike(r"/(result_part_rank[^/]*|result_part_rank=?\d+/[^/]*)$")).collect()]
+    if not files:
         raise FileNotFoundError(f"no result parts under {path}")
+    reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("mode", "FAILFAST").option("multiLine", array)
+    df = reader.json(files).withColumn("rank", F.regexp_extract(F.col("_metadata.file_path"), r"result_part_rank=?(\d+)(?:/[^/]*|[^/]*)$", 1).cast("int"))
     if world_size is not None and strict:
         ranks = {int(r[0]) for r in df.select("rank").distinct().collect()}
         if gone := sorted(set(range(world_size)) - ranks):

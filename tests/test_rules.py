@@ -204,6 +204,23 @@ def test_parts_and_missing_ranks(spark, tmp_path):
         io.read_parts(spark, str(tmp_path), "v int", world_size=3, strict=True)
 
 
+def test_parts_and_intervals_of_folders(spark, tmp_path):
+    parts = spark.range(40).select(F.col("id").alias("_global_idx"))
+    io.write_parts(parts.where("_global_idx % 12 <> 5"), str(tmp_path / "parts"), 12)
+    (tmp_path / "parts" / "note.txt").write_text("no part")
+    df = io.read_parts(spark, str(tmp_path / "parts"), "_global_idx long", world_size=12, array=False)
+    assert sorted(map(tuple, df.select("rank", "_global_idx").collect())) == sorted((i % 12, i) for i in range(40) if i % 12 != 5)
+    want = spark.range(12).select(F.col("id").cast("int").alias("rank"))
+    assert [r["rank"] for r in mg.missing_parts(want, df).collect()] == [5]
+    with pytest.raises(FileNotFoundError):
+        io.read_parts(spark, str(tmp_path / "parts"), "_global_idx long", world_size=12, strict=True, array=False)
+    for name in ("007", "a b"):
+        (tmp_path / "rules" / f"label={name}").mkdir(parents=True)
+        (tmp_path / "rules" / f"label={name}" / "part-0.json").write_text('{"config": {"alpha": 0.7}, "tsim_intervals": [{"tsim_left": 0.0, "tsim_right": 1.0, "budget": 3}]}')
+    rules = io.read_intervals(spark, [str(tmp_path / "rules")], folder="label")
+    assert sorted(map(tuple, rules.collect())) == [("007", 0.7, 0.0, 1.0, 3.0), ("a b", 0.7, 0.0, 1.0, 3.0)]
+
+
 def test_codes(spark):
     book = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0])], "code int, vec array<double>")
     vectors = spark.createDataFrame([(0, [3.0, 0.1]), (1, [0.0, 0.5])], "i int, vector array<double>")
