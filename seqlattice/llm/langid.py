@@ -1,8 +1,9 @@
 """Language identification: known words by per-language log frequency, unseen words by ever shorter character n-grams.
 
-Counts are taken over all training rows. A word (or n-gram) is known if it makes up at least ``RARE`` of a language's
-training words (n-grams of that length), so a language has at most 1 / RARE known words and the model's size is bounded
-whatever the input. An unseen word is scored by its n-grams of the longest length of which at least one is known.
+Counts are taken over all training rows, and every counted word and n-gram is known. Those that make up at least ``RARE`` of a
+language's training words (n-grams of that length), at most 1 / RARE a language and length, go to all workers; the rest stay in
+a table, and the words of the documents that need them are joined to it. Where a count is kept changes no score. An unseen word
+is scored by its n-grams of the longest length of which at least one is known.
 """
 
 from __future__ import annotations
@@ -28,22 +29,37 @@ _FIRST, _LAST = "\x02", "\x03"
 
 
 class LanguageModel:
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]) -> None:
-        self.languages, self.words, self.grams = languages, words, grams
+    """``rest`` (length, unit, score) holds the words (length 0) and n-grams that aren't in ``words`` and ``grams``; None: there are none."""
+
+    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]], rest: DataFrame | None = None) -> None:
+        self.languages, self.words, self.grams, self.rest = languages, words, grams, rest
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rest": None}
 
     def score_word(self, word: str) -> np.ndarray:
         """Log frequency of the word in each language; nothing known: zeros."""
         found = self.words.get(word)
         if found is not None:
             return found
-        padded = f"{_FIRST}{word}{_LAST}"
         for n in range(LONGEST, 0, -1):
-            known = self.grams[n - 1]
-            hits = [v for i in range(len(padded) - n + 1) if (v := known.get(padded[i : i + n])) is not None]
+            hits, _ = self.gram_hits(word, n)
             if hits:
                 return np.mean(hits, axis=0)
         return np.zeros(len(self.languages))
 
+    def gram_hits(self, word: str, n: int) -> tuple[list[np.ndarray], list[str]]:
+        """Scores of the word's n-grams in ``grams``, and the n-grams that aren't there."""
+        padded, known = f"{_FIRST}{word}{_LAST}", self.grams[n - 1]
+        hits, others = [], []
+        for i in range(len(padded) - n + 1):
+            v = known.get(unit := padded[i : i + n])
+            if v is None:
+                others.append(unit)
+            else:
+                hits.append(v)
+        return hits, others
+
 
 def words_of(text: Column) -> Column:
     """Lower-cased maximal runs of letters."""
@@ -71,19 +87,27 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", rare:
         units = units.unionByName(t)
     units = materialize(units, "unit-counts")
     totals = units.groupBy("lang", "length").agg(F.sum("n").alias("total"))
-    known = units.join(totals, ["lang", "length"]).where(F.col("n") >= rare * F.col("total")).select("length", "unit").distinct()
-    rows = units.join(known, ["length", "unit"]).select("length", "lang", "unit", "n").collect()  # at most (1 + LONGEST) / rare a language
+    sent = units.join(totals, ["lang", "length"]).where(F.col("n") >= rare * F.col("total")).select("length", "unit").distinct()
+    rows = units.join(sent, ["length", "unit"]).select("length", "lang", "unit", "n").collect()  # at most (1 + LONGEST) / rare a language
+    sizes = {r["length"]: r for r in units.groupBy("length").agg(F.count("*").alias("n"), F.count_distinct("unit").alias("units")).collect()}
     total = {(r["lang"], r["length"]): r["total"] for r in totals.collect()}
     languages = sorted({lang for lang, _ in total})
     place = {lang: i for i, lang in enumerate(languages)}
     found: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
     for r in rows:
         found[r["length"]].setdefault(r["unit"], np.zeros(len(languages)))[place[r["lang"]]] = r["n"]
+    bases = []
     for length, units_of in enumerate(found):
-        base = np.array([total.get((lang, length), 0) for lang in languages]) + SMOOTH * max(1, len(units_of))
+        bases.append(np.array([total.get((lang, length), 0) for lang in languages]) + SMOOTH * max(1, sizes[length]["units"] if length in sizes else 0))
         for unit, n in units_of.items():
-            units_of[unit] = np.log((n + SMOOTH) / base)
-    return LanguageModel(languages, found[0], found[1:])
+            units_of[unit] = np.log((n + SMOOTH) / bases[-1])
+    rest = None
+    if len(rows) < sum(r["n"] for r in sizes.values()):
+        n = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
+        base = F.element_at(F.array(*[F.array(*map(F.lit, b.tolist())) for b in bases]), F.col("length") + 1)
+        score = F.array(*[F.log((F.col(f"n{i}") + SMOOTH) / base[i]) for i in range(len(languages))])
+        rest = materialize(units.join(sent, ["length", "unit"], "left_anti").groupBy("length", "unit").agg(*n).select("length", "unit", score.alias("score")), "rest-units")
+    return LanguageModel(languages, found[0], found[1:], rest)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,6 +117,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     share. A model without languages answers ``und``. Equal scores go to the first language by name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    local = model.rest is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = shared.value, {}
@@ -101,10 +126,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             lists = pc.split_pattern_regex(pc.utf8_lower(b.column("text").cast(pa.large_string()).fill_null("")), r"[^\p{L}]+")
             words = lists.flatten().dictionary_encode()
             scores = np.zeros((len(words.dictionary), max(k, 1)))
-            letters = np.ones(len(words.dictionary), bool)
+            letters, later = np.ones(len(words.dictionary), bool), np.zeros(len(words.dictionary), bool)
             for i, w in enumerate(words.dictionary.to_pylist()):
                 if not w:
                     letters[i] = False
+                elif not local and w not in model.words:
+                    later[i] = True
                 elif k:
                     s = cache.get(w)
                     if s is None:
@@ -117,12 +144,58 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             row = np.repeat(np.arange(b.num_rows), np.diff(at - at[0]))
             total = np.stack([np.bincount(row, scores[code, j], b.num_rows) for j in range(max(k, 1))], axis=1)
             any_letter = np.bincount(row, letters[code], b.num_rows) > 0
+            if not local:
+                pair, times = np.unique(row[later[code]] * len(letters) + code[later[code]], return_counts=True)
+                each = np.concatenate([[0], np.cumsum(np.bincount(pair // max(len(letters), 1), minlength=b.num_rows))]).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": b.column("doc_id"), "letters": pa.array(any_letter), "total": pa.array(list(total), pa.list_(pa.float64())),
+                    "words": pa.ListArray.from_arrays(each, words.dictionary.take(pa.array(pair % max(len(letters), 1))).cast(pa.string())), "times": pa.ListArray.from_arrays(each, pa.array(times, pa.int64())),
+                })
+                continue
             best = total.argmax(axis=1)
             share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
             decided = any_letter & (k > 0)
             names = np.array([*model.languages, UNDETERMINED], object)[np.where(decided, best, k)]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(np.where(decided, share, 0.0))})
 
-    return text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
-
-
+    rows = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if local:
+        return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = rows.mapInArrow(run, "doc_id long, letters boolean, total array<double>, words array<string>, times array<bigint>")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "language-rows")
+    used = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    k = len(model.languages)
+    more = used.join(_word_scores(used.select("word").distinct(), model, shared), "word").groupBy("row").agg(*[F.sum(F.col("times") * F.col("score")[i]).alias(f"s{i}") for i in range(k)])
+    total = F.array(*[F.col("total")[i] + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(k)])
+    rows = rows.join(more, "row", "left").select("doc_id", "letters", total.alias("total")).withColumn("most", F.array_max("total"))
+    name = F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("total", F.col("most")).cast("int"))
+    share = 1 / F.aggregate("total", F.lit(0.0), lambda a, t: a + F.exp(t - F.col("most")))
+    return rows.select("doc_id", F.when(F.col("letters"), name).otherwise(UNDETERMINED).alias("lang_pred"), F.when(F.col("letters"), share).otherwise(0.0).alias("score"))
+
+
+def _word_scores(words: DataFrame, model: LanguageModel, shared) -> DataFrame:
+    """(word, score) of distinct words that ``model.words`` lacks, from the table of the rest; words of which nothing is known are left out."""
+    k = len(model.languages)
+    looked = materialize(words.join(model.rest.where("length = 0").select(F.col("unit").alias("word"), "score"), "word", "left"), "looked-up-words")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            out = {"word": [], "length": [], "hits": [], "sum": [], "others": []}
+            for word in b.column("word").to_pylist():
+                for n in range(LONGEST, 0, -1):
+                    hits, others = model.gram_hits(word, n)
+                    for name, v in zip(out, (word, n, len(hits), np.sum(hits, axis=0) if hits else np.zeros(k), others)):
+                        out[name].append(v)
+                    if hits:  # no shorter length can count
+                        break
+            yield pa.RecordBatch.from_arrays([
+                pa.array(out["word"], pa.string()), pa.array(out["length"], pa.int32()), pa.array(out["hits"], pa.int64()),
+                pa.array(out["sum"], pa.list_(pa.float64())), pa.array(out["others"], pa.list_(pa.string()))], list(out))
+
+    cut = materialize(text_rows(looked.where("score is null"), F.col("word")).mapInArrow(grams, "word string, length int, hits long, sum array<double>, others array<string>"), "word-grams")
+    others = cut.select("word", "length", F.explode("others").alias("unit")).join(model.rest, ["length", "unit"]).select("word", "length", F.lit(1).cast("long").alias("hits"), F.col("score").alias("sum"))
+    both = cut.select("word", "length", "hits", "sum").unionByName(others)
+    both = both.groupBy("word", "length").agg(F.sum("hits").alias("hits"), *[F.sum(F.col("sum")[i]).alias(f"s{i}") for i in range(k)]).where("hits > 0")
+    mean = F.array(*[F.col(f"s{i}") / F.col("hits") for i in range(k)])
+    return looked.where("score is not null").unionByName(both.groupBy("word").agg(F.max_by(mean, "length").alias("score")))

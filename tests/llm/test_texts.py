@@ -95,6 +95,17 @@ def test_language_counts_and_edges(edge, nothing):
     assert {r["lang_pred"] for r in langid.identify(edge, langid.train(nothing)).collect()} == {"und"}
 
 
+def test_every_counted_word_and_gram_scores(edge, small):
+    for rows, rare in ((edge, 0.02), (edge, 2.0), (small, 1e-3)):
+        train = rows.where("doc_id % 3 <> 0")
+        whole, part = langid.train(train, rare=0.0), langid.train(train, rare=rare)
+        assert whole.rest is None and len(part.words) < len(whole.words)
+        key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["score"])
+        want, got = (sorted(langid.identify(rows, m).collect(), key=key) for m in (whole, part))
+        assert [(r["doc_id"], r["lang_pred"]) for r in got] == [(r["doc_id"], r["lang_pred"]) for r in want]
+        assert np.allclose([r["score"] for r in got], [r["score"] for r in want])
+
+
 # language model
 
 
