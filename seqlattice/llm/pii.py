@@ -27,7 +27,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9_/+=-]{20,200}+(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9_/+=-]{20,}+")
 _NOT_DIGIT = re.compile("[^0-9]+")
 
 # Words that speak for a kind when they stand near a span.
@@ -63,6 +63,21 @@ def mod97(iban: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+_GROUP = re.compile(r"[A-Z0-9]+")
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Each candidate's longest part, up to the end of a group, that passes mod-97. The search goes on behind it, or behind the
+    candidate's first group if no part passes."""
+    m = _IBAN.search(text)
+    while m:
+        ends = [m.start() + g.end() for g in _GROUP.finditer(m[0])]
+        end = next((e for e in reversed(ends) if mod97(text[m.start() : e])), 0)
+        if end:
+            yield m.start(), end
+        m = _IBAN.search(text, end or ends[0])
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """The leftmost matches of the address pattern, found from each ``@`` outwards: a run of local characters is read once."""
     done = 0
@@ -112,13 +127,15 @@ def find_spans(text: str, keep: float = KEEP_SCORE) -> list[Span]:
     base = base_spans(text)
     out = [Span(k, a, b, _score(text, k, a, b)) for k, a, b in base]
     taken = [(a, b) for _, a, b in base]
-    for kind, pattern, confirmed in (("iban", _IBAN, mod97), ("ssn", _SSN, lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"), ("secret", _SECRET, _looks_random)):
-        for m in pattern.finditer(text):
-            if confirmed(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken):
-                score = _score(text, kind, m.start(), m.end())
+    matched = lambda pattern, confirmed: (m.span() for m in pattern.finditer(text) if confirmed(m[0]))
+    ssn = lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"
+    for kind, found in (("iban", ibans(text)), ("ssn", matched(_SSN, ssn)), ("secret", matched(_SECRET, _looks_random))):
+        for start, end in found:
+            if not any(a < end and start < b for a, b in taken):
+                score = _score(text, kind, start, end)
                 if score >= keep:
-                    out.append(Span(kind, m.start(), m.end(), score))
-                    taken.append((m.start(), m.end()))
+                    out.append(Span(kind, start, end, score))
+                    taken.append((start, end))
     return sorted(out, key=lambda s: (s.start, ORDER[s.kind]))
 
 

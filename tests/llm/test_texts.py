@@ -278,6 +278,19 @@ def test_added_kinds_and_redaction(spark, edge, nothing):
     assert pii.find_pii(edge).count() == edge.count() and pii.find_pii(nothing).count() == 0
 
 
+def test_long_secrets_and_ibans_before_other_groups(spark):
+    values = lambda t: [(s.kind, t[s.start : s.end]) for s in pii.find_spans(t)]
+    for n in (20, 180, 200, 201, 240, 5000):
+        key = ("aB3dE5fG7hJ9kL1m" * n)[:n]
+        assert values(f"api key {key}, keep it") == [("secret", key)]
+    docs = spark.createDataFrame([("api key " + "aB3dE5fG7hJ9kL1m" * 15,)], "text string")
+    assert pii.redact(docs).head()[0] == "api key <SECRET>"
+    be, at, de = "BE68539007547034", "AT611904300234573201", "DE89 3704 0044 0532 0130 00"
+    assert values(f"{be} EUR") == [("iban", be)] and values(f"{at} CODE") == [("iban", at)] and values(f"{de} EUR 12") == [("iban", de)]
+    assert values(f"{be} {de}") == [("iban", be), ("iban", de)] and values(f"AB12 3456 7890 {de}") == [("iban", de)]
+    assert values("BE68539007547035 EUR") == []
+
+
 # token files
 
 
