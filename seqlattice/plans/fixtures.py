@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlattice.functions import images as im
 from seqlattice.operators.budgets import Rule
+from seqlattice.operators.merging import row_position
 
 RULE = Rule(0.8, ((-0.6, -0.08, 100), (-0.08, -0.02, 81), (-0.02, 0.04, 49), (0.04, 0.6, 9)))
 #: Interval rows of three schemes: the rule above, a coarser one, and one whose budgets rise.
@@ -19,11 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Runs of a label from the 1,000th on have ids from WIDE + label * WIDE_STEP, as label * 1000 would run into the next label's.
+WIDE, WIDE_STEP = 1 << 62, 1 << 30
+
+
+def label_of(seq_id: Column) -> Column:
+    return F.when(seq_id < WIDE >> 1, F.floor(seq_id / 1000)).otherwise(F.shiftright(seq_id - WIDE, 30))
+
+
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq_id, pos, vec_id, label, vector): eight vectors of one label after another make a sequence."""
-    rn = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    v = table(spark, sf_dir, "embeddings").withColumn("rn", rn)
-    return v.select((F.col("label").cast("long") * 1000 + F.floor(F.col("rn") / 8)).alias("seq_id"), (F.col("rn") % 8).alias("pos"), "vec_id", "label", F.col("embedding").alias("vector"))
+    """(seq_id, pos, vec_id, label, vector): eight vectors of one label after another make a sequence. Rows are numbered by range
+    parts, so a label may have any number of them."""
+    v = row_position(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), ["label", "vec_id"], "at")
+    first = v.groupBy(F.col("label").alias("of")).agg(F.min("at").alias("first"))
+    v = v.join(first, F.col("label").eqNullSafe(F.col("of"))).withColumn("rn", F.col("at") - F.col("first"))
+    label, run = F.col("label").cast("long"), F.floor(F.col("rn") / 8)
+    seq_id = F.when(run < 1000, label * 1000 + run).otherwise(F.lit(WIDE) + label * WIDE_STEP + run)
+    return v.select(seq_id.alias("seq_id"), (F.col("rn") % 8).cast("int").alias("pos"), "vec_id", "label", F.col("embedding").alias("vector"))
 
 
 SEQ_SQL = """

@@ -186,7 +186,7 @@ def x2(spark, sf):
 
 @query("a1_avg_token", ALLOCATE_SQL + " select (seq_id // 1000)::bigint as label, round(sum(list_sum(num_tokens))::double / sum(len(num_tokens)), 6) as avg_token, count(*) as records from alloc group by 1")
 def a1(spark, sf):
-    rows = _allocated(spark, sf).withColumn("label", F.floor(F.col("seq_id") / 1000))
+    rows = _allocated(spark, sf).withColumn("label", fx.label_of(F.col("seq_id")))
     return bg.avg_token(rows, ["label"], "num_tokens").select("label", F.round("avg_token", 6).alias("avg_token"), "records")
 
 
@@ -209,7 +209,7 @@ select scheme, split, coalesce(alpha, -1) as alpha, coalesce(avg_token, -1) as a
 from (values ('base'), ('coarse'), ('rising')) a(scheme) cross join (values ('train'), ('test')) b(split) left join made using (scheme, split)""")
 def a13(spark, sf):
     made = bg.allocate_schemes(sim.similarity_triangles(fx.states(spark, sf)), _schemes(spark))
-    made = made.withColumn("split", F.when(F.floor(F.col("seq_id") / 1000) % 5 == 0, "test").otherwise("train"))
+    made = made.withColumn("split", F.when(fx.label_of(F.col("seq_id")) % 5 == 0, "test").otherwise("train"))
     out = bg.run_summary(_schemes(spark), ["train", "test"], made, "num_tokens")
     return out.select("scheme", "split", F.coalesce("alpha", F.lit(-1.0)).alias("alpha"), F.round(F.coalesce("avg_token", F.lit(-1.0)), 6).alias("avg_token"), "records")
 

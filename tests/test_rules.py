@@ -95,6 +95,17 @@ def test_monotone_schemes_of_large_ids(spark, tmp_path):
     assert sorted(r[0] for r in QUERIES["x2_monotone_schemes"](spark, str(tmp_path)).collect()) == ["late", "low"]
 
 
+def test_sequences_of_large_labels(spark, tmp_path):
+    from seqlattice.plans import fixtures as fx
+
+    rows = [(i, int(i >= 8100), [1.0]) for i in range(8120)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = fx.states(spark, str(tmp_path)).withColumn("of", fx.label_of(F.col("seq_id"))).collect()
+    assert len(got) == 8120 == len({(r["seq_id"], r["pos"]) for r in got}) and all(r["of"] == r["label"] for r in got)
+    assert len({r["seq_id"] for r in got}) == 1013 + 3
+    assert all(r["seq_id"] == (r["vec_id"] // 8 if r["label"] == 0 else 1000 + (r["vec_id"] - 8100) // 8) for r in got if r["vec_id"] < 8000 or r["label"])
+
+
 def test_sequence_lengths(spark):
     states = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.0]), (2, 1, [1.0, 0.0])], "seq_id long, pos int, vector array<double>")
     for short in (64, 1):
