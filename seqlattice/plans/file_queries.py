@@ -11,6 +11,8 @@ from seqlattice.plans.queries import MERGED_SQL, _budgets, _merged, _parts, join
 from seqlattice.sources.scratch import scratch_path
 from seqlattice.sources import io
 
+#: Ids, or rows, that a written file holds at most: files grow in number, not in size.
+FILE_IDS = 1000
 TURNS = "conv_id long, turn long, role string, text string"
 
 
@@ -18,10 +20,14 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
 
 
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return _turns(spark, sf).withColumn("g", F.struct(*[F.floor(F.col(c) / FILE_IDS).alias(c) for c in ("conv_id", "turn")]))
+
+
 def _array_file(df: DataFrame, path: str, by: str) -> str:
     """One JSON array a group, each a text row with a file of its own."""
     rows = df.groupBy(by).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
-    rows.repartition(4, by).sortWithinPartitions(by).select("value").write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+    rows.select("value").write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -34,7 +40,7 @@ def s1(spark, sf):
 
 @query("s2_read_json_array", "select conv_id, turn, role, text from conversations")
 def s2(spark, sf):
-    path = _array_file(_turns(spark, sf).withColumn("g", F.col("conv_id") % 8), scratch_path(spark, "array"), "g")
+    path = _array_file(_blocks(spark, sf), scratch_path(spark, "array"), "g")
     return io.read_json_array(spark, path, TURNS)
 
 
@@ -42,14 +48,14 @@ def s2(spark, sf):
 def s3(spark, sf):
     lines, array = scratch_path(spark, "jsonl"), scratch_path(spark, "array")
     _turns(spark, sf).write.json(lines)
-    _array_file(_turns(spark, sf).withColumn("g", F.col("conv_id") % 8), array, "g")
+    _array_file(_blocks(spark, sf), array, "g")
     read = lambda p: io.read_samples(spark, p, TURNS).select("conv_id", "turn", F.lit(io.detect_format(spark, p)).alias("kind"))
     return read(array).unionByName(read(lines))
 
 
 @query("s4_read_similarity_map", "select 'v' || (vec_id // 4 * 4) as first_path, count(*) as n_rows, round(sum(embedding[1]), 4) as total from embeddings group by 1")
 def s4(spark, sf):
-    e = fx.table(spark, sf, "embeddings").withColumn("g", F.floor(F.col("vec_id") / 4)).withColumn("f", F.pmod("g", F.lit(8)))
+    e = fx.table(spark, sf, "embeddings").withColumn("g", F.floor(F.col("vec_id") / 4)).withColumn("f", F.floor(F.col("g") / FILE_IDS))
     rows = e.groupBy("f", "g").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.element_at("embedding", 1).cast("double").alias("x")))).alias("r"))
     key = F.concat(F.lit("['"), F.array_join(F.transform("r", lambda x: F.concat(F.lit("v"), x["vec_id"].cast("string"))), "', '"), F.lit("']"))
     one = rows.groupBy("f").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, F.transform("r", lambda x: F.array(x["x"])))))).alias("value"))
@@ -61,17 +67,18 @@ def s4(spark, sf):
 
 @query("s5_read_budget_table", f"with {fx.TOK_SQL} select array_to_string(paths, ',') as paths, coalesce(array_to_string(num_tokens, ','), '') as num_tokens from tok")
 def s5(spark, sf):
-    b = _budgets(spark, sf).withColumn("g", F.pmod(F.xxhash64("img_paths"), F.lit(4)))
+    b = _budgets(spark, sf)
+    b = b.withColumn("g", F.pmod(F.xxhash64("img_paths"), F.lit(b.count() // FILE_IDS + 1)))
     path = _array_file(b, scratch_path(spark, "budgets"), "g")
     return io.read_budget_table(spark, path).select(F.array_join("img_paths", ",").alias("paths"), F.coalesce(joined("num_tokens"), F.lit("")).alias("num_tokens"))
 
 
 @query("s6_read_intervals", "select label::varchar as scheme, count(*) as n, round(sum(embedding[1]), 4) as left_sum, sum(vec_id)::double as budgets, 0.8::double as alpha from embeddings group by 1")
 def s6(spark, sf):
-    e = fx.table(spark, sf, "embeddings").select(F.concat(F.lit("rule="), F.col("label").cast("string")).alias("name"), "label", F.struct(F.element_at("embedding", 1).cast("double").alias("tsim_left"), F.lit(1.0).alias("tsim_right"), F.col("vec_id").cast("double").alias("budget")).alias("i"))
-    one = e.groupBy("label").agg(F.to_json(F.struct(F.struct(F.lit(0.8).alias("alpha")).alias("config"), F.collect_list("i").alias("tsim_intervals"))).alias("value"))
+    e = fx.table(spark, sf, "embeddings").select(F.concat(F.lit("rule="), F.col("label").cast("string")).alias("name"), "label", F.floor(F.col("vec_id") / (50 * FILE_IDS)).alias("block"), F.struct(F.element_at("embedding", 1).cast("double").alias("tsim_left"), F.lit(1.0).alias("tsim_right"), F.col("vec_id").cast("double").alias("budget")).alias("i"))
+    one = e.groupBy("label", "block").agg(F.to_json(F.struct(F.struct(F.lit(0.8).alias("alpha")).alias("config"), F.collect_list("i").alias("tsim_intervals"))).alias("value"))
     path = scratch_path(spark, "intervals")
-    one.write.partitionBy("label").text(path)
+    one.drop("block").write.option("maxRecordsPerFile", 1).partitionBy("label").text(path)
     # the folder names the scheme here, as Spark names the files
     rows = io.read_intervals(spark, [path], folder="label")
     return rows.groupBy("scheme").agg(F.count("*").alias("n"), F.round(F.sum("tsim_left"), 4).alias("left_sum"), F.sum("budget").alias("budgets"), F.first("alpha").alias("alpha"))

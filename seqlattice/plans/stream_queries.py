@@ -13,10 +13,14 @@ from seqlattice.sources.scratch import scratch_path
 from seqlattice.streaming import operators as st
 
 
-def drained(spark: SparkSession, batch: DataFrame, name: str, build: Callable[[DataFrame], DataFrame], files: int = 1) -> DataFrame:
-    """``build`` over ``batch`` as a stream of files, run to the end of what is there."""
+#: Rows of a stream's input file, about.
+FILE_ROWS = 100_000
+
+
+def drained(spark: SparkSession, batch: DataFrame, name: str, build: Callable[[DataFrame], DataFrame], by: str) -> DataFrame:
+    """``build`` over ``batch`` as a stream of files, dealt by ranges of ``by``, run to the end of what is there."""
     source, sink, state = (scratch_path(spark, f"{name}-{x}") for x in ("in", "out", "state"))
-    batch.repartition(files).write.parquet(source)
+    batch.repartitionByRange(batch.count() // FILE_ROWS + 1, by).write.parquet(source)
     out = build(spark.readStream.schema(batch.schema).parquet(source))
     out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
@@ -24,7 +28,7 @@ def drained(spark: SparkSession, batch: DataFrame, name: str, build: Callable[[D
 
 @query("r1_stream_extract", f"with {fx.MSG_SQL} select conv_id::varchar as id, coalesce(array_to_string(paths, ','), '') as paths from res")
 def r1(spark, sf):
-    out = drained(spark, fx.messages(spark, sf).drop("conv_id"), "extract", st.stream_extract, 2)
+    out = drained(spark, fx.messages(spark, sf).drop("conv_id"), "extract", st.stream_extract, "id")
     return out.select("id", F.array_join("paths", ",").alias("paths"))
 
 
@@ -32,13 +36,13 @@ def r1(spark, sf):
 def r2(spark, sf):
     path = scratch_path(spark, "budgets")
     _budgets(spark, sf).write.parquet(path)
-    out = drained(spark, fx.messages(spark, sf).drop("conv_id"), "merge", lambda s: st.stream_merge_budgets(s, spark.read.parquet(path)), 2)
+    out = drained(spark, fx.messages(spark, sf).drop("conv_id"), "merge", lambda s: st.stream_merge_budgets(s, spark.read.parquet(path)), "id")
     return out.select("id", F.coalesce(joined("num_tokens"), F.lit("")).alias("num_tokens"), F.coalesce("_error", F.lit("")).alias("error"), F.coalesce("_warn", F.lit("")).alias("warn"))
 
 
 @query("r3_stream_run_log", "with w as (select date_trunc('hour', ts) as h, event_type, max(ts) over () as newest from events) select strftime(h, '%Y-%m-%d %H:%M:%S') as hour, event_type as benchmark, count(*) as records, count(*) filter (where event_type = 'error') as errors from w where h + interval 1 hour <= newest - interval 10 minute group by 1, 2")
 def r3(spark, sf):
-    out = drained(spark, fx.run_log(spark, sf).select("timestamp", "benchmark", "error"), "log", st.stream_run_log)
+    out = drained(spark, fx.run_log(spark, sf).select("timestamp", "benchmark", "error"), "log", st.stream_run_log, "timestamp")
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "benchmark", "records", "errors")
 
 
@@ -51,4 +55,4 @@ def r3_batch(spark, sf):
 @query("r4_stream_allocate", ALLOCATE_SQL + " select seq_id, unnest(range(len(num_tokens)))::bigint as pos, unnest(num_tokens)::int as num_tokens from alloc")
 def r4(spark, sf):
     batch = fx.states(spark, sf).select("seq_id", F.col("pos").cast("long").alias("pos"), "vector")
-    return drained(spark, batch, "allocate", lambda s: st.stream_allocate(s, fx.RULE))
+    return drained(spark, batch, "allocate", lambda s: st.stream_allocate(s, fx.RULE), "seq_id")

@@ -232,6 +232,15 @@ def test_parts_and_intervals_of_folders(spark, tmp_path):
     assert sorted(map(tuple, rules.collect())) == [("007", 0.7, 0.0, 1.0, 3.0), ("a b", 0.7, 0.0, 1.0, 3.0)]
 
 
+def test_files_grow_in_number(spark, tmp_path):
+    from seqlattice.plans import file_queries as fq
+
+    rows = spark.range(20000).select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("t").alias("text"))
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = fq.s2(spark, str(tmp_path)).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in got) == 20000 and max(r["count"] for r in got) <= 1000
+
+
 def test_codes(spark):
     book = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0])], "code int, vec array<double>")
     vectors = spark.createDataFrame([(0, [3.0, 0.1]), (1, [0.0, 0.5])], "i int, vector array<double>")
