@@ -14,8 +14,11 @@ A frame decompresses to little-endian ids of ``width`` bytes. One short document
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqlattice.llm.common import batches_of, materialize, scratch_path, span_hashes, text_bytes, text_rows, word_spans
+from seqlattice.llm.common import IS_SPACE, batches_of, lower_ascii, materialize, scratch_path, span_hashes, text_bytes, text_rows, word_spans
 
 END_ID = 2
-#: The dictionary is trained on this many documents (those of the smallest id hash), on this many ids of each.
+#: The dictionary is trained on this many documents (those of the smallest id hash), on the first ids of each: so many.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2000, 4096, 64 << 10
 BLOCK_BYTES = 1 << 20
 LEVEL = 3
@@ -42,62 +45,182 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-class PieceIds:
-    """Ids of the pieces seen so far in this worker, looked up by 64-bit hash; emptied when it holds ``MOST`` pieces."""
+#: Fixed value: the pre-tokenizer pattern of word tokenizers whose texts ``units_of`` cuts itself.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Units that are put together, with a blank between them, for one call of the tokenizer.
+JOINED = 32
+
+
+def _cuts_words(tok) -> bool:
+    """Whether the tokenizer lower-cases, drops white space, cuts by ``WORD_PATTERN`` and marks the last token of each cut."""
+    spec = json.loads(tok.to_str())
+    steps = (spec["normalizer"] or {}).get("normalizers", [])
+    cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": WORD_PATTERN} and cuts[0]["invert"]
+        and not cuts[1]["add_prefix_space"] and bool(spec["model"].get("end_of_word_suffix"))
+        and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+    )
+
+
+def units_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, plain, first unit of each row and one more): what ``WORD_PATTERN`` cuts, already lower-cased.
+
+    A piece between white space with other letters than a-z and the letters of Latin-1, or with ``<|`` (special tokens), is a
+    unit as it stands, and not plain.
+    """
+    n = len(raw)
+    if not n:
+        return raw, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(len(at), np.int64)
+    before, after = np.concatenate([[0], raw[:-1]]), np.concatenate([raw[1:], [0]])
+    second = (before == 0xC3) & (raw >= 0x80) & (raw != 0x97) & (raw != 0xB7)
+    low = lower_ascii(raw)
+    low[second & (raw <= 0x9E)] += 0x20
+    letter = (low >= 97) & (low <= 122) | second
+    letter[:-1] |= second[1:]
+    odd = (raw >= 0x80) & ~letter | (raw == 60) & (after == 124)
+    starts, ends, _ = word_spans(raw, at)
+    run = np.concatenate([[0], np.cumsum(odd)])
+    other = run[ends] > run[starts]
+    kind = np.where(letter, 1, np.where((raw >= 48) & (raw <= 57), 2, 3)).astype(np.int8)
+    kind[IS_SPACE[raw]] = 0
+    mark = np.zeros(n + 1, np.int8)
+    mark[starts[other]] += 1
+    mark[ends[other]] -= 1
+    whole = np.cumsum(mark[:-1], dtype=np.int8) > 0
+    kind[whole] = 4
+    head = np.zeros(n + 1, bool)
+    head[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    head[:n] &= kind > 0
+    head[starts] = True
+    # the short forms: an apostrophe that opens its run, and the letters after it
+    mark = np.flatnonzero((low == 39) & (kind == 3) & head[:n])
+    ends_at = ends[np.searchsorted(starts, mark, "right") - 1]
+    follow = np.concatenate([low, [0, 0, 0]])
+    one, two = follow[mark + 1], follow[mark + 2]
+    short = np.where(np.isin(one, np.frombuffer(b"stmd", np.uint8)), 1, np.where((one == 114) & (two == 101) | (one == 118) & (two == 101) | (one == 108) & (two == 108), 2, 0))
+    short[mark + short >= ends_at] = 0
+    mark, short, ends_at = mark[short > 0], short[short > 0], ends_at[short > 0]
+    head[mark + 1] = False
+    mark += short + 1
+    head[mark[mark < ends_at]] = True
+    first = np.flatnonzero(head)
+    tail = np.zeros(n + 1, bool)
+    tail[1:] = kind > 0
+    tail[1:n] &= head[1:n] | (kind[1:] == 0)
+    return np.where(whole, raw, low), first, np.flatnonzero(tail), ~whole[first], np.searchsorted(first, at)
+
+
+class UnitIds:
+    """Ids of the units seen so far in this worker, looked up by 64-bit hash; emptied when it holds ``MOST`` units.
+
+    Two sorted tables: a large one, and one of the newest units that joins it when it has half its size.
+    """
 
     MOST = 1_000_000
 
     def __init__(self, tokenizer_path: str) -> None:
+        # every worker has a core of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = _tokenizer(tokenizer_path)
+        self.cuts = _cuts_words(self.tok)
         self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        if self.cuts:
+            end = json.loads(self.tok.to_str())["model"]["end_of_word_suffix"]
+            self.is_end = np.zeros(self.tok.get_vocab_size(), bool)
+            self.is_end[[i for w, i in self.tok.get_vocab().items() if w.endswith(end)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.start, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.kind)
-
-    def find(self, keys: np.ndarray, piece) -> np.ndarray:
-        """Places of the keys; ``piece(i)`` gives the text of an unknown one."""
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.tables, self.flat, self.used = [empty, empty], np.zeros(1 << 16, self.kind), 0
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each text)."""
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), self.kind), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _encode_units(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units of ``text``, the plain ones first."""
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n = int(plain.sum())
+        size = (ends - starts)[order] + 1  # and a blank
+        stop = np.cumsum(size)
+        joined = text[np.minimum(np.repeat(starts[order] - (stop - size), size) + np.arange(stop[-1]), len(text) - 1)]
+        joined[stop - 1] = 32
+        joined = joined.tobytes()
+        cut = [0, *stop[:n][JOINED - 1 :: JOINED].tolist(), *([int(stop[n - 1])] if n % JOINED else [])]
+        flat, _ = self.encode([joined[a:z].decode() for a, z in zip(cut[:-1], cut[1:])])
+        last = np.flatnonzero(self.is_end[flat]) + 1
+        if len(last) != n:
+            raise ValueError("the tokenizer cuts words otherwise than it says")
+        rest, each = self.encode([joined[a : z - 1].decode() for a, z in zip((stop - size)[n:].tolist(), stop[n:].tolist())])
+        sizes = np.empty(len(order), np.int64)
+        sizes[order] = np.concatenate([np.diff(last, prepend=0), each])
+        # back in the order of the units
+        ids, at = np.concatenate([flat, rest]), np.empty(len(order), np.int64)
+        at[order] = np.cumsum(sizes[order]) - sizes[order]
+        return ids[np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))], sizes
+
+    def _look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start, size, found = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for known, first, n in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                start[hit], size[hit] = first[at[hit]], n[at[hit]]
+                found |= hit
+        return start, size, found
+
+    def find(self, keys: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start in ``flat``, number of ids) of each unit; ``keys`` are distinct and ascending."""
+        start, size, found = self._look(keys)
+        new = np.flatnonzero(~found)
         if not len(new):
-            return at
-        if len(self.keys) + len(new) > self.MOST and len(self.keys):
+            return start, size
+        if sum(len(t[0]) for t in self.tables) + len(new) > self.MOST and any(len(t[0]) for t in self.tables):
             self.clear()
-            return self.find(keys, piece)
-        sizes, ids = [], []
-        for lo in range(0, len(new), 20_000):
-            got = [e.ids for e in self.tok.encode_batch_fast([piece(i) for i in new[lo : lo + 20_000]], add_special_tokens=False)]
-            sizes += map(len, got)
-            ids.append(np.fromiter((i for x in got for i in x), self.kind))
-        size = np.array(sizes, np.int32)
-        start = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
-        merged = np.concatenate([self.keys, keys[new]])
-        order = np.argsort(merged, kind="stable")
-        self.keys, self.start, self.size = merged[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
-        self.flat = np.concatenate([self.flat, *ids])
-        return np.searchsorted(self.keys, keys)
+            return self.find(keys, text, starts, ends, plain)
+        ids, n = self._encode_units(text, starts[new], ends[new], plain[new])
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(ids), len(self.flat)), self.kind)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        start[new], size[new] = self.used + np.cumsum(n) - n, n
+        self.used += len(ids)
+        large, fresh = self.tables
+        fresh = self._merged(fresh, (keys[new], start[new], n))
+        if 2 * len(fresh[0]) > len(large[0]):
+            large, fresh = self._merged(large, fresh), tuple(c[:0] for c in fresh)
+        self.tables = [large, fresh]
+        return start, size
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b))
 
 
 def encode_texts(texts: pa.Array, tokenizer_path: str, end_id: int = END_ID) -> list[np.ndarray]:
-    """Ids of each text with the end id. Pieces between ASCII white space are encoded once for each distinct one.
-
-    Sound for tokenizers whose pre-tokenizer drops white space, so that no token crosses it; ``tests`` hold the result
-    against encoding whole texts.
+    """Ids of each text with the end id. For word tokenizers (``_cuts_words``) each distinct unit is encoded once a worker, as
+    no token crosses a unit; others encode whole texts. ``tests`` hold the result against whole texts.
     """
-    known = _loaded.get(("pieces", tokenizer_path))
+    known = _loaded.get(("units", tokenizer_path))
     if known is None:
-        known = _loaded["pieces", tokenizer_path] = PieceIds(tokenizer_path)
-    raw, at = text_bytes(texts)
-    starts, ends, word_at = word_spans(raw, at)
-    pieces = pa.array(span_hashes(raw, starts, ends)).dictionary_encode()
-    code = pieces.indices.to_numpy(zero_copy_only=False)
-    one = np.empty(len(pieces.dictionary), np.int64)
-    one[code] = np.arange(len(code))
-    place = known.find(pieces.dictionary.to_numpy(zero_copy_only=False), lambda i: raw[starts[one[i]] : ends[one[i]]].tobytes().decode())[code]
-    each = known.size[place].astype(np.int64)
-    stop = np.cumsum(each)
-    ids = known.flat[np.repeat(known.start[place] - (stop - each), each) + np.arange(stop[-1] if len(stop) else 0)]
-    cut = np.concatenate([[0], stop])[word_at]
+        known = _loaded["units", tokenizer_path] = UnitIds(tokenizer_path)
+    if known.cuts:
+        raw, at = text_bytes(texts)
+        text, starts, ends, plain, unit_at = units_of(raw, at)
+        keys, one, code = np.unique(span_hashes(text, starts, ends), return_index=True, return_inverse=True)
+        start, size = known.find(keys, text, starts[one], ends[one], plain[one])
+        start, size = start[code], size[code]
+        stop = np.cumsum(size)
+        ids = known.flat[np.repeat(start - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        cut = np.concatenate([[0], stop])[unit_at]
+    else:
+        ids, each = known.encode([t.as_py() or "" for t in texts])
+        cut = np.concatenate([[0], np.cumsum(each)])
+    cut = cut.tolist()
     return [np.append(ids[a:b], ids.dtype.type(end_id)) for a, b in zip(cut[:-1], cut[1:])]
 
 
@@ -106,17 +229,21 @@ def _width(tokenizer_path: str) -> int:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """A zstandard dictionary from the serialized ids of a bounded sample; the raw samples where they are too few to train."""
+    """A zstandard dictionary from the serialized ids of a bounded sample; the raw samples where they are too few to train.
+
+    The sample is ``SAMPLE_DOCS`` different (id, text) pairs in the order of the id's hash, the first ``SAMPLE_IDS`` ids of each.
+    """
     width = _width(tokenizer_path)
-    picked = [r[0] for r in docs.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS).collect() if r[0] is not None]
+    keyed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    picked = keyed.select("id", "h").distinct().orderBy(F.xxhash64("id"), "id", "h").limit(SAMPLE_DOCS)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, "text", 2 << 20):
             ids = encode_texts(b.column("text"), tokenizer_path)
             yield pa.RecordBatch.from_pydict({"ids": pa.array([x[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for x in ids], pa.binary())})
 
-    rows = text_rows(docs.where(F.col(id_col).isin(picked)), F.col(text_col).alias("text")).mapInArrow(sample, "ids binary")
-    samples = sorted(bytes(r[0]) for r in rows.limit(2 * SAMPLE_DOCS).collect())
+    rows = text_rows(keyed.join(F.broadcast(picked), ["id", "h"]).dropDuplicates(["id", "h"]), F.col("text")).mapInArrow(sample, "ids binary")
+    samples = sorted(bytes(r[0]) for r in rows.collect())  # at most SAMPLE_DOCS
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):

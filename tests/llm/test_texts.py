@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from compare import assert_same, connection
 from rows import SF, edge_rows
 from plain import words
@@ -301,17 +303,33 @@ def tokenizer():
     return Tokenizer.from_file(queries.tokenizer_path())
 
 
+SHORT = ["don't I'll we've you're he'd I'm it's", "''s 's's 'sx 'llama 're've 'd'd'", "d'une l'été qu'il O'Neil's \"'s\" 'T 'LL 'Re'", "1's 22'll3 a1b2 x--y...z't", "ÀÉÎõü×÷ÿß'sÉ çà'Tà ü1é 'é", "a<|b <|endoftext|>x</w> <b|c", "…'s “don't” naïve—café\u0301 e\u0301 =\u0338 A\u030a'S", "'", "''", "' 's", "x'", "x'l", "x'r'e", "a\x00b\x7fc\x1b'm"]
 ODD = ["", None, " \n ", "a b c d", "Ünï é ́x don't it's'll 12 3", "x\x1cy\x85z", "<|endoftext|> hi<|startoftext|>", "\tA\rB\x0bC\x0cD", "ΣΑΣ Σ İ", "a" * 3000]
 
 
 def test_pieces_equal_whole_texts(tokenizer, small):
-    texts = ODD + [r["text"] for r in small.limit(60).collect()]
+    texts = ODD + SHORT + [r["text"] for r in small.limit(60).collect()]
     got = tokenstore.encode_texts(pa.array(texts), queries.tokenizer_path())
     assert [g.tolist() for g in got] == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
 
 
+@given(st.lists(st.text(alphabet="stmdrevlaAÉßx'\"-1 \n<|.…\u0301", max_size=12), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_units_equal_whole_texts(texts):
+    tok = tokenstore._tokenizer(queries.tokenizer_path())
+    assert [g.tolist() for g in tokenstore.encode_texts(pa.array(texts, pa.string()), queries.tokenizer_path())] == [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_other_tokenizers_take_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [t for t in ODD + SHORT if t is not None]
+    assert [g.tolist() for g in tokenstore.encode_texts(pa.array(texts), path)] == [[*tokenstore._tokenizer(path).encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_piece_cache_is_bounded(tokenizer, monkeypatch):
-    monkeypatch.setattr(tokenstore.PieceIds, "MOST", 5)
+    monkeypatch.setattr(tokenstore.UnitIds, "MOST", 5)
     monkeypatch.setattr(tokenstore, "_loaded", {})
     texts = [f"word{i} word{i + 1} again" for i in range(30)]
     for t in texts:
