@@ -306,14 +306,15 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     """Encode every document and write the store in ascending id order; returns ``path``.
 
     Null or empty text: only the end id. Null ids come first. Rows of one id stay separate documents, ordered by their
-    ids' bytes. An empty table makes a store without blocks.
+    number of ids, then a hash of their frames. An empty table makes a store without blocks.
     """
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer_path, id_col, text_col)
     name = dictionary_hash(dictionary)
     spark.createDataFrame([(name, bytearray(dictionary))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     frames = materialize(_encoded(docs, tokenizer_path, dictionary, id_col, text_col), "frames")  # else the range sampling would encode twice
-    ordered = frames.repartitionByRange("doc_id", "n", "frame").sortWithinPartitions("doc_id", "n", "frame")
+    # the sampled range keys reach the driver: a hash stands for the frame
+    ordered = frames.withColumn("h", F.xxhash64("frame")).repartitionByRange("doc_id", "n", "h").sortWithinPartitions("doc_id", "n", "h", "frame").drop("h")
     ordered.mapInArrow(_blocks(_width(tokenizer_path), name), BLOCK_SCHEMA).write.parquet(f"{path}/blocks", compression="uncompressed")
     parts = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     # one row per range part
