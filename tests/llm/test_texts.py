@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from compare import assert_same, connection
@@ -83,29 +84,68 @@ def test_language_of_held_out_documents(spark):
     assert np.mean([got[i]["lang_pred"] == v for i, v in lang.items() if got[i]["held_out"]]) >= 0.95
 
 
-def test_language_counts_and_edges(edge, nothing):
-    model = langid.train(edge)
+def plain_languages(trained, texts):
+    """(language, score) of each text: dictionaries, one word after another."""
+    found = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    grams = lambda w, n: [f"\x02{w}\x03"[i : i + n] for i in range(len(w) + 3 - n)]
+    languages = sorted({lang for lang, t in trained if lang is not None and found(t)})
+    counts = [defaultdict(Counter) for _ in range(6)]
+    for lang, t in trained:
+        for w in found(t) if lang is not None else ():
+            counts[0][w][lang] += 1
+            for n in range(1, 6):
+                for g in grams(w, n):
+                    counts[n][g][lang] += 1
+    base = [{lang: sum(c[lang] for c in units.values()) + 0.5 * max(1, len(units)) for lang in languages} for units in counts]
+
+    def score(w):
+        if w in counts[0]:
+            return [math.log((counts[0][w][lang] + 0.5) / base[0][lang]) for lang in languages]
+        for n in range(5, 0, -1):
+            known = [counts[n][g] for g in grams(w, n) if g in counts[n]]
+            if known:
+                return [sum(math.log((c[lang] + 0.5) / base[n][lang]) for c in known) / len(known) for lang in languages]
+        return [0.0] * len(languages)
+
+    out = []
+    for t in texts:
+        total = [sum(x) for x in zip(*map(score, found(t)))]
+        best = max(range(len(total)), key=lambda i: (total[i], -i), default=None)
+        out.append(("und", 0.0) if best is None else (languages[best], 1 / sum(math.exp(x - total[best]) for x in total)))
+    return out
+
+
+@pytest.mark.parametrize("held", [langid.HELD, 300, 1])
+def test_languages_equal_a_plain_version(small, held):
+    rows = small.where("doc_id < 120").collect()
+    trained = small.where("doc_id < 120 and doc_id % 3 <> 0")
+    want = dict(zip([r["doc_id"] for r in rows], plain_languages([(r["lang"], r["text"]) for r in rows if r["doc_id"] % 3], [r["text"] for r in rows])))
+    model = langid.train(trained, held=held)
+    assert (model.rest is None) == (held == langid.HELD)
+    got = langid.identify(small.where("doc_id < 120"), model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["lang_pred"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1], abs=1e-6)
+
+
+@pytest.mark.parametrize("held", [langid.HELD, 20])
+def test_language_edges(edge, nothing, held):
+    model = langid.train(edge, held=held)
     assert model.languages == ["de", "en", "fr"]
-    count = Counter(w for _, t, lang, _ in edge_rows() if lang == "en" and t for w in re.split(r"[^a-zéß]+", t.lower()) if w)
-    assert model.words["theta"].argmax() in (0, 1) and count["theta"] > 0
-    unseen = model.score_word("thetaq")
-    assert unseen.shape == (3,) and not (unseen == 0).all()
-    rows = {r["doc_id"]: r for r in langid.identify(edge, model).collect()}
-    assert [rows[i]["lang_pred"] for i in (5, 6, 7, 18)] == ["und"] * 4 and rows[15]["lang_pred"] == "fr"
-    assert all(0 <= r["score"] <= 1 for r in rows.values())
+    want = Counter((i, *p) for i, p in zip([r[0] for r in edge_rows()], [(a, round(b, 6)) for a, b in plain_languages([(r[2] if len(r) > 2 else "x", r[1]) for r in edge_rows()], [r[1] for r in edge_rows()])]))
+    assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in langid.identify(edge, model).collect()) == want
     assert langid.identify(nothing, model).count() == 0
     assert {r["lang_pred"] for r in langid.identify(edge, langid.train(nothing)).collect()} == {"und"}
 
 
-def test_every_counted_word_and_gram_scores(edge, small):
-    for rows, rare in ((edge, 0.02), (edge, 2.0), (small, 1e-3)):
-        train = rows.where("doc_id % 3 <> 0")
-        whole, part = langid.train(train, rare=0.0), langid.train(train, rare=rare)
-        assert whole.rest is None and len(part.words) < len(whole.words)
-        key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["score"])
-        want, got = (sorted(langid.identify(rows, m).collect(), key=key) for m in (whole, part))
-        assert [(r["doc_id"], r["lang_pred"]) for r in got] == [(r["doc_id"], r["lang_pred"]) for r in want]
-        assert np.allclose([r["score"] for r in got], [r["score"] for r in want])
+def test_unseen_words_back_off():
+    units = {0: {"theta": (3, 1)}, 3: {"the": (3, 1), "eta": (2, 2)}, 1: {"q": (1, 0)}}
+    held = []
+    for n in range(6):
+        got = sorted((int(langid.hashes(pa.array([u]))[0]), c) for u, c in units.get(n, {}).items())
+        held.append((np.array([h for h, _ in got], np.uint64), np.array([c for _, c in got], float).reshape(-1, 2)))
+    model = langid.LanguageModel(["a", "b"], held)
+    assert model.word_scores(pa.array(["theta", "thetas", "xthe", "qq", "zz"])).tolist() == [[3, 1], [2.5, 1.5], [3, 1], [1, 0], [0, 0]]
 
 
 # language model
