@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where a local run leaves it unset."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = getattr(spark.sparkContext, "_seqlattice_shared", None)
     if made is None:
         made = tempfile.mkdtemp(prefix="spark-shared-")
@@ -197,6 +199,3 @@ def batches_of(batches: Iterator[pa.RecordBatch], text: str, most: int = 16 << 2
             hi = max(lo + 1, int(np.searchsorted(size, done + most, "right")))
             yield b.slice(lo, hi - lo)
             lo = hi
-
-
-ArrowMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

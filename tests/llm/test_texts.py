@@ -259,6 +259,36 @@ def test_fingerprint_edges(edge, nothing):
     assert fingerprints.fingerprints(edge).where("doc_id = 5").head()["n_digests"] == 0
 
 
+def test_differing_digests_are_recovered(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64).tolist()
+    rows = []
+    for n, gone, more in [(0, 0, 0), (0, 0, 9), (5, 0, 0), (5, 5, 0), (40, 3, 0), (40, 40, 40), (400, 390, 700), (3000, 1000, 1), *[(20, 20, 20)] * 40]:
+        base = draw(n)
+        rows.append((len(rows), base, base[gone:] + draw(more)))
+    pairs = spark.createDataFrame(rows, "pair long, a array<long>, b array<long>")
+    for few in (False, True):
+        if few:  # so few cells that many pairs need several tries
+            monkeypatch.setattr(fingerprints, "RETRY_CELLS", 0.3)
+        got = {r["pair"]: r for r in fingerprints.differences(pairs).collect()}
+        assert len(got) == len(rows)
+        for i, a, b in rows:
+            r, a, b = got[i], set(a), set(b)
+            assert (set(r["only_a"]), set(r["only_b"])) == (a - b, b - a) and (r["n_only_a"], r["n_only_b"]) == (len(a - b), len(b - a))
+            assert r["likeness"] == (pytest.approx(len(a & b) / len(a | b)) if a | b else 1.0)
+    assert fingerprints.differences(pairs.limit(0)).count() == 0
+
+
+def test_versions_of_very_long_texts(spark):
+    lines = [f"line number {i} of a long text" for i in range(100_000)]
+    texts = {3: "\n".join(lines), 2: "\n".join(lines[10_000:] + ["one more"]), 1: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints.compare_versions(docs).collect()}
+    assert got[3]["near_next"] == pytest.approx(90_000 / 100_001) and got[2]["near_next"] == 0.0 and got[1]["near_next"] == 0.0
+    edited = texts[3][: len(texts[3]) - len(texts[3]) // 3] + texts[2][: len(texts[3]) // 3]
+    assert got[3]["near_edited"] == pytest.approx(len(pieces(texts[3]) & pieces(edited)) / len(pieces(texts[3]) | pieces(edited)))
+
+
 def test_walk_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
     docs = spark.range(100).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
