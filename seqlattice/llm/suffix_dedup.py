@@ -5,13 +5,14 @@ Suffix arrays are built over the places that may repeat, not over whole texts:
 1. Every start of a WIDTH-byte string is named by the least hash among its ``GRAM``-byte grams (the leftmost such gram), so equal
    strings have the same name. Runs of starts with one gram make a context: the bytes from the first start to WIDTH
    past the last. A name found once in the corpus has no repeats.
-2. Contexts of repeated names go to the shard of their name; byte-equal contexts are merged first, bucket by bucket.
+2. Contexts of repeated names go to the shard of their name. Contexts with the same bytes (found by hash, then compared) travel as
+   one, with a list of the places where they stand.
 3. A shard's contexts are cut into blocks in document order. Each block gets a suffix array by Larsson-Sadakane refinement
-   and Kasai's common prefixes; suffixes that share WIDTH bytes form a class, and all but its first start are repeats.
+   and Kasai's common prefixes; suffixes that share WIDTH bytes form a class. All places of a class but the first are repeats.
    Classes of later blocks are looked up among those of earlier ones by binary search.
-4. A name with more than ``HOT`` contexts is dealt to several shards; their class minima are merged by Spark.
+4. A name with more than ``HOT`` places is dealt to several shards; their sorted classes are merged by binary search.
 
-The repeats then meet their texts again. Names and merged contexts rest on 64-bit hashes, the classes on the bytes.
+The repeats then meet their texts again. Hashes only choose what is compared: bytes decide about every repeat.
 """
 
 from __future__ import annotations
@@ -22,23 +23,36 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlattice.llm.common import _BYTE_CODE, _powers, batches_of, materialize, mix64, span_hashes, text_bytes, text_rows
 
 WIDTH, GRAM = 100, 32
-BUCKET_ROWS = 4000
-#: Bytes that are named at once, bytes of a block with a suffix array of its own, contexts of a name in one shard.
+#: Rows and bytes of text that a bucket holds on average, at most.
+BUCKET_ROWS, BUCKET_BYTES = 4000, 12 << 20
+#: Bytes that are named at once, bytes of a block with a suffix array of its own, places of a name in one shard.
 PIECE, BLOCK, HOT = 1 << 20, 4 << 20, 50_000
+#: Shards for each bucket; groups of buckets in which a name is counted first, so that no task holds all buckets of a common one.
+SHARDS, SLOTS = 4, 64
+#: Hot names whose list is sent to all executors; beyond it the list is joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 #: Starts that Kasai's rule carries its bound along before it is found afresh.
 KASAI_RUN = 32
+#: Bits of a gram's place in a piece; the other bits of its hash decide which gram is least.
+PLACE_BITS = np.uint64(24)
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, doc_id, known, text): packed texts; rows with the same id and text share a bucket."""
-    buckets = max(1, math.ceil(docs.count() / BUCKET_ROWS))
-    rows = text_rows(docs, F.pmod(F.xxhash64(id_col, text_col), F.lit(buckets)).alias("bucket"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def bucket_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, int]:
+    """The bucket of each row, by a hash of id and text (rows with the same id and text share one), and the number of buckets."""
+    size = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes")).head()
+    buckets = max(1, math.ceil(size["rows"] / BUCKET_ROWS), math.ceil(size["bytes"] / BUCKET_BYTES))
+    return F.pmod(F.xxhash64(id_col, text_col), F.lit(buckets)), buckets
+
+
+def packed_texts(docs: DataFrame, bucket: Column, id_col: str, text_col: str) -> DataFrame:
+    """(bucket, doc_id, text): the texts, compressed."""
+    rows = text_rows(docs, bucket.alias("bucket"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=3)
@@ -49,6 +63,22 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(pack, "bucket long, doc_id long, text binary")
 
 
+def contexts_in(texts: list[bytes], size: int):
+    """Batches of (row, first start, starts, name, place of the gram, hash of the context) over texts of ``size`` bytes in all."""
+    lo = 0
+    while lo < len(texts):
+        hi, total = lo, 0
+        while hi < len(texts) and (hi == lo or total + len(texts[hi]) <= size):
+            total += len(texts[hi])
+            hi += 1
+        raw = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts[lo:hi]])])
+        for begin in range(0, max(len(raw) - WIDTH + 1, 0), 8 * size):  # one very long text goes in overlapping pieces
+            row, start, n, name, gram, ctx = contexts_of(raw[begin : begin + 8 * size + WIDTH - 1], np.clip(at - begin, 0, None))
+            yield lo + row, start + begin - at[row], n, name, gram, ctx
+        lo = hi
+
+
 class Bucket:
     """The texts of a bucket in document order; ``sub`` orders rows of one id by their text, then one by one."""
 
@@ -67,24 +97,9 @@ class Bucket:
             last = now
         self.sub = sub
 
-    def contexts(self, size: int):
-        """Batches of (row, first start, starts, name, place of the gram, hash of the context) over texts of ``size`` bytes in all."""
-        lo = 0
-        while lo < len(self.texts):
-            hi, total = lo, 0
-            while hi < len(self.texts) and (hi == lo or total + len(self.texts[hi]) <= size):
-                total += len(self.texts[hi])
-                hi += 1
-            raw = np.frombuffer(b"".join(self.texts[lo:hi]), np.uint8)
-            at = np.concatenate([[0], np.cumsum([len(t) for t in self.texts[lo:hi]])])
-            for begin in range(0, max(len(raw) - WIDTH + 1, 0), 8 * size):  # one very long text goes in overlapping pieces
-                row, start, n, name, gram, ctx = contexts_of(raw[begin : begin + 8 * size + WIDTH - 1], np.clip(at - begin, 0, None))
-                yield lo + row, start + begin - at[row], n, name, gram, ctx
-            lo = hi
-
 
 def contexts_of(raw: np.ndarray, row_at: np.ndarray):
-    """Contexts of concatenated texts; starts are offsets into ``raw``. See ``Bucket.contexts``."""
+    """Contexts of concatenated texts; starts are offsets into ``raw``. See ``contexts_in``."""
     n = len(raw)
     empty = np.zeros(0, np.int64)
     if n < WIDTH:
@@ -93,15 +108,14 @@ def contexts_of(raw: np.ndarray, row_at: np.ndarray):
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_CODE[raw] * up[:n], out=sums[1:])
     gram = mix64((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
-    place_bits = np.uint64(max(1, int(n).bit_length()))
-    least = gram >> place_bits << place_bits | np.arange(len(gram), dtype=np.uint64)
+    least = gram >> PLACE_BITS << PLACE_BITS | np.arange(len(gram), dtype=np.uint64)
     span, window = 1, WIDTH - GRAM + 1
     while span * 2 <= window:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if window > span:
         least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
-    at = (least & ((np.uint64(1) << place_bits) - np.uint64(1))).astype(np.int64)  # of every start 0 .. n - WIDTH
+    at = (least & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)  # of every start 0 .. n - WIDTH
     stop = np.clip(row_at, 0, n)
     inside = np.ones(len(at), bool)
     for cut in stop[1:-1].tolist():
@@ -117,48 +131,83 @@ def contexts_of(raw: np.ndarray, row_at: np.ndarray):
     return row, start, last - start + 1, gram[at[start]], at[start] - start, whole
 
 
-def _names(rows: pa.Table) -> pa.Table:
-    """A bucket's names: how often each occurs, and in how many different contexts."""
-    parts = [(name, mix64(ctx ^ mix64(gram.astype(np.uint64)))) for _, _, _, name, gram, ctx in Bucket(rows).contexts(PIECE)]
-    name, ctx = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (zip(*parts) if parts else ((), ())))
-    order = np.lexsort((ctx, name))
-    name, ctx = name[order], ctx[order]
-    new = np.ones(len(name), bool)
-    new[1:] = name[1:] != name[:-1]
-    fresh = new.copy()
-    fresh[1:] |= ctx[1:] != ctx[:-1]
-    first = np.flatnonzero(new)
-    count = lambda v: np.add.reduceat(v.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    bucket = rows.column("bucket")[0].as_py()
-    return pa.table({"name": name[first].view(np.int64), "bucket": np.full(len(first), bucket, np.int64), "n": count(np.ones(len(name))), "kinds": count(fresh)})
+def _names(batches):
+    """(name, bucket, n): how many contexts of each name the texts of a batch have, by bucket."""
+    for b in batches_of(batches, "text", 8 << 20):
+        raw, at = text_bytes(b.column("text"))
+        bucket = b.column("bucket").to_numpy()
+        parts = [(name, bucket[row]) for row, _, _, name, _, _ in contexts_in([raw[a:z].tobytes() for a, z in zip(at[:-1].tolist(), at[1:].tolist())], PIECE)]
+        name, bucket = (np.concatenate([np.zeros(0, k), *x]) for k, x in zip((np.uint64, np.int64), zip(*parts) if parts else ((), ())))
+        order = np.lexsort((bucket, name))
+        name, bucket = name[order], bucket[order]
+        new = np.ones(len(name), bool)
+        new[1:] = (name[1:] != name[:-1]) | (bucket[1:] != bucket[:-1])
+        first = np.flatnonzero(new)
+        yield pa.RecordBatch.from_arrays([pa.array(name[first].view(np.int64)), pa.array(bucket[first]), pa.array(np.diff(np.append(first, len(name))))], ["name", "bucket", "n"])
+
 
+def repeated_names(docs: DataFrame, bucket: Column, text_col: str, hot: int) -> DataFrame:
+    """(bucket, name, salts): the names of each bucket's contexts that are found more than once in the corpus, and the number of
+    shards that each is dealt to.
 
-CONTEXTS = "name long, kinds long, bucket long, doc long, sub long, start long, n long, gram long, ctx binary, repeat boolean"
+    Counted by groups of buckets first; what is alone in its group is compared with the other groups of the name.
+    """
+    rows = text_rows(docs, bucket.alias("bucket"), F.col(text_col).alias("text")).mapInArrow(_names, "name long, bucket long, n long")
+    rows = rows.withColumn("slot", F.pmod("bucket", F.lit(SLOTS))).withColumn("found", F.sum("n").over(Window.partitionBy("name", "slot")))
+    slots = rows.groupBy("name", "slot").agg(F.max("found").alias("n"), F.min("bucket").alias("bucket"))
+    total = F.sum("n").over(Window.partitionBy("name"))  # SLOTS rows at most
+    alone = slots.withColumn("found", total).where("n = 1 and found > 1").select("bucket", "name", "n")
+    needed = materialize(rows.where("found > 1").select("bucket", "name", "n").unionByName(alone), "names")
+    many = materialize(needed.groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") > hot).select("name", F.ceil(F.col("n") / hot).alias("salts")), "hot-names")
+    listed = F.broadcast(many) if many.count() <= MOST_BROADCAST else many
+    return needed.join(listed, "name", "left").select("bucket", "name", F.coalesce("salts", F.lit(1)).alias("salts"))
+
+
+CONTEXTS = "name long, salts long, bucket long, n long, gram long, ident long, ctx binary, doc array<long>, sub array<long>, start array<long>"
+
+
+def same_bytes(ident: np.ndarray, size: np.ndarray, piece) -> np.ndarray:
+    """For every context the first one with its bytes: those of equal hash are compared. ``piece(i)`` gives the bytes."""
+    order = np.argsort(ident, kind="stable")
+    head = np.ones(len(order), bool)
+    head[1:] = ident[order][1:] != ident[order][:-1]
+    first = np.empty(len(order), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    kept, seen = None, -1
+    for i in order[~head].tolist():
+        if first[i] != seen:
+            seen = int(first[i])
+            kept = piece(seen)
+        if size[i] != size[seen] or piece(i) != kept:
+            first[i] = i  # hashes alike by chance: it goes by itself
+    return first
 
 
 def _repeated_contexts(rows: pa.Table, names: pa.Table) -> pa.Table:
-    """Contexts of a bucket whose names repeat. Of byte-equal ones only the first has its bytes; the others are repeats."""
+    """Contexts of a bucket whose names repeat: a row for each different one, with the places where it stands."""
     b = Bucket(rows)
     keys = names.column("name").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    keys, kinds = keys[order], names.column("kinds").to_numpy()[order]
+    keys, salts = keys[order], names.column("salts").to_numpy()[order]
     parts = []
-    for row, start, n, name, gram, ctx in b.contexts(PIECE):
+    for row, start, n, name, gram, ctx in contexts_in(b.texts, PIECE):
         at = np.minimum(np.searchsorted(keys, name), max(len(keys) - 1, 0))
         hit = np.flatnonzero(keys[at] == name) if len(keys) else np.zeros(0, np.int64)
-        parts.append((row[hit], start[hit], n[hit], name[hit], gram[hit], ctx[hit], kinds[at[hit]] if len(keys) else np.zeros(0, np.int64)))
+        parts.append((row[hit], start[hit], n[hit], name[hit], gram[hit], ctx[hit], salts[at[hit]] if len(keys) else np.zeros(0, np.int64)))
     if not parts:
         parts = [tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.int64, np.uint64, np.int64))]
-    row, start, n, name, gram, ctx, kinds = (np.concatenate(x) for x in zip(*parts))
-    same = np.lexsort((start, row, ctx ^ mix64(gram.astype(np.uint64)), name))
-    first = np.ones(len(same), bool)
-    ident = (ctx ^ mix64(gram.astype(np.uint64)))[same]
-    first[1:] = (name[same][1:] != name[same][:-1]) | (ident[1:] != ident[:-1])
-    repeat = np.ones(len(same), bool)
-    repeat[same[first]] = False
-    data = [None if again else b.texts[r][s : s + k + WIDTH - 1] for r, s, k, again in zip(row.tolist(), start.tolist(), n.tolist(), repeat.tolist())]
+    row, start, n, name, gram, ctx, salts = (np.concatenate(x) for x in zip(*parts))
+    ident = mix64(ctx ^ mix64(gram.astype(np.uint64)) ^ mix64(name))
+    rows_of, starts, sizes = row.tolist(), start.tolist(), (n + WIDTH - 1).tolist()
+    piece = lambda i: b.texts[rows_of[i]][starts[i] : starts[i] + sizes[i]]
+    first = same_bytes(ident, n, piece)
+    order = np.argsort(first, kind="stable")  # places of a context in document order, as the rows are
+    head = np.flatnonzero(np.concatenate([[True], first[order][1:] != first[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    one, each = first[order][head], np.append(head, len(order)).astype(np.int32)
+    listed = lambda v: pa.ListArray.from_arrays(each, pa.array(v[order]))
     bucket = rows.column("bucket")[0].as_py() if rows.num_rows else 0
-    return pa.table({"name": name.view(np.int64), "kinds": kinds, "bucket": np.full(len(row), bucket, np.int64), "doc": b.key[row], "sub": b.sub[row], "start": start, "n": n, "gram": gram, "ctx": pa.array(data, pa.binary()), "repeat": repeat})
+    return pa.table({"name": name[one].view(np.int64), "salts": salts[one], "bucket": np.full(len(one), bucket, np.int64), "n": n[one], "gram": gram[one], "ident": ident[one].view(np.int64),
+                     "ctx": pa.array([piece(i) for i in one.tolist()], pa.binary()), "doc": listed(b.key[row]), "sub": listed(b.sub[row]), "start": listed(start)})
 
 
 def suffix_array(x: np.ndarray) -> np.ndarray:
@@ -276,36 +325,67 @@ def repeated_starts(ctx: list[bytes], starts: np.ndarray, block: int = BLOCK) ->
     return out
 
 
-REPEATS = "bucket long, doc long, sub long, start long, n long, a long, b long"
+REPEATS = "bucket long, doc long, sub long, start long, n long, shard long, at long, text binary"
 
 
 def _shard_repeats(rows: pa.Table) -> pa.Table:
-    """Repeated starts of a shard as runs. Starts of a name dealt to several shards that are the first here come back one by one,
-    with two hashes of their string (``a``, ``b``), for the merge."""
-    rows = rows.sort_by([("doc", "ascending"), ("sub", "ascending"), ("start", "ascending")])
-    name, salts, start, n, gram = (rows.column(c).to_numpy() for c in ("name", "salts", "start", "n", "gram"))
+    """Repeated starts of a shard as runs. Classes of names that are dealt to several shards also come back: their first place
+    and their string (``text``), in string order (``at``), for the merge."""
+    bucket, n, salts, gram = (rows.column(c).to_numpy() for c in ("bucket", "n", "salts", "gram"))
     raw, at = text_bytes(rows.column("ctx"))
-    ident = mix64(span_hashes(raw, at[:-1], at[1:]) ^ mix64(name.view(np.uint64)) ^ gram.astype(np.uint64))
-    _, first, inverse = np.unique(ident, return_index=True, return_inverse=True)
-    copy = first[inverse] != np.arange(len(ident))  # a byte-equal context came before
-    kept = np.flatnonzero(~copy)
-    _, place, count = np.unique(name[kept], return_inverse=True, return_counts=True)
-    several = kept[(count[place] > 1) | (salts[kept] > 1)]
-    runs = [(i, 0, n[i]) for i in np.flatnonzero(copy)]
-    alone: list[tuple] = []
-    data = [raw[at[i] : at[i + 1]].tobytes() for i in several]
-    for i, again, text in zip(several.tolist(), repeated_starts(data, n[several]), data):
+    data = lambda i: raw[at[i] : at[i + 1]].tobytes()
+    first = same_bytes(rows.column("ident").to_numpy(), n, data)
+    doc, sub, start = (rows.column(c).combine_chunks() for c in ("doc", "sub", "start"))
+    of = np.repeat(np.arange(rows.num_rows), np.diff(doc.offsets.to_numpy()))
+    doc, sub, start = (c.flatten().to_numpy() for c in (doc, sub, start))
+    # all places in document order; the first of each context stands for it
+    order = np.lexsort((start, sub, doc))
+    of, doc, sub, start = of[order], doc[order], sub[order], start[order]
+    _, lead = np.unique(first[of], return_index=True)
+    lead = np.sort(lead)
+    copy = np.ones(len(of), bool)
+    copy[lead] = False
+    place, off, length = [np.flatnonzero(copy)], [np.zeros(int(copy.sum()), np.int64)], [n[of[copy]]]
+    heads: list[tuple] = []
+    for i, again in zip(lead.tolist(), repeated_starts([data(k) for k in of[lead].tolist()], n[of[lead]])):
         edge = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]]).astype(np.int8)))
-        runs += [(i, a, z - a) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist())]
-        if salts[i] > 1:
-            for k in np.flatnonzero(~again).tolist():
-                digest = hashlib.blake2b(text[k : k + WIDTH], digest_size=16).digest()
-                alone.append((i, k, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
-    i = np.array([r[0] for r in runs] + [r[0] for r in alone], np.int64)
-    off = np.array([r[1] for r in runs] + [r[1] for r in alone], np.int64)
-    pick = lambda c: rows.column(c).to_numpy()[i]
-    return pa.table({"bucket": pick("bucket"), "doc": pick("doc"), "sub": pick("sub"), "start": start[i] + off, "n": np.array([r[2] for r in runs] + [1] * len(alone), np.int64),
-                     "a": pa.array([None] * len(runs) + [r[2] for r in alone], pa.int64()), "b": pa.array([None] * len(runs) + [r[3] for r in alone], pa.int64())})
+        if len(edge):
+            place.append(np.full(len(edge) // 2, i)), off.append(edge[::2]), length.append(edge[1::2] - edge[::2])
+        if salts[of[i]] > 1:
+            text = data(of[i])
+            heads += [(i, k, text[k : k + WIDTH]) for k in np.flatnonzero(~again).tolist()]
+    heads.sort(key=lambda h: h[2])
+    runs = sum(map(len, place))
+    i = np.concatenate([*place, np.array([h[0] for h in heads], np.int64)])
+    shard = rows.column("shard")[0].as_py() if rows.num_rows else 0
+    return pa.table({
+        "bucket": bucket[of[i]], "doc": doc[i], "sub": sub[i], "start": start[i] + np.concatenate([*off, np.array([h[1] for h in heads], np.int64)]), "n": np.concatenate([*length, np.ones(len(heads), np.int64)]),
+        "shard": np.full(len(i), shard, np.int64), "at": np.arange(len(i)) - runs, "text": pa.array([None] * runs + [h[2] for h in heads], pa.binary())})
+
+
+def _merged_classes(rows: pa.Table) -> pa.Table:
+    """First places of the same classes in several shards -> all but the earliest: each shard's sorted strings are looked up by
+    binary search among those of the shards before it."""
+    rows = rows.sort_by([("shard", "ascending"), ("at", "ascending")])
+    text = np.frombuffer(text_bytes(rows.column("text"))[0].tobytes(), f"S{WIDTH}") if rows.num_rows else np.zeros(0, f"S{WIDTH}")
+    shard = rows.column("shard").to_numpy()
+    key = [rows.column(c).to_numpy() for c in ("doc", "sub", "start")]
+    rank = np.empty(len(shard), np.int64)
+    rank[np.lexsort(key[::-1])] = np.arange(len(shard))
+    gone = np.zeros(len(shard), bool)
+    known, least = text[:0], np.zeros(0, np.int64)  # sorted strings so far, and the row of the earliest place of each
+    for mine in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+        at = np.searchsorted(known, text[mine])
+        hit = np.zeros(len(mine), bool)
+        inside = at < len(known)
+        hit[inside] = known[at[inside]] == text[mine[inside]]
+        old, new = least[at[hit]], mine[hit]
+        later = rank[new] > rank[old]
+        gone[np.where(later, new, old)] = True
+        least[at[hit]] = np.where(later, old, new)
+        known = np.insert(known, at[~hit], text[mine[~hit]])
+        least = np.insert(least, at[~hit], mine[~hit])
+    return rows.filter(pa.array(gone)).select(["bucket", "doc", "sub", "start", "n"])
 
 
 def _removed(rows: pa.Table, repeats: pa.Table) -> pa.Table:
@@ -340,26 +420,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are documents of their own, ordered by a hash of their text. Null text counts as empty; texts shorter than WIDTH bytes keep
     everything. An empty table gives no rows.
     """
-    packed = bucketed(docs, id_col, text_col)
-    names = packed.groupBy("bucket").applyInArrow(_names, "name long, bucket long, n long, kinds long")
-    by_name = Window.partitionBy("name")  # a row for each bucket that has the name, at most
-    again = names.withColumn("found", F.sum("n").over(by_name)).withColumn("kinds", F.sum("kinds").over(by_name)).where("found > 1").select("bucket", "name", "kinds")
-    contexts = packed.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(_repeated_contexts, CONTEXTS)
-    shards = max(1, math.ceil(docs.count() / BUCKET_ROWS)) * 2
-    contexts = contexts.withColumn("salts", F.ceil(F.col("kinds") / hot)).withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc", "sub", "start"), "salts")).otherwise(F.lit(0)))
-    # copies within a bucket need no comparing, but travel with the rest so that the contexts are made once
-    dealt = contexts.withColumn("shard", F.when(F.col("repeat"), -1 - F.col("bucket")).otherwise(F.pmod(F.xxhash64("name", "salt"), F.lit(shards))))
-    found = materialize(dealt.drop("kinds", "salt").groupBy("shard").applyInArrow(_shard_or_copies, REPEATS), "repeats")
-    split = found.where("a is not null")
-    order = F.struct("doc", "sub", "start")
-    first = split.groupBy("a", "b").agg(F.min(order).alias("first"))
-    later = split.join(first, ["a", "b"]).where(order != F.col("first"))
-    repeats = found.where("a is null").select("bucket", "doc", "sub", "start", "n").unionByName(later.select("bucket", "doc", "sub", "start", "n"))
+    bucket, buckets = bucket_of(docs, id_col, text_col)
+    packed = packed_texts(docs, bucket, id_col, text_col)
+    names = repeated_names(docs, bucket, text_col, hot)
+    contexts = packed.groupBy("bucket").cogroup(names.groupBy("bucket")).applyInArrow(_repeated_contexts, CONTEXTS)
+    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("bucket"), "salts")).otherwise(F.lit(0))
+    dealt = contexts.withColumn("shard", F.pmod(F.xxhash64("name", salt), F.lit(SHARDS * buckets)))
+    found = materialize(dealt.groupBy("shard").applyInArrow(_shard_repeats, REPEATS), "repeats")
+    place = ["bucket", "doc", "sub", "start", "n"]
+    split = found.where("text is not null").withColumn("part", F.pmod(F.xxhash64("text"), F.lit(SHARDS * buckets)))
+    later = split.groupBy("part").applyInArrow(_merged_classes, "bucket long, doc long, sub long, start long, n long")
+    repeats = found.where("text is null").select(*place).unionByName(later)
     return packed.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def _shard_or_copies(rows: pa.Table) -> pa.Table:
-    if rows.num_rows and rows.column("shard")[0].as_py() < 0:
-        none = pa.nulls(rows.num_rows, pa.int64())
-        return rows.select(["bucket", "doc", "sub", "start", "n"]).append_column("a", none).append_column("b", none)
-    return _shard_repeats(rows)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from rows import SF, documents, edge_rows
 from plain import component_ids, held_items, without_repeats
@@ -163,3 +164,49 @@ def test_blocks_meet_by_binary_search(block):
             want.append(c[s : s + 100] in seen)
             seen.add(c[s : s + 100])
         assert flags.tolist() == want
+
+
+def one_bucket(texts):
+    import zstandard
+
+    press = zstandard.ZstdCompressor()
+    return pa.table({"bucket": pa.array([0] * len(texts), pa.int64()), "doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array([press.compress(t) for t in texts], pa.binary())})
+
+
+def test_suffix_arrays_decide_every_repeat(monkeypatch):
+    texts = [(r[1] or "").encode() for r in edge_rows()] * 2
+    names = {n for _, _, _, name, _, _ in suffix_dedup.contexts_in(texts, 1000) for n in name.tolist()}
+    known = pa.table({"name": pa.array(np.array(sorted(names), np.uint64).view(np.int64)), "salts": pa.array([1] * len(names), pa.int64())})
+    contexts = suffix_dedup._repeated_contexts(one_bucket(texts), known).append_column("shard", pa.array([0] * suffix_dedup._repeated_contexts(one_bucket(texts), known).num_rows, pa.int64()))
+    seen, plain = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda x: seen.append(x.tobytes()) or plain(x))
+    runs = suffix_dedup._shard_repeats(contexts).to_pylist()
+    starts = {(r["doc"], s) for r in runs for s in range(r["start"], r["start"] + r["n"])}
+    want, before = set(), set()
+    for doc, t in enumerate(texts):
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in before:
+                want.add((doc, s))
+            before.add(t[s : s + 100])
+    assert starts == want and sum(r["n"] for r in runs) == len(want) > 1000
+    assert all(any(texts[d][s : s + 100] in x for x in seen) for d, s in starts)
+
+
+def test_equal_hashes_of_other_bytes_go_by_themselves():
+    data = [b"aa", b"bb", b"aa", b"aaa", b"cc", b"cc"]
+    got = suffix_dedup.same_bytes(np.array([7, 7, 7, 7, 1, 1]), np.array([2, 2, 2, 3, 2, 2]), data.__getitem__)
+    assert got.tolist() == [0, 1, 0, 3, 4, 4]
+
+
+def test_classes_of_shards_merge():
+    rng = np.random.default_rng(6)
+    pool = sorted({bytes(rng.integers(0, 3, 100).astype(np.uint8)) for _ in range(30)} | {b"\0" * 100, b"a" * 99 + b"\0"})
+    rows = []
+    for shard in (5, 2, 9):
+        mine = sorted(pool[i] for i in rng.choice(len(pool), 18, replace=False))
+        rows += [{"bucket": 0, "doc": int(d), "sub": 0, "start": 0, "n": 1, "shard": shard, "at": k, "text": t} for k, (t, d) in enumerate(zip(mine, rng.integers(0, 1 << 40, 18)))]
+    first = {}
+    for r in rows:
+        first[r["text"]] = min(first.get(r["text"], r["doc"]), r["doc"])
+    got = suffix_dedup._merged_classes(pa.Table.from_pylist(rows, pa.schema([(c, pa.int64()) for c in ("bucket", "doc", "sub", "start", "n", "shard", "at")] + [("text", pa.binary())])))
+    assert sorted(got.column("doc").to_pylist()) == sorted(r["doc"] for r in rows if r["doc"] != first[r["text"]])
