@@ -33,8 +33,12 @@ WIDTH, GRAM = 100, 32
 BUCKET_ROWS, BUCKET_BYTES = 4000, 12 << 20
 #: Bytes that are named at once, bytes of a block with a suffix array of its own, places of a name in one shard.
 PIECE, BLOCK, HOT = 1 << 20, 4 << 20, 50_000
-#: Shards for each bucket; groups of buckets in which a name is counted first, so that no task holds all buckets of a common one.
-SHARDS, SLOTS = 4, 64
+#: Shards for each bucket.
+SHARDS = 4
+#: Bytes of text whose names are counted together before they meet the others.
+COUNTED = 64 << 20
+#: Where a context stands: document, first start, row in its bucket, and an order of documents with the same id.
+PLACE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("row", "<i4"), ("sub", "<u2")])
 #: Hot names whose list is sent to all executors; beyond it the list is joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Starts that Kasai's rule carries its bound along before it is found afresh.
@@ -79,8 +83,13 @@ def contexts_in(texts: list[bytes], size: int):
         lo = hi
 
 
+def binary_array(raw: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary values that stand end to end."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+
+
 class Bucket:
-    """The texts of a bucket in document order; ``sub`` orders rows of one id by their text, then one by one."""
+    """The texts of a bucket in document order; ``sub`` orders rows of one id by a hash of their text, in every bucket alike."""
 
     def __init__(self, rows: pa.Table) -> None:
         opener = zstandard.ZstdDecompressor()
@@ -90,12 +99,7 @@ class Bucket:
         order = sorted(range(len(texts)), key=lambda i: (ids[i] is not None, ids[i] or 0, name[i]))
         self.texts, self.ids = [texts[i] for i in order], [ids[i] for i in order]
         self.key = np.array([np.iinfo(np.int64).min if i is None else i for i in self.ids], np.int64)
-        sub, last = np.zeros(len(order), np.int64), None
-        for at, i in enumerate(order):
-            now = (ids[i], name[i])
-            sub[at] = (name[i] << 20) + (int(sub[at - 1] & 0xFFFFF) + 1 if now == last else 0)
-            last = now
-        self.sub = sub
+        self.sub = np.array([name[i] >> 27 for i in order], np.uint16)
 
 
 def contexts_of(raw: np.ndarray, row_at: np.ndarray):
@@ -132,38 +136,51 @@ def contexts_of(raw: np.ndarray, row_at: np.ndarray):
 
 
 def _names(batches):
-    """(name, bucket, n): how many contexts of each name the texts of a batch have, by bucket."""
-    for b in batches_of(batches, "text", 8 << 20):
-        raw, at = text_bytes(b.column("text"))
-        bucket = b.column("bucket").to_numpy()
-        parts = [(name, bucket[row]) for row, _, _, name, _, _ in contexts_in([raw[a:z].tobytes() for a, z in zip(at[:-1].tolist(), at[1:].tolist())], PIECE)]
+    """(name, bucket, n, first): how many contexts of each name the texts have, by bucket, in parts of ``COUNTED`` bytes of text.
+
+    The first row of a name in a part carries the part's count; a row that isn't the first is of a name found twice.
+    """
+
+    def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         name, bucket = (np.concatenate([np.zeros(0, k), *x]) for k, x in zip((np.uint64, np.int64), zip(*parts) if parts else ((), ())))
         order = np.lexsort((bucket, name))
         name, bucket = name[order], bucket[order]
-        new = np.ones(len(name), bool)
-        new[1:] = (name[1:] != name[:-1]) | (bucket[1:] != bucket[:-1])
-        first = np.flatnonzero(new)
-        yield pa.RecordBatch.from_arrays([pa.array(name[first].view(np.int64)), pa.array(bucket[first]), pa.array(np.diff(np.append(first, len(name))))], ["name", "bucket", "n"])
+        first, new = np.ones(len(name), bool), np.ones(len(name), bool)
+        first[1:] = name[1:] != name[:-1]
+        new[1:] = first[1:] | (bucket[1:] != bucket[:-1])
+        head = np.flatnonzero(first)
+        n = np.zeros(len(name), np.int64)
+        n[head] = np.diff(np.append(head, len(name)))
+        return pa.RecordBatch.from_arrays([pa.array(name[new].view(np.int64)), pa.array(bucket[new]), pa.array(n[new]), pa.array(first[new])], ["name", "bucket", "n", "first"])
+
+    parts, size = [], 0
+    for b in batches_of(batches, "text", 8 << 20):
+        raw, at = text_bytes(b.column("text"))
+        bucket = b.column("bucket").to_numpy()
+        parts += [(name, bucket[row]) for row, _, _, name, _, _ in contexts_in([raw[a:z].tobytes() for a, z in zip(at[:-1].tolist(), at[1:].tolist())], PIECE)]
+        size += len(raw)
+        if size >= COUNTED:
+            yield counted(parts)
+            parts, size = [], 0
+    yield counted(parts)
 
 
 def repeated_names(docs: DataFrame, bucket: Column, text_col: str, hot: int) -> DataFrame:
     """(bucket, name, salts): the names of each bucket's contexts that are found more than once in the corpus, and the number of
     shards that each is dealt to.
 
-    Counted by groups of buckets first; what is alone in its group is compared with the other groups of the name.
+    A name meets itself once for each ``COUNTED`` bytes of text; its other rows are known to repeat and are dealt by bucket.
     """
-    rows = text_rows(docs, bucket.alias("bucket"), F.col(text_col).alias("text")).mapInArrow(_names, "name long, bucket long, n long")
-    rows = rows.withColumn("slot", F.pmod("bucket", F.lit(SLOTS))).withColumn("found", F.sum("n").over(Window.partitionBy("name", "slot")))
-    slots = rows.groupBy("name", "slot").agg(F.max("found").alias("n"), F.min("bucket").alias("bucket"))
-    total = F.sum("n").over(Window.partitionBy("name"))  # SLOTS rows at most
-    alone = slots.withColumn("found", total).where("n = 1 and found > 1").select("bucket", "name", "n")
-    needed = materialize(rows.where("found > 1").select("bucket", "name", "n").unionByName(alone), "names")
+    rows = text_rows(docs, bucket.alias("bucket"), F.col(text_col).alias("text")).mapInArrow(_names, "name long, bucket long, n long, first boolean")
+    dealt = rows.withColumn("apart", F.when(F.col("first"), F.lit(-1)).otherwise(F.col("bucket")))
+    counted = dealt.withColumn("found", F.sum("n").over(Window.partitionBy("name", "apart")))
+    needed = materialize(counted.where("found > 1 or not first").select("bucket", "name", "n"), "names")
     many = materialize(needed.groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") > hot).select("name", F.ceil(F.col("n") / hot).alias("salts")), "hot-names")
     listed = F.broadcast(many) if many.count() <= MOST_BROADCAST else many
     return needed.join(listed, "name", "left").select("bucket", "name", F.coalesce("salts", F.lit(1)).alias("salts"))
 
 
-CONTEXTS = "name long, salts long, bucket long, n long, gram long, ident long, ctx binary, doc array<long>, sub array<long>, start array<long>"
+CONTEXTS = "name long, salts long, bucket long, n int, ctx binary, places binary"
 
 
 def same_bytes(ident: np.ndarray, size: np.ndarray, piece) -> np.ndarray:
@@ -197,17 +214,19 @@ def _repeated_contexts(rows: pa.Table, names: pa.Table) -> pa.Table:
     if not parts:
         parts = [tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.int64, np.uint64, np.int64))]
     row, start, n, name, gram, ctx, salts = (np.concatenate(x) for x in zip(*parts))
-    ident = mix64(ctx ^ mix64(gram.astype(np.uint64)) ^ mix64(name))
     rows_of, starts, sizes = row.tolist(), start.tolist(), (n + WIDTH - 1).tolist()
     piece = lambda i: b.texts[rows_of[i]][starts[i] : starts[i] + sizes[i]]
-    first = same_bytes(ident, n, piece)
+    first = same_bytes(ctx, n, piece)
     order = np.argsort(first, kind="stable")  # places of a context in document order, as the rows are
     head = np.flatnonzero(np.concatenate([[True], first[order][1:] != first[order][:-1]])) if len(order) else np.zeros(0, np.int64)
-    one, each = first[order][head], np.append(head, len(order)).astype(np.int32)
-    listed = lambda v: pa.ListArray.from_arrays(each, pa.array(v[order]))
+    one = first[order][head]
+    places = np.empty(len(order), PLACE)
+    places["doc"], places["start"], places["row"], places["sub"] = b.key[row[order]], start[order], row[order], b.sub[row[order]]
     bucket = rows.column("bucket")[0].as_py() if rows.num_rows else 0
-    return pa.table({"name": name[one].view(np.int64), "salts": salts[one], "bucket": np.full(len(one), bucket, np.int64), "n": n[one], "gram": gram[one], "ident": ident[one].view(np.int64),
-                     "ctx": pa.array([piece(i) for i in one.tolist()], pa.binary()), "doc": listed(b.key[row]), "sub": listed(b.sub[row]), "start": listed(start)})
+    data = np.frombuffer(b"".join([piece(i) for i in one.tolist()]), np.uint8)
+    return pa.table({
+        "name": name[one].view(np.int64), "salts": salts[one], "bucket": np.full(len(one), bucket, np.int64), "n": n[one].astype(np.int32),
+        "ctx": binary_array(data, np.concatenate([[0], np.cumsum(n[one] + WIDTH - 1)])), "places": binary_array(places.view(np.uint8) if len(places) else np.zeros(0, np.uint8), np.append(head, len(order)) * PLACE.itemsize)})
 
 
 def suffix_array(x: np.ndarray) -> np.ndarray:
@@ -299,11 +318,12 @@ def _strings(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return rows.view(f"S{WIDTH + 1}").ravel()
 
 
-def repeated_starts(ctx: list[bytes], starts: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
-    """For contexts in document order, with ``starts`` strings each: which starts have an equal string at an earlier start."""
+def repeated_starts(ctx: list[bytes], starts: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """For contexts in document order, with ``starts`` strings each: which starts, one after the other, have an equal string at an
+    earlier start."""
     size = np.array([len(c) for c in ctx], np.int64)
     seen: list[np.ndarray] = []  # sorted class strings of the blocks so far
-    out, lo = [], 0
+    out, lo = [np.zeros(0, bool)], 0
     while lo < len(ctx):
         hi = max(lo + 1, int(np.searchsorted(np.cumsum(size[lo:]), block, "right")) + lo)
         x = np.frombuffer(b"".join(ctx[lo:hi]), np.uint8)
@@ -320,47 +340,54 @@ def repeated_starts(ctx: list[bytes], starts: np.ndarray, block: int = BLOCK) ->
                 old[least[past[hit] == mine]] = True
             again |= old[first]
             seen.append(mine)
-        out += np.split(again, np.cumsum(n)[:-1])
+        out.append(again)
         lo = hi
-    return out
+    return np.concatenate(out)
 
 
-REPEATS = "bucket long, doc long, sub long, start long, n long, shard long, at long, text binary"
+REPEATS = "bucket long, doc long, sub int, row int, start int, n int, shard long, at long, text binary"
 
 
 def _shard_repeats(rows: pa.Table) -> pa.Table:
     """Repeated starts of a shard as runs. Classes of names that are dealt to several shards also come back: their first place
     and their string (``text``), in string order (``at``), for the merge."""
-    bucket, n, salts, gram = (rows.column(c).to_numpy() for c in ("bucket", "n", "salts", "gram"))
+    bucket, n, salts = rows.column("bucket").to_numpy(), rows.column("n").to_numpy().astype(np.int64), rows.column("salts").to_numpy()
     raw, at = text_bytes(rows.column("ctx"))
-    data = lambda i: raw[at[i] : at[i + 1]].tobytes()
-    first = same_bytes(rows.column("ident").to_numpy(), n, data)
-    doc, sub, start = (rows.column(c).combine_chunks() for c in ("doc", "sub", "start"))
-    of = np.repeat(np.arange(rows.num_rows), np.diff(doc.offsets.to_numpy()))
-    doc, sub, start = (c.flatten().to_numpy() for c in (doc, sub, start))
+    whole, cut = raw.tobytes(), at.tolist()
+    data = lambda i: whole[cut[i] : cut[i + 1]]
+    first = same_bytes(span_hashes(raw, at[:-1], at[1:]), n, data)
+    places, each = text_bytes(rows.column("places"))
+    of = np.repeat(np.arange(rows.num_rows), np.diff(each) // PLACE.itemsize)
+    places = np.frombuffer(places.tobytes(), PLACE)
     # all places in document order; the first of each context stands for it
-    order = np.lexsort((start, sub, doc))
-    of, doc, sub, start = of[order], doc[order], sub[order], start[order]
+    order = np.lexsort((places["start"], places["row"], bucket[of], places["sub"], places["doc"]))
+    of, places = of[order], places[order]
     _, lead = np.unique(first[of], return_index=True)
     lead = np.sort(lead)
     copy = np.ones(len(of), bool)
     copy[lead] = False
-    place, off, length = [np.flatnonzero(copy)], [np.zeros(int(copy.sum()), np.int64)], [n[of[copy]]]
-    heads: list[tuple] = []
-    for i, again in zip(lead.tolist(), repeated_starts([data(k) for k in of[lead].tolist()], n[of[lead]])):
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]]).astype(np.int8)))
-        if len(edge):
-            place.append(np.full(len(edge) // 2, i)), off.append(edge[::2]), length.append(edge[1::2] - edge[::2])
-        if salts[of[i]] > 1:
-            text = data(of[i])
-            heads += [(i, k, text[k : k + WIDTH]) for k in np.flatnonzero(~again).tolist()]
-    heads.sort(key=lambda h: h[2])
-    runs = sum(map(len, place))
-    i = np.concatenate([*place, np.array([h[0] for h in heads], np.int64)])
+    starts = n[of[lead]]
+    again = repeated_starts([data(k) for k in of[lead].tolist()], starts)
+    base = np.cumsum(starts) - starts
+    inner = np.ones(len(again) + 1, bool)  # whether a start belongs to the same context as the one before it
+    inner[base], inner[-1] = False, False
+    opens, closes = again.copy(), again.copy()
+    opens[1:] &= ~(again[:-1] & inner[1:-1])
+    closes[:-1] &= ~(again[1:] & inner[1:-1])
+    opens, closes = np.flatnonzero(opens), np.flatnonzero(closes)
+    run = np.searchsorted(base, opens, "right") - 1
+    alone = np.flatnonzero(~again & np.repeat(salts[of[lead]] > 1, starts))
+    mine = np.searchsorted(base, alone, "right") - 1
+    heads = sorted((data(of[lead[c]])[k : k + WIDTH], c, k) for c, k in zip(mine.tolist(), (alone - base[mine]).tolist()))
+    head_place, head_off = lead[np.array([c for _, c, _ in heads], np.int64)], np.array([k for _, _, k in heads], np.int64)
+    i = np.concatenate([np.flatnonzero(copy), lead[run], head_place])
+    off = np.concatenate([np.zeros(int(copy.sum()), np.int64), opens - base[run], head_off])
+    length = np.concatenate([n[of[copy]], closes - opens + 1, np.ones(len(heads), np.int64)])
+    runs = len(i) - len(heads)
     shard = rows.column("shard")[0].as_py() if rows.num_rows else 0
     return pa.table({
-        "bucket": bucket[of[i]], "doc": doc[i], "sub": sub[i], "start": start[i] + np.concatenate([*off, np.array([h[1] for h in heads], np.int64)]), "n": np.concatenate([*length, np.ones(len(heads), np.int64)]),
-        "shard": np.full(len(i), shard, np.int64), "at": np.arange(len(i)) - runs, "text": pa.array([None] * runs + [h[2] for h in heads], pa.binary())})
+        "bucket": bucket[of[i]], "doc": places["doc"][i], "sub": places["sub"][i].astype(np.int32), "row": places["row"][i], "start": (places["start"][i] + off).astype(np.int32), "n": length.astype(np.int32),
+        "shard": np.full(len(i), shard, np.int64), "at": np.arange(len(i)) - runs, "text": pa.array([None] * runs + [t for t, _, _ in heads], pa.binary())})
 
 
 def _merged_classes(rows: pa.Table) -> pa.Table:
@@ -369,7 +396,7 @@ def _merged_classes(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by([("shard", "ascending"), ("at", "ascending")])
     text = np.frombuffer(text_bytes(rows.column("text"))[0].tobytes(), f"S{WIDTH}") if rows.num_rows else np.zeros(0, f"S{WIDTH}")
     shard = rows.column("shard").to_numpy()
-    key = [rows.column(c).to_numpy() for c in ("doc", "sub", "start")]
+    key = [rows.column(c).to_numpy() for c in ("doc", "sub", "bucket", "row", "start")]
     rank = np.empty(len(shard), np.int64)
     rank[np.lexsort(key[::-1])] = np.arange(len(shard))
     gone = np.zeros(len(shard), bool)
@@ -385,32 +412,29 @@ def _merged_classes(rows: pa.Table) -> pa.Table:
         least[at[hit]] = np.where(later, old, new)
         known = np.insert(known, at[~hit], text[mine[~hit]])
         least = np.insert(least, at[~hit], mine[~hit])
-    return rows.filter(pa.array(gone)).select(["bucket", "doc", "sub", "start", "n"])
+    return rows.filter(pa.array(gone)).select(["bucket", "row", "start", "n"])
 
 
 def _removed(rows: pa.Table, repeats: pa.Table) -> pa.Table:
     """Texts of a bucket without the bytes that repeats cover."""
     b = Bucket(rows)
-    place = {(k, s): i for i, (k, s) in enumerate(zip(b.key.tolist(), b.sub.tolist()))}
-    mine: list[list[tuple[int, int]]] = [[] for _ in b.texts]
-    for doc, sub, start, n in zip(*(repeats.column(c).to_pylist() for c in ("doc", "sub", "start", "n"))):
-        mine[place[doc, sub]].append((start, start + n + WIDTH - 1))
-    out = []
-    for text, spans in zip(b.texts, mine):
-        merged: list[list[int]] = []
-        for lo, hi in sorted(spans):
-            if merged and lo <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], hi)
-            else:
-                merged.append([lo, hi])
-        kept, done = [], 0
-        for lo, hi in merged:
-            kept.append(text[done:lo])
-            done = hi
-        kept.append(text[done:])
-        out.append((len(text), sum(hi - lo for lo, hi in merged), len(merged), b"".join(kept)))
-    return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "n_bytes": pa.array([o[0] for o in out], pa.int64()), "n_removed": pa.array([o[1] for o in out], pa.int64()), "n_spans": pa.array([o[2] for o in out], pa.int64()),
-                     "kept_sha256": pa.array([hashlib.sha256(o[3]).hexdigest() for o in out], pa.string()), "kept": pa.array([o[3] for o in out], pa.binary())})
+    size = np.array([len(t) for t in b.texts], np.int64)
+    base = np.cumsum(size) - size
+    row, start, n = (repeats.column(c).to_numpy().astype(np.int64) for c in ("row", "start", "n"))
+    lo = base[row] + start
+    edge = np.zeros(size.sum() + 1, np.int32)
+    np.add.at(edge, lo, 1)
+    np.add.at(edge, lo + n + WIDTH - 1, -1)
+    gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+    opens = gone.copy()
+    opens[1:] &= ~gone[:-1]
+    opens[base[size > 0]] = gone[base[size > 0]]  # no run goes on into the next text
+    removed, spans = (np.diff(np.concatenate([[0], np.cumsum(v)])[np.append(base, size.sum())]) for v in (gone, opens))
+    kept = np.frombuffer(b"".join(b.texts), np.uint8)[~gone].tobytes()
+    at = np.concatenate([[0], np.cumsum(size - removed)]).tolist()
+    kept = [kept[a:z] for a, z in zip(at[:-1], at[1:])]
+    return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "n_bytes": size, "n_removed": removed, "n_spans": spans,
+                     "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string()), "kept": pa.array(kept, pa.binary())})
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -426,9 +450,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contexts = packed.groupBy("bucket").cogroup(names.groupBy("bucket")).applyInArrow(_repeated_contexts, CONTEXTS)
     salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("bucket"), "salts")).otherwise(F.lit(0))
     dealt = contexts.withColumn("shard", F.pmod(F.xxhash64("name", salt), F.lit(SHARDS * buckets)))
-    found = materialize(dealt.groupBy("shard").applyInArrow(_shard_repeats, REPEATS), "repeats")
-    place = ["bucket", "doc", "sub", "start", "n"]
+    found = materialize(dealt.drop("name").groupBy("shard").applyInArrow(_shard_repeats, REPEATS), "repeats")
+    place = ["bucket", "row", "start", "n"]
     split = found.where("text is not null").withColumn("part", F.pmod(F.xxhash64("text"), F.lit(SHARDS * buckets)))
-    later = split.groupBy("part").applyInArrow(_merged_classes, "bucket long, doc long, sub long, start long, n long")
+    later = split.groupBy("part").applyInArrow(_merged_classes, "bucket long, row int, start int, n int")
     repeats = found.where("text is null").select(*place).unionByName(later)
     return packed.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -156,7 +156,7 @@ def test_blocks_meet_by_binary_search(block):
     passage = bytes(rng.integers(97, 123, 160).astype(np.uint8))
     ctx = [bytes(rng.integers(97, 123, 20).astype(np.uint8)) + passage for _ in range(5)]
     starts = np.array([len(c) - 99 for c in ctx])
-    got = suffix_dedup.repeated_starts(ctx, starts, block)
+    got = np.split(suffix_dedup.repeated_starts(ctx, starts, block), np.cumsum(starts)[:-1])
     seen = set()
     for c, n, flags in zip(ctx, starts, got):
         want = []
@@ -204,9 +204,9 @@ def test_classes_of_shards_merge():
     rows = []
     for shard in (5, 2, 9):
         mine = sorted(pool[i] for i in rng.choice(len(pool), 18, replace=False))
-        rows += [{"bucket": 0, "doc": int(d), "sub": 0, "start": 0, "n": 1, "shard": shard, "at": k, "text": t} for k, (t, d) in enumerate(zip(mine, rng.integers(0, 1 << 40, 18)))]
+        rows += [{"bucket": 0, "doc": int(d), "sub": 0, "row": int(d), "start": 0, "n": 1, "shard": shard, "at": k, "text": t} for k, (t, d) in enumerate(zip(mine, rng.integers(0, 1 << 40, 18)))]
     first = {}
     for r in rows:
         first[r["text"]] = min(first.get(r["text"], r["doc"]), r["doc"])
-    got = suffix_dedup._merged_classes(pa.Table.from_pylist(rows, pa.schema([(c, pa.int64()) for c in ("bucket", "doc", "sub", "start", "n", "shard", "at")] + [("text", pa.binary())])))
-    assert sorted(got.column("doc").to_pylist()) == sorted(r["doc"] for r in rows if r["doc"] != first[r["text"]])
+    got = suffix_dedup._merged_classes(pa.Table.from_pylist(rows, pa.schema([(c, pa.int64()) for c in ("bucket", "doc", "sub", "row", "start", "n", "shard", "at")] + [("text", pa.binary())])))
+    assert sorted(got.column("row").to_pylist()) == sorted(r["doc"] for r in rows if r["doc"] != first[r["text"]])
