@@ -53,13 +53,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 ROW_GROUP = 16 << 20
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, by: str | None = None, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors. ``by``: a column with a
+    folder for each of its few values, so that a filter on it reads only its rows."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    writer = df.write.option("parquet.block.size", ROW_GROUP).option("compression", compression)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def count_level(n: Column) -> Column:
+    """Eight steps for each power of two: levels by which the most frequent entries are chosen."""
+    return F.floor(F.log2(n) * 8).cast("int")
+
+
+def least_level(sizes: dict[int, int], most: int) -> int:
+    """The least level from which on there are no more than ``most`` entries; ``sizes`` has the entries of each level."""
+    least = max(sizes, default=0) + 1
+    for level in sorted(sizes, reverse=True):
+        most -= sizes[level]
+        if most < 0:
+            break
+        least = level
+    return least
+
+
 #: Rows and bytes of text that a Python worker gets at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 

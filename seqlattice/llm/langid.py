@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlattice.llm.common import batches_of, materialize, span_hashes, text_bytes, text_rows
+from seqlattice.llm.common import batches_of, count_level, least_level, materialize, span_hashes, text_bytes, text_rows
 
 #: Words, and n-grams of each length, that every worker holds: the most frequent ones.
 HELD = 1 << 18
@@ -49,7 +49,7 @@ class LanguageModel:
         keys, word = gram_hashes(words, length)
         at, hit = self.look(length, keys)
         hits = np.bincount(word[hit], minlength=len(words))
-        sums = np.stack([np.bincount(word[hit], self.held[length][1][at[hit], j], len(words)) for j in range(len(self.languages))], axis=1) if len(self.languages) else np.zeros((len(words), 0))
+        sums = np.stack([np.bincount(word[hit], self.held[length][1][at[hit], j], len(words)) for j in range(len(self.languages))], axis=1).astype(np.float64) if len(self.languages) else np.zeros((len(words), 0))
         return hits, sums, keys[~hit], word[~hit]
 
     def word_scores(self, words: pa.Array) -> np.ndarray:
@@ -154,11 +154,6 @@ def unit_counts(counts: DataFrame, languages: list[str]) -> DataFrame:
     return out.groupBy("length", "h").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def _level(n: Column) -> Column:
-    """Eight steps for each power of two."""
-    return F.floor(F.log2(n) * 8).cast("int")
-
-
 def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", held: int = HELD) -> LanguageModel:
     """Count the words and n-grams of every row with a language and a text. Other rows teach nothing; repeated rows count each
     time; an empty table gives a model without languages."""
@@ -171,19 +166,13 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", held:
     units = materialize(unit_counts(counts, languages), "unit-counts")
     both = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     # a few hundred rows: how many units of each length have how high a count
-    steps = units.groupBy("length", _level(both).alias("level")).agg(F.count("*").alias("units"), *[F.sum(n).alias(n) for n in names]).collect()
+    steps = units.groupBy("length", count_level(both).alias("level")).agg(F.count("*").alias("units"), *[F.sum(n).alias(n) for n in names]).collect()
     bases, least = [], []
     for length in range(LONGEST + 1):
-        mine = sorted((r for r in steps if r["length"] == length), key=lambda r: -r["level"])
+        mine = [r for r in steps if r["length"] == length]
         bases.append(np.array([sum(r[n] for r in mine) for n in names]) + SMOOTH * max(1, sum(r["units"] for r in mine)))
-        room, level = held, (mine[0]["level"] + 1 if mine else 0)
-        for r in mine:
-            room -= r["units"]
-            if room < 0:
-                break
-            level = r["level"]
-        least.append(level)
-    sent = _level(both) >= F.element_at(F.array(*map(F.lit, least)), F.col("length") + 1)
+        least.append(least_level({r["level"]: r["units"] for r in mine}, held))
+    sent = count_level(both) >= F.element_at(F.array(*map(F.lit, least)), F.col("length") + 1)
     near = units.where(sent).select("length", "h", *names).toArrow()  # at most ``held`` of each length
     tables = []
     for length, base in enumerate(bases):

@@ -165,12 +165,13 @@ def test_base_scores_and_model(small):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_forward_and_counts_equal_enumeration():
+@pytest.mark.parametrize("size", [1024, 2, 1])
+def test_forward_and_counts_equal_enumeration(size):
     rng = np.random.default_rng(0)
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
     model = lm_scoring.Model(norm(rng.random(2), 0), norm(rng.random((2, 2)), 1), norm(rng.random((3, 2)), 0))
-    codes, starts, lengths = np.array([0, 2, 1, 2, 1]), np.array([0, 3]), np.array([3, 2])
-    s, m, e = lm_scoring.expected_counts(codes, starts, lengths, model)
+    codes, starts, lengths = np.array([0, 2, 1, 2, 1, 1, 0, 2, 2, 0, 1]), np.array([0, 3, 4]), np.array([3, 1, 7])
+    s, m, e = lm_scoring.expected_counts(codes, starts, lengths, model, size)
     want_s, want_m, want_e, likes = np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2)), []
     for a, n in zip(starts, lengths):
         paths = [([b >> k & 1 for k in range(n)]) for b in range(1 << n)]
@@ -183,10 +184,44 @@ def test_forward_and_counts_equal_enumeration():
                 want_e[codes[a + k], p[k]] += x
             for k in range(n - 1):
                 want_m[p[k], p[k + 1]] += x
-    assert np.allclose(lm_scoring.log_likelihoods(codes, starts, lengths, model), likes)
+    assert np.allclose(lm_scoring.log_likelihoods(model.emit, codes, starts, lengths, model, size), likes)
     assert np.allclose(s, want_s, atol=1e-5) and np.allclose(m, want_m, atol=1e-5) and np.allclose(e, want_e, atol=1e-5)
 
 
+@pytest.mark.parametrize("frequent,held", [(lm_scoring.FREQUENT, lm_scoring.HELD), (50, 400), (0, 0)])
+def test_scores_equal_a_plain_forward_pass(small, frequent, held):
+    docs = small.where("doc_id < 90").select("doc_id", "text", (F.col("doc_id") % 7 == 2).alias("held_out"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    vocab = lm_scoring.vocabulary(docs, frequent, held)
+    rows = lm_scoring.encoded(docs, vocab)
+    model = lm_scoring.word_model(rows, vocab, lm_scoring.train(rows, vocab, 3))
+    counts = {r["h"] % (1 << 64): model.counts_of(np.array([r["n"]]), [np.array([r["p0"]])])[0] for r in model.rest.collect()}
+    assert len(counts) + len(vocab.keys) == vocab.distinct
+    emit = {h: model.emissions(c) for h, c in counts.items()} | dict(zip(vocab.words.tolist(), model.emit))
+    mass = sum(emit.values()) + model.unseen
+    assert np.allclose(mass, 1, atol=1e-3)  # each state's emissions add up to one
+    count = Counter(h for i, t in texts.items() if i % 7 != 2 for h in lm_scoring.word_hashes(pa.array([t]))[0].tolist())
+    assert count.keys() == emit.keys() and all(abs(c.sum() - count[h]) < 0.05 + 0.01 * count[h] for h, c in counts.items())
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(rows, model).collect()}
+    assert len(got) == len(texts)
+    for i, t in texts.items():
+        state, total = None, 0.0
+        for h in lm_scoring.word_hashes(pa.array([t]))[0].tolist():
+            state = (model.start if state is None else state @ model.move) * emit.get(h, model.unseen)
+            total += math.log10(state.sum())
+            state = state / state.sum()
+        assert got[i] == pytest.approx(total, rel=1e-9, abs=1e-6)
+
+
+def test_a_repeated_table_gives_the_same_vocabulary_and_like_scores(small):
+    docs = small.where("doc_id < 60").select("doc_id", "text", F.lit(False).alias("held_out"))
+    twice = docs.unionByName(docs)
+    one, two = (lm_scoring.vocabulary(d, 40, 300) for d in (docs, twice))
+    assert one.keys.tolist() == two.keys.tolist() and one.codes.tolist() == two.codes.tolist() and two.tokens == 2 * one.tokens and two.distinct == one.distinct
+    per_token = [{r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_scoring.language_model_scores(d, F.lit(False), states=2, frequent=40, held=300).collect()} for d in (docs, twice)]
+    assert np.mean([abs(per_token[0][i] - per_token[1][i]) for i in per_token[0]]) < 0.35
+
+
 def test_language_model_edges(edge, nothing):
     rows = lm_scoring.language_model_scores(edge, F.col("doc_id") % 7 == 2, states=3).collect()
     assert len(rows) == edge.count() and all(math.isfinite(r["score"]) for r in rows)
