@@ -36,7 +36,7 @@ PIECE, BLOCK, HOT = 1 << 20, 4 << 20, 50_000
 #: Shards for each bucket.
 SHARDS = 4
 #: Bytes of text whose names are counted together before they meet the others.
-COUNTED = 64 << 20
+COUNTED = 16 << 20
 #: Where a context stands: document, first start, row in its bucket, and an order of documents with the same id.
 PLACE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("row", "<i4"), ("sub", "<u2")])
 #: Hot names whose list is sent to all executors; beyond it the list is joined by a shuffle.
