@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlattice.llm.common import WORD, materialize
+from seqlattice.llm.common import SPACE, WORD, materialize
 
 #: Weights and schedule shapes of the production mix, dealt to the sources in turn.
 WEIGHTS = (5, 2, 1)
@@ -115,16 +115,30 @@ def curriculum_mix(docs: DataFrame, weights=WEIGHTS, shapes=SHAPES, share: float
 
 
 def training_order(mixed: DataFrame, position: str = "position") -> DataFrame:
-    """Rows range-sorted by training position; partition files follow each other in reading order."""
+    """Rows range-sorted by training position; partition files follow each other in reading order. Nulls come first, rows of one
+    position go by id; an empty table gives no rows."""
     return mixed.repartitionByRange(F.col(position), F.col("doc_id")).sortWithinPartitions(position, "doc_id")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows, with all their columns, once for every pass in which the mix reads them; unread ones go.
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"{SPACE}*{WORD}"), F.lit(0)), F.lit(1), n.cast("int")), "")
 
-    Rows of one id get the most passes that any of them has.
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+    """The rows, with all their columns, once for every pass in which the mix reads them, in training order; unread ones go.
+
+    The pass that a source's target ends in has the text only as far as it is read, and the length of that in ``chars_col`` if
+    there is such a column. Rows of one id are read as that of them which is read most. Rows with null ids are read as one.
+    Documents without words, null and empty ones too, are not read. An empty table gives no rows. Written files hold the rows
+    in training order, one file after the other.
     """
-    mixed = curriculum_mix(docs, id_col=id_col, **options)
-    passes = mixed.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max(F.size("positions")).alias("passes")).where("passes > 0")
-    each = passes.select("mixed_id", F.explode(F.sequence(F.lit(1), F.col("passes"))))
-    return docs.join(each, docs[id_col].cast("long").eqNullSafe(each["mixed_id"])).select(*[docs[c] for c in docs.columns])
+    mixed = curriculum_mix(docs, id_col=id_col, text_col=text_col, **options)
+    passes = mixed.groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.max_by(F.struct("positions", "size", "taken"), F.struct(F.size("positions"), "taken", "positions")).alias("_read"))
+    each = passes.select("_mixed_id", F.col("_read.size").alias("_size"), F.col("_read.taken").alias("_taken"), F.posexplode("_read.positions").alias("_pass", "_position"))
+    words = F.least(F.col("_taken") - F.col("_pass") * F.col("_size"), F.col("_size"))
+    joined = docs.join(each, docs[id_col].cast("long").eqNullSafe(each["_mixed_id"]))
+    text = F.when(words < F.col("_size"), first_words(docs[text_col], words)).otherwise(docs[text_col])
+    cut = {text_col: text} | ({chars_col: F.when(words < F.col("_size"), F.length(text)).otherwise(docs[chars_col]).cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
+    read = joined.select(*[cut.get(c, docs[c]).alias(c) for c in docs.columns], "_position", F.col("_mixed_id"))
+    return read.repartitionByRange("_position", "_mixed_id").sortWithinPartitions("_position", "_mixed_id").drop("_position", "_mixed_id")

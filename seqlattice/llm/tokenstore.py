@@ -3,7 +3,7 @@
 A store is a folder of three Parquet tables, so that Spark's committer makes the write atomic on any file system:
 
 * ``dictionary``: one row (dict_hash, dictionary), the dictionary trained on serialized id arrays of a bounded sample;
-* ``blocks``: rows of consecutive documents in ascending id order. ``payload`` holds their zstandard frames end to end,
+* ``blocks``: rows of consecutive documents, in ascending id order or in the order of the files that they come from. ``payload`` holds their zstandard frames end to end,
   ``frame_at`` (u64, one more than documents) is the offset index into it, ``doc_ids`` (i64) and ``token_at`` (u64) tell
   which document a frame is and how many ids of the block come before it; ``dict_hash`` names the dictionary;
 * ``parts``: for each range part, the number of ids before it.
@@ -254,20 +254,26 @@ def dictionary_hash(dictionary: bytes) -> str:
     return hashlib.sha256(dictionary).hexdigest()[:16]
 
 
-def _encoded(docs: DataFrame, tokenizer_path: str, dictionary: bytes, id_col: str, text_col: str) -> DataFrame:
-    width = _width(tokenizer_path)
+def file_order(docs: DataFrame) -> list[Column]:
+    """Columns that sort documents read from Parquet files as they stand there: number of the part file, row in it."""
+    return [F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).cast("long"), F.col("_metadata.row_index")]
+
+
+def _encoded(docs: DataFrame, tokenizer_path: str, dictionary: bytes, id_col: str, text_col: str, order: list[Column]) -> DataFrame:
+    width, keys = _width(tokenizer_path), [f"key{i}" for i in range(len(order))]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         for b in batches_of(batches, "text", 2 << 20):
             ids = encode_texts(b.column("text"), tokenizer_path)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column("doc_id"),
+                **{c: b.column(c) for c in ("doc_id", *keys)},
                 "n": pa.array([len(x) for x in ids], pa.int64()),
                 "frame": pa.array([press.compress(x.astype(f"<u{width}").tobytes()) for x in ids], pa.binary()),
             })
 
-    return text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, n long, frame binary")
+    rows = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), *[c.cast("long").alias(k) for c, k in zip(order, keys)], F.col(text_col).alias("text"))
+    return rows.mapInArrow(encode, "doc_id long, " + "".join(f"{k} long, " for k in keys) + "n long, frame binary")
 
 
 def _blocks(width: int, dict_hash: str):
@@ -279,7 +285,7 @@ def _blocks(width: int, dict_hash: str):
 
         def block() -> pa.RecordBatch:
             known = [i for i in ids if i is not None]
-            row = [part, known[0] if known else None, known[-1] if known else None, len(ids), sum(counts), before, width, dict_hash,
+            row = [part, min(known, default=None), max(known, default=None), len(ids), sum(counts), before, width, dict_hash,
                    np.array([0 if i is None else i for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids], "u1").tobytes(),
                    np.cumsum([0, *counts]).astype("<u8").tobytes(), np.cumsum([0, *map(len, frames)]).astype("<u8").tobytes(), b"".join(frames)]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), *[pa.binary()] * 5]
@@ -302,8 +308,8 @@ def _blocks(width: int, dict_hash: str):
 BLOCK_SCHEMA = "part int, first_doc long, last_doc long, n_docs long, n_tokens long, part_tokens_before long, width int, dict_hash string, doc_ids binary, has_id binary, token_at binary, frame_at binary, payload binary"
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Encode every document and write the store in ascending id order; returns ``path``.
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", order: list[Column] | None = None) -> str:
+    """Encode every document and write the store in ascending id order, or in that of ``order`` (whole numbers); returns ``path``.
 
     Null or empty text: only the end id. Null ids come first. Rows of one id stay separate documents, ordered by their
     number of ids, then a hash of their frames. An empty table makes a store without blocks.
@@ -312,9 +318,10 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     dictionary = train_dictionary(docs, tokenizer_path, id_col, text_col)
     name = dictionary_hash(dictionary)
     spark.createDataFrame([(name, bytearray(dictionary))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    frames = materialize(_encoded(docs, tokenizer_path, dictionary, id_col, text_col), "frames")  # else the range sampling would encode twice
+    frames = materialize(_encoded(docs, tokenizer_path, dictionary, id_col, text_col, order or []), "frames")  # else the range sampling would encode twice
     # the sampled range keys reach the driver: a hash stands for the frame
-    ordered = frames.withColumn("h", F.xxhash64("frame")).repartitionByRange("doc_id", "n", "h").sortWithinPartitions("doc_id", "n", "h", "frame").drop("h")
+    keys = [f"key{i}" for i in range(len(order or []))]
+    ordered = frames.withColumn("h", F.xxhash64("frame")).repartitionByRange(*keys, "doc_id", "n", "h").sortWithinPartitions(*keys, "doc_id", "n", "h", "frame").drop("h", *keys)
     ordered.mapInArrow(_blocks(_width(tokenizer_path), name), BLOCK_SCHEMA).write.parquet(f"{path}/blocks", compression="uncompressed")
     parts = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     # one row per range part
@@ -353,7 +360,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
-    """Ids of the document (one list per row of that id): block statistics prune the scan, the index finds its frame."""
+    """Ids of the document (one list per row of that id, in their order): block statistics prune the scan, the index finds its
+    frame. An id that isn't there gives no list; rows without an id can't be asked for."""
     dictionary = bytes(spark.read.schema("dict_hash string, dictionary binary").parquet(f"{path}/dictionary").head()["dictionary"])
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
     out = []
@@ -366,7 +374,7 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
     return out
 
 
-def token_files(docs: DataFrame, tokenizer_path: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the store and read it back."""
+def token_files(docs: DataFrame, tokenizer_path: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", order: list[Column] | None = None) -> DataFrame:
+    """Write the store and read it back (see ``write_store``)."""
     path = path or scratch_path(docs.sparkSession, "token-store")
-    return read_store(docs.sparkSession, write_store(docs, path, tokenizer_path, id_col, text_col))
+    return read_store(docs.sparkSession, write_store(docs, path, tokenizer_path, id_col, text_col, order))
