@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality, near duplicates, decontamination, mixing, token files."""
+"""The corpus pipeline: quality, near duplicates, decontamination, mixing, token files.
+
+Rows without an id, a text or a source pass like others: an empty text scores the share of good documents, is no copy, holds no
+test item, is read by no pass of the mix. Rows of one id stay or go together as copies and are mixed as one. An empty table gives
+an empty result after every stage. Columns beyond those of documents go through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -29,13 +34,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix reads them."""
+    """Documents as often as the mix reads them, in training order; a document that its source's target cuts ends there."""
     return mixing.mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the token files hold of each document."""
-    return tokenstore.token_files(docs, tokenizer_path()).drop("ids")
+    """What the token files hold of each document, in the order in which the mixing stage wrote them."""
+    return tokenstore.token_files(docs, tokenizer_path(), order=tokenstore.file_order(docs)).drop("ids")
 
 
 STAGES = [
