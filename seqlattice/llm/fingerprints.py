@@ -233,17 +233,15 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col("keys").alias("a"), paragraph_digests(F.col("edited")).alias("e"), F.col("next_keys").alias("n"),
     )
     sketched = keyed.select("*", *[sketch(F.col(k), width).alias(f"s{k}") for k in ("a", "e", "n")])
-    stalled = lambda near, k: F.when(F.col(near).isNull(), F.col(k)).alias(k)
-    first = sketched.select(
-        "doc_id", "n_chars", "edited_sha256",
-        fingerprint_text(F.col("sa"), F.size("a")).alias("fingerprint"), fingerprint_text(F.col("se"), F.size("e")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("sa"), F.col("e"), F.col("se")).alias("near_edited"),
-        likeness(F.col("a"), F.col("sa"), F.col("n"), F.col("sn")).alias("near_next"), "a", "e", "n",
-    )
-    kept = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    first = materialize(first.select(*kept, "a", stalled("near_edited", "e"), stalled("near_next", "n")).withColumn("row", F.monotonically_increasing_id()), "versions")
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("e").alias("b")), F.struct(F.lit(1).alias("side"), F.col("n").alias("b")))
+    near = [likeness(F.col("a"), F.col("sa"), F.col(k), F.col(f"s{k}")).alias(name) for k, name in (("e", "near_edited"), ("n", "near_next"))]
+    # digests are written, not the fingerprints, which take several times their room
+    first = materialize(sketched.select("doc_id", "n_chars", "edited_sha256", "a", "e", "n", *near).withColumn("row", F.monotonically_increasing_id()), "versions")
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.when(F.col(c).isNull(), F.col(k)).alias("b")) for i, (c, k) in enumerate((("near_edited", "e"), ("near_next", "n")))])
     pairs = first.select("row", "a", F.explode(sides).alias("v")).where("v.b is not null").select((F.col("row") * 2 + F.col("v.side")).alias("pair"), "a", F.col("v.b").alias("b"))
     found = differences(pairs, digests=False).select(F.shiftright("pair", 1).alias("row"), F.when(F.col("pair") % 2 == 0, F.col("likeness")).alias("l0"), F.when(F.col("pair") % 2 == 1, F.col("likeness")).alias("l1"))
     found = found.groupBy("row").agg(F.max("l0").alias("l0"), F.max("l1").alias("l1"))
-    return first.select("row", *kept).join(found, "row", "left").select(*kept[:5], F.coalesce("near_edited", "l0").alias("near_edited"), F.coalesce("near_next", "l1").alias("near_next"))
+    return first.drop("n").join(found, "row", "left").select(
+        "doc_id", "n_chars", "edited_sha256",
+        *[fingerprint_text(sketch(F.col(k), width), F.size(k)).alias(name) for k, name in (("a", "fingerprint"), ("e", "edited_fingerprint"))],
+        F.coalesce("near_edited", "l0").alias("near_edited"), F.coalesce("near_next", "l1").alias("near_next"),
+    )
