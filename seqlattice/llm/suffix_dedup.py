@@ -34,7 +34,7 @@ BUCKET_ROWS, BUCKET_BYTES = 4000, 12 << 20
 #: Bytes that are named at once, bytes of a block with a suffix array of its own, places of a name in one shard.
 PIECE, BLOCK, HOT = 1 << 20, 4 << 20, 50_000
 #: Shards for each bucket.
-SHARDS = 4
+SHARDS = 8
 #: Bytes of text whose names are counted together before they meet the others.
 COUNTED = 16 << 20
 #: Where a context stands: document, first start, row in its bucket, and an order of documents with the same id.
@@ -421,18 +421,21 @@ def _removed(rows: pa.Table, repeats: pa.Table) -> pa.Table:
     size = np.array([len(t) for t in b.texts], np.int64)
     base = np.cumsum(size) - size
     row, start, n = (repeats.column(c).to_numpy().astype(np.int64) for c in ("row", "start", "n"))
-    lo = base[row] + start
-    edge = np.zeros(size.sum() + 1, np.int32)
-    np.add.at(edge, lo, 1)
-    np.add.at(edge, lo + n + WIDTH - 1, -1)
-    gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
-    opens = gone.copy()
-    opens[1:] &= ~gone[:-1]
-    opens[base[size > 0]] = gone[base[size > 0]]  # no run goes on into the next text
-    removed, spans = (np.diff(np.concatenate([[0], np.cumsum(v)])[np.append(base, size.sum())]) for v in (gone, opens))
-    kept = np.frombuffer(b"".join(b.texts), np.uint8)[~gone].tobytes()
-    at = np.concatenate([[0], np.cumsum(size - removed)]).tolist()
-    kept = [kept[a:z] for a, z in zip(at[:-1], at[1:])]
+    lo, hi = base[row] + start, base[row] + start + n + WIDTH - 1
+    order = np.argsort(lo, kind="stable")
+    row, lo, hi = row[order], lo[order], hi[order]
+    # runs that meet are one, but for the end of a text
+    new = np.ones(len(lo), bool)
+    new[1:] = (lo[1:] > np.maximum.accumulate(hi)[:-1]) | (row[1:] != row[:-1])
+    head = np.flatnonzero(new)
+    row, lo, hi = row[head], lo[head], np.maximum.reduceat(hi, head) if len(head) else hi
+    spans, removed = (np.bincount(row, w, len(size)).astype(np.int64) for w in (None, hi - lo))
+    kept: list[list[bytes]] = [[] for _ in b.texts]
+    done = [0] * len(b.texts)
+    for r, a, z in zip(row.tolist(), (lo - base[row]).tolist(), (hi - base[row]).tolist()):
+        kept[r].append(b.texts[r][done[r] : a])
+        done[r] = z
+    kept = [b"".join([*k, t[d:]]) for k, t, d in zip(kept, b.texts, done)]
     return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "n_bytes": size, "n_removed": removed, "n_spans": spans,
                      "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string()), "kept": pa.array(kept, pa.binary())})
 
