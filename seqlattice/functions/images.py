@@ -22,15 +22,12 @@ def image_entries(input_images: Column, output_images: Column) -> Column:
     return F.filter(F.concat(F.coalesce(input_images, none), F.coalesce(output_images, none)), lambda e: e["id"].isNotNull() & e["path"].isNotNull())
 
 
-def _last_path(entries: Column, image_id: Column) -> Column:
-    return F.try_element_at(F.filter(entries, lambda e: e["id"] == image_id), F.lit(-1))["path"]
-
-
 def image_map(input_images: Column, output_images: Column) -> Column:
     """Map id -> path. Of entries with one id the last wins, so output images replace input images."""
-    entries = image_entries(input_images, output_images)
-    ids = F.array_distinct(F.transform(entries, lambda e: e["id"]))
-    return F.map_from_arrays(ids, F.transform(ids, lambda i: _last_path(entries, i)))
+    placed = F.transform(image_entries(input_images, output_images), lambda e, i: F.struct(e["id"].alias("id"), (-i).alias("back"), e["path"].alias("path")))
+    # sorted by id, the last entry of each id comes first
+    last = F.transform(F.array(F.array_sort(placed)), lambda s: F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1)["id"] != e["id"])))
+    return F.map_from_entries(F.transform(F.element_at(last, 1), lambda e: F.struct(e["id"], e["path"])))
 
 
 def resolve_images(tokens: Column, images: Column, on_missing: str = "skip") -> Column:

@@ -31,5 +31,7 @@ def safe_name(name: Column) -> Column:
     return F.when(F.coalesce(strip(name), F.lit("")) == "", F.lit(NO_NAME)).otherwise(cleaned)
 
 
-def output_path(root: str, benchmark: Column, index: Column) -> Column:
-    return F.concat(F.lit(root.rstrip("/") + "/"), safe_name(benchmark), F.format_string("/sample_%06d.png", index.cast("long")))
+def output_path(root: str, benchmark: Column, index: Column, rank: Column | None = None, pid: Column | None = None) -> Column:
+    """The picture file of a sample; with ``rank`` and ``pid`` in the form of the benchmark adapter, whose processes count alone."""
+    name = F.format_string("/sample_%06d.png", index.cast("long")) if rank is None else F.format_string("/sample_%08d_rank%d_pid%d.png", index.cast("long"), rank.cast("long"), pid.cast("long"))
+    return F.concat(F.lit(root.rstrip("/") + "/"), safe_name(benchmark), name)

@@ -70,16 +70,17 @@ def budget_column(x: Column, rule: Rule) -> Column:
 def budget_for_tsim(df: DataFrame, table: DataFrame, value: str = "tsim") -> DataFrame:
     """``df`` with ``scheme`` and ``budget`` for every scheme of an interval table, by a range join.
 
-    The table is a handful of rows a scheme: it is sent to all executors if it has at most 10,000 rows.
+    The table is a handful of rows a scheme and is sent to all executors; more than 10,000 rows are an error.
     """
+    if table.count() > 10_000:
+        raise ValueError("too many intervals to send to every task")
     by = Window.partitionBy("scheme").orderBy("left")
     all_of = Window.partitionBy("scheme")
     t = table.withColumn("i", F.row_number().over(by)).withColumn("n", F.count("*").over(all_of))
     t = t.withColumn("low", F.first("left").over(by)).withColumn("lowest", F.first("budget").over(by)).withColumn("rest", F.max_by("budget", "left").over(all_of))
     x = F.col(value)
     per_scheme = t.groupBy("scheme").agg(F.array_sort(F.collect_list(F.struct("i", "n", "left", "right", "budget"))).alias("iv"), F.first("low").alias("low"), F.first("lowest").alias("lowest"), F.first("rest").alias("rest"))
-    small = table.count() <= 10_000
-    joined = df.crossJoin(F.broadcast(per_scheme) if small else per_scheme)
+    joined = df.crossJoin(F.broadcast(per_scheme))
     hit = F.try_element_at(F.filter("iv", lambda v: (x >= v["left"]) & F.when(v["i"] < v["n"], x < v["right"]).otherwise(x <= v["right"])), F.lit(1))["budget"]
     return joined.withColumn("budget", F.coalesce(hit, F.when(x < F.col("low"), F.col("lowest")).otherwise(F.col("rest")))).drop("iv", "low", "lowest", "rest")
 

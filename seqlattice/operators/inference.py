@@ -98,10 +98,11 @@ def validate_samples(samples: DataFrame) -> DataFrame:
     return sample_checks(samples).select(flags).groupBy("f.rule").agg(F.count_if(F.col("f.broken")).alias("violations"))
 
 
-def assemble_chain(first: Column, rest: Column, rest_counts: Column, generated: Column) -> Column:
+def assemble_chain(first: Column, rest: Column, rest_counts: Column, generated: Column, strict: bool = True) -> Column:
     """struct(first, later, n_images, counts): input and generated codes as one chain; empty generated images are left out.
 
-    With input codes all generated images come later; without, the first generated one leads. No codes at all: null.
+    With input codes all generated images come later; without, the first generated one leads. No codes at all: an error, or with
+    ``strict=False`` null.
     """
     made = F.filter(F.coalesce(generated, F.array().cast("array<array<int>>")), lambda g: F.size(g) > 0)
     given = F.coalesce(F.size(first), F.lit(0)) > 0
@@ -112,7 +113,8 @@ def assemble_chain(first: Column, rest: Column, rest_counts: Column, generated:
     with_input = F.struct(first.alias("first"), F.concat(F.when(has_rest, rest).otherwise(none), F.flatten(made)).alias("later"),
                           (F.when(has_rest, F.size(rest_counts)).otherwise(F.lit(0)) + F.size(made) + 1).alias("n_images"), F.concat(F.when(has_rest, rest_counts).otherwise(none), sizes(made)).alias("counts"))
     without = F.struct(F.try_element_at(made, F.lit(1)).alias("first"), F.flatten(tail).alias("later"), F.size(made).alias("n_images"), sizes(tail).alias("counts"))
-    return F.when(given, with_input).when(F.size(made) > 0, without)
+    chain = F.when(given, with_input).when(F.size(made) > 0, without)
+    return chain.otherwise(F.raise_error(F.lit("no codes to decode")).cast("struct<first:array<int>,later:array<int>,n_images:int,counts:array<int>>")) if strict else chain
 
 
 def batch_generate(samples: DataFrame, model: Callable[[], Callable[[dict], dict]], out_schema: T.StructType) -> DataFrame:

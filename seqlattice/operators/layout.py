@@ -16,6 +16,16 @@ def position_in_sequence(images: DataFrame, seq: str = "seq_id", order: str = "o
     return images.withColumn("pos", pos).withColumn("is_first", F.col("pos") == 0)
 
 
+def split_first_rest(codes: Column, n_images: Column, per_image: int) -> Column:
+    """struct(first, rest) of the codes of several sequences end to end, ``per_image`` codes an image: those of each sequence's
+    first image, and those of all later ones. ``n_images`` are the sequences' numbers of images; other lengths are an error."""
+    total = F.aggregate(n_images, F.lit(0), lambda a, n: a + n.cast("int"))
+    starts = F.transform(F.slice(offsets_of(n_images), F.lit(1), F.size(n_images)), lambda o: o * per_image)
+    cut = lambda skip, take: F.flatten(F.zip_with(starts, n_images, lambda o, n: F.slice(codes, o + 1 + skip, F.greatest(take(n), F.lit(0)))))
+    split = F.struct(cut(0, lambda n: F.least(n.cast("int"), F.lit(1)) * per_image).alias("first"), cut(per_image, lambda n: (n.cast("int") - 1) * per_image).alias("rest"))
+    return F.when(F.size(codes) == total * per_image, split).otherwise(F.raise_error(F.lit("codes and images differ in number")).cast("struct<first:array<int>,rest:array<int>>"))
+
+
 def segment_offsets(images: DataFrame, length: str = "n", by: list[str] | None = None, order: str = "pos") -> DataFrame:
     """``images`` with ``start`` (lengths before it) and ``end``."""
     w = Window.partitionBy(*(by or ["seq_id"])).orderBy(order)
@@ -106,8 +116,9 @@ def image_plan(sizes: DataFrame, target_h: int, target_w: int, size: int) -> Dat
     wide, tall = now > ratio, now < ratio
     crop_w, crop_h = F.when(wide, cut_w).otherwise(F.col("w")), F.when(tall, cut_h).otherwise(F.col("h"))
     half = lambda x: F.floor(x / 2).cast("int")
+    # an int has 31 bits, so 31 halvings are enough for any side
     pad_w, pad_h = F.when(tall, cut_w - F.col("w")).otherwise(F.lit(0)), F.when(tall, F.lit(0)).otherwise(cut_h - F.col("h"))
-    halved = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.struct(F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), F.lit(0).alias("times")),
+    halved = F.aggregate(F.sequence(F.lit(1), F.lit(31)), F.struct(F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), F.lit(0).alias("times")),
                          lambda a, _: F.when(F.least(a["h"], a["w"]) >= 2 * size, F.struct(half(a["h"]).alias("h"), half(a["w"]).alias("w"), (a["times"] + 1).alias("times"))).otherwise(a))
     planned = sizes.withColumn("_b", halved)
     scale = F.lit(float(size)) / F.least("_b.h", "_b.w")

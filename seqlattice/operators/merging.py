@@ -51,8 +51,12 @@ def merge_stats(merged: DataFrame, by: list[str]) -> DataFrame:
 def bad_cases(merged: DataFrame, by: list[str], index: str, n: int = 10) -> DataFrame:
     """The first ``n`` failures of each data set: kind, row, error."""
     kind = F.when(F.col("_error").isNotNull(), F.lit("error")).when(F.col("_warn").isNotNull(), F.col("_warn"))
-    ranked = merged.withColumn("kind", kind).where("kind is not null").withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(index)))
-    return ranked.where(F.col("_rank") <= n).select(*by, index, "kind", F.col("_error").alias("error"))
+    failed = merged.withColumn("kind", kind).where("kind is not null").select(*by, index, "kind", F.col("_error").alias("error"))
+    # n of each part first, so that no task sorts all failures of a data set
+    ranked = failed.withColumn("_part", F.pmod(F.xxhash64(index), F.lit(int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    for keys in ([*by, "_part"], by):
+        ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(index))).where(F.col("_rank") <= n)
+    return ranked.select(*by, index, "kind", "error")
 
 
 def union_parts(*parts: DataFrame) -> DataFrame:
@@ -106,6 +110,11 @@ def seeded_shuffle(df: DataFrame, key: list[str], seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), *key), *key)
 
 
+def shuffle_position(df: DataFrame, key: list[str], seed: int, out: str = "position") -> DataFrame:
+    """``df`` with each row's place in ``seeded_shuffle``."""
+    return row_position(df.withColumn("_hash", F.xxhash64(F.lit(seed), *key)), ["_hash", *key], out).drop("_hash")
+
+
 def shard(df: DataFrame, n: int, index: str = "_global_idx", out: str = "shard") -> DataFrame:
     return df.withColumn(out, F.pmod(F.col(index), F.lit(n)))
 

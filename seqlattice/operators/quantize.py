@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlattice.functions.vectors import l2_normalize, total
+from seqlattice.operators.merging import row_position
 
 #: Numbers that a codebook may have to be sent to all executors (64 MB).
 MOST_NUMBERS = 8_000_000
@@ -20,42 +21,82 @@ def normalized(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, l2_normalize(F.col(vector)))
 
 
-def nearest_code(vectors: DataFrame, codebook: DataFrame, unit: bool = True, vector: str = "vector", code: str = "code", code_vector: str = "vec") -> DataFrame:
-    """``vectors`` with the nearest code by squared distance (the lowest on ties) and that distance.
+def _code_blocks(codebook: DataFrame, code: str, code_vector: str, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, vectors) in ascending order of the codes, in blocks of at most ``most`` numbers (one code at least)."""
+    codes, rows = [], []
+    for r in codebook.select(code, code_vector).orderBy(code).toLocalIterator():
+        if rows and (len(rows) + 1) * len(r[1]) > most:
+            yield np.array(codes, np.int64), np.array(rows, np.float64)
+            codes, rows = [], []
+        codes.append(r[0])
+        rows.append(r[1])
+    if rows:
+        yield np.array(codes, np.int64), np.array(rows, np.float64)
 
-    The codebook goes to every executor if it is within ``MOST_NUMBERS``; each batch of vectors is one matrix product, and
-    the winner's distance is computed again in full precision. Larger codebooks are joined in blocks by ``nearest_code_exact``.
-    """
-    head = codebook.agg(F.count("*").alias("n"), F.max(F.size(code_vector)).alias("d")).head()
-    if (head["n"] or 0) * (head["d"] or 0) > MOST_NUMBERS:
-        return nearest_code_exact(vectors, codebook, unit, vector, code, code_vector)
-    book = (normalized(codebook, code_vector) if unit else codebook).orderBy(code).select(code, code_vector).collect()
-    codes, table = np.array([r[0] for r in book], np.int64), np.array([r[1] for r in book], np.float64).reshape(len(book), -1)
-    shared = vectors.sparkSession.sparkContext.broadcast((codes, table))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, table = shared.value
-        for b in batches:
-            x = np.stack(b[vector].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, table.shape[1]))
-            if unit:
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            best = (np.einsum("ij,ij->i", table, table) - 2 * x @ table.T).argmin(axis=1)
-            yield b.assign(code=codes[best], distance=((x - table[best]) ** 2).sum(axis=1))
 
+def nearest_code(vectors: DataFrame, codebook: DataFrame, unit: bool = True, vector: str = "vector", code: str = "code", code_vector: str = "vec", most: int = MOST_NUMBERS) -> DataFrame:
+    """``vectors`` with the nearest code by squared distance (the lowest on ties) and that distance; null without codes.
+
+    The codebook goes to every executor in blocks of at most ``most`` numbers; each batch of vectors is one matrix product a
+    block, and the winner's distance is computed again in full precision. Every row carries the nearest code of the blocks so far,
+    so nothing is shuffled.
+    """
     from pyspark.sql import types as T
 
     out = T.StructType([*vectors.schema.fields, T.StructField("code", T.LongType()), T.StructField("distance", T.DoubleType())])
-    return vectors.mapInPandas(run, out)
-
-
-def nearest_code_exact(vectors: DataFrame, codebook: DataFrame, unit: bool = True, vector: str = "vector", code: str = "code", code_vector: str = "vec") -> DataFrame:
-    """The same by built-in operations: all codes against all vectors, then the least (distance, code) of each."""
-    keyed = vectors.withColumn("_row", F.monotonically_increasing_id())
-    v = (normalized(keyed, vector) if unit else keyed).select("_row", F.col(vector).alias("_x"))
-    c = (normalized(codebook, code_vector) if unit else codebook).select(F.col(code).cast("long").alias("_code"), F.col(code_vector).alias("_c"))
-    gap = total(F.zip_with("_x", "_c", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))))
-    best = v.crossJoin(c).groupBy("_row").agg(F.min(F.struct(gap.alias("distance"), F.col("_code").alias("code"))).alias("best"))
-    return keyed.join(best, "_row").select(*vectors.columns, F.col("best.code").alias("code"), F.col("best.distance").alias("distance"))
+    found = vectors.select("*", F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("distance"))
+    for block in _code_blocks(normalized(codebook, code_vector) if unit else codebook, code, code_vector, most):
+        shared = vectors.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            codes, table = shared.value
+            for b in batches:
+                x = np.stack(b[vector].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, table.shape[1]))
+                if unit:
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                best = (np.einsum("ij,ij->i", table, table) - 2 * x @ table.T).argmin(axis=1)
+                gap, before = ((x - table[best]) ** 2).sum(axis=1), b["distance"].to_numpy(np.float64, na_value=np.inf)
+                nearer = gap < before
+                old = b["code"].to_numpy(np.float64, na_value=-1).astype(np.int64) if len(b) and not b["code"].isna().any() else np.zeros(len(b), np.int64)
+                yield b.assign(code=np.where(nearer, codes[best], old), distance=np.where(nearer, gap, before))
+
+        found = found.mapInPandas(run, out)
+    return found
+
+
+def _books(codebook: DataFrame, unit: bool, code: str, code_vector: str, most: int) -> list[DataFrame]:
+    """The codebook as tables of one row, ``_book``: an array of (code, vector) in ascending order, of at most ``most`` numbers."""
+    c = (normalized(codebook, code_vector) if unit else codebook).select(F.col(code).cast("long").alias("code"), F.col(code_vector).alias("vec"))
+    head = c.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).head()
+    blocks = -(-(head["n"] or 0) * (head["d"] or 0) // most)
+    if blocks > 1:
+        c = row_position(c, ["code"], "_at").withColumn("_block", F.floor(F.col("_at") * blocks / head["n"]))
+    one = lambda part: part.agg(F.array_sort(F.collect_list(F.struct("code", "vec"))).alias("_book"))
+    return [one(c.where(F.col("_block") == i) if blocks > 1 else c) for i in range(blocks)]
+
+
+def _gap(x: Column, y: Column) -> Column:
+    return total(F.zip_with(x, y, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))))
+
+
+def nearest_code_exact(vectors: DataFrame, codebook: DataFrame, unit: bool = True, vector: str = "vector", code: str = "code", code_vector: str = "vec", most: int = MOST_NUMBERS) -> DataFrame:
+    """The same by built-in operations: every row meets the codebook as an array, block after block, and keeps the least
+    (distance, code)."""
+    best = vectors.withColumn("_x", l2_normalize(F.col(vector)) if unit else F.col(vector)).withColumn("_best", F.lit(None).cast("struct<distance:double,code:long>"))
+    for book in _books(codebook, unit, code, code_vector, most):
+        # a table of one row
+        met = best.crossJoin(F.broadcast(book))
+        least = F.array_min(F.transform("_book", lambda c: F.struct(_gap(F.col("_x"), c["vec"]).alias("distance"), c["code"].alias("code"))))
+        best = met.withColumn("_best", F.least("_best", least)).drop("_book")
+    return best.select(*vectors.columns, F.col("_best.code").alias("code"), F.col("_best.distance").alias("distance"))
+
+
+def code_distances(vectors: DataFrame, codebook: DataFrame, unit: bool = True, vector: str = "vector", code: str = "code", code_vector: str = "vec", most: int = MOST_NUMBERS) -> DataFrame:
+    """``vectors`` with ``distances``: the squared distance to every code, in ascending order of the codes."""
+    out = vectors.withColumn("_x", l2_normalize(F.col(vector)) if unit else F.col(vector)).withColumn("distances", F.array().cast("array<double>"))
+    for book in _books(codebook, unit, code, code_vector, most):
+        out = out.crossJoin(F.broadcast(book)).withColumn("distances", F.concat("distances", F.transform("_book", lambda c: _gap(F.col("_x"), c["vec"])))).drop("_book")
+    return out.drop("_x")
 
 
 def code_lookup(codes: DataFrame, codebook: DataFrame, code: str = "code", code_vector: str = "vec") -> DataFrame:
@@ -84,17 +125,17 @@ def combined_error(parts: DataFrame) -> DataFrame:
     return parts.agg((F.sum(F.col("mse") * F.col("n_values")) / F.sum("n_values")).alias("mse"), F.sum("n_values").alias("n_values"))
 
 
-def assignment_entropy(distances: DataFrame, row: str, code: str = "code", distance: str = "distance", temperature: float = 0.01) -> DataFrame:
-    """(sample_entropy, mean_entropy, loss): softmax of -distance / temperature for each row; mean of the rows' entropies
-    less the entropy of the mean distribution. 1e-5 keeps the latter's logarithm finite."""
-    by = Window.partitionBy(row)
-    z = -F.col(distance) / F.lit(temperature)
-    p = distances.withColumn("_z", z).withColumn("_e", F.exp(F.col("_z") - F.max("_z").over(by))).withColumn("_s", F.sum("_e").over(by))
-    p = p.withColumn("_p", F.col("_e") / F.col("_s")).withColumn("_l", F.col("_z") - F.max("_z").over(by) - F.log("_s"))
-    n_rows = distances.select(row).distinct().agg(F.count("*").alias("n"))
-    sample = p.agg((-F.sum(F.col("_p") * F.col("_l"))).alias("h")).crossJoin(n_rows).select((F.col("h") / F.col("n")).alias("sample_entropy"))
-    means = p.groupBy(code).agg(F.sum("_p").alias("s")).crossJoin(n_rows).select((F.col("s") / F.col("n")).alias("m"))
-    mean = means.agg((-F.sum(F.col("m") * F.log(F.col("m") + F.lit(1e-5)))).alias("mean_entropy"))
-    return sample.crossJoin(mean).withColumn("loss", F.col("sample_entropy") - F.col("mean_entropy"))
-
+def assignment_entropy(rows: DataFrame, distances: str = "distances", temperature: float = 0.01) -> DataFrame:
+    """(sample_entropy, mean_entropy, loss): softmax of -distance / temperature over each row's distances to all codes; mean of the
+    rows' entropies less the entropy of the mean distribution. 1e-5 keeps the latter's logarithm finite.
 
+    The softmax stays in its row; the mean distribution is summed by code before it is shuffled.
+    """
+    z = rows.select(F.transform(distances, lambda d: -d / F.lit(temperature)).alias("z")).withColumn("top", F.array_max("z"))
+    z = z.withColumn("log_sum", F.col("top") + F.log(total(F.transform("z", lambda x: F.exp(x - F.col("top"))))))
+    p = z.select(F.transform("z", lambda x: x - F.col("log_sum")).alias("l")).select("l", F.transform("l", lambda x: F.exp(x)).alias("p"))
+    sample = p.agg(F.avg(-total(F.zip_with("p", "l", lambda a, b: a * b))).alias("sample_entropy"), F.count("*").alias("n"))
+    means = p.select(F.posexplode("p").alias("at", "p")).groupBy("at").agg(F.sum("p").alias("s"))
+    # one row
+    mean = means.crossJoin(F.broadcast(sample)).agg((-F.sum(F.col("s") / F.col("n") * F.log(F.col("s") / F.col("n") + F.lit(1e-5)))).alias("mean_entropy"), F.first("sample_entropy").alias("sample_entropy"))
+    return mean.select("sample_entropy", "mean_entropy", (F.col("sample_entropy") - F.col("mean_entropy")).alias("loss"))

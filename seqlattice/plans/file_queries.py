@@ -126,6 +126,19 @@ def s10(spark, sf):
     return back.select("group_name", "dataset_idx", "conv_id", F.coalesce(joined("num_tokens"), F.lit("")).alias("num_tokens"))
 
 
+@query("s10_with_tokens_files", MERGED_SQL + "select case when conv_id % 2 = 0 then 'even_with_tokens.json' else 'odd_with_tokens.jsonl' end as name, conv_id, coalesce(array_to_string(num_tokens, ','), '') as num_tokens from merged")
+def s10_files(spark, sf):
+    """Two data sets, one from a JSON file, one from JSON Lines."""
+    root = scratch_path(spark, "with-tokens")
+    m = _merged(spark, sf).select("conv_id", "num_tokens")
+    out = None
+    for rest, source in ((0, "data/even.json"), (1, "data/odd.jsonl")):
+        path = io.write_with_tokens(m.where(F.col("conv_id") % 2 == rest), root, source=source)
+        back = io.read_samples(spark, path, "conv_id long, num_tokens array<int>").withColumn("name", F.lit(path.rpartition("/")[2]))
+        out = back if out is None else out.unionByName(back)
+    return out.select("name", "conv_id", F.coalesce(joined("num_tokens"), F.lit("")).alias("num_tokens"))
+
+
 @query("s11_write_parts", "select doc_id as _global_idx, coalesce(length(text), 0)::bigint as n from documents")
 def s11(spark, sf):
     path = scratch_path(spark, "parts")

@@ -18,6 +18,7 @@ from seqlattice.operators import merging as mg
 from seqlattice.operators import quantize as qz
 from seqlattice.operators import similarity as sim
 from seqlattice.plans import fixtures as fx
+from seqlattice.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -178,12 +179,19 @@ def j2(spark, sf):
     return bg.budget_for_tsim(pairs, _schemes(spark)).groupBy("scheme", "budget").agg(F.count("*").alias("n"))
 
 
-@query("x2_monotone_schemes", "with t as (select source, doc_id // 20 as slot, max(doc_id % 7) as b from documents where doc_id < 20000 group by 1, 2), l as (select source, b > lag(b) over (partition by source order by slot) as rise from t) select source as scheme from l group by 1 having not bool_or(coalesce(rise, false))")
+@query("x2_monotone_schemes", "with t as (select source, doc_id // 20 as slot, max(doc_id % 7) as b from documents group by 1, 2), l as (select source, b > lag(b) over (partition by source order by slot) as rise from t) select source as scheme from l group by 1 having not bool_or(coalesce(rise, false))")
 def x2(spark, sf):
     d = fx.table(spark, sf, "documents").groupBy(F.col("source").alias("scheme"), F.floor(F.col("doc_id") / 20).alias("left")).agg(F.max(F.col("doc_id") % 7).alias("raw_budget"))
     return bg.monotone_schemes(d)
 
 
+@query("x2_monotone_slots", "with t as (select coalesce(source, 'none') || '/' || doc_id % 40 as scheme, doc_id // 40 % 3 as slot, sum(n_chars) % 7 as b from documents group by 1, 2), l as (select scheme, b > lag(b) over (partition by scheme order by slot) as rise from t) select scheme from l group by 1 having not bool_or(coalesce(rise, false))")
+def x2_slots(spark, sf):
+    """Schemes of a few intervals each, of which some rise and some don't."""
+    d = fx.table(spark, sf, "documents").groupBy(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), (F.col("doc_id") % 40).cast("string")).alias("scheme"), (F.floor(F.col("doc_id") / 40) % 3).alias("left"))
+    return bg.monotone_schemes(d.agg((F.sum("n_chars") % 7).alias("raw_budget")))
+
+
 @query("a1_avg_token", ALLOCATE_SQL + " select (seq_id // 1000)::bigint as label, round(sum(list_sum(num_tokens))::double / sum(len(num_tokens)), 6) as avg_token, count(*) as records from alloc group by 1")
 def a1(spark, sf):
     rows = _allocated(spark, sf).withColumn("label", fx.label_of(F.col("seq_id")))
@@ -311,6 +319,25 @@ def o2(spark, sf):
     return mg.seeded_shuffle(_parts(spark, sf), ["_global_idx"], 7).agg(F.count("*").alias("n"), F.count_distinct("_global_idx").alias("n_ids"), F.sum("_global_idx").alias("total"))
 
 
+@query("o1_restored_positions", "select doc_id as idx, (row_number() over (order by doc_id) - 1)::bigint as position from documents")
+def o1_positions(spark, sf):
+    """The restored order, as written files hold it."""
+    path = scratch_path(spark, "restored")
+    mg.restore_order(_parts(spark, sf).repartition(7, "rank").withColumn("idx", F.col("_global_idx"))).write.parquet(path)
+    at = [F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).cast("long").alias("file"), F.col("_metadata.row_index").alias("row")]
+    return mg.row_position(spark.read.parquet(path).select("idx", *at), ["file", "row"]).select("idx", "position")
+
+
+@query("o2_shuffle_positions", "select count(*) as n, count(*) as n_places, count(*) as n_again, true as moved, true as other_seed_differs from documents")
+def o2_positions(spark, sf):
+    """Places of two runs over differently dealt rows, and of another seed."""
+    p = _parts(spark, sf).select("_global_idx")
+    places = [mg.shuffle_position(rows, ["_global_idx"], seed, name) for rows, seed, name in ((p, 7, "a"), (p.repartition(5), 7, "b"), (p, 8, "c"))]
+    ranked = mg.row_position(p, ["_global_idx"], "rank")
+    both = places[0].join(places[1], "_global_idx").join(places[2], "_global_idx").join(ranked, "_global_idx")
+    return both.agg(F.count("*").alias("n"), F.count_distinct("a").alias("n_places"), F.count_if(F.col("a") == F.col("b")).alias("n_again"), F.bool_or(F.col("a") != F.col("rank")).alias("moved"), F.bool_or(F.col("a") != F.col("c")).alias("other_seed_differs"))
+
+
 @query("o3_shard", "select (doc_id % 3)::bigint as shard, count(*) as n from documents group by 1")
 def o3(spark, sf):
     return mg.shard(_parts(spark, sf), 3).groupBy("shard").agg(F.count("*").alias("n"))
@@ -347,6 +374,11 @@ def p11(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", tx.output_path("out", name, F.col("page_id")).alias("path"))
 
 
+@query("p11_adapter_path", "select page_id, 'out/' || substr(regexp_replace(trim(url), '[^\\p{L}\\p{N}._-]', '_', 'g'), 1, 120) || '/sample_' || lpad(page_id::varchar, 8, '0') || '_rank' || page_id % 8 || '_pid' || (1000 + page_id % 3) || '.png' as path from pages")
+def p11_adapter(spark, sf):
+    return fx.table(spark, sf, "pages").select("page_id", tx.output_path("out", F.col("url"), F.col("page_id"), F.col("page_id") % 8, 1000 + F.col("page_id") % 3).alias("path"))
+
+
 @query("a12_run_log_summary", "select event_type as benchmark, (user_id % 4)::int as rank, count(*) as records, count(*) filter (where event_type = 'error') as errors, round(count(*) filter (where event_type = 'error')::double / count(*), 6) as error_rate, round(avg(event_id % 3), 6) as avg_images from events group by 1, 2")
 def a12(spark, sf):
     return ev.run_log_summary(fx.run_log(spark, sf), ["benchmark", "rank"]).withColumn("error_rate", F.round("error_rate", 6)).withColumn("avg_images", F.round("avg_images", 6))
@@ -395,12 +427,12 @@ def f3(spark, sf):
 # Prompts and budgets of samples
 
 SAMPLES_SQL = MERGED_SQL + """,
-smp as (select conv_id, num_tokens, len(paths) as n_img, len(paths) // 2 + 1 as n_in from merged where num_tokens is not null)"""
+smp as (select conv_id, num_tokens, len(paths) as n_img, least(len(paths), len(paths) // 2 + 1) as n_in from merged where num_tokens is not null)"""
 
 
 def _samples(spark, sf) -> DataFrame:
     m = _merged(spark, sf).where("num_tokens is not null")
-    return m.withColumn("n_img", F.size("img_paths")).withColumn("n_in", F.floor(F.col("n_img") / 2).cast("int") + 1)
+    return m.withColumn("n_img", F.size("img_paths")).withColumn("n_in", F.least(F.col("n_img"), F.floor(F.col("n_img") / 2).cast("int") + 1))
 
 
 @query("p9_usable_budgets", SAMPLES_SQL + " select conv_id, array_to_string(num_tokens[2:n_in], ',') as budgets from smp")
@@ -408,25 +440,25 @@ def p9(spark, sf):
     return _samples(spark, sf).select("conv_id", joined(inf.usable_budgets(F.col("num_tokens"), F.col("n_in"))).alias("budgets"))
 
 
-@query("p10_resolve_budgets", SAMPLES_SQL + " select conv_id, (n_in - 1)::int as n, case when conv_id % 2 = 0 then array_to_string(num_tokens[2:n_in], ',') when n_in > 1 then array_to_string(list_transform(range(n_in - 1), lambda i: 81), ',') else '' end as budgets from smp where conv_id % 2 = 0 or n_in > 1")
+@query("p10_resolve_budgets", SAMPLES_SQL + " select conv_id, greatest(n_in - 1, 0)::int as n, case when conv_id % 2 = 0 then array_to_string(num_tokens[2:n_in], ',') when n_in > 1 then array_to_string(list_transform(range(n_in - 1), lambda i: 81), ',') else '' end as budgets from smp")
 def p10(spark, sf):
-    s = _samples(spark, sf).where("conv_id % 2 = 0 or n_in > 1")
+    s = _samples(spark, sf)
     given = F.when(F.col("conv_id") % 2 == 0, inf.usable_budgets(F.col("num_tokens"), F.col("n_in")))
     got = inf.resolve_budgets(given, F.array_repeat(F.lit(81), F.col("n_in") + 3), F.col("conv_id"), F.col("n_in"))
     return s.select("conv_id", F.size(inf.resolve_budgets(given, F.array_repeat(F.lit(81), 1), F.col("conv_id"), F.col("n_in"), pad=True)).alias("n"), joined(got).alias("budgets"))
 
 
 def _grids(n):
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit(1).alias("t"), (2 + i % 3).cast("int").alias("h"), (4 + i % 2).cast("int").alias("w")))
+    return F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(1).alias("t"), (2 + i % 3).cast("int").alias("h"), (4 + i % 2).cast("int").alias("w")))
 
 
 GRID_SQL = "list_transform(range(1, n_in + 1), lambda i: ((2 + i % 3) * (4 + i % 2)) // 4)"
-FIRSTED_SQL = "list_concat([144], num_tokens[2:n_in])"
+FIRSTED_SQL = "list_concat([144], num_tokens[2:n_in])[1:n_in]"
 
 
-@query("p7_render_prompts", SAMPLES_SQL + f""" select conv_id, '<|im_start|>user' || chr(10) || array_to_string(list_transform(range(1, least(n_in, len(num_tokens)) + 1), lambda i: '<|vision_start|>' || repeat('<|image_pad|>', {GRID_SQL}[i]) || '<|vision_end|><|vision_start|>' || repeat('<|vision_pad|>', {FIRSTED_SQL}[i]) || '<|vision_end|>'), '') || 'q' || conv_id || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) as prompt from smp where n_in <= len(num_tokens)""")
+@query("p7_render_prompts", SAMPLES_SQL + f""" select conv_id, '<|im_start|>user' || chr(10) || array_to_string(list_transform(range(1, least(n_in, len(num_tokens)) + 1), lambda i: '<|vision_start|>' || repeat('<|image_pad|>', {GRID_SQL}[i]) || '<|vision_end|><|vision_start|>' || repeat('<|vision_pad|>', {FIRSTED_SQL}[i]) || '<|vision_end|>'), '') || 'q' || conv_id || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) as prompt from smp""")
 def p7(spark, sf):
-    s = _samples(spark, sf).where("n_in <= size(num_tokens)")
+    s = _samples(spark, sf)
     prompt = inf.render_prompt(F.concat(F.lit("q"), F.col("conv_id").cast("string")), _grids(F.col("n_in")), inf.usable_budgets(F.col("num_tokens"), F.col("n_in")))
     return s.select("conv_id", prompt.alias("prompt"))
 
@@ -437,9 +469,9 @@ def p7_fill(spark, sf):
     return _samples(spark, sf).select("conv_id", inf.fill_placeholders(text, F.array(F.lit(2), (F.col("conv_id") % 4).cast("int"))).alias("filled"))
 
 
-@query("p8_prompt_token_cost", SAMPLES_SQL + f" select conv_id, (list_sum({GRID_SQL}) + list_sum({FIRSTED_SQL}) + 4 * n_in)::bigint as cost from smp where n_in <= len(num_tokens)")
+@query("p8_prompt_token_cost", SAMPLES_SQL + f" select conv_id, (coalesce(list_sum({GRID_SQL}), 0) + coalesce(list_sum({FIRSTED_SQL}), 0) + 4 * n_in)::bigint as cost from smp")
 def p8(spark, sf):
-    s = _samples(spark, sf).where("n_in <= size(num_tokens)")
+    s = _samples(spark, sf)
     return s.select("conv_id", inf.prompt_token_cost(_grids(F.col("n_in")), inf.usable_budgets(F.col("num_tokens"), F.col("n_in"))).alias("cost"))
 
 
@@ -496,17 +528,28 @@ def w2(spark, sf):
     return ly.position_in_sequence(_exploded(spark, sf), "conv_id").select("conv_id", "pos", "is_first", "n")
 
 
+@query("w2_split_first_rest", f"with c as (select conv_id // 4 as batch, conv_id, count(*) as n from conversations group by 1, 2), o as (select *, sum(n) over (partition by batch order by conv_id) - n as start from c), x as (select batch, conv_id, i, unnest(range(4)) as k, start from (select *, unnest(range(n)) as i from o)) select batch, string_agg((4 * (start + i) + k)::bigint, ',' order by conv_id, i, k) filter (where i = 0) as first, coalesce(string_agg((4 * (start + i) + k)::bigint, ',' order by conv_id, i, k) filter (where i > 0), '') as rest from x group by 1")
+def w2_split(spark, sf):
+    """Conversations of four at a time as sequences of images with four codes each, numbered through."""
+    c = fx.table(spark, sf, "conversations").groupBy(F.floor(F.col("conv_id") / 4).alias("batch"), "conv_id").agg(F.count("*").cast("int").alias("n"))
+    c = c.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "n"))), lambda x: x["n"]).alias("n"))
+    codes = F.transform(F.sequence(F.lit(0), 4 * F.aggregate("n", F.lit(0), lambda a, x: a + x) - 1), lambda i: i.cast("int"))
+    split = c.select("batch", ly.split_first_rest(codes, F.col("n"), 4).alias("s"))
+    return split.select("batch", joined("s.first").alias("first"), joined("s.rest").alias("rest"))
+
+
 @query("w3_segment_offsets", f"with {EXPLODED_SQL} select conv_id, pos::int as ord, (sum(n) over w - n)::bigint as start, (sum(n) over w)::bigint as \"end\" from x window w as (partition by conv_id order by pos)")
 def w3(spark, sf):
     return ly.segment_offsets(_exploded(spark, sf), "n", ["conv_id"], "ord").select("conv_id", "ord", "start", "end")
 
 
-@query("w4_output_segments", f"with {fx.TOK_SQL} select conv_id, i::int as image, (case when i = 0 and conv_id % 2 = 0 then 5 else num_tokens[i + 1 + (case when conv_id % 2 = 0 then 0 else 1 end)] + 1 end)::int as count from tok, range(0, 64) r(i) where num_tokens is not null and len(num_tokens) >= 3 and i < len(num_tokens) - (case when conv_id % 2 = 0 then 0 else 1 end)")
+@query("w4_output_segments", f"with {fx.TOK_SQL} select conv_id, i::int as image, (case when i = 0 and conv_id % 2 = 0 then 5 else num_tokens[i + 1 + (case when conv_id % 2 = 0 then 0 else 1 end)] + 1 end)::int as count from tok, range(0, 64) r(i) where num_tokens is not null and i < len(num_tokens) - (case when conv_id % 2 = 0 then 0 else 1 end)")
 def w4(spark, sf):
-    t = _budgets(spark, sf).where("size(num_tokens) >= 3").withColumn("conv_id", F.regexp_extract(F.element_at("img_paths", 1), r"img/(\d+)_", 1).cast("long"))
+    t = _budgets(spark, sf).where("num_tokens is not null").withColumn("conv_id", F.regexp_extract(F.element_at("img_paths", 1), r"img/(\d+)_", 1).cast("long"))
     n = F.size("num_tokens")
     counts = F.slice("num_tokens", F.lit(2), n - 1)
-    later = F.transform(F.sequence(F.lit(1), F.aggregate(counts, F.lit(0), lambda a, b: a + b)), lambda i: i)
+    n_later = F.aggregate(counts, F.lit(0), lambda a, b: a + b)
+    later = F.when(n_later > 0, F.sequence(F.lit(1), n_later)).otherwise(F.array().cast("array<int>"))
     n_in = F.when(F.col("conv_id") % 2 == 0, F.lit(0)).otherwise(F.lit(1))
     segs = ly.output_segments(F.array_repeat(F.lit(5), 4), later, counts, n_in, n - n_in)
     return t.select("conv_id", F.posexplode(segs).alias("image", "s")).select("conv_id", "image", F.col("s.count").alias("count"))
@@ -586,10 +629,7 @@ def a9(spark, sf):
 
 @query("a10_assignment_entropy", f"with {fx.CODE_SQL}, z as (select vec_id, code, -d / 0.5 as z from gaps), e as (select *, exp(z - max(z) over p) as e, max(z) over p as m from z window p as (partition by vec_id)), s as (select *, sum(e) over (partition by vec_id) as s from e), pr as (select vec_id, code, e / s as p, z - m - ln(s) as l from s), n as (select count(distinct vec_id) as n from pr), a as (select -sum(p * l) / any_value(n) as sample_entropy from pr, n), mm as (select code, sum(p) / any_value(n) as m from pr, n group by 1), b as (select -sum(m * ln(m + 1e-5)) as mean_entropy from mm) select round(sample_entropy, 5) as sample_entropy, round(mean_entropy, 5) as mean_entropy, round(sample_entropy - mean_entropy, 5) as loss from a, b")
 def a10(spark, sf):
-    v, c = qz.normalized(fx.vectors(spark, sf), "vector"), qz.normalized(fx.codebook(spark, sf), "vec")
-    gap = vec.total(F.zip_with("vector", "vec", lambda a, b: (a - b) * (a - b)))
-    # the codebook has 64 rows
-    e = qz.assignment_entropy(v.crossJoin(F.broadcast(c)).select("vec_id", "code", gap.alias("distance")), "vec_id", temperature=0.5)
+    e = qz.assignment_entropy(qz.code_distances(fx.vectors(spark, sf), fx.codebook(spark, sf)), temperature=0.5)
     return e.select(*[F.round(x, 5).alias(x) for x in ("sample_entropy", "mean_entropy", "loss")])
 
 

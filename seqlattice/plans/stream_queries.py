@@ -17,18 +17,25 @@ from seqlattice.streaming import operators as st
 FILE_ROWS = 100_000
 
 
-def drained(spark: SparkSession, batch: DataFrame, name: str, build: Callable[[DataFrame], DataFrame], by: str) -> DataFrame:
-    """``build`` over ``batch`` as a stream of files, dealt by ranges of ``by``, run to the end of what is there."""
+def drained(spark: SparkSession, parts: list[DataFrame], name: str, build: Callable[[DataFrame], DataFrame], by: str) -> DataFrame:
+    """``build`` over ``parts`` as a stream, one micro-batch a part, run to the end of what is there. A part's files are dealt by
+    ``by``."""
     source, sink, state = (scratch_path(spark, f"{name}-{x}") for x in ("in", "out", "state"))
-    batch.repartitionByRange(batch.count() // FILE_ROWS + 1, by).write.parquet(source)
-    out = build(spark.readStream.schema(batch.schema).parquet(source))
+    files = max(p.count() for p in parts) // FILE_ROWS + 1
+    for p in parts:  # one after the other: a stream takes files in order of their time
+        p.repartition(files, by).write.mode("append").parquet(source)
+    out = build(spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(source))
     out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
 
 
+def halves(df: DataFrame, by: str) -> list[DataFrame]:
+    return [df.where(F.pmod(F.xxhash64(by), F.lit(2)) == i) for i in range(2)]
+
+
 @query("r1_stream_extract", f"with {fx.MSG_SQL} select conv_id::varchar as id, coalesce(array_to_string(paths, ','), '') as paths from res")
 def r1(spark, sf):
-    out = drained(spark, fx.messages(spark, sf).drop("conv_id"), "extract", st.stream_extract, "id")
+    out = drained(spark, halves(fx.messages(spark, sf).drop("conv_id"), "id"), "extract", st.stream_extract, "id")
     return out.select("id", F.array_join("paths", ",").alias("paths"))
 
 
@@ -36,13 +43,26 @@ def r1(spark, sf):
 def r2(spark, sf):
     path = scratch_path(spark, "budgets")
     _budgets(spark, sf).write.parquet(path)
-    out = drained(spark, fx.messages(spark, sf).drop("conv_id"), "merge", lambda s: st.stream_merge_budgets(s, spark.read.parquet(path)), "id")
+    out = drained(spark, halves(fx.messages(spark, sf).drop("conv_id"), "id"), "merge", lambda s: st.stream_merge_budgets(s, spark.read.parquet(path)), "id")
     return out.select("id", F.coalesce(joined("num_tokens"), F.lit("")).alias("num_tokens"), F.coalesce("_error", F.lit("")).alias("error"), F.coalesce("_warn", F.lit("")).alias("warn"))
 
 
-@query("r3_stream_run_log", "with w as (select date_trunc('hour', ts) as h, event_type, max(ts) over () as newest from events) select strftime(h, '%Y-%m-%d %H:%M:%S') as hour, event_type as benchmark, count(*) as records, count(*) filter (where event_type = 'error') as errors from w where h + interval 1 hour <= newest - interval 10 minute group by 1, 2")
+#: Thirds of the log's time, one after the other; every 50th record of the first third comes with the last, too late for its window.
+LATE_SQL = """with b as (select min(epoch_us(ts)) as lo, max(epoch_us(ts)) as hi from events),
+e as (
+  select *, epoch_us(ts) as us, case when epoch_us(ts) < lo + (hi - lo) // 3 then (case when event_id % 50 = 0 then 3 else 1 end) when epoch_us(ts) < lo + (hi - lo) * 2 // 3 then 2 else 3 end as part from events, b),
+m as (select max(us) filter (where part < 3) as seen, max(us) as newest from e),
+w as (select *, us // 3600000000 as h from e, m)"""
+
+
+@query("r3_stream_run_log", LATE_SQL + " select strftime(make_timestamp(h * 3600000000), '%Y-%m-%d %H:%M:%S') as hour, event_type as benchmark, count(*) as records, count(*) filter (where event_type = 'error') as errors from w where (h + 1) * 3600000000 <= newest - 600000000 and not (part = 3 and (h + 1) * 3600000000 <= seen - 600000000) group by 1, 2")
 def r3(spark, sf):
-    out = drained(spark, fx.run_log(spark, sf).select("timestamp", "benchmark", "error"), "log", st.stream_run_log, "timestamp")
+    log = fx.run_log(spark, sf).select("event_id", "timestamp", "benchmark", "error", F.unix_micros("timestamp").alias("us"))
+    lo, hi = log.agg(F.min("us"), F.max("us")).head()
+    early, late = F.col("us") < lo + (hi - lo) // 3, F.col("event_id") % 50 == 0
+    middle = ~early & (F.col("us") < lo + (hi - lo) * 2 // 3)
+    parts = [log.where(x).select("timestamp", "benchmark", "error") for x in (early & ~late, middle, ~(early & ~late) & ~middle)]
+    out = drained(spark, parts, "log", st.stream_run_log, "benchmark")
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "benchmark", "records", "errors")
 
 
@@ -55,4 +75,5 @@ def r3_batch(spark, sf):
 @query("r4_stream_allocate", ALLOCATE_SQL + " select seq_id, unnest(range(len(num_tokens)))::bigint as pos, unnest(num_tokens)::int as num_tokens from alloc")
 def r4(spark, sf):
     batch = fx.states(spark, sf).select("seq_id", F.col("pos").cast("long").alias("pos"), "vector")
-    return drained(spark, batch, "allocate", lambda s: st.stream_allocate(s, fx.RULE), "seq_id")
+    parts = [batch.where("pos < 3"), batch.where("pos between 3 and 5"), batch.where("pos > 5")]
+    return drained(spark, parts, "allocate", lambda s: st.stream_allocate(s, fx.RULE), "seq_id")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import warnings
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +14,8 @@ from pyspark.sql import types as T
 STRUCT_IMAGES = "array<struct<id:string,path:string>>"
 MESSAGE_SAMPLE = f"id string, messages array<struct<role:string,content:string>>, input_images {STRUCT_IMAGES}, output_images {STRUCT_IMAGES}"
 BUDGET_TABLE = "img_paths array<string>, num_tokens array<int>"
+#: Rows of a written JSON array, at most.
+ARRAY_ROWS = 10_000
 INTERVALS = "config struct<alpha:double>, tsim_intervals array<struct<tsim_left:double,tsim_right:double,budget:double>>"
 
 
@@ -69,18 +76,25 @@ def read_parts(spark: SparkSession, path: str, schema: T.StructType | str, world
     """Result parts under ``path`` with their ``rank``: files ``result_part_rank<r>..``, or the files of folders
     ``result_part_rank=<r>`` as ``write_parts`` makes them (JSON Lines: ``array=False``). No part: an error.
 
-    With ``world_size``, missing ranks are an error if ``strict``, else left to ``missing_parts``.
+    A file that should be an array and isn't is an error. With ``world_size``, missing ranks are an error if ``strict``, else a
+    warning (``missing_parts`` lists them).
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     files = [r[0] for r in listed.where(F.col("path").rlike(r"/(result_part_rank[^/]*|result_part_rank=?\d+/[^/]*)$")).collect()]
     if not files:
         raise FileNotFoundError(f"no result parts under {path}")
+    if array:
+        heads = spark.read.option("wholetext", True).text(files).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", r"^\s*(\S)", 1).alias("head"))
+        if (bad := heads.where("head <> '['").head()) is not None:
+            raise ValueError(f"{bad['path']} does not contain a list")
     reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("mode", "FAILFAST").option("multiLine", array)
     df = reader.json(files).withColumn("rank", F.regexp_extract(F.col("_metadata.file_path"), r"result_part_rank=?(\d+)(?:/[^/]*|[^/]*)$", 1).cast("int"))
-    if world_size is not None and strict:
-        ranks = {int(r[0]) for r in df.select("rank").distinct().collect()}
+    if world_size is not None:
+        ranks = {int(re.search(r"result_part_rank=?(\d+)", f)[1]) for f in files}
         if gone := sorted(set(range(world_size)) - ranks):
-            raise FileNotFoundError(f"missing result parts of ranks {gone}")
+            if strict:
+                raise FileNotFoundError(f"missing result parts of ranks {gone}")
+            warnings.warn(f"missing result parts of ranks {gone}", stacklevel=2)
     return df
 
 
@@ -95,8 +109,41 @@ def write_image_lists(df: DataFrame, path: str, paths: str = "paths", index: str
     df.select(index, paths).orderBy(index).write.json(path)
 
 
-def write_with_tokens(df: DataFrame, path: str, by: tuple[str, ...] = ("group_name", "dataset_idx")) -> None:
-    df.write.partitionBy(*by).json(path)
+def with_tokens_name(source: str) -> str:
+    """The name that a data set gets with its tokens: ``<base>_with_tokens`` and the ending of its file, JSON or JSON Lines."""
+    base = source.rstrip("/").rpartition("/")[2]
+    for ending in (".jsonl", ".json"):
+        if base.endswith(ending):
+            return base.removesuffix(ending) + "_with_tokens" + ending
+    raise ValueError(f"neither JSON nor JSON Lines: {source}")
+
+
+def write_json_array(df: DataFrame, path: str, rows: int = ARRAY_ROWS) -> None:
+    """A folder of files that hold one JSON array each, of at most ``rows`` rows."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[str] = []
+        whole = lambda some: pd.DataFrame({"value": ["[\n" + ",\n".join(some) + "\n]"]})
+        for b in batches:
+            held += b["value"].tolist()
+            while len(held) >= rows:
+                yield whole(held[:rows])
+                held = held[rows:]
+        if held:
+            yield whole(held)
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInPandas(pack, "value string").write.option("maxRecordsPerFile", 1).text(path)
+
+
+def write_with_tokens(df: DataFrame, path: str, by: tuple[str, ...] = ("group_name", "dataset_idx"), source: str | None = None) -> str:
+    """Data sets with their tokens, a folder for each of ``by``. With ``source``, the file that one data set came from: a folder
+    under ``path`` of the name ``with_tokens_name`` gives it, of JSON Lines or of JSON arrays as it was. Returns the folder."""
+    if source is None:
+        df.write.partitionBy(*by).json(path)
+        return path
+    out = f"{path.rstrip('/')}/{with_tokens_name(source)}"
+    write_json_array(df, out) if out.endswith(".json") else df.write.json(out)
+    return out
 
 
 def write_parts(df: DataFrame, path: str, ranks: int) -> None:

@@ -11,9 +11,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in spark.checkpoint.dir, which executors share; in a temporary folder where that is unset (local runs)."""
+    """A fresh path in spark.checkpoint.dir, which executors share. Local runs may leave it unset: then in a temporary folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = getattr(spark.sparkContext, "_seqlattice_scratch", None)
         if root is None:
             root = tempfile.mkdtemp(prefix="spark-scratch-")
