@@ -232,10 +232,14 @@ def _link_rows(linker: Linker, percent: int):
 
 def linked_in_groups(rows: DataFrame, linker: Linker, percent: int, block: int = BLOCK) -> DataFrame:
     """(grp, node, n, payload) -> (grp, a, b): edges that join each group's components, each set to itself included."""
-    sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = rows.join(sizes, "grp").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # only large groups need a number; as they aren't joined by a shuffle on grp, a group's blocks are dealt to several tasks
+    large = materialize(rows.groupBy("grp").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"), "large-groups")
+    few = large.count() <= MOST_BROADCAST
+    dealt = rows.join(F.broadcast(large) if few else large, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt if few else dealt.repartition("grp", "salt")
     run = _link_rows(linker, percent)
-    inside = materialize(dealt.withColumn("class", F.col("node")).select("grp", "salt", "node", "class", "n", "payload", "blocks")
+    inside = materialize(dealt.withColumn("class", F.col("node")).select("grp", "salt", "node", "class", "n", "payload")
                          .groupBy("grp", "salt").applyInArrow(run, LINKS), "links")
     many = dealt.where("blocks > 1")
     if many.isEmpty():
@@ -287,16 +291,18 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def set_names(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit name of each set; 0 for an empty one."""
-    sums = np.array([np.add.reduce(mix64(s)) for s in sets], np.uint64)
+def set_names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name of each set, 0 for an empty one, and a second one that tells apart sets whose first names are alike by chance."""
+    filled = [len(s) > 0 for s in sets]
+    sums, others = (np.array([np.add.reduce(mix64(s + salt)) for s in sets], np.uint64) for salt in (np.uint64(0), np.uint64(0x2545F4914F6CDD1D)))
     tops = np.array([s[-1] if len(s) else 0 for s in sets], np.uint64)
-    return np.where([len(s) > 0 for s in sets], mix64(sums + mix64(tops ^ np.uint64(0x9E3779B97F4A7C15))), np.uint64(0)).view(np.int64)
+    name = lambda total: np.where(filled, mix64(total + mix64(tops ^ np.uint64(0x9E3779B97F4A7C15))), np.uint64(0)).view(np.int64)
+    return name(sums), name(others)
 
 
-#: Nodes of candidate groups whose list is sent to all executors; beyond it their texts are found by a shuffled join.
+#: Nodes, or large groups, whose list is sent to all executors; beyond it they are found by a shuffled join.
 MOST_BROADCAST = 1_000_000
-PROFILE = "doc_id long, n long, node long, prefix array<long>, bitmap binary, extra long"
+PROFILE = "doc_id long, n long, node long, check long, prefix array<long>, bitmap binary, extra long"
 
 
 def similar_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,17 +320,23 @@ def similar_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
             sets = document_sets(b.column("text"), n)
             sizes = [prefix_sizes(len(s), percent) if len(s) else (0, 0) for s in sets]
             ordered = [global_order(s, levels.value) for s in sets]
-            nodes = set_names(sets)
+            nodes, checks = set_names(sets)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(nodes),
+                "doc_id": b.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(nodes), "check": pa.array(checks),
                 "prefix": pa.array([o[:k].view(np.int64) for o, (_, k) in zip(ordered, sizes)], pa.list_(pa.int64())),
                 "bitmap": pa.array([parity_bitmap(s) for s in sets], pa.binary()), "extra": pa.array([e for e, _ in sizes], pa.int64()),
             })
 
     texts = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profiles = materialize(texts.mapInArrow(profile, PROFILE), "profiles")
-    filled = profiles.where("n > 0")
-    by_node = materialize(filled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bitmap").alias("payload"), F.first("extra").alias("extra")), "nodes")
+    while True:
+        filled = profiles.where("n > 0")
+        by_node = materialize(filled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bitmap").alias("payload"), F.first("extra").alias("extra"),
+                                                         (F.min("check") != F.max("check")).alias("mixed")), "nodes")
+        mixed = [r["node"] for r in by_node.where("mixed").select("node").collect()]  # a handful in 10^10 sets
+        if not mixed:
+            break
+        profiles = materialize(profiles.withColumn("node", F.when(F.col("node").isin(mixed), F.col("node").bitwiseXOR(F.col("check"))).otherwise(F.col("node"))), "profiles")
     copies = materialize(filled.select("doc_id", "node").join(by_node.select("node", "first_id"), "node").where("doc_id <> first_id").select("doc_id", "node"), "copies")
     if copies.count() <= MOST_BROADCAST:  # equal sets need no postings of their own; with more of them they only cost room
         filled = filled.join(F.broadcast(copies), ["doc_id", "node"], "left_anti")
@@ -345,7 +357,8 @@ def similar_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, "text", 2 << 20):
             plain = document_sets(b.column("text"), n)
-            same = set_names(plain) == b.column("node").to_numpy()  # an id may stand for several texts
+            (name, check), node = set_names(plain), b.column("node").to_numpy()
+            same = (name == node) | (name ^ check == node)  # an id may stand for several texts
             b, sets = b.filter(pa.array(same)), [global_order(s, levels.value) for s, ok in zip(plain, same) if ok]
             yield pa.RecordBatch.from_pydict({"grp": b.column("grp"), "node": b.column("node"), "n": pa.array([len(s) for s in sets], pa.int64()), "payload": pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())})
 
@@ -354,9 +367,12 @@ def similar_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     wanted = F.broadcast(chosen) if chosen.count() <= MOST_BROADCAST else chosen
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("want"))).select("grp", "node", "text").mapInArrow(sets_of, "grp long, node long, n long, payload binary").dropDuplicates(["grp", "node"])
     links = components(linked_in_groups(materialize(found, "sets"), tree_links, percent, block))
-    named = profiles.select("doc_id", "n", "node").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # sets first, then documents; tables that are written down, so that a join on a common root or set can be split
+    rooted = by_node.select("node", "first_id").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
+    named = materialize(rooted.select("node", "root").join(smallest, "root").select("node", "component_id"), "components")
+    found = profiles.select("doc_id", "n", "node").join(named, "node", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
