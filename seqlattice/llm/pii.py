@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,7 +22,6 @@ CONTEXT_CHARS = 40
 
 # Possessive forms of the base patterns: a failing match can't be mended inside the same run of characters.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -122,20 +122,42 @@ def _score(text: str, kind: str, start: int, end: int) -> float:
     return min(1.0, BASE_SCORE[kind] + (CONTEXT_GAIN if _CONTEXT[kind].search(near) else 0.0))
 
 
-def find_spans(text: str, keep: float = KEEP_SCORE) -> list[Span]:
+class Taken:
+    """Places that spans have taken, as intervals apart from each other in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, start: int, end: int) -> bool:
+        return bisect_right(self.ends, start) == bisect_left(self.starts, end)
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+
+def find_spans(text: str, keep: float = KEEP_SCORE, base: list[tuple[str, int, int]] | None = None) -> list[Span]:
     """Base spans, and added spans that pass their check and reach ``keep``; added spans never overlap a base span or another."""
-    base = base_spans(text)
+    base = base_spans(text) if base is None else base
     out = [Span(k, a, b, _score(text, k, a, b)) for k, a, b in base]
-    taken = [(a, b) for _, a, b in base]
+    taken = Taken([(a, b) for _, a, b in base])
     matched = lambda pattern, confirmed: (m.span() for m in pattern.finditer(text) if confirmed(m[0]))
     ssn = lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"
     for kind, found in (("iban", ibans(text)), ("ssn", matched(_SSN, ssn)), ("secret", matched(_SECRET, _looks_random))):
         for start, end in found:
-            if not any(a < end and start < b for a, b in taken):
+            if taken.free(start, end):
                 score = _score(text, kind, start, end)
                 if score >= keep:
                     out.append(Span(kind, start, end, score))
-                    taken.append((start, end))
+                    taken.add(start, end)
     return sorted(out, key=lambda s: (s.start, ORDER[s.kind]))
 
 
@@ -159,16 +181,18 @@ def find_pii(docs: DataFrame, keep: float = KEEP_SCORE, id_col: str = "doc_id",
             spans, base = [], []
             for text in b.column("text"):
                 text = text.as_py() or ""
-                found = find_spans(text, keep)
+                mine = base_spans(text)
+                found = find_spans(text, keep, mine)
                 spans.append([s._asdict() | {"value": text[s.start : s.end]} for s in found])
-                base.append(joined(base_spans(text)) if found else "")
+                base.append(joined(mine))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, kind), pa.array(base, pa.string())], ["doc_id", "spans", "base"])
 
     return text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def redact(docs: DataFrame, keep: float = KEEP_SCORE, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with every span replaced by ``<KIND>``."""
+    """The same rows and columns with every span replaced by ``<KIND>``. Null texts stay null, empty ones empty; of spans that overlap
+    the first is replaced; repeated rows are each answered; an empty table gives no rows."""
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

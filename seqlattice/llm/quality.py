@@ -172,10 +172,15 @@ def fit_chain(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Chain:
-    """Fit on at most ``rows`` labelled documents; their lines' features come from the executors."""
+    """Fit on at most ``rows`` labelled documents; their lines' features come from the executors.
+
+    Rows without an id or a label teach nothing. Of several labels of one id the largest holds, of several texts that of the
+    least hash. Labels of ids that aren't there are left out; without any, or with one label only, all scores are the labels' mean.
+    """
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = text_rows(docs, F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     chosen = texts.join(F.broadcast(picked), F.col("doc") == F.col("id")).select("id", "label", "text")
+    chosen = chosen.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, "text", 1 << 20):
@@ -186,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
                 "size": pa.array([size[a:z].astype("<i8").tobytes() for a, z in zip(first[:-1], first[1:])], pa.binary()),
             })
 
-    got = sorted((r for r in chosen.mapInArrow(features, "id long, label int, x binary, size binary").limit(2 * rows).toLocalIterator()), key=lambda r: (r["id"], bytes(r["x"])))
+    got = sorted((r for r in chosen.mapInArrow(features, "id long, label int, x binary, size binary").toLocalIterator()), key=lambda r: (r["id"], bytes(r["x"])))
     x = [np.frombuffer(bytes(r["x"]), "<f4").reshape(-1, WIDTH).astype(np.float64) for r in got]
     first = np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int64)
     return fit_chain(np.concatenate([np.zeros((0, WIDTH)), *x]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(bytes(r["size"]), "<i8") for r in got)]), first, np.array([r["label"] for r in got], np.int64))
@@ -215,7 +220,8 @@ def scores(texts: pa.Array, chain: Chain) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keep_good(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose score reaches ``threshold``."""
+    """The rows, with all their columns, whose score reaches ``threshold``. Null and empty texts have the training rows' share of good
+    documents as score; repeated rows stay or go together; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, text_col, 1 << 20):

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -398,6 +399,34 @@ def test_long_secrets_and_ibans_before_other_groups(spark):
     assert values("BE68539007547035 EUR") == []
 
 
+def test_many_spans_in_a_long_text(edge, nothing):
+    text = " ".join(f"a{i}@b.de ssn 536-90-{i % 9000 + 1000} api key aB3dE5fG7hJ9kL1m{i:06d} 10.0.0.{i % 256}" for i in range(20_000))
+    spans = pii.find_spans(text)
+    count = Counter(s.kind for s in spans)
+    assert count["email"] == count["ip"] == count["ssn"] == count["secret"] == 20_000 and all(a.end <= b.start for a, b in zip(spans, spans[1:]))
+    assert pii.redact(edge).columns == edge.columns and pii.redact(nothing).count() == 0
+
+
+def test_taken_places():
+    rng = random.Random(2)
+    spans = [(a, a + rng.randrange(1, 9)) for a in rng.sample(range(300), 40)]
+    taken = pii.Taken(spans)
+    for a in range(300):
+        for n in (1, 4, 12):
+            assert taken.free(a, a + n) == (not any(x < a + n and a < y for x, y in spans))
+            if taken.free(a, a + n) and rng.random() < 0.1:
+                taken.add(a, a + n)
+                spans.append((a, a + n))
+
+
+def test_quality_of_repeated_ids(spark):
+    rows = [(1, "Good prose stands here, and more of it."), (1, "!!! ### $$$ %%%"), (2, "@@@ |||| ####"), (3, "Another good line of words."), (3, "Another good line of words."), (4, "|||| ~~~~ ||||")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (4, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (quality.train(d, labels, rows=3) for d in (docs, docs.repartition(3).unionByName(docs)))
+    assert a.weight.tolist() == b.weight.tolist() and (a.slope, a.shift, a.prior) == (b.slope, b.shift, b.prior)
+
+
 # token files
 
 
