@@ -70,7 +70,7 @@ def _books(codebook: DataFrame, unit: bool, code: str, code_vector: str, most: i
     head = c.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).head()
     blocks = -(-(head["n"] or 0) * (head["d"] or 0) // most)
     if blocks > 1:
-        c = row_position(c, ["code"], "_at").withColumn("_block", F.floor(F.col("_at") * blocks / head["n"]))
+        c = row_position(c, ["code"], "_place").withColumn("_block", F.floor(F.col("_place") * blocks / head["n"]))
     one = lambda part: part.agg(F.array_sort(F.collect_list(F.struct("code", "vec"))).alias("_book"))
     return [one(c.where(F.col("_block") == i) if blocks > 1 else c) for i in range(blocks)]
 

@@ -45,7 +45,7 @@ def read_samples(spark: SparkSession, path: str, schema: str | T.StructType = ME
 
 def read_similarity_map(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object {text of a path list: triangle} -> (img_paths, triangle); keys that aren't lists are dropped."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     pairs = whole.select(F.explode(F.from_json("value", "map<string,array<array<double>>>")).alias("key", "triangle"))
     paths = F.from_json("key", "array<string>", {"allowSingleQuotes": "true"})
     return pairs.select(paths.alias("img_paths"), "triangle").where("img_paths is not null")
@@ -67,7 +67,7 @@ def read_intervals(spark: SparkSession, paths: list[str], budget_key: str = "bud
 
 def read_task_config(spark: SparkSession, path: str) -> DataFrame:
     """{group: [{path, token}]} -> (group_name, dataset_idx, path, token)."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     groups = whole.select(F.explode(F.from_json("value", "map<string,array<struct<path:string,token:string>>>")).alias("group_name", "tasks"))
     return groups.select("group_name", F.posexplode("tasks").alias("dataset_idx", "t")).select("group_name", "dataset_idx", "t.path", "t.token")
 
@@ -84,7 +84,7 @@ def read_parts(spark: SparkSession, path: str, schema: T.StructType | str, world
     if not files:
         raise FileNotFoundError(f"no result parts under {path}")
     if array:
-        heads = spark.read.option("wholetext", True).text(files).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", r"^\s*(\S)", 1).alias("head"))
+        heads = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", r"^\s*(\S)", 1).alias("head"))
         if (bad := heads.where("head <> '['").head()) is not None:
             raise ValueError(f"{bad['path']} does not contain a list")
     reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("mode", "FAILFAST").option("multiLine", array)

@@ -200,7 +200,7 @@ def test_readers(spark, tmp_path):
     table = bg.interval_table(io.read_intervals(spark, [str(rule)], "other"))
     assert bg.read_rule(table, "rule") == bg.Rule(0.7, ((0.0, 0.5, 9), (0.5, 1.0, 3)))
     sims = tmp_path / "sims.json"
-    sims.write_text('{"[\'a\', \'b\']": [[1.0], [0.5]], "no list": [[1.0]]}')
+    sims.write_text('{"[\'a\', \'b\']":\n  [[1.0],\n [0.5]], "no list": [[1.0]]}')
     assert [(r["img_paths"], r["triangle"]) for r in io.read_similarity_map(spark, str(sims)).collect()] == [(["a", "b"], [[1.0], [0.5]])]
 
 
@@ -291,3 +291,84 @@ def test_session_and_sliding_windows(spark):
     log = spark.createDataFrame([("2024-01-01 00:00:00", "b", None), ("2024-01-01 00:20:00", "b", "x"), ("2024-01-01 02:00:00", "b", None)], "timestamp string, benchmark string, error string").withColumn("timestamp", F.to_timestamp("timestamp"))
     assert sorted(r["records"] for r in stream_run_log(log, session="30 minutes").collect()) == [1, 2]
     assert stream_run_log(log, length="1 hour", slide="30 minutes").agg(F.sum("records")).head()[0] == 6
+
+
+def test_first_and_later_images(spark):
+    arr = lambda *v: F.array(*[F.lit(x) for x in v])
+    got = one(spark, ly.split_first_rest(arr(*range(12)), arr(2, 0, 1, 3), 2))
+    assert (got["first"], got["rest"]) == ([0, 1, 4, 5, 6, 7], [2, 3, 8, 9, 10, 11])
+    with pytest.raises(Exception, match="differ in number"):
+        one(spark, ly.split_first_rest(arr(1, 2, 3), arr(2), 2))
+
+
+def test_names_with_tokens(spark, tmp_path):
+    assert [io.with_tokens_name(n) for n in ("a/b.json", "x.y.jsonl")] == ["b_with_tokens.json", "x.y_with_tokens.jsonl"]
+    with pytest.raises(ValueError, match="csv"):
+        io.with_tokens_name("a.csv")
+    df = spark.range(25).select(F.col("id").alias("v"), F.lit("a\nb").alias("t"))
+    io.write_json_array(df.coalesce(1), str(tmp_path / "arrays"), 10)
+    files = list((tmp_path / "arrays").glob("part*"))
+    assert len(files) == 3 and all(f.read_text().startswith("[") for f in files)
+    assert sorted(map(tuple, io.read_json_array(spark, str(tmp_path / "arrays"), "v long, t string").collect())) == [(i, "a\nb") for i in range(25)]
+
+
+def test_parts_that_are_no_lists(spark, tmp_path):
+    (tmp_path / "result_part_rank0.json").write_text('\n [{"v": 1}]')
+    with pytest.warns(UserWarning, match="ranks \\[1\\]"):
+        assert io.read_parts(spark, str(tmp_path), "v int", world_size=2).count() == 1
+    (tmp_path / "result_part_rank1.json").write_text('{"v": 1}')
+    with pytest.raises(ValueError, match="does not contain a list"):
+        io.read_parts(spark, str(tmp_path), "v int")
+
+
+def test_adapter_paths_and_empty_chains(spark):
+    path = tx.output_path("out/", F.col("n"), F.lit(7), F.lit(2), F.lit(99))
+    assert one(spark, path, n="a b") == "out/a_b/sample_00000007_rank2_pid99.png"
+    none = F.lit(None).cast("array<int>")
+    empty = F.array(F.array().cast("array<int>"))
+    with pytest.raises(Exception, match="no codes"):
+        one(spark, inf.assemble_chain(none, none, none, empty))
+    assert one(spark, inf.assemble_chain(none, none, none, empty, strict=False)) is None
+
+
+def test_large_codebooks_go_in_blocks(spark):
+    book = spark.createDataFrame([(i, [math.cos(i // 2), math.sin(i // 2)]) for i in range(9)], "code int, vec array<double>")
+    vectors = spark.createDataFrame([(i, [math.cos(i * 0.7), math.sin(i * 0.7)]) for i in range(20)], "i int, vector array<double>")
+    whole = {r["i"]: (r["code"], r["distance"]) for r in qz.nearest_code(vectors, book).collect()}
+    for most in (2, 5, 100):
+        for f in (qz.nearest_code, qz.nearest_code_exact):
+            got = {r["i"]: (r["code"], r["distance"]) for r in f(vectors, book, most=most).collect()}
+            assert all(got[i][0] == whole[i][0] and got[i][1] == pytest.approx(whole[i][1], abs=1e-9) for i in range(20)) and len(got) == 20
+        far = {r["i"]: r["distances"] for r in qz.code_distances(vectors, book, most=most).collect()}
+        assert all(len(d) == 9 and min(d) == pytest.approx(whole[i][1], abs=1e-9) for i, d in far.items())
+    assert [r["code"] for r in qz.nearest_code(vectors, book.limit(0)).collect()] == [None] * 20
+
+
+def test_entropy_equals_a_plain_version(spark):
+    rows = [[0.1, 0.5, 0.2], [0.0, 0.3, 0.9], [0.4, 0.4, 0.4]]
+    got = qz.assignment_entropy(spark.createDataFrame([(r,) for r in rows], "distances array<double>"), temperature=0.2).head()
+    p = [[math.exp(-d / 0.2) for d in r] for r in rows]
+    p = [[x / sum(r) for x in r] for r in p]
+    sample = sum(-sum(x * math.log(x) for x in r) for r in p) / 3
+    mean = [sum(r[k] for r in p) / 3 for k in range(3)]
+    entropy = -sum(m * math.log(m + 1e-5) for m in mean)
+    assert (got["sample_entropy"], got["mean_entropy"], got["loss"]) == (pytest.approx(sample), pytest.approx(entropy), pytest.approx(sample - entropy))
+
+
+def test_too_many_intervals_and_large_images(spark):
+    table = spark.range(10_001).select(F.lit("s").alias("scheme"), F.col("id").cast("double").alias("left"), (F.col("id") + 1).cast("double").alias("right"), F.lit(9).alias("budget"))
+    with pytest.raises(ValueError, match="too many"):
+        bg.budget_for_tsim(spark.createDataFrame([(1.0,)], "tsim double"), table)
+    plan = ly.image_plan(spark.createDataFrame([(1 << 30, 1 << 30)], "h int, w int"), 3, 4, 2).head()
+    assert plan["halvings"] == 29
+
+
+def test_bad_cases_take_the_first(spark):
+    merged = spark.range(40).select(F.col("id").alias("i"), F.lit(1).alias("d"), F.when(F.col("id") % 2 == 0, "bad").alias("_error"), F.lit(None).cast("string").alias("_warn"))
+    assert [r["i"] for r in mg.bad_cases(merged, ["d"], "i", 5).orderBy("i").collect()] == [0, 2, 4, 6, 8]
+
+
+def test_shuffle_positions_follow_the_shuffle(spark):
+    df = spark.range(50).select(F.col("id").alias("k"))
+    want = [r["k"] for r in mg.seeded_shuffle(df, ["k"], 3).collect()]
+    assert [r["k"] for r in mg.shuffle_position(df, ["k"], 3).orderBy("position").collect()] == want != list(range(50))
