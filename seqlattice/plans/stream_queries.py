@@ -76,4 +76,10 @@ def r3_batch(spark, sf):
 def r4(spark, sf):
     batch = fx.states(spark, sf).select("seq_id", F.col("pos").cast("long").alias("pos"), "vector")
     parts = [batch.where("pos < 3"), batch.where("pos between 3 and 5"), batch.where("pos > 5")]
-    return drained(spark, parts, "allocate", lambda s: st.stream_allocate(s, fx.RULE), "seq_id")
+    key, store = st.STATE_STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        return drained(spark, parts, "allocate", lambda s: st.stream_allocate(s, fx.RULE), "seq_id")
+    finally:  # the stream has ended
+        spark.conf.set(key, before)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from seqlattice.functions import images as im
 from seqlattice.operators.budgets import FIRST_BUDGET, Rule
@@ -50,33 +50,44 @@ def next_budget(sims: list[float], budgets: list[int], rule: Rule) -> int:
     return rule.intervals[0][2] if mean < rule.intervals[0][0] else rule.intervals[-1][2]
 
 
-def stream_allocate(states: DataFrame, rule: Rule, idle: str | None = None, first: int = FIRST_BUDGET, seq: str = "seq_id", pos: str = "pos", vector: str = "vector") -> DataFrame:
-    """(seq, pos, num_tokens) of each new state of each sequence. States must come in order of ``pos`` between batches.
+class Allocate(StatefulProcessor):
+    """Budgets of one sequence's new states. The state is a list of (unit vector, budget) to which new ones are appended."""
 
-    State kept a sequence: the unit vectors and budgets so far; dropped after ``idle`` of processing time without a new state.
-    With ``idle`` a query never runs out of batches, so leave it out where the stream is to end with its data.
-    """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        flat, budgets, width = state.get if state.exists else ([], [], 0)
-        flat, budgets = list(flat), list(budgets)
-        new = pd.concat(list(batches)).sort_values(pos)
+    def __init__(self, rule: Rule, first: int, pos: str, vector: str, idle_ms: int | None) -> None:
+        self.rule, self.first, self.pos, self.vector, self.idle_ms = rule, first, pos, vector, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.past = handle.getListState("past", "vector array<double>, budget int", self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        past = list(self.past.get())
+        vectors, budgets = [np.asarray(v, np.float64) for v, _ in past], [b for _, b in past]
+        new = pd.concat(list(rows)).sort_values(self.pos)
         out = []
-        for p, v in zip(new[pos], new[vector]):
+        for p, v in zip(new[self.pos], new[self.vector]):
             v = np.asarray(v, np.float64)
             v = v / max(float(np.linalg.norm(v)), 1e-12)
-            width = len(v)
-            past = np.array(flat, np.float64).reshape(-1, width)
-            budgets.append(next_budget((past @ v).tolist(), budgets, rule) if budgets else first)
-            flat += v.tolist()
+            budgets.append(next_budget((np.stack(vectors) @ v).tolist(), budgets, self.rule) if budgets else self.first)
+            vectors.append(v)
             out.append((key[0], int(p), int(budgets[-1])))
-        state.update((flat, budgets, width))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+        self.past.appendList([(v.tolist(), int(b)) for v, b in zip(vectors[len(past) :], budgets[len(past) :])])
         yield pd.DataFrame(out, columns=["seq_id", "pos", "num_tokens"])
 
-    return states.groupBy(seq).applyInPandasWithState(run, "seq_id long, pos long, num_tokens int", "flat array<double>, budgets array<int>, width int", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+#: The state store that lists in the state need: a setting of the session that runs the stream.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def stream_allocate(states: DataFrame, rule: Rule, idle: str | None = None, first: int = FIRST_BUDGET, seq: str = "seq_id", pos: str = "pos", vector: str = "vector") -> DataFrame:
+    """(seq, pos, num_tokens) of each new state of each sequence. States must come in order of ``pos`` between batches.
+
+    State kept a sequence: the unit vectors and budgets so far, to which a batch appends its own; each is dropped ``idle`` of
+    processing time after it came, so give at least the longest life of a sequence. With ``idle`` a query never runs out of batches,
+    so leave it out where the stream is to end with its data. Needs ``STATE_STORE`` in the session.
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    return states.groupBy(seq).transformWithStateInPandas(
+        Allocate(rule, first, pos, vector, idle_ms), "seq_id long, pos long, num_tokens int", "Append", "ProcessingTime" if idle else "None")
