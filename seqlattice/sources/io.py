@@ -44,7 +44,9 @@ def read_samples(spark: SparkSession, path: str, schema: str | T.StructType = ME
 
 
 def read_similarity_map(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object {text of a path list: triangle} -> (img_paths, triangle); keys that aren't lists are dropped."""
+    """One JSON object {text of a path list: triangle} -> (img_paths, triangle); keys that aren't lists are dropped.
+
+    A file is one value in one task: write the result to Parquet once, and give large maps as several files."""
     whole = spark.read.text(path, wholetext=True)
     pairs = whole.select(F.explode(F.from_json("value", "map<string,array<array<double>>>")).alias("key", "triangle"))
     paths = F.from_json("key", "array<string>", {"allowSingleQuotes": "true"})
