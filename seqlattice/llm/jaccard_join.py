@@ -140,10 +140,19 @@ def possible_links(size: np.ndarray, payload: list[bytes], known: Components, pe
 
 
 class Branch:
-    __slots__ = ("lo", "hi", "of", "kids", "leaves", "shortest", "longest", "rows")
+    """``joined``: so many of the first rows are known to be in one component; it only grows."""
+
+    __slots__ = ("lo", "hi", "of", "kids", "leaves", "shortest", "longest", "rows", "joined")
 
     def __init__(self, of: int, lo: int, hi: int) -> None:
-        self.of, self.lo, self.hi, self.kids, self.leaves, self.rows = of, lo, hi, [], [], []
+        self.of, self.lo, self.hi, self.kids, self.leaves, self.rows, self.joined = of, lo, hi, [], [], [], 0
+
+    def within(self, known: Components, component: int) -> bool:
+        """Whether all rows are in the component."""
+        lead = known.find(self.rows[0])
+        while self.joined < len(self.rows) and known.find(self.rows[self.joined]) == lead:
+            self.joined += 1
+        return lead == component and self.joined == len(self.rows)
 
 
 def prefix_tree(sets: list[np.ndarray]) -> Branch:
@@ -192,8 +201,7 @@ def tree_links(size: np.ndarray, payload: list[bytes], known: Components, percen
             node, shared = todo.pop()
             if need(n, node.shortest, percent) > n or need(n, node.longest, percent) > node.longest:
                 continue
-            here = known.find(x)
-            if all(known.find(r) == here for r in node.rows):
+            if node.within(known, known.find(x)):
                 continue
             part = sets[node.of][node.lo : node.hi]
             left = n
