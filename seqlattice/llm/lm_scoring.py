@@ -32,7 +32,7 @@ STATES, CLASSES = 8, 64
 FREQUENT, HELD = 1 << 13, 1 << 17
 SLICES, EPOCHS = 4, 2
 #: Tokens that a block of a chain has, and that are worked at once.
-BLOCK, TOKENS = 2048, 1 << 20
+BLOCK, TOKENS = 2048, 1 << 19
 #: Expected counts are added up as whole multiples of 1 / UNIT, so that their sums don't depend on the order.
 UNIT = 1 << 12
 END = np.uint64(1)
@@ -323,7 +323,7 @@ def log_likelihoods(emit: np.ndarray, codes: np.ndarray, starts: np.ndarray, len
     return np.bincount(chain[blocks.steps.tokens], np.log10(scales), len(lengths))
 
 
-def _flat(batches: Iterator[pa.RecordBatch], most_tokens: int = TOKENS) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Batches put together up to a size: rows, their codes end to end, and each row's number of codes."""
     held, size = [], 0
     for b in batches:
@@ -331,7 +331,7 @@ def _flat(batches: Iterator[pa.RecordBatch], most_tokens: int = TOKENS) -> Itera
             continue
         held.append(b)
         size += b.column("codes").nbytes // 2
-        if size >= most_tokens:
+        if size >= TOKENS:
             yield _joined(held)
             held, size = [], 0
     if held:
@@ -478,7 +478,7 @@ def score(rows: DataFrame, model: WordModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for t, code, each in _flat(batches, TOKENS // 2):
+        for t, code, each in _flat(batches):
             found = t.column("found").combine_chunks().flatten()
             h = found.field("h").to_numpy(zero_copy_only=False).view(np.uint64)
             h, first = np.unique(h, return_index=True)
