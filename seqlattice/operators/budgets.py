@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqlattice.functions.vectors import ew_weighted_mean
 from seqlattice.operators.merging import row_position
@@ -26,6 +32,13 @@ class Rule:
         budgets = [b for _, _, b in self.intervals]
         return all(a >= b for a, b in zip(budgets, budgets[1:]))
 
+    def budget(self, x: float) -> int:
+        """The budget of a similarity, as ``budget_column`` has it."""
+        for left, right, budget in self.intervals[:-1]:
+            if left <= x < right:
+                return budget
+        return self.intervals[0][2] if x < self.intervals[0][0] else self.intervals[-1][2]
+
 
 #: The published rule.
 PUBLISHED = Rule(0.8, (
@@ -100,7 +113,45 @@ def allocate_budgets(triangles: DataFrame, rule: Rule, first: int = FIRST_BUDGET
     """``triangles`` with ``num_tokens``. A row of similarities that is empty where a mean is needed makes the result wrong
     for its sequence, so such sequences are left out."""
     ok = F.forall(F.slice("triangle", F.lit(2), F.greatest(F.size("triangle") - 1, F.lit(0))), lambda row: F.size(row) > 0)
-    return triangles.where(F.col("triangle").isNotNull() & ok).withColumn("num_tokens", allocate_column(F.col("triangle"), rule, first, include_first))
+    found = F.when(F.col("triangle").isNotNull() & ok, allocate_column(F.col("triangle"), rule, first, include_first))
+    # exploded from an array of one, so that the filter stays above and the optimizer doesn't write the triangle out for it again
+    return triangles.select("*", F.explode_outer(F.array(found)).alias("num_tokens")).where("num_tokens is not null")
+
+
+def allocate_states(states: DataFrame, rule: Rule, first: int = FIRST_BUDGET, seq: str = "seq_id", pos: str = "pos", vector: str = "vector", partitions: int | None = None) -> DataFrame:
+    """(seq, pos, num_tokens) of every state of sequences of any length: a fold over partitions sorted by sequence and position.
+
+    The weighted mean of the similarities to all earlier states is the dot product of the new state's unit vector with the weighted sum of theirs, and
+    that sum decays by alpha from state to state. So the fold keeps one vector and two numbers of the sequence it is in, no triangle and no history; the
+    sort may spill. Rows without a sequence, a position or a vector are left out; of several rows of one position all count, in any order; vectors
+    that hold nulls or NaN, or differ in length, make an error.
+    """
+    if not rule.monotone:
+        raise ValueError("the rule's budgets rise with similarity")
+    rows = states.where(F.col(seq).isNotNull() & F.col(pos).isNotNull() & F.col(vector).isNotNull()).select(F.col(seq).alias("seq"), F.col(pos).alias("pos"), F.col(vector).cast("array<double>").alias("v"))
+    schema = T.StructType([T.StructField("seq", states.schema[seq].dataType), T.StructField("pos", states.schema[pos].dataType), T.StructField("num_tokens", T.IntegerType())])
+    dealt = rows.repartition(partitions, "seq") if partitions else rows.repartition("seq")
+    return dealt.sortWithinPartitions("seq", "pos").mapInArrow(partial(_fold, rule, first), schema).select(F.col("seq").alias(seq), F.col("pos").alias(pos), "num_tokens")
+
+
+def _fold(rule: Rule, first: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, past, weight = None, None, 0.0
+    for b in batches:
+        keys, at, budgets = b.column(0).to_pylist(), b.column(2).offsets.to_numpy(), []
+        x = b.column(2).values.to_numpy(zero_copy_only=False)
+        if b.column(2).values.null_count or np.isnan(x).any():
+            raise ValueError("a vector holds a null or NaN")
+        for i, key in enumerate(keys):
+            v = x[at[i] : at[i + 1]]
+            v = v / max(math.sqrt(v @ v), 1e-12)
+            if past is None or key != now:
+                now, budget = key, first
+                past, weight = v * budget, float(budget)
+            else:
+                budget = rule.budget(float(v @ past) / weight if weight else 0.0)
+                past, weight = past * rule.alpha + v * budget, weight * rule.alpha + budget
+            budgets.append(budget)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(budgets, pa.int32())], names=["seq", "pos", "num_tokens"])
 
 
 def avg_token(rows: DataFrame, by: list[str] | None = None, paths: str = "img_paths", budgets: str = "num_tokens") -> DataFrame:

@@ -132,10 +132,12 @@ def assignment_entropy(rows: DataFrame, distances: str = "distances", temperatur
     The softmax stays in its row; the mean distribution is summed by code before it is shuffled.
     """
     z = rows.select(F.transform(distances, lambda d: -d / F.lit(temperature)).alias("z")).withColumn("top", F.array_max("z"))
-    z = z.withColumn("log_sum", F.col("top") + F.log(total(F.transform("z", lambda x: F.exp(x - F.col("top"))))))
-    p = z.select(F.transform("z", lambda x: x - F.col("log_sum")).alias("l")).select("l", F.transform("l", lambda x: F.exp(x)).alias("p"))
+    logs = lambda s: F.transform("z", lambda x: x - s)
+    log_sum = F.col("top") + F.log(total(F.transform("z", lambda x: F.exp(x - F.col("top")))))
+    p = z.select(F.element_at(F.transform(F.array(log_sum), logs), 1).alias("l")).select("l", F.transform("l", lambda x: F.exp(x)).alias("p"))
     sample = p.agg(F.avg(-total(F.zip_with("p", "l", lambda a, b: a * b))).alias("sample_entropy"), F.count("*").alias("n"))
-    means = p.select(F.posexplode("p").alias("at", "p")).groupBy("at").agg(F.sum("p").alias("s"))
+    # the outer form: for the inner one the optimizer adds a filter on the array's size, and pushes all distances with it into a join
+    means = p.select(F.posexplode_outer("p").alias("at", "p")).where("at is not null").groupBy("at").agg(F.sum("p").alias("s"))
     # one row
     mean = means.crossJoin(F.broadcast(sample)).agg((-F.sum(F.col("s") / F.col("n") * F.log(F.col("s") / F.col("n") + F.lit(1e-5)))).alias("mean_entropy"), F.first("sample_entropy").alias("sample_entropy"))
     return mean.select("sample_entropy", "mean_entropy", (F.col("sample_entropy") - F.col("mean_entropy")).alias("loss"))

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqlattice.functions.vectors import dot, l2_normalize
 
-#: Sequences up to this length have their triangle made in one row; longer ones by a self-join.
+#: Sequences up to this length have their triangle made in one row; longer ones by blocks of states.
 SHORT = 64
+#: States of a block: a task of the blocked join holds two blocks of vectors and one product of them.
+BLOCK = 256
 
 
 def triangle_column(vectors: Column, first_row: bool = True) -> Column:
@@ -29,11 +33,48 @@ def sequence_vectors(states: DataFrame, seq: str = "seq_id", pos: str = "pos", v
     return states.groupBy(seq).agg(F.transform(ordered, lambda s: s[vector]).alias("vectors"))
 
 
-def causal_pairs(states: DataFrame, seq: str = "seq_id", pos: str = "pos", vector: str = "vector") -> DataFrame:
-    """(seq, t, j, sim) for all j < t: the long form, a self-join on the sequence for sequences of any length."""
-    unit = states.select(F.col(seq), F.col(pos), l2_normalize(F.col(vector)).alias("unit"))
+def block_pairs(states: DataFrame, seq: str = "seq_id", pos: str = "pos", vector: str = "vector", block: int = BLOCK) -> DataFrame:
+    """(seq, t, j, sim) for all j < t of long sequences: a triangular self-join of blocks of ``block`` positions.
+
+    Every state goes to each pair of blocks (i, k), k <= i, that its block is in; a pair is one group, whose similarities are one
+    matrix product. So no task holds more than two blocks, and no sequence is one key. Positions are whole numbers from 0; several
+    states of one position make their block larger and have no pairs with each other.
+    """
+    at = states.select(F.col(seq), F.col(pos).cast("long").alias("pos"), F.col(vector).cast("array<double>").alias("v"), F.floor(F.col(pos) / block).cast("int").alias("b"))
+    last = at.groupBy(F.col(seq).alias("_of")).agg(F.max("b").alias("last"))
+    at = at.join(last, F.col(seq) == F.col("_of")).drop("_of")
+    later = at.select(seq, "pos", "v", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("k"), F.lit(True).alias("later"))
+    earlier = at.select(seq, "pos", "v", F.explode(F.sequence(F.col("b"), F.col("last"))).alias("i"), F.col("b").alias("k"), F.lit(False).alias("later"))
+    schema = T.StructType([T.StructField("seq", states.schema[seq].dataType), *(T.StructField(n, T.LongType()) for n in ("t", "j")), T.StructField("sim", T.DoubleType())])
+
+    def product(key: tuple, rows: pa.Table) -> pa.Table:
+        late, at, v = rows["later"].to_numpy(), rows["pos"].to_numpy(), rows["v"].combine_chunks()
+        x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+        x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+        sims = x[late] @ x[~late].T
+        a, b = np.nonzero(at[late][:, None] > at[~late][None, :])
+        return pa.table({"seq": pa.array([key[0].as_py()] * len(a), rows[seq].type), "t": at[late][a], "j": at[~late][b], "sim": sims[a, b]})
+
+    found = later.unionByName(earlier).groupBy(seq, "i", "k").applyInArrow(product, schema)
+    return found.select(F.col("seq").alias(seq), F.col("t").cast(states.schema[pos].dataType), F.col("j").cast(states.schema[pos].dataType), "sim")
+
+
+def lengths_of(states: DataFrame, seq: str, short: int) -> tuple[DataFrame, bool]:
+    """(seq, length) of each sequence, and whether one is longer than ``short``: a job that runs while the plan is made."""
+    lengths = states.groupBy(seq).agg(F.count("*").alias("length"))
+    return lengths, not lengths.where(F.col("length") > short).isEmpty()
+
+
+def causal_pairs(states: DataFrame, seq: str = "seq_id", pos: str = "pos", vector: str = "vector", short: int = SHORT, block: int = BLOCK) -> DataFrame:
+    """(seq, t, j, sim) for all j < t: a self-join on the sequence for those of up to ``short`` states, ``block_pairs`` for longer ones."""
+    lengths, long = lengths_of(states, seq, short)
+    few = states.join(lengths.where(F.col("length") <= short), seq, "left_semi") if long else states
+    unit = few.select(F.col(seq), F.col(pos), l2_normalize(F.col(vector)).alias("unit"))
     a, b = unit.select(seq, F.col(pos).alias("t"), F.col("unit").alias("a")), unit.select(seq, F.col(pos).alias("j"), F.col("unit").alias("b"))
-    return a.join(b, seq).where("j < t").select(seq, "t", "j", dot(F.col("a"), F.col("b")).alias("sim"))
+    pairs = a.join(b, seq).where("j < t").select(seq, "t", "j", dot(F.col("a"), F.col("b")).alias("sim"))
+    if not long:
+        return pairs
+    return pairs.unionByName(block_pairs(states.join(lengths.where(F.col("length") > short), seq, "left_semi"), seq, pos, vector, block))
 
 
 def triangle(pairs: DataFrame, lengths: DataFrame, seq: str = "seq_id", first_row: bool = True) -> DataFrame:
@@ -46,12 +87,17 @@ def triangle(pairs: DataFrame, lengths: DataFrame, seq: str = "seq_id", first_ro
 
 
 def similarity_triangles(states: DataFrame, seq: str = "seq_id", pos: str = "pos", vector: str = "vector", first_row: bool = True, short: int = SHORT) -> DataFrame:
-    """(seq, triangle) of every sequence; short ones in one row each, long ones by the self-join."""
-    lengths = states.groupBy(seq).agg(F.count("*").alias("length"))
-    few = states.join(lengths.where(F.col("length") <= short), seq, "left_semi")
-    many = states.join(lengths.where(F.col("length") > short), seq, "left_semi")
+    """(seq, triangle) of every sequence; short ones in one row each, longer ones from ``block_pairs``.
+
+    A triangle of T states holds T * T / 2 numbers in one row. For budgets of long sequences take ``budgets.allocate_states``, which makes none.
+    """
+    lengths, long = lengths_of(states, seq, short)
+    few = states.join(lengths.where(F.col("length") <= short), seq, "left_semi") if long else states
     one = sequence_vectors(few, seq, pos, vector).select(seq, triangle_column(F.col("vectors"), first_row).alias("triangle"))
-    return one.unionByName(triangle(causal_pairs(many, seq, pos, vector), lengths.where(F.col("length") > short), seq, first_row))
+    if not long:
+        return one
+    many, sizes = states.join(lengths.where(F.col("length") > short), seq, "left_semi"), lengths.where(F.col("length") > short)
+    return one.unionByName(triangle(block_pairs(many, seq, pos, vector), sizes, seq, first_row))
 
 
 def pool_features(patches: DataFrame, image: str = "image", vector: str = "vector") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqlattice.functions import images as im
 from seqlattice.operators.budgets import Rule
 from seqlattice.operators.merging import row_position
+from seqlattice.sources.scratch import scratch_path
 
 RULE = Rule(0.8, ((-0.6, -0.08, 100), (-0.08, -0.02, 81), (-0.02, 0.04, 49), (0.04, 0.6, 9)))
 #: Interval rows of three schemes: the rule above, a coarser one, and one whose budgets rise.
@@ -28,20 +29,45 @@ def label_of(seq_id: Column) -> Column:
     return F.when(seq_id < WIDE >> 1, F.floor(seq_id / 1000)).otherwise(F.shiftright(seq_id - WIDE, 30))
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """The embeddings with their place ``rn`` in their label, by ``vec_id``, and that place. Only (label, vec_id) are numbered, by range parts, so a label may
+    have any number of vectors."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    at = row_position(e.select("vec_id", "label"), ["label", "vec_id"], "at")
+    first = at.groupBy(F.col("label").alias("of")).agg(F.min("at").alias("first"))
+    places = at.join(first, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", (F.col("at") - F.col("first")).alias("rn"))
+    return e.join(places, "vec_id"), F.col("rn")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written down once for the plans that read it several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq_id, pos, vec_id, label, vector): eight vectors of one label after another make a sequence. Rows are numbered by range
-    parts, so a label may have any number of them."""
-    v = row_position(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), ["label", "vec_id"], "at")
-    first = v.groupBy(F.col("label").alias("of")).agg(F.min("at").alias("first"))
-    v = v.join(first, F.col("label").eqNullSafe(F.col("of"))).withColumn("rn", F.col("at") - F.col("first"))
-    label, run = F.col("label").cast("long"), F.floor(F.col("rn") / 8)
+    """(seq_id, pos, vec_id, label, vector): eight vectors of one label after another make a sequence."""
+    v, rn = _placed(spark, sf_dir)
+    label, run = F.col("label").cast("long"), F.floor(rn / 8)
     seq_id = F.when(run < 1000, label * 1000 + run).otherwise(F.lit(WIDE) + label * WIDE_STEP + run)
-    return v.select(seq_id.alias("seq_id"), (F.col("rn") % 8).cast("int").alias("pos"), "vec_id", "label", F.col("embedding").alias("vector"))
+    return written(v.select(seq_id.alias("seq_id"), (rn % 8).cast("int").alias("pos"), "vec_id", "label", F.col("embedding").alias("vector")), "states")
 
 
-SEQ_SQL = """
+def long_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id, pos, vector): all vectors of a label in one sequence, 400 at a time, by ``vec_id``."""
+    v, rn = _placed(spark, sf_dir)
+    seq_id = F.col("label").cast("long") * WIDE_STEP + F.floor(rn / 400)
+    return written(v.select(seq_id.alias("seq_id"), (rn % 400).cast("int").alias("pos"), F.col("embedding").alias("vector")), "long-states")
+
+
+SEQ_SQL = f"""
+v as (select label, vec_id, embedding, row_number() over (partition by label order by vec_id) - 1 rn from embeddings),
+s as (select (case when rn // 8 < 1000 then label * 1000 else {WIDE} + label * {WIDE_STEP}::bigint end + rn // 8)::bigint as seq_id, (rn % 8)::int as pos, vec_id, label, embedding::double[] as e from v)"""
+LABEL_SQL = f"(case when seq_id < {WIDE >> 1} then seq_id // 1000 else (seq_id - {WIDE}) >> 30 end)"
+LONG_SEQ_SQL = f"""
 v as (select label, vec_id, embedding, row_number() over (partition by label order by vec_id) - 1 rn from embeddings),
-s as (select (label * 1000 + rn // 8)::bigint as seq_id, (rn % 8)::int as pos, vec_id, label, embedding::double[] as e from v)"""
+s as (select (label::bigint * {WIDE_STEP} + rn // 400)::bigint as seq_id, (rn % 400)::int as pos, embedding::double[] as e from v)"""
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,26 @@ def w1(spark, sf):
     return _allocated(spark, sf).select("seq_id", joined("num_tokens").alias("num_tokens"))
 
 
+LONG_SQL = ALLOCATE_SQL.replace(fx.SEQ_SQL.strip(), fx.LONG_SEQ_SQL.strip())
+
+
+@query("w1_allocate_long", LONG_SQL + " select seq_id, unnest(range(len(num_tokens)))::int as pos, unnest(num_tokens)::int as num_tokens from alloc")
+def w1_long(spark, sf):
+    """Sequences of up to 400 states, by the fold over sorted states."""
+    return bg.allocate_states(fx.long_states(spark, sf), fx.RULE)
+
+
+@query("w1_allocate_states", ALLOCATE_SQL + " select seq_id, unnest(range(len(num_tokens)))::int as pos, unnest(num_tokens)::int as num_tokens from alloc")
+def w1_states(spark, sf):
+    return bg.allocate_states(fx.states(spark, sf), fx.RULE)
+
+
+@query("j3_block_pairs", f"with {fx.LONG_SEQ_SQL} {PAIRS_SQL}")
+def j3_blocks(spark, sf):
+    """Pairs of the long sequences, by blocks of states."""
+    return sim.block_pairs(fx.long_states(spark, sf), block=64).select("seq_id", "t", "j", F.round("sim", 6).alias("sim"))
+
+
 @query("a3_ew_weighted_mean", f"with {fx.SEQ_SQL}, p as ({PAIRS_SQL.replace('round(list_cosine_similarity(a.e, b.e), 6)', 'list_cosine_similarity(a.e, b.e)')}) select seq_id, t, round(sum(sim * pow(0.8, t - 1 - j) * (j + 1)) / sum(pow(0.8, t - 1 - j) * (j + 1)), 5) as mean from p group by 1, 2")
 def a3(spark, sf):
     rows = sim.causal_pairs(fx.states(spark, sf)).groupBy("seq_id", "t").agg(F.array_sort(F.collect_list(F.struct("j", "sim"))).alias("row"))
@@ -192,7 +212,7 @@ def x2_slots(spark, sf):
     return bg.monotone_schemes(d.agg((F.sum("n_chars") % 7).alias("raw_budget")))
 
 
-@query("a1_avg_token", ALLOCATE_SQL + " select (seq_id // 1000)::bigint as label, round(sum(list_sum(num_tokens))::double / sum(len(num_tokens)), 6) as avg_token, count(*) as records from alloc group by 1")
+@query("a1_avg_token", ALLOCATE_SQL + f" select {fx.LABEL_SQL}::bigint as label, round(sum(list_sum(num_tokens))::double / sum(len(num_tokens)), 6) as avg_token, count(*) as records from alloc group by 1")
 def a1(spark, sf):
     rows = _allocated(spark, sf).withColumn("label", fx.label_of(F.col("seq_id")))
     return bg.avg_token(rows, ["label"], "num_tokens").select("label", F.round("avg_token", 6).alias("avg_token"), "records")
@@ -212,9 +232,9 @@ COARSE_SQL = COARSE_SQL[COARSE_SQL.index("rc as (") :]
 
 @query("a13_run_summary", ALLOCATE_SQL + ", " + COARSE_SQL + """,
 both_of as (select 'base' as scheme, 0.8 as alpha, * from alloc union all select 'coarse', 0.5, * from alloc_c),
-made as (select scheme, case when (seq_id // 1000) % 5 = 0 then 'test' else 'train' end as split, any_value(alpha)::double as alpha, round(sum(list_sum(num_tokens))::double / sum(len(num_tokens)), 6) as avg_token, count(*) as records from both_of group by 1, 2)
+made as (select scheme, case when {LABEL} % 5 = 0 then 'test' else 'train' end as split, any_value(alpha)::double as alpha, round(sum(list_sum(num_tokens))::double / sum(len(num_tokens)), 6) as avg_token, count(*) as records from both_of group by 1, 2)
 select scheme, split, coalesce(alpha, -1) as alpha, coalesce(avg_token, -1) as avg_token, coalesce(records, 0) as records
-from (values ('base'), ('coarse'), ('rising')) a(scheme) cross join (values ('train'), ('test')) b(split) left join made using (scheme, split)""")
+from (values ('base'), ('coarse'), ('rising')) a(scheme) cross join (values ('train'), ('test')) b(split) left join made using (scheme, split)""".replace("{LABEL}", fx.LABEL_SQL))
 def a13(spark, sf):
     made = bg.allocate_schemes(sim.similarity_triangles(fx.states(spark, sf)), _schemes(spark))
     made = made.withColumn("split", F.when(fx.label_of(F.col("seq_id")) % 5 == 0, "test").otherwise("train"))
@@ -543,7 +563,7 @@ def w3(spark, sf):
     return ly.segment_offsets(_exploded(spark, sf), "n", ["conv_id"], "ord").select("conv_id", "ord", "start", "end")
 
 
-@query("w4_output_segments", f"with {fx.TOK_SQL} select conv_id, i::int as image, (case when i = 0 and conv_id % 2 = 0 then 5 else num_tokens[i + 1 + (case when conv_id % 2 = 0 then 0 else 1 end)] + 1 end)::int as count from tok, range(0, 64) r(i) where num_tokens is not null and i < len(num_tokens) - (case when conv_id % 2 = 0 then 0 else 1 end)")
+@query("w4_output_segments", f"with {fx.TOK_SQL} select conv_id, i::int as image, (case when i = 0 and conv_id % 2 = 0 then 5 else num_tokens[i + 1 + (case when conv_id % 2 = 0 then 0 else 1 end)] + 1 end)::int as count from (select *, unnest(range(len(num_tokens))) as i from tok where num_tokens is not null) where i < len(num_tokens) - (case when conv_id % 2 = 0 then 0 else 1 end)")
 def w4(spark, sf):
     t = _budgets(spark, sf).where("num_tokens is not null").withColumn("conv_id", F.regexp_extract(F.element_at("img_paths", 1), r"img/(\d+)_", 1).cast("long"))
     n = F.size("num_tokens")

@@ -47,11 +47,14 @@ def r2(spark, sf):
     return out.select("id", F.coalesce(joined("num_tokens"), F.lit("")).alias("num_tokens"), F.coalesce("_error", F.lit("")).alias("error"), F.coalesce("_warn", F.lit("")).alias("warn"))
 
 
-#: Thirds of the log's time, one after the other; every 50th record of the first third comes with the last, too late for its window.
+#: Thirds of the log's time, one after the other. Of the first third, every 50th record and every other one of its last twelve hours
+#: come with the last third. Late records are dropped by the watermark of the batch before, which has seen the first batch only.
 LATE_SQL = """with b as (select min(epoch_us(ts)) as lo, max(epoch_us(ts)) as hi from events),
 e as (
-  select *, epoch_us(ts) as us, case when epoch_us(ts) < lo + (hi - lo) // 3 then (case when event_id % 50 = 0 then 3 else 1 end) when epoch_us(ts) < lo + (hi - lo) * 2 // 3 then 2 else 3 end as part from events, b),
-m as (select max(us) filter (where part < 3) as seen, max(us) as newest from e),
+  select *, epoch_us(ts) as us, lo + (hi - lo) // 3 as border,
+         case when epoch_us(ts) < lo + (hi - lo) // 3 then (case when event_id % 50 = 0 or event_id % 2 = 0 and epoch_us(ts) >= lo + (hi - lo) // 3 - 43200000000 then 3 else 1 end)
+              when epoch_us(ts) < lo + (hi - lo) * 2 // 3 then 2 else 3 end as part from events, b),
+m as (select max(us) filter (where part < 2) as seen, max(us) as newest from e),
 w as (select *, us // 3600000000 as h from e, m)"""
 
 
@@ -59,7 +62,8 @@ w as (select *, us // 3600000000 as h from e, m)"""
 def r3(spark, sf):
     log = fx.run_log(spark, sf).select("event_id", "timestamp", "benchmark", "error", F.unix_micros("timestamp").alias("us"))
     lo, hi = log.agg(F.min("us"), F.max("us")).head()
-    early, late = F.col("us") < lo + (hi - lo) // 3, F.col("event_id") % 50 == 0
+    border = lo + (hi - lo) // 3
+    early, late = F.col("us") < border, (F.col("event_id") % 50 == 0) | (F.col("event_id") % 2 == 0) & (F.col("us") >= border - 43_200_000_000)
     middle = ~early & (F.col("us") < lo + (hi - lo) * 2 // 3)
     parts = [log.where(x).select("timestamp", "benchmark", "error") for x in (early & ~late, middle, ~(early & ~late) & ~middle)]
     out = drained(spark, parts, "log", st.stream_run_log, "benchmark")
