@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import decontamination, fingerprints, jaccard_join, langid, lm_scoring, mixing, pii, quality, suffix_dedup, tokenstore
+from seqlattice.llm import decontamination, fingerprints, html_text, jaccard_join, langid, lm_scoring, mixing, pii, quality, suffix_dedup, tokenstore, vector_codes, whitening
 from seqlattice.llm.common import fold, table
 
 
@@ -148,5 +148,57 @@ from sets d join sets i on d.g = i.g and d.side = 'd' and i.side = 'i' join size
 group by d.id, i.id having 100 * count(*) >= 80 * any_value(s.n)
 """
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_quality": op2_quality, "op3_language": op3_language, "op4_lm_scoring": op4_lm_scoring, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op7_pii": op7_pii, "op8_token_files": op8_token_files, "op9_suffix_dedup": op9_suffix_dedup, "op10_decontamination": op10_decontamination}
-ORACLE = {"op1_jaccard_join": OP1_SQL, "op5_mixing": OP5_SQL, "op10_decontamination": OP10_SQL}
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, book = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(found).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_digest(book)).alias("codebooks_sha256"))
+
+
+def _assigned(name: str, book: str) -> str:
+    return f"""
+{name} as materialized (
+  select p.row, p.part, arg_min(b.entry, (list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.entry)) as entry
+  from parts p join {book} b on p.part = b.part group by 1, 2)"""
+
+
+def _moved(name: str, codes: str, book: str) -> str:
+    return f"""
+{name}_mean as (
+  select part, entry, list(m order by i) as v from (
+    select part, entry, i, floor(sum(x)::double / count(*))::bigint as m from (
+      select a.part, a.entry, unnest(p.v) as x, unnest(range(len(p.v))) as i from {codes} a join parts p on a.row = p.row and a.part = p.part)
+    group by 1, 2, 3) group by 1, 2),
+{name} as materialized (select b.part, b.entry, coalesce(m.v, b.v) as v from {book} b left join {name}_mean m on m.part = b.part and m.entry = b.entry)"""
+
+
+#: Every part of every vector against every entry, three times.
+OP12_SQL = f"""
+with kept as (
+  select row_number() over () as row, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+parts as materialized (
+  select row, part, v[part * w + 1 : (part + 1) * w] as v from (select row, v, len(v) // 16 as w, unnest(range(16)) as part from kept)),
+firsts as (select row, row_number() over (order by vec_id, v) - 1 as entry from kept where vec_id is not null qualify entry < 64),
+book0 as materialized (select p.part, f.entry, p.v from firsts f join parts p using (row)),
+{_assigned("codes0", "book0")}, {_moved("book1", "codes0", "book0")}, {_assigned("codes1", "book1")}, {_moved("book2", "codes1", "book1")}, {_assigned("codes2", "book2")},
+own as (
+  select c.row, string_agg(printf('%02x', c.entry), '' order by c.part) as code, sum(list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))::bigint as error
+  from codes2 c join parts p on p.row = c.row and p.part = c.part join book2 b on b.part = c.part and b.entry = c.entry group by 1)
+select k.vec_id, o.code, o.error, (sum(o.error) over (partition by k.label))::bigint as label_error,
+       (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) from book2) as codebooks_sha256
+from kept k join own o using (row)
+"""
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_quality": op2_quality, "op3_language": op3_language, "op4_lm_scoring": op4_lm_scoring, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op7_pii": op7_pii, "op8_token_files": op8_token_files, "op9_suffix_dedup": op9_suffix_dedup, "op10_decontamination": op10_decontamination,
+           "op11_whitening": op11_whitening, "op12_vector_codes": op12_vector_codes, "op13_html_text": op13_html_text}
+ORACLE = {"op1_jaccard_join": OP1_SQL, "op5_mixing": OP5_SQL, "op10_decontamination": OP10_SQL, "op12_vector_codes": OP12_SQL}
