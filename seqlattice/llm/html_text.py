@@ -4,8 +4,8 @@ A page becomes a sequence of words and tags. A word scores +1, or as much below
 tag scores below 0, and lower the more it is found outside of articles. One linear scan finds the contiguous region of the highest score. If that lies in an
 ``article`` or ``main`` element for the most part, it is taken to that element's borders. The region's blocks, without those in such elements, are the text.
 
-Weights come from labelled pages: those that mark one ``article`` themselves. Of them, the ``TRAIN_PAGES`` with the least hash of their id are read: the bound
-of the sample. Pages without labels, or none at all, leave the weights at the fixed values below.
+Weights come from labelled pages: those that mark one ``article`` themselves. Of them, those with the ``TRAIN_PAGES`` least hashes of their ids are read: the
+bound of the sample (rows of one id are in it together). Pages without labels, or none at all, leave the weights at the fixed values below.
 
 Odd pages: a null or empty html gives an empty text, as does one without words outside of markup; text without any tag is one block. Elements that
 are never closed end with the one around them, tags in no order are taken as they come, and what never ends (a comment, a script) runs to the page's
@@ -244,8 +244,10 @@ def counts(page: str | None) -> Counter[tuple[str, bool]]:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", page: str = "html", most: int = TRAIN_PAGES) -> Weights:
-    """Weights from the labelled pages of a sample of ``most``: those of the least hash among pages with an ``article``."""
-    sample = pages.where(F.col(page).rlike("(?i)<article[\\s>]")).select(F.col(page).alias("page"), F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h")).orderBy("h", "page").limit(most)
+    """Weights from a sample of the labelled pages: those with the ``most`` least different hashes of their ids. Only hashes are gathered, no pages."""
+    marked = pages.where(F.col(page).rlike("(?i)<article[\\s>]")).select(F.col(page).alias("page"), F.xxhash64(F.col(id_col)).alias("h"))
+    last = marked.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).head()[0]
+    sample = marked.where(F.col("h") <= F.lit(last).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
