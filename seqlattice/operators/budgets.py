@@ -8,13 +8,15 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqlattice.functions.vectors import ew_weighted_mean
-from seqlattice.operators.merging import row_position
+from seqlattice.operators.merging import range_parts, row_position
+from seqlattice.sources.scratch import scratch_path
 
 #: Fixed values.
 FIRST_BUDGET, MISSING_BUDGET = 144, 9.0
@@ -80,13 +82,21 @@ def budget_column(x: Column, rule: Rule) -> Column:
     return out.when(x < edges[0][0], F.lit(edges[0][2])).otherwise(F.lit(edges[-1][2]))
 
 
-def budget_for_tsim(df: DataFrame, table: DataFrame, value: str = "tsim") -> DataFrame:
-    """``df`` with ``scheme`` and ``budget`` for every scheme of an interval table, by a range join.
+#: Intervals that a table may have to be looked through in an expression, in each row and by all executors; beyond it they are indexed.
+FEW_INTERVALS = 64
+#: Edges of a bin of the index, and borders of bins that go to every executor (32 MB): beyond it bins hold more edges.
+BIN_EDGES, MOST_BORDERS = 16, 4_000_000
 
-    The table is a handful of rows a scheme and is sent to all executors; more than 10,000 rows are an error.
+
+def budget_for_tsim(df: DataFrame, table: DataFrame, value: str = "tsim", few: int = FEW_INTERVALS, salts: int = 8) -> DataFrame:
+    """``df`` with ``scheme`` and ``budget`` for every scheme of an interval table, by a range join; edges as in ``budget_column``.
+
+    Up to ``few`` intervals are looked through in each row. More are indexed: the edges of all schemes, in order, are dealt to bins of a few; a value's
+    bin is found by bisection of the bins' borders, and rows meet their bin's intervals by an equi-join and one comparison. Null and NaN values get a
+    scheme's last budget.
     """
-    if table.count() > 10_000:
-        raise ValueError("too many intervals to send to every task")
+    if len(table.limit(few + 1).collect()) > few:
+        return _indexed_budgets(df, table, value, salts)
     by = Window.partitionBy("scheme").orderBy("left")
     all_of = Window.partitionBy("scheme")
     t = table.withColumn("i", F.row_number().over(by)).withColumn("n", F.count("*").over(all_of))
@@ -98,6 +108,59 @@ def budget_for_tsim(df: DataFrame, table: DataFrame, value: str = "tsim") -> Dat
     return joined.withColumn("budget", F.coalesce(hit, F.when(x < F.col("low"), F.col("lowest")).otherwise(F.col("rest")))).drop("iv", "low", "lowest", "rest")
 
 
+def interval_edges(table: DataFrame) -> DataFrame:
+    """(scheme, edge, until, budget): the number line of each scheme in pieces [edge, until) of one budget, from minus to plus infinity.
+
+    Of overlapping intervals the one with the lesser left edge holds, so an interval begins where those before it have ended; gaps, and what lies above
+    all, have the last budget. Running maxima and following edges are taken in range parts and then over the parts' ends, so a scheme may have any number of intervals.
+    """
+    parts = range_parts(table.select("scheme", "left", "right", "budget"), ["scheme", "left", "right", "budget"])
+    within = Window.partitionBy("scheme", "_part").orderBy("left", "right", "budget")
+    over = Window.partitionBy("scheme").orderBy("_part")
+    heads = parts.groupBy(F.col("scheme").alias("_scheme"), F.col("_part").alias("_of")).agg(F.max("right").alias("top"), F.min("left").alias("low"), F.max_by("budget", F.struct("left", "right", "budget")).alias("end"))
+    heads = heads.withColumnRenamed("_of", "_part").withColumnRenamed("_scheme", "scheme")
+    # one row a scheme and part
+    heads = heads.select("scheme", "_part", F.max("top").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.lead("low").over(over).alias("next_low"), F.last("end").over(Window.partitionBy("scheme").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("rest"))
+    heads = heads.withColumnRenamed("scheme", "_scheme").withColumnRenamed("_part", "_of")
+    own = parts.join(heads, F.col("scheme").eqNullSafe(F.col("_scheme")) & (F.col("_part") == F.col("_of")))
+    covered = F.greatest(F.max("right").over(within.rowsBetween(Window.unboundedPreceding, -1)), "before")
+    own = own.withColumn("covered", covered).withColumn("next", F.coalesce(F.lead("left").over(within), "next_low"))
+    begin, stop = F.greatest("left", "covered"), F.greatest("right", "covered")
+    infinite = F.lit(float("inf"))
+    first = F.when(F.col("covered").isNull(), F.struct(F.lit(float("-inf")).alias("edge"), F.col("left").alias("until"), F.col("budget").alias("budget")))
+    held = F.when(begin < F.col("right"), F.struct(begin.alias("edge"), F.col("right").alias("until"), F.col("budget").alias("budget")))
+    gap = F.when(stop < F.coalesce("next", infinite), F.struct(stop.alias("edge"), F.coalesce("next", infinite).alias("until"), F.col("rest").alias("budget")))
+    pieces = own.select("scheme", F.inline(F.filter(F.array(first, held, gap), lambda p: p.isNotNull() & (p["edge"] < p["until"]))))
+    return pieces.select("scheme", "edge", "until", "budget")
+
+
+def _indexed_budgets(df: DataFrame, table: DataFrame, value: str, salts: int) -> DataFrame:
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "edges")
+    interval_edges(table).write.parquet(path)
+    edges = spark.read.parquet(path)
+    each = max(BIN_EDGES, -(-edges.count() // MOST_BORDERS))
+    at = row_position(edges.select("edge"), ["edge"], "at")
+    # a number for each bin, of which there are MOST_BORDERS at most
+    borders = np.unique(np.array([r["edge"] for r in at.where(F.col("at") % each == 0).select("edge").toLocalIterator()], np.float64))
+    shared = spark.sparkContext.broadcast(borders)
+
+    @F.pandas_udf("int")
+    def bin_of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, x.fillna(np.inf).to_numpy(np.float64), "right") - 1)
+
+    @F.pandas_udf("int")
+    def last_bin_of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(shared.value, x.to_numpy(np.float64), "left") - 1, 0))
+
+    # null and NaN count as infinite; the last piece of each scheme reaches to there
+    x = F.when(F.isnan(value) | F.col(value).isNull(), F.lit(float("inf"))).otherwise(F.col(value))
+    bins = edges.withColumn("_last", last_bin_of("until")).withColumn("_first", bin_of("edge")).withColumn("_bin", F.explode(F.sequence("_first", F.greatest("_first", "_last")))).drop("_first", "_last")
+    salted = bins.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))) if salts > 1 else bins.withColumn("_salt", F.lit(0))
+    rows = df.withColumn("_x", x).withColumn("_of", bin_of("_x")).withColumn("_deal", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    met = rows.join(salted, (F.col("_of") == F.col("_bin")) & (F.col("_deal") == F.col("_salt")) & (F.col("_x") >= F.col("edge")) & ((F.col("_x") < F.col("until")) | (F.col("until") == F.lit(float("inf")))))
+    return met.select(*df.columns, "scheme", "budget")
+
+
 def allocate_column(triangle: Column, rule: Rule, first: int = FIRST_BUDGET, include_first: bool = True) -> Column:
     """Budgets of a sequence from its similarity triangle; no rows: no budgets."""
     if not rule.monotone:
@@ -163,15 +226,20 @@ def avg_token(rows: DataFrame, by: list[str] | None = None, paths: str = "img_pa
     return rows.groupBy(*(by or [])).agg(mean.alias("avg_token"), F.count_if(some).alias("records"))
 
 
-def scheme_split_matrix(splits: dict[str, DataFrame], schemes: DataFrame) -> DataFrame:
-    """Every split's rows with every scheme. Schemes are a handful of rows; more than 10,000 are an error."""
-    if schemes.count() > 10_000:
-        raise ValueError("too many schemes to send to every task")
-    out = None
+def scheme_split_matrix(splits: dict[str, DataFrame], schemes: DataFrame, block: int = 10_000) -> DataFrame:
+    """Every split's rows with every scheme. Schemes go to all tasks in blocks of at most ``block`` rows, one block after the other."""
+    rows = None
     for name, df in splits.items():
         part = df.withColumn("split", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    if len(schemes.limit(block + 1).collect()) <= block:
+        return rows.crossJoin(F.broadcast(schemes))
+    at = row_position(schemes, schemes.columns, "_at")
+    out = None
+    for k in range(-(-at.count() // block)):
+        part = rows.crossJoin(F.broadcast(at.where(F.floor(F.col("_at") / block) == k).drop("_at")))
         out = part if out is None else out.unionByName(part)
-    return out.crossJoin(F.broadcast(schemes))
+    return out
 
 
 def allocate_schemes(triangles: DataFrame, table: DataFrame, first: int = FIRST_BUDGET) -> DataFrame:

@@ -80,16 +80,18 @@ def global_index(rank: Column, local: Column, world: int) -> Column:
     return rank + local * F.lit(world)
 
 
-def row_position(df: DataFrame, order: list[str], out: str = "position", shards: int | None = None) -> DataFrame:
-    """0, 1, 2 .. in the given order: counts of range parts, then a window within each, so no task holds all rows.
-
-    The parts are written down first: their borders are sampled, so a second run of the same plan could draw others.
-    """
+def range_parts(df: DataFrame, order: list[str], shards: int | None = None) -> DataFrame:
+    """``df`` in parts by ranges of ``order``, numbered in ``_part``, written down: the borders are sampled, so a second run of the same plan could draw others."""
     shards = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(df.sparkSession, "ranged")
     ranged = df.repartitionByRange(shards, *order).withColumn("_part", F.spark_partition_id())
     ranged.write.parquet(path)
-    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    return df.sparkSession.read.schema(ranged.schema).parquet(path)
+
+
+def row_position(df: DataFrame, order: list[str], out: str = "position", shards: int | None = None) -> DataFrame:
+    """0, 1, 2 .. in the given order: counts of range parts, then a window within each, so no task holds all rows."""
+    ranged = range_parts(df, order, shards)
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     # one row a part
     base = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))

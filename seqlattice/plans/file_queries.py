@@ -44,6 +44,27 @@ def s2(spark, sf):
     return io.read_json_array(spark, path, TURNS)
 
 
+#: Rows of a large array.
+ARRAY_ROWS = 50_000
+
+
+def _large_arrays(df: DataFrame, path: str, n: int) -> str:
+    """Rows numbered by ``at`` up to ``n`` in arrays of up to ``ARRAY_ROWS``, one a file, with line ends inside of items."""
+    text = F.regexp_replace(F.to_json(F.struct(*[c for c in df.columns if c != "at"])), r'","', '",\n "')
+    place = F.col("at") % ARRAY_ROWS
+    first, last = F.when(place == 0, F.lit("[")).otherwise(F.lit(",")), F.when((place == ARRAY_ROWS - 1) | (F.col("at") == n - 1), F.lit("]")).otherwise(F.lit(""))
+    lines = df.select(F.concat(first, text, last).alias("value"), F.floor(F.col("at") / ARRAY_ROWS).alias("file"), "at")
+    lines.repartition("file").sortWithinPartitions("file", "at").drop("at").write.partitionBy("file").text(path)
+    return path
+
+
+@query("s2_split_array", "select conv_id, turn, role, text from conversations")
+def s2_split(spark, sf):
+    """Conversations in large arrays, each read in ranges."""
+    rows = mg.row_position(_turns(spark, sf), ["conv_id", "turn", "role", "text"], "at")
+    return io.read_json_array(spark, _large_arrays(rows, scratch_path(spark, "arrays"), rows.count()), TURNS, mark="}")
+
+
 @query("s3_read_samples", "select conv_id, turn, 'array' as kind from conversations union all select conv_id, turn, 'jsonl' from conversations")
 def s3(spark, sf):
     lines, array = scratch_path(spark, "jsonl"), scratch_path(spark, "array")

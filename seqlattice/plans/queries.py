@@ -199,6 +199,24 @@ def j2(spark, sf):
     return bg.budget_for_tsim(pairs, _schemes(spark)).groupBy("scheme", "budget").agg(F.count("*").alias("n"))
 
 
+RULES_SQL = "with d as (select doc_id as i, (n_chars % 97)::double / 7 + doc_id as l, (n_chars % 97)::double / 7 + doc_id + 0.5 as r, (doc_id % 5 * 10 + 9)::int as b, 's' || doc_id % 3 as scheme from documents), v as (select event_id, (event_id * 37 % (select max(doc_id) + 30 from documents))::double - 3 as tsim from events)"
+
+
+@query("j2_indexed_budgets", RULES_SQL + """,
+hit as (select v.event_id, d.scheme, arg_min(d.b, (d.l, d.r, d.b)) as b from v join d on v.tsim >= d.l and v.tsim < d.r group by 1, 2),
+ends as (select scheme, min(l) as low, arg_min(b, (l, r, b)) as first_b, arg_max(b, (l, r, b)) as last_b from d group by 1)
+select scheme, coalesce(h.b, case when tsim < low then first_b else last_b end) as budget, count(*) as n, sum(event_id)::bigint as ids
+from v cross join ends left join hit h using (event_id, scheme) group by 1, 2""")
+def j2_indexed(spark, sf):
+    """Values of all events against three schemes with an interval for each document; intervals overlap and leave gaps."""
+    d = fx.table(spark, sf, "documents")
+    left = (F.col("n_chars") % 97).cast("double") / 7 + F.col("doc_id")
+    rules = d.select(F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")).alias("scheme"), left.alias("left"), (left + 0.5).alias("right"), (F.col("doc_id") % 5 * 10 + 9).cast("int").alias("budget"))
+    most = d.agg(F.max("doc_id") + 30).head()[0]
+    v = fx.table(spark, sf, "events").select("event_id", ((F.col("event_id") * 37 % most).cast("double") - 3).alias("tsim"))
+    return bg.budget_for_tsim(v, rules).groupBy("scheme", "budget").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("x2_monotone_schemes", "with t as (select source, doc_id // 20 as slot, max(doc_id % 7) as b from documents group by 1, 2), l as (select source, b > lag(b) over (partition by source order by slot) as rise from t) select source as scheme from l group by 1 having not bool_or(coalesce(rise, false))")
 def x2(spark, sf):
     d = fx.table(spark, sf, "documents").groupBy(F.col("source").alias("scheme"), F.floor(F.col("doc_id") / 20).alias("left")).agg(F.max(F.col("doc_id") % 7).alias("raw_budget"))

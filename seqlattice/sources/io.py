@@ -7,10 +7,12 @@ import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqlattice.sources.split_json import split_items
+
 STRUCT_IMAGES = "array<struct<id:string,path:string>>"
 MESSAGE_SAMPLE = f"id string, messages array<struct<role:string,content:string>>, input_images {STRUCT_IMAGES}, output_images {STRUCT_IMAGES}"
 BUDGET_TABLE = "img_paths array<string>, num_tokens array<int>"
@@ -24,12 +26,23 @@ def read_jsonl(spark: SparkSession, path, schema: str | T.StructType) -> DataFra
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_json_array(spark: SparkSession, path, schema: str | T.StructType, partitions: int | None = None) -> DataFrame:
-    """Files that hold one JSON array each. One file is one task: give ``partitions`` to deal its rows out afterwards."""
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_json_array(spark: SparkSession, path, schema: str | T.StructType, partitions: int | None = None, mark: str | None = None) -> DataFrame:
+    """Files that hold one JSON array each. A file is one task; large ones need ``mark``: the bracket that items have often, ``}`` (objects) or ``]``
+    (lists), at which a file is then split (see ``split_json``), so that many tasks read it. ``partitions`` deals out the rows afterwards."""
+    if mark:
+        kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        df = split_items(spark, path, mark).select(_parsed("text", kind).alias("r")).select("r.*")
+    else:
+        df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     return df.repartition(partitions) if partitions else df
 
 
+def _parsed(text: str, kind: T.DataType) -> Column:
+    """The JSON of a column; what can't be parsed is an error."""
+    blank = F.trim(F.translate(text, "\t\r\n", "   ")) == ""
+    return F.from_json(F.when(blank, F.raise_error(F.lit("an item is missing")).cast("string")).otherwise(F.col(text)), kind, {"mode": "FAILFAST"})
+
+
 def detect_format(spark: SparkSession, path: str) -> str:
     """``array`` if the first character that isn't blank is ``[``, else ``jsonl``; an empty file is an error."""
     head = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1)).head()
@@ -44,11 +57,10 @@ def read_samples(spark: SparkSession, path: str, schema: str | T.StructType = ME
 
 
 def read_similarity_map(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object {text of a path list: triangle} -> (img_paths, triangle); keys that aren't lists are dropped.
-
-    A file is one value in one task: write the result to Parquet once, and give large maps as several files."""
-    whole = spark.read.text(path, wholetext=True)
-    pairs = whole.select(F.explode(F.from_json("value", "map<string,array<array<double>>>")).alias("key", "triangle"))
+    """One JSON object {text of a path list: triangle} -> (img_paths, triangle); keys that aren't lists are dropped. A file is split at
+    its items' borders (see ``split_json``), so that many tasks read a large one."""
+    items = split_items(spark, path, "]", "{").select(F.concat(F.lit("{"), "text", F.lit("}")).alias("text"))
+    pairs = items.select(F.explode(_parsed("text", T.MapType(T.StringType(), T.ArrayType(T.ArrayType(T.DoubleType()))))).alias("key", "triangle"))
     paths = F.from_json("key", "array<string>", {"allowSingleQuotes": "true"})
     return pairs.select(paths.alias("img_paths"), "triangle").where("img_paths is not null")
 

@@ -25,3 +25,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
+
+
+#: Bytes that a Python worker gets at once.
+BATCH_BYTES = 32 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the batches that Spark hands to Python workers, unless the session already does."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
