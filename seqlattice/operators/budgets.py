@@ -137,11 +137,11 @@ def interval_edges(table: DataFrame) -> DataFrame:
 def _indexed_budgets(df: DataFrame, table: DataFrame, value: str, salts: int) -> DataFrame:
     spark, path = df.sparkSession, scratch_path(df.sparkSession, "edges")
     interval_edges(table).write.parquet(path)
-    edges = spark.read.parquet(path)
+    edges = spark.read.parquet(path).withColumnsRenamed({"edge": "_edge", "until": "_until"})
     each = max(BIN_EDGES, -(-edges.count() // MOST_BORDERS))
-    at = row_position(edges.select("edge"), ["edge"], "at")
+    at = row_position(edges.select("_edge"), ["_edge"], "at")
     # a number for each bin, of which there are MOST_BORDERS at most
-    borders = np.unique(np.array([r["edge"] for r in at.where(F.col("at") % each == 0).select("edge").toLocalIterator()], np.float64))
+    borders = np.unique(np.array([r["_edge"] for r in at.where(F.col("at") % each == 0).select("_edge").toLocalIterator()], np.float64))
     shared = spark.sparkContext.broadcast(borders)
 
     @F.pandas_udf("int")
@@ -154,10 +154,10 @@ def _indexed_budgets(df: DataFrame, table: DataFrame, value: str, salts: int) ->
 
     # null and NaN count as infinite; the last piece of each scheme reaches to there
     x = F.when(F.isnan(value) | F.col(value).isNull(), F.lit(float("inf"))).otherwise(F.col(value))
-    bins = edges.withColumn("_last", last_bin_of("until")).withColumn("_first", bin_of("edge")).withColumn("_bin", F.explode(F.sequence("_first", F.greatest("_first", "_last")))).drop("_first", "_last")
+    bins = edges.withColumn("_last", last_bin_of("_until")).withColumn("_first", bin_of("_edge")).withColumn("_bin", F.explode(F.sequence("_first", F.greatest("_first", "_last")))).drop("_first", "_last")
     salted = bins.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))) if salts > 1 else bins.withColumn("_salt", F.lit(0))
     rows = df.withColumn("_x", x).withColumn("_of", bin_of("_x")).withColumn("_deal", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    met = rows.join(salted, (F.col("_of") == F.col("_bin")) & (F.col("_deal") == F.col("_salt")) & (F.col("_x") >= F.col("edge")) & ((F.col("_x") < F.col("until")) | (F.col("until") == F.lit(float("inf")))))
+    met = rows.join(salted, (F.col("_of") == F.col("_bin")) & (F.col("_deal") == F.col("_salt")) & (F.col("_x") >= F.col("_edge")) & ((F.col("_x") < F.col("_until")) | (F.col("_until") == F.lit(float("inf")))))
     return met.select(*df.columns, "scheme", "budget")
 
 

@@ -34,34 +34,90 @@ def _code_blocks(codebook: DataFrame, code: str, code_vector: str, most: int) ->
         yield np.array(codes, np.int64), np.array(rows, np.float64)
 
 
-def nearest_code(vectors: DataFrame, codebook: DataFrame, unit: bool = True, vector: str = "vector", code: str = "code", code_vector: str = "vec", most: int = MOST_NUMBERS) -> DataFrame:
+class Cells:
+    """A block of a codebook in cells round centres: by the triangle inequality a cell holds nothing nearer than the distance to its centre less its radius."""
+
+    def __init__(self, codes: np.ndarray, table: np.ndarray, cells: int, rounds: int = 5) -> None:
+        centres = table[np.linspace(0, len(table) - 1, cells).astype(int)].copy()
+        for _ in range(rounds):
+            own = _far(table, centres).argmin(axis=1)
+            for c in range(cells):
+                if (own == c).any():
+                    centres[c] = table[own == c].mean(axis=0)
+        own = _far(table, centres).argmin(axis=1)
+        kept = [c for c in range(cells) if (own == c).any()]
+        self.centres, self.parts = centres[kept], [(codes[own == c], table[own == c]) for c in kept]
+        self.radius = np.array([np.sqrt(((t - m) ** 2).sum(axis=1).max()) for (_, t), m in zip(self.parts, self.centres)])
+
+    def nearest(self, x: np.ndarray, gap: np.ndarray, code: np.ndarray, seen: np.ndarray) -> None:
+        """Lowers ``gap`` and ``code`` of the rows of ``x``; ``seen`` counts the codes that each was compared with."""
+        to = np.sqrt(np.maximum(_far(x, self.centres), 0))
+        own = to.argmin(axis=1)
+        slack = 1e-6 * (1 + to.max(initial=0))  # more than the rounding of the distances
+        for first in (True, False):
+            for c, (codes, table) in enumerate(self.parts):
+                rows = np.flatnonzero(own == c if first else (own != c) & (to[:, c] - self.radius[c] <= np.sqrt(gap) + slack))
+                if len(rows):
+                    _lower(x, codes, table, rows, gap, code)
+                    seen[rows] += len(codes)
+
+
+def _far(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", table, table) - 2 * x @ table.T
+
+
+def _lower(x: np.ndarray, codes: np.ndarray, table: np.ndarray, rows: np.ndarray, gap: np.ndarray, code: np.ndarray) -> None:
+    """Compares ``rows`` with the codes of a table. The product tells the few that may be nearest; these are measured again without cancellation, so
+    that ties go to the lowest code."""
+    far = _far(x[rows], table)
+    least = far.min(axis=1, keepdims=True)
+    at, of = np.nonzero(far <= least + 1e-9 * (np.einsum("ij,ij->i", x[rows], x[rows])[:, None] + np.einsum("ij,ij->i", table, table).max()))
+    exact = ((x[rows[at]] - table[of]) ** 2).sum(axis=1)
+    order = np.lexsort((codes[of], exact, at))
+    at, of, exact = at[order], of[order], exact[order]
+    first = np.r_[True, np.diff(at) > 0]
+    to, near, named = rows[at[first]], exact[first], codes[of[first]]
+    better = (near < gap[to]) | (near == gap[to]) & (named < code[to])
+    gap[to[better]], code[to[better]] = near[better], named[better]
+
+
+#: Codes from which on a block is searched by cells.
+CELLS_FROM = 1024
+
+
+def nearest_code(vectors: DataFrame, codebook: DataFrame, unit: bool = True, vector: str = "vector", code: str = "code", code_vector: str = "vec", most: int = MOST_NUMBERS, cells_from: int = CELLS_FROM, compared: bool = False) -> DataFrame:
     """``vectors`` with the nearest code by squared distance (the lowest on ties) and that distance; null without codes.
 
-    The codebook goes to every executor in blocks of at most ``most`` numbers; each batch of vectors is one matrix product a
-    block, and the winner's distance is computed again in full precision. Every row carries the nearest code of the blocks so far,
-    so nothing is shuffled.
+    The codebook goes to every executor in blocks of at most ``most`` numbers. A block of ``cells_from`` codes or more is dealt to cells, and a
+    vector is compared with its nearest cell's codes and with those of cells that the triangle inequality doesn't rule out, others with all codes;
+    either way the result is exact. Every row carries the nearest code of the blocks so far, so nothing is shuffled. With ``compared`` a column of this
+    name counts the codes that a row was compared with.
     """
     from pyspark.sql import types as T
 
-    out = T.StructType([*vectors.schema.fields, T.StructField("code", T.LongType()), T.StructField("distance", T.DoubleType())])
-    found = vectors.select("*", F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("distance"))
-    for block in _code_blocks(normalized(codebook, code_vector) if unit else codebook, code, code_vector, most):
-        shared = vectors.sparkSession.sparkContext.broadcast(block)
+    out = T.StructType([*vectors.schema.fields, T.StructField("code", T.LongType()), T.StructField("distance", T.DoubleType()), T.StructField("compared", T.LongType())])
+    found = vectors.select("*", F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("distance"), F.lit(0).cast("long").alias("compared"))
+    for codes, table in _code_blocks(normalized(codebook, code_vector) if unit else codebook, code, code_vector, most):
+        shared = vectors.sparkSession.sparkContext.broadcast((codes, table, Cells(codes, table, int(len(codes) ** 0.5)) if len(codes) >= cells_from else None))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            codes, table = shared.value
+            codes, table, cells = shared.value
             for b in batches:
                 x = np.stack(b[vector].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, table.shape[1]))
                 if unit:
                     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                best = (np.einsum("ij,ij->i", table, table) - 2 * x @ table.T).argmin(axis=1)
-                gap, before = ((x - table[best]) ** 2).sum(axis=1), b["distance"].to_numpy(np.float64, na_value=np.inf)
-                nearer = gap < before
-                old = b["code"].to_numpy(np.float64, na_value=-1).astype(np.int64) if len(b) and not b["code"].isna().any() else np.zeros(len(b), np.int64)
-                yield b.assign(code=np.where(nearer, codes[best], old), distance=np.where(nearer, gap, before))
+                gap, seen = b["distance"].to_numpy(np.float64, na_value=np.inf).copy(), b["compared"].to_numpy(np.int64).copy()
+                best = b["code"].astype("Int64").to_numpy(np.int64, na_value=np.iinfo(np.int64).max).copy()
+                if cells is None:
+                    if len(x):
+                        _lower(x, codes, table, np.arange(len(x)), gap, best)
+                    seen += len(codes)
+                else:
+                    cells.nearest(x, gap, best, seen)
+                yield b.assign(code=best, distance=gap, compared=seen)
 
         found = found.mapInPandas(run, out)
-    return found
+    return found if compared else found.drop("compared")
 
 
 def _books(codebook: DataFrame, unit: bool, code: str, code_vector: str, most: int) -> list[DataFrame]:

@@ -640,6 +640,18 @@ def j4(spark, sf):
     return qz.nearest_code(fx.vectors(spark, sf), fx.codebook(spark, sf)).select("vec_id", "code", F.round("distance", 6).alias("distance"))
 
 
+POINTS_SQL = "with v as (select o_orderkey as orderkey, o_totalprice / 50 as x, (o_custkey % 997)::double as y from orders), b as (select p_partkey as code, p_retailprice * 4 as x, (p_size * 20 + p_partkey % 13)::double as y from part)"
+
+
+@query("j4_nearest_by_cells", POINTS_SQL + ", d as (select orderkey, code, (v.x - b.x) * (v.x - b.x) + (v.y - b.y) * (v.y - b.y) as d from v, b) select orderkey, arg_min(code, (d, code)) as code, round(min(d), 6) as distance, true as fewer_than_all from d group by 1")
+def j4_cells(spark, sf):
+    """Orders as points, against parts as a codebook that is searched by cells."""
+    v = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("orderkey"), F.array(F.col("o_totalprice") / 50, (F.col("o_custkey") % 997).cast("double")).alias("vector"))
+    book = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("code"), F.array(F.col("p_retailprice") * 4, (F.col("p_size") * 20 + F.col("p_partkey") % 13).cast("double")).alias("vec"))
+    found, n = qz.nearest_code(v, book, unit=False, cells_from=64, compared=True), book.count()
+    return found.select("orderkey", "code", F.round("distance", 6).alias("distance"), (F.col("compared") < n).alias("fewer_than_all"))
+
+
 @query("j4_nearest_code_exact", f"with {fx.CODE_SQL} select vec_id, code, round(d, 6) as distance from near")
 def j4_exact(spark, sf):
     return qz.nearest_code_exact(fx.vectors(spark, sf), fx.codebook(spark, sf)).select("vec_id", "code", F.round("distance", 6).alias("distance"))
