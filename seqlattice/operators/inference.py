@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqlattice.functions.vectors import is_perfect_square
+from seqlattice.operators.budgets import monotone_schemes
 
 #: Marks of the prompt format, the first image's budget, and the budgets that later images may have.
 USER, ASSISTANT = "<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n"
@@ -76,26 +77,38 @@ def record_flags(generated: Column, input_paths: Column, truth: Column, decode_e
 def sample_checks(samples: DataFrame) -> DataFrame:
     """``samples`` with one boolean a rule: true where the sample breaks it.
 
-    Reads num_tokens, input_image, output_image, output_text.
+    Reads num_tokens, input_image, output_image, output_text. Budgets may be an array or, as data sets bring them, JSON text, which must then be a list of
+    whole numbers.
     """
     images = F.size("input_image") + F.size("output_image")
     marks = F.regexp_count("output_text", F.lit("\\Q" + IMAGE_START + "\\E"))
-    return samples.select(
+    text = samples.schema["num_tokens"].dataType == T.StringType()
+    given = F.try_parse_json("num_tokens") if text else F.col("num_tokens")
+    listed = F.schema_of_variant(given).isin("ARRAY<BIGINT>", "ARRAY<VOID>") if text else F.lit(True)
+    budgets = F.when(listed, F.from_json("num_tokens", "array<int>")) if text else F.col("num_tokens")
+    checked = samples.withColumn("_budgets", budgets)
+    return checked.select(
         "*", F.col("num_tokens").isNull().alias("budgets_missing"),
-        F.coalesce(~F.forall("num_tokens", is_perfect_square), F.lit(False)).alias("budget_not_square"),
-        F.coalesce(F.size("num_tokens") != images, F.lit(False)).alias("image_count_differs"),
-        F.coalesce(F.try_element_at("num_tokens", F.lit(1)) != FIRST_BUDGET, F.lit(False)).alias("first_budget_differs"),
+        (F.col("num_tokens").isNotNull() & ~F.coalesce(listed, F.lit(False))).alias("budgets_not_a_list"),
+        F.coalesce(~F.forall("_budgets", is_perfect_square), F.lit(False)).alias("budget_not_square"),
+        F.coalesce(F.size("_budgets") != images, F.lit(False)).alias("image_count_differs"),
+        F.coalesce(F.try_element_at("_budgets", F.lit(1)) != FIRST_BUDGET, F.lit(False)).alias("first_budget_differs"),
         F.coalesce(marks != F.size("output_image"), F.lit(False)).alias("placeholder_count_differs"),
-    )
+    ).drop("_budgets")
 
 
-RULES = ("budgets_missing", "budget_not_square", "image_count_differs", "first_budget_differs", "placeholder_count_differs")
+RULES = ("budgets_missing", "budgets_not_a_list", "budget_not_square", "image_count_differs", "first_budget_differs", "placeholder_count_differs")
 
 
-def validate_samples(samples: DataFrame) -> DataFrame:
-    """(rule, violations) over all samples."""
+def validate_samples(samples: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
+    """(rule, violations) over all samples. With the interval table that gave the budgets, the rule ``scheme_rises`` counts its schemes
+    whose budgets rise with similarity."""
     flags = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("broken")) for r in RULES])).alias("f")
-    return sample_checks(samples).select(flags).groupBy("f.rule").agg(F.count_if(F.col("f.broken")).alias("violations"))
+    found = sample_checks(samples).select(flags).groupBy("f.rule").agg(F.count_if(F.col("f.broken")).alias("violations"))
+    if intervals is None:
+        return found
+    rising = intervals.select("scheme").distinct().join(monotone_schemes(intervals), "scheme", "left_anti")
+    return found.unionByName(rising.agg(F.lit("scheme_rises").alias("rule"), F.count("*").alias("violations")))
 
 
 def assemble_chain(first: Column, rest: Column, rest_counts: Column, generated: Column, strict: bool = True) -> Column:

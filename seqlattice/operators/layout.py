@@ -88,9 +88,39 @@ def position_runs(runs: DataFrame, merge: int = MERGE, seq: str = "seq_id", orde
     return r.withColumn("position", F.sum("advance").over(w) - F.col("advance")).withColumn("delta", F.sum("advance").over(whole) - F.sum("tokens").over(whole))
 
 
-def video_runs(videos: DataFrame, seq: str = "seq_id", order: str = "ord") -> DataFrame:
-    """A run (t, h, w) as t runs of one frame each, in order."""
-    return videos.withColumn("frame", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).withColumn("t", F.lit(1)).withColumn(order, F.struct(order, "frame"))
+def video_runs(videos: DataFrame, seq: str = "seq_id", order: str = "ord", stamp: int = 0) -> DataFrame:
+    """A video's run (t, h, w) as t runs of one frame each, in order; with ``stamp``, a text run of that many tokens (the frame's time) before each frame.
+    Runs of text and images stay as they are. The order becomes a struct (order, frame, after the stamp)."""
+    frames = F.transform(F.sequence(F.lit(0), F.greatest(F.col("t"), F.lit(1)) - 1), lambda i: F.struct(i.alias("frame"), F.lit(1).alias("after")))
+    marks = F.transform(frames, lambda f: F.struct(f["frame"].alias("frame"), F.lit(0).alias("after")))
+    video = F.col("kind") == "video"
+    whole = F.array(F.struct(F.lit(0).alias("frame"), F.lit(1).alias("after")))
+    cut = videos.withColumn("_f", F.explode(F.when(video, F.concat(frames, marks) if stamp else frames).otherwise(whole)))
+    time = video & (F.col("_f.after") == 0)
+    out = cut.withColumn(order, F.struct(F.col(order).alias("of"), F.col("_f.frame").alias("frame"), F.col("_f.after").alias("after")))
+    out = out.withColumn("text_len", F.when(time, F.lit(stamp)).otherwise(F.col("text_len"))).withColumn("t", F.when(video, F.lit(1)).otherwise(F.col("t")))
+    return out.withColumn("kind", F.when(time, F.lit("text")).otherwise(F.col("kind"))).drop("_f")
+
+
+#: Tokens of a run that are written out from one row.
+TOKENS_AT_ONCE = 4096
+
+
+def token_positions(runs: DataFrame, merge: int = MERGE, seq: str = "seq_id", order: str = "ord") -> DataFrame:
+    """(seq, ord, kind, token, t, h, w): positions of every token of runs such as ``position_runs`` takes, numbered through each sequence.
+
+    A text's tokens have one position each, the same in all three; those of an image or frame lie on its grid from the run's start. Runs without tokens
+    give no rows. Long runs are written out in pieces, so that no row holds a whole one.
+    """
+    placed = position_runs(runs, merge, seq, order)
+    w = Window.partitionBy(seq).orderBy(order)
+    gh, gw = F.floor(F.col("h") / merge), F.floor(F.col("w") / merge)
+    placed = placed.withColumn("_before", F.sum("tokens").over(w) - F.col("tokens")).withColumn("_gw", gw).withColumn("_area", gh * gw).where("tokens > 0")
+    piece = placed.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / TOKENS_AT_ONCE))))
+    each = piece.withColumn("_i", F.explode(F.sequence(F.col("_piece") * TOKENS_AT_ONCE, F.least((F.col("_piece") + 1) * TOKENS_AT_ONCE, F.col("tokens")) - 1)))
+    i, at, text = F.col("_i"), F.col("position"), F.col("kind") == "text"
+    of = lambda x: (at + F.when(text, i).otherwise(x)).cast("long")
+    return each.select(seq, order, "kind", (F.col("_before") + i).alias("token"), of(F.floor(i / F.col("_area"))).alias("t"), of(F.floor(i % F.col("_area") / F.col("_gw"))).alias("h"), of(i % F.col("_gw")).alias("w"))
 
 
 def frame_timestamps(frames: DataFrame, video: str, index: str, fps: float = FPS, merge: int = MERGE) -> DataFrame:

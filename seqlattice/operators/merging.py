@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,21 +103,26 @@ def row_position(df: DataFrame, order: list[str], out: str = "position", shards:
 
 
 def restore_order(df: DataFrame, index: str = "_global_idx") -> DataFrame:
-    """Sorted by the index if every row has one, else as it is; without the index column."""
-    if index not in df.columns:
-        return df
-    complete = df.where(F.col(index).isNull()).isEmpty()
+    """Sorted by the index if every row has one, else, with a warning, as it is; without the index column."""
+    complete = index in df.columns and df.where(F.col(index).isNull()).isEmpty()
+    if not complete:
+        warnings.warn(f"some rows have no {index}: their order is kept", stacklevel=2)
     return (df.orderBy(index) if complete else df).drop(index)
 
 
+def drawn_seed(seed: int) -> int:
+    """The seed, or for a negative one a random seed: drawn once, on the driver, so that all tasks share it."""
+    return seed if seed >= 0 else secrets.randbelow(1 << 31)
+
+
 def seeded_shuffle(df: DataFrame, key: list[str], seed: int) -> DataFrame:
-    """A permutation that depends on keys and seed only."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key)
+    """A permutation that depends on keys and seed only; a negative seed stands for a random one."""
+    return df.orderBy(F.xxhash64(F.lit(drawn_seed(seed)), *key), *key)
 
 
 def shuffle_position(df: DataFrame, key: list[str], seed: int, out: str = "position") -> DataFrame:
     """``df`` with each row's place in ``seeded_shuffle``."""
-    return row_position(df.withColumn("_hash", F.xxhash64(F.lit(seed), *key)), ["_hash", *key], out).drop("_hash")
+    return row_position(df.withColumn("_hash", F.xxhash64(F.lit(drawn_seed(seed)), *key)), ["_hash", *key], out).drop("_hash")
 
 
 def shard(df: DataFrame, n: int, index: str = "_global_idx", out: str = "shard") -> DataFrame:

@@ -108,13 +108,20 @@ def pool_features(patches: DataFrame, image: str = "image", vector: str = "vecto
     return ordered.select(image, l2_normalize(F.transform("v", lambda s: s["x"])).alias("feature"))
 
 
-def with_features(images: DataFrame, extractor: Callable[[], Callable[[pd.DataFrame], list]], path: str = "path", out: str = "vector") -> DataFrame:
-    """``images`` with a feature for each path from a user's extractor.
+def with_features(images: DataFrame, extractor: Callable[[], Callable[[pd.DataFrame], list]] | str, path: str = "path", out: str = "vector", seq: str | None = None) -> DataFrame:
+    """``images`` with a feature for each path, from a user's extractor, or from a column of ready features, whose name is given instead.
 
     Each path is worked once. ``extractor`` is called once in each task and returns a function from a batch of rows (one
-    for each path) to their vectors.
+    for each path) to their vectors. With ``seq``, the column that names the sequences, images that are alone in theirs go past the extractor and have
+    no feature: their similarities are known without. Images without a path have none either.
     """
-    once = images.dropDuplicates([path]).where(F.col(path).isNotNull())
+    if isinstance(extractor, str):
+        return images.withColumn(out, F.col(extractor).cast("array<double>"))
+    wanted = images
+    if seq is not None:
+        several = images.groupBy(F.col(seq).alias("_several")).agg(F.count("*").alias("_n")).where("_n > 1").select("_several")
+        wanted = images.join(several, F.col(seq).eqNullSafe(F.col("_several")), "left_semi")
+    once = wanted.dropDuplicates([path]).where(F.col(path).isNotNull())
     schema = T.StructType([T.StructField("feature_path", T.StringType()), T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,4 +129,8 @@ def with_features(images: DataFrame, extractor: Callable[[], Callable[[pd.DataFr
         for b in batches:
             yield pd.DataFrame({"feature_path": b[path], out: [[float(x) for x in v] for v in extract(b)]})
 
-    return images.join(once.mapInPandas(run, schema), F.col(path) == F.col("feature_path"), "left").drop("feature_path")
+    with_all = images.join(once.mapInPandas(run, schema), F.col(path) == F.col("feature_path"), "left").drop("feature_path")
+    if seq is None:
+        return with_all
+    alone = with_all.join(several.withColumn("_known", F.lit(True)), F.col(seq).eqNullSafe(F.col("_several")), "left")
+    return alone.withColumn(out, F.when(F.col("_known"), F.col(out))).drop("_several", "_known")

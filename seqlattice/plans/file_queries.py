@@ -38,6 +38,27 @@ def s1(spark, sf):
     return io.read_jsonl(spark, path, TURNS)
 
 
+@query("s1_bad_lines", "select 'turn=' || turn % 3 as folder, count(*) filter (where conv_id % 9 = 4) as n, coalesce(sum(conv_id) filter (where conv_id % 9 = 4), 0)::bigint as ids, coalesce(sum(rn) filter (where conv_id % 9 = 4), 0)::bigint as lines from (select *, 2 * row_number() over (partition by turn % 3 order by conv_id, turn) as rn from conversations) group by 1")
+def s1_bad(spark, sf):
+    """Every ninth conversation's lines are broken; a blank line stands before each line."""
+    t = fx.table(spark, sf, "conversations").select("conv_id", "turn", (F.col("turn") % 3).alias("third"))
+    good = F.to_json(F.struct("conv_id", "turn"))
+    text = F.concat(F.lit("\n"), F.when(F.col("conv_id") % 9 == 4, F.concat(F.lit("{"), F.col("conv_id").cast("string"))).otherwise(good))
+    path = scratch_path(spark, "bad-lines")
+    t.select(text.alias("value"), "third", "conv_id", "turn").repartition("third").sortWithinPartitions("third", "conv_id", "turn").select("value", F.col("third").alias("turn")).write.partitionBy("turn").text(path)
+    bad = io.bad_lines(spark, path, "conv_id long, turn long").select(F.regexp_extract("path", r"(turn=\d+)", 1).alias("folder"), "line", F.regexp_extract("value", r"(\d+)", 1).cast("long").alias("conv_id"))
+    folders = t.select(F.concat(F.lit("turn="), F.col("third").cast("string")).alias("folder")).distinct()
+    return folders.join(bad, "folder", "left").groupBy("folder").agg(F.count("line").alias("n"), F.coalesce(F.sum("conv_id"), F.lit(0)).alias("ids"), F.coalesce(F.sum("line"), F.lit(0)).alias("lines"))
+
+
+@query("w10_read_position", "select doc_id, (row_number() over (order by doc_id) - 1)::bigint as position from documents")
+def w10_read(spark, sf):
+    """Places of rows as they are read from files that were written in order."""
+    path = scratch_path(spark, "in-order")
+    fx.table(spark, sf, "documents").select("doc_id").orderBy("doc_id").write.parquet(path)
+    return io.read_positions(spark, path)
+
+
 @query("s2_read_json_array", "select conv_id, turn, role, text from conversations")
 def s2(spark, sf):
     path = _array_file(_blocks(spark, sf), scratch_path(spark, "array"), "g")

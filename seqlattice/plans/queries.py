@@ -462,6 +462,41 @@ def f3(spark, sf):
     return _named(spark, sf).groupBy("dataset", "kind", judge.alias("judge")).agg(F.count("*").alias("n"))
 
 
+@query("f3_judge_table", f"select dataset, kind, case when kind in ('MCQ', 'Y/N') or dataset = 'moviechat1k_x' then case when dataset = 'VisuLogic' then 'exact_matching' else 'qwen2.5-vl-72b-instruct' end when dataset = 'EMMA' or dataset = 'OlympiadBench' and doc_id % 4 = 1 then 'qwen2.5-vl-72b-instruct' when doc_id % 4 = 2 then 'mine' else 'none' end as judge, case doc_id % 4 when 2 then '5' else '3' end as retry, count(*) as n from {NAMED_SQL} group by 1, 2, 3, 4")
+def f3_table(spark, sf):
+    """Rules as rows, and arguments as JSON: some ask for the judge of exams, some name a model and a number of tries."""
+    runs = _named(spark, sf).withColumn("args", F.when(F.col("doc_id") % 4 == 1, F.lit('{"olympiad_use_api_judger": true}')).when(F.col("doc_id") % 4 == 2, F.lit('{"model": "mine", "retry": 5}')))
+    found = ev.judged_runs(runs, ev.judge_rules(spark), arguments="args", defaults={"retry": "3", "verbose": "false"})
+    return found.groupBy("dataset", "kind", F.coalesce("judge", F.lit("none")).alias("judge"), F.col("judge_args")["retry"].alias("retry")).agg(F.count("*").alias("n"))
+
+
+class LetterOverlap(ev.Scorer):
+    """Mean share of the letters that the expected and the given answer have in common."""
+
+    def start(self):
+        return [0.0, 0]
+
+    def add(self, state, rows):
+        for want, got in zip(rows["gt"], rows["pred"]):
+            a, b = set(want), set(got or "")
+            state = [state[0] + (len(a & b) / len(a | b) if a | b else 1.0), state[1] + 1]
+        return state
+
+    def merge(self, a, b):
+        return [a[0] + b[0], a[1] + b[1]]
+
+    def result(self, state):
+        return {"score": state[0] / state[1] if state[1] else None, "n": state[1]}
+
+
+@query("a11_scored_by", f"with {fx.ANS_SQL}, l as (select config, list_distinct(string_split(gt, '')) as a, list_distinct(string_split(coalesce(pred, ''), '')) as b from rows where gt is not null), s as (select config, len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) as score from l) select coalesce(config, 'none') as config, round(avg(score), 6) as score, count(*) as n, false as is_all from s group by 1 union all select 'none', round(avg(score), 6), count(*), true from s")
+def a11_scored(spark, sf):
+    rows = ev.answer_rows(fx.answers(spark, sf)).where("gt is not null")
+    found = ev.scored_by(rows, "config", LetterOverlap(), "score double, n long")
+    most = rows.count()
+    return found.select(F.coalesce("config", F.lit("none")).alias("config"), F.round("score", 6).alias("score"), "n", (F.col("config").isNull() & (F.col("n") == most)).alias("is_all"))
+
+
 # Prompts and budgets of samples
 
 SAMPLES_SQL = MERGED_SQL + """,
@@ -530,7 +565,7 @@ def p17(spark, sf):
     return s.select("p_partkey", F.col("g.h").alias("gh"), F.col("g.w").alias("gw"), F.col("v.t").alias("gt"), vec.mm_token_count(F.col("g")).alias("tokens"), vec.mm_token_count(F.col("v")).alias("video_tokens"))
 
 
-@query("p21_validate_samples", SAMPLES_SQL + """ select 'budgets_missing' as rule, 0::bigint as violations union all
+@query("p21_validate_samples", SAMPLES_SQL + """ select 'budgets_missing' as rule, 0::bigint as violations union all select 'budgets_not_a_list', 0 union all
 select 'budget_not_square', count(*) from smp where len(list_filter(num_tokens, lambda b: pow(floor(sqrt(b)), 2) <> b)) > 0 union all
 select 'image_count_differs', count(*) from smp where len(num_tokens) <> n_in + n_img - n_in union all
 select 'first_budget_differs', count(*) from smp where len(num_tokens) > 0 and num_tokens[1] <> 144 union all
@@ -541,6 +576,23 @@ def p21(spark, sf):
     return inf.validate_samples(s)
 
 
+@query("p21_validate_texts", MERGED_SQL + """,
+raw as (select conv_id, case when conv_id % 7 = 0 then 'none' when conv_id % 7 = 1 then '{"a": 1}' else to_json(num_tokens)::varchar end as t, num_tokens as b, len(paths) as n from merged where paths is not null and error is null)
+select 'budgets_missing' as rule, count(*) filter (where t is null or t = 'null') as violations from raw union all
+select 'budgets_not_a_list', count(*) filter (where conv_id % 7 < 2) from raw union all
+select 'budget_not_square', count(*) filter (where conv_id % 7 > 1 and len(list_filter(b, lambda x: pow(floor(sqrt(x)), 2) <> x)) > 0) from raw union all
+select 'image_count_differs', count(*) filter (where conv_id % 7 > 1 and len(b) <> n) from raw union all
+select 'first_budget_differs', count(*) filter (where conv_id % 7 > 1 and len(b) > 0 and b[1] <> 144) from raw union all
+select 'placeholder_count_differs', count(*) filter (where n <> 0) from raw union all
+select 'scheme_rises', 1""")
+def p21_texts(spark, sf):
+    """Budgets as text, some missing and some no lists, and the schemes that they came from."""
+    m = _merged(spark, sf).where("img_paths is not null")
+    text = F.when(F.col("conv_id") % 7 == 0, F.lit("none")).when(F.col("conv_id") % 7 == 1, F.lit('{"a": 1}')).otherwise(F.to_json("num_tokens"))
+    s = m.select(text.alias("num_tokens"), F.array().cast("array<string>").alias("input_image"), F.col("img_paths").alias("output_image"), F.lit("").alias("output_text"))
+    return inf.validate_samples(s, _schemes(spark))
+
+
 @query("p23_assemble_chain", SAMPLES_SQL + """ select conv_id, case when conv_id % 2 = 0 then 3 else 2 end as n_first, case when conv_id % 2 = 0 then (2 + 1 + 2)::int else 1 end as n_later, case when conv_id % 2 = 0 then 4 else 2 end as n_images, case when conv_id % 2 = 0 then '2,2,1' else '1' end as counts from smp""")
 def p23(spark, sf):
     s = _samples(spark, sf)
@@ -621,6 +673,30 @@ def w8(spark, sf):
     return ly.position_runs(text.unionByName(images), seq="conv_id").select("conv_id", "ord", "kind", "position", "tokens", "delta")
 
 
+TOKENS_SQL = f"""with {fx.IMG_SQL}, c as (select conv_id, turn, coalesce(length(text), 0) as text_len, (conv_id * 7 + turn) % (select count(*) from part) + 1 as k, turn % 3 as frames from conversations),
+runs as (
+  select conv_id, turn as a, -1 as f, 0 as after, 'text' as kind, text_len as n, text_len as advance, 1 as gh, 1 as gw from c
+  union all select conv_id, turn, f, 0, 'text', 5, 5, 1, 1 from c, range(0, 2) r(f) join img on true where p_partkey = k and f < frames
+  union all select conv_id, turn, f, 1, 'frame', (h // 32) * (w // 32), greatest(1, h // 32, w // 32), h // 32, w // 32 from c, range(0, 2) r(f) join img on true where p_partkey = k and f < greatest(frames, 1)),
+placed as (select *, sum(advance) over o - advance as p0, sum(n) over o - n as before from runs window o as (partition by conv_id order by a, f, after)),
+tok as (select *, unnest(range(n)) as i from placed)"""
+
+
+@query("w8_token_positions", TOKENS_SQL + """ select conv_id, a::bigint as turn, count(*) as n, (sum(before + i))::bigint as tokens,
+  (sum(p0 + case kind when 'text' then i else 0 end))::bigint as t, (sum(p0 + case kind when 'text' then i else i // gw end))::bigint as h, (sum(p0 + case kind when 'text' then i else i % gw end))::bigint as w,
+  (sum((before + i) * (p0 + case kind when 'text' then i else i % gw end)))::bigint as cross_sum from tok group by 1, 2""")
+def w8_tokens(spark, sf):
+    """Every token of conversations of texts, images and videos of two frames, each frame after five tokens of its time; summed by turn."""
+    n = fx.table(spark, sf, "part").count()
+    c = fx.table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).alias("text_len"), ((F.col("conv_id") * 7 + F.col("turn")) % n + 1).alias("p_partkey"))
+    text = c.select("conv_id", (F.col("turn") * 2).cast("long").alias("ord"), F.lit("text").alias("kind"), "text_len", F.lit(0).alias("t"), F.lit(0).alias("h"), F.lit(0).alias("w"))
+    g = vec.grid_of(F.col("h"), F.col("w"))
+    seen = c.join(fx.image_sizes(spark, sf), "p_partkey").withColumn("g", g).select("conv_id", (F.col("turn") * 2 + 1).cast("long").alias("ord"), F.when(F.col("turn") % 3 == 0, "image").otherwise("video").alias("kind"), F.lit(0).alias("text_len"), F.greatest(F.col("turn") % 3, F.lit(1)).cast("int").alias("t"), F.col("g.h").alias("h"), F.col("g.w").alias("w"))
+    tok = ly.token_positions(ly.video_runs(text.unionByName(seen), seq="conv_id", stamp=5), seq="conv_id")
+    turn = F.floor(F.col("ord.of") / 2).alias("turn")
+    return tok.groupBy("conv_id", turn).agg(F.count("*").alias("n"), F.sum("token").alias("tokens"), F.sum("t").alias("t"), F.sum("h").alias("h"), F.sum("w").alias("w"), F.sum(F.col("token") * F.col("w")).alias("cross_sum"))
+
+
 @query("w9_frame_timestamps", "with r as (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as rn from events) select user_id, (rn // 2)::bigint as grp, round((min(event_id) / 24.0::double + max(event_id) / 24.0::double) / 2, 6) as seconds from r group by 1, 2")
 def w9(spark, sf):
     return ly.frame_timestamps(fx.table(spark, sf, "events"), "user_id", "event_id").withColumn("seconds", F.round("seconds", 6))
@@ -671,6 +747,17 @@ def a8(spark, sf):
     return qz.codebook_usage(_coded(spark, sf), 64, "vec_id")
 
 
+@query("a8_sliced_usage", "select l_orderkey // 5000 as span, count(distinct l_partkey) as used_codes, count(*) as codes, true as near from lineitem group by 1")
+def a8_slices(spark, sf):
+    """Parts as codes, kept in slices of a thousand orders: the use of five slices at a time, estimated by their union and counted."""
+    lines = fx.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("code"))
+    path = scratch_path(spark, "slices")
+    qz.usage_slices(lines, F.floor(F.col("l_orderkey") / 1000)).write.parquet(path)
+    guess = qz.sliced_usage(spark.read.parquet(path).withColumn("span", F.floor(F.col("slice") / 5)), 1, ["span"]).withColumnRenamed("used_codes", "guess")
+    exact = lines.groupBy(F.floor(F.col("l_orderkey") / 5000).alias("span")).agg(F.count_distinct("code").alias("used_codes"))
+    return exact.join(guess, "span").select("span", "used_codes", "codes", (F.abs(F.col("guess") - F.col("used_codes")) <= 0.03 * F.col("used_codes")).alias("near"))
+
+
 @query("a9_quantization_error", f"with {fx.CODE_SQL} select label, round(sum(d) / (64 * count(*)), 6) as mse, round(0.25 * sum(d) / (64 * count(*)), 6) as commitment, (64 * count(*))::bigint as n_values from near group by 1")
 def a9(spark, sf):
     e = qz.quantization_error(_coded(spark, sf), fx.codebook(spark, sf), by=["label"])

@@ -70,6 +70,22 @@ def r3(spark, sf):
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "benchmark", "records", "errors")
 
 
+SESSION_SQL = """with e as (select event_type as benchmark, epoch_us(ts) as us, event_type = 'error' as failed from events),
+b as (select *, us - lag(us) over (partition by benchmark order by us) > 1200000000 as fresh from e),
+s as (select *, sum(coalesce(fresh, true)::int) over (partition by benchmark order by us rows unbounded preceding) as k from b)"""
+
+
+@query("r3_stream_sessions", SESSION_SQL + " select benchmark, strftime(make_timestamp(min(us)), '%Y-%m-%d %H:%M:%S') as begin, count(*) as records, count(*) filter (where failed) as errors from s group by benchmark, k having max(us) + 1200000000 <= (select max(us) from e) - 600000000")
+def r3_sessions(spark, sf):
+    """Records of a benchmark with less than 20 minutes between them, in three batches: sessions that run over a batch's end merge."""
+    log = fx.run_log(spark, sf).select("timestamp", "benchmark", "error", F.unix_micros("timestamp").alias("us"))
+    lo, hi = log.agg(F.min("us"), F.max("us")).head()
+    third = F.least(F.floor((F.col("us") - lo) * 3 / (hi - lo + 1)), F.lit(2))
+    parts = [log.where(third == k).drop("us") for k in range(3)]
+    out = drained(spark, parts, "sessions", lambda s: st.stream_run_log(s, session="20 minutes"), "benchmark")
+    return out.select("benchmark", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("begin"), "records", "errors")
+
+
 @query("r3_run_log_batch", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type as benchmark, count(*) as records, count(*) filter (where event_type = 'error') as errors from events group by 1, 2")
 def r3_batch(spark, sf):
     out = st.stream_run_log(fx.run_log(spark, sf))

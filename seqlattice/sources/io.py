@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,11 +21,46 @@ ARRAY_ROWS = 10_000
 INTERVALS = "config struct<alpha:double>, tsim_intervals array<struct<tsim_left:double,tsim_right:double,budget:double>>"
 
 
-def read_jsonl(spark: SparkSession, path, schema: str | T.StructType) -> DataFrame:
-    """JSON Lines; blank lines are skipped, a bad line fails the read."""
+def read_jsonl(spark: SparkSession, path, schema: str | T.StructType, check: bool = False) -> DataFrame:
+    """JSON Lines; blank lines are skipped, a bad line fails the read. With ``check`` the files are read once before, and the error names
+    the first bad line's file and number."""
+    if check and (bad := bad_lines(spark, path, schema).orderBy("path", "line").head()) is not None:
+        raise ValueError(f"{bad['path']}, line {bad['line']}: no such JSON: {bad['value'][:200]}")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def bad_lines(spark: SparkSession, path, schema: str | T.StructType) -> DataFrame:
+    """(path, line, value) of the lines that aren't JSON of the schema; blank lines count, and aren't bad.
+
+    Large files are read in ranges. A line's number comes from the lines of the ranges before its own, a running sum over one small row a range.
+    """
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+    ranges = lines.groupBy("path", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("start")) - F.col("n")
+    ranges = ranges.select("path", "start", "first", before.alias("before"))
+    read = F.from_json("value", T.StructType([*kind.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"})
+    bad = lines.where(F.trim(F.translate("value", "\t\r", "  ")) != "").withColumn("_r", read).where(F.col("_r._bad").isNotNull() | F.col("_r").isNull())
+    return bad.join(ranges, ["path", "start"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+
+
+#: Files up to which their row counts go to every task.
+MOST_FILES = 100_000
+
+
+def read_positions(spark: SparkSession, path, out: str = "position") -> DataFrame:
+    """The rows of Parquet files with their place, 0, 1, 2 .., in the files' order by name and the rows' order in them.
+
+    A row's place is its number in its file, which the reader knows, and the rows of the files before; the rows themselves are neither sorted nor shuffled.
+    """
+    df = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = df.groupBy("_file").agg(F.count("*").alias("_n"))
+    # one row a file
+    base = counts.select(F.col("_file").alias("_of"), (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
+    base = F.broadcast(base) if len(counts.limit(MOST_FILES + 1).collect()) <= MOST_FILES else base
+    return df.join(base, F.col("_file") == F.col("_of")).withColumn(out, F.col("_before") + F.col("_row")).drop("_file", "_row", "_of", "_before")
+
+
 def read_json_array(spark: SparkSession, path, schema: str | T.StructType, partitions: int | None = None, mark: str | None = None) -> DataFrame:
     """Files that hold one JSON array each. A file is one task; large ones need ``mark``: the bracket that items have often, ``}`` (objects) or ``]``
     (lists), at which a file is then split (see ``split_json``), so that many tasks read it. ``partitions`` deals out the rows afterwards."""
@@ -98,7 +133,9 @@ def read_parts(spark: SparkSession, path: str, schema: T.StructType | str, world
     if not files:
         raise FileNotFoundError(f"no result parts under {path}")
     if array:
-        heads = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", r"^\s*(\S)", 1).alias("head"))
+        # the first lines that aren't blank; a file's other ranges are not looked at
+        lines = spark.read.text(files).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+        heads = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), F.monotonically_increasing_id()).alias("head"))
         if (bad := heads.where("head <> '['").head()) is not None:
             raise ValueError(f"{bad['path']} does not contain a list")
     reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("mode", "FAILFAST").option("multiLine", array)

@@ -33,7 +33,11 @@ def run_window(ts: Column, length: str = "1 hour", slide: str | None = None, ses
 
 
 def stream_run_log(records: DataFrame, delay: str = "10 minutes", length: str = "1 hour", slide: str | None = None, session: str | None = None, ts: str = "timestamp") -> DataFrame:
-    """Records and errors by window and benchmark; a record later than ``delay`` behind the newest is dropped."""
+    """Records and errors by window and benchmark.
+
+    As a stream: a window is given out once the watermark, ``delay`` behind the newest record of the batches so far, has passed its end. A record is
+    dropped as late if its window had ended by the watermark of the batch before, so one that comes with the batch that moves the watermark on still counts.
+    """
     late = records.withWatermark(ts, delay) if records.isStreaming else records
     counted = late.groupBy(run_window(F.col(ts), length, slide, session).alias("w"), "benchmark").agg(F.count("*").alias("records"), F.count_if(F.col("error").isNotNull()).alias("errors"))
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "benchmark", "records", "errors")
