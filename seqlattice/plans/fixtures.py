@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlattice.functions import images as im
 from seqlattice.operators.budgets import Rule
-from seqlattice.operators.merging import row_position
 from seqlattice.sources.scratch import scratch_path
 
 RULE = Rule(0.8, ((-0.6, -0.08, 100), (-0.08, -0.02, 81), (-0.02, 0.04, 49), (0.04, 0.6, 9)))
@@ -29,14 +28,18 @@ def label_of(seq_id: Column) -> Column:
     return F.when(seq_id < WIDE >> 1, F.floor(seq_id / 1000)).otherwise(F.shiftright(seq_id - WIDE, 30))
 
 
+#: Ids of a block in which a label's vectors are numbered.
+BLOCK_IDS = 1024
+
+
 def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
-    """The embeddings with their place ``rn`` in their label, by ``vec_id``, and that place. Only (label, vec_id) are numbered, by range parts, so a label may
-    have any number of vectors."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    at = row_position(e.select("vec_id", "label"), ["label", "vec_id"], "at")
-    first = at.groupBy(F.col("label").alias("of")).agg(F.min("at").alias("first"))
-    places = at.join(first, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", (F.col("at") - F.col("first")).alias("rn"))
-    return e.join(places, "vec_id"), F.col("rn")
+    """The embeddings with their place ``rn`` in their label, by ``vec_id`` (the table's key), and that place: counts of the blocks of ids before,
+    and the number in the block, so no task holds a label."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", F.floor(F.col("vec_id") / BLOCK_IDS).alias("block"))
+    counts = e.groupBy(F.col("label").alias("of"), F.col("block").alias("of_block")).agg(F.count("*").alias("n"))
+    before = counts.select("of", "of_block", (F.sum("n").over(Window.partitionBy("of").orderBy("of_block")) - F.col("n")).alias("before"))
+    own = e.withColumn("at", F.row_number().over(Window.partitionBy("label", "block").orderBy("vec_id")) - 1)
+    return own.join(before, F.col("label").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block"))), F.col("before") + F.col("at")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
