@@ -12,13 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlattice.llm.common import batches_of, span_hashes, text_bytes, text_rows, word_spans
+from seqlattice.llm.common import batches_of, materialize, span_hashes, text_bytes, text_rows, word_spans
 
-#: The chain is fitted on at most so many labelled rows (those of the smallest id hash), and on so many lines of each chain.
-TRAIN_ROWS, TRAIN_LINES = 6000, 48
+#: The sample on which the chain is fitted: whole documents in order of their ids' hashes, at most so many of them and of their lines together. Documents of
+#: more than ``LONGEST`` lines are not in it. So what the driver holds is bounded, whatever the texts.
+TRAIN_ROWS, TRAIN_LINES, LONGEST = 6000, 200_000, 4096
 STEPS, RATE, RIDGE = 150, 0.1, 2e-4
 THRESHOLD = 0.3
 
@@ -51,10 +52,11 @@ def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     stop = np.isin(raw, np.frombuffer(b".,;:?'\"()-", np.uint8))
     blank = np.isin(raw, np.frombuffer(b" \t\r\x0b\x0c", np.uint8))
     odd = ~(upper | lower | wide | digit | stop | blank)
-    ws, we, _ = word_spans(raw, at)
+    ws, we, word_at = word_spans(raw, at)
     h = span_hashes(raw, ws, we)
     same = np.zeros(len(h), bool)
     same[1:] = h[1:] == h[:-1]
+    same[word_at[:-1][word_at[:-1] < len(h)]] = False  # what another text of the batch ends with doesn't matter
     odd_end = odd[we - 1] if len(we) else np.zeros(0, bool)
     wlo, whi = np.searchsorted(ws, starts), np.searchsorted(ws, ends)
     runs = lambda x: np.concatenate([[0], np.cumsum(x)])
@@ -138,19 +140,17 @@ def fit_chain(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndar
     if not len(x) or label.min() == label.max():
         return Chain(np.zeros(3 * WIDTH + 1), np.zeros((2, 2)), 0.0, float(_logit(np.array(np.clip(prior, 1e-3, 1 - 1e-3)))), prior)
     length = np.diff(first)
-    # long documents are cut into chains of bounded length for the fit
-    cuts = np.unique(np.concatenate([first, *(np.arange(a, b, TRAIN_LINES) for a, b in zip(first[:-1], first[1:]) if b - a > TRAIN_LINES)]))
     full = with_neighbours(x, first)
     y = np.repeat(label, length).astype(np.float64)
     heads = np.zeros(len(x), bool)
-    heads[cuts[:-1][cuts[:-1] < len(x)]] = True
+    heads[first[:-1][first[:-1] < len(x)]] = True
     inner = np.flatnonzero(~heads)
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
     theta = np.zeros(full.shape[1] + 4)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        good, pairs = marginals(full @ theta[:-4], cuts, theta[-4:].reshape(2, 2))
+        good, pairs = marginals(full @ theta[:-4], first, theta[-4:].reshape(2, 2))
         grad = np.concatenate([full.T @ (y - good), (seen - pairs).ravel()]) / len(x) - RIDGE * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         theta += RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
@@ -171,8 +171,8 @@ def fit_chain(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndar
     return Chain(weight, move, float(slope), float(shift), prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Chain:
-    """Fit on at most ``rows`` labelled documents; their lines' features come from the executors.
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", lines: int = TRAIN_LINES) -> Chain:
+    """Fit on whole chains of at most ``rows`` labelled documents with at most ``lines`` lines together; their features come from the executors.
 
     Rows without an id or a label teach nothing. Of several labels of one id the largest holds, of several texts that of the
     least hash. Labels of ids that aren't there are left out; without any, or with one label only, all scores are the labels' mean.
@@ -185,13 +185,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, "text", 1 << 20):
             x, size, first = lines_of(b.column("text"))
+            few = np.diff(first) <= LONGEST
+            b, first = b.filter(pa.array(few)), np.stack([first[:-1], first[1:]])[:, few]
             yield pa.RecordBatch.from_pydict({
-                "id": b.column("id"), "label": b.column("label").cast(pa.int32()),
-                "x": pa.array([x[a:z].astype("<f4").tobytes() for a, z in zip(first[:-1], first[1:])], pa.binary()),
-                "size": pa.array([size[a:z].astype("<i8").tobytes() for a, z in zip(first[:-1], first[1:])], pa.binary()),
+                "id": b.column("id"), "n": pa.array(first[1] - first[0]), "label": b.column("label").cast(pa.int32()),
+                "x": pa.array([x[a:z].astype("<f4").tobytes() for a, z in first.T], pa.binary()),
+                "size": pa.array([size[a:z].astype("<i8").tobytes() for a, z in first.T], pa.binary()),
             })
 
-    got = sorted((r for r in chosen.mapInArrow(features, "id long, label int, x binary, size binary").toLocalIterator()), key=lambda r: (r["id"], bytes(r["x"])))
+    kept = materialize(chosen.mapInArrow(features, "id long, n long, label int, x binary, size binary"), "lines")
+    # at most ``rows`` rows of numbers
+    sizes = kept.select("id", "n", (F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id")) <= lines).alias("in")).where("in").select("id")
+    got = sorted(kept.join(F.broadcast(sizes), "id").toLocalIterator(), key=lambda r: (r["id"], bytes(r["x"])))
     x = [np.frombuffer(bytes(r["x"]), "<f4").reshape(-1, WIDTH).astype(np.float64) for r in got]
     first = np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int64)
     return fit_chain(np.concatenate([np.zeros((0, WIDTH)), *x]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(bytes(r["size"]), "<i8") for r in got)]), first, np.array([r["label"] for r in got], np.int64))

@@ -1,6 +1,7 @@
 """Quality, language, language-model scores, mixing, fingerprints, personal data and token files."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -36,6 +37,91 @@ def test_against_sql(spark, name):
 # quality
 
 
+def plain_features(text):
+    """(14 features, bytes) of every line that isn't empty, byte by byte."""
+    raw = (text or "").encode()
+    lines, out, at = [x for x in raw.split(b"\n") if x], [], 0
+    space = b" \t\r\x0b\x0c\n"
+    for line in lines:
+        at = raw.index(line, at)
+        before, at = raw[at - 1] if at else 0, at + len(line)
+        is_upper = [65 <= c <= 90 or p == 0xC3 and 0x80 <= c <= 0x9E for p, c in zip(bytes([before]) + line, line)]
+        is_lower, is_wide, is_digit = [97 <= c <= 122 for c in line], [c >= 128 for c in line], [48 <= c <= 57 for c in line]
+        is_stop, is_blank = [c in b".,;:?'\"()-" for c in line], [c in b" \t\r\x0b\x0c" for c in line]
+        is_odd = [not any(x) for x in zip(is_upper, is_lower, is_wide, is_digit, is_stop, is_blank)]
+        words, now = [], None  # (text, its last byte is odd)
+        for i, c in enumerate(line + b" "):
+            if c not in space and now is None:
+                now = i
+            if c in space and now is not None:
+                words.append((line[now:i], is_odd[i - 1]))
+                now = None
+        n, m, letters = len(line), max(len(words), 1), max(sum(is_upper) + sum(is_lower) + sum(is_wide), 1)
+        previous = out[-1][2][-1][0] if out and out[-1][2] else next((w[-1][0] for _, _, w in reversed(out) if w), None)
+        same = sum(a[0] == b for a, b in zip(words, [previous] + [w[0] for w in words]))
+        out.append(([sum(is_upper) / letters, sum(is_digit) / n, sum(is_odd) / n, sum(is_stop) / n, sum(is_blank) / n, sum(is_wide) / n, line.count(b"!") / n, line.count(b"|") / n, same / m,
+                     sum(w[1] for w in words) / m, float(lines.count(line) > 1), min(n / m, 30) / 10, math.log1p(n) / 5, float(line[-1] in b".!?:\"'")], n, words))
+    return [(f, n) for f, n, _ in out]
+
+
+def plain_score(text, chain):
+    """The score by counting through all labellings of the lines."""
+    lines = plain_features(text)
+    if not lines:
+        return chain.prior
+    zero = [0.0] * 14
+    full = [f + (lines[i - 1][0] if i else zero) + (lines[i + 1][0] if i + 1 < len(lines) else zero) + [1.0] for i, (f, _) in enumerate(lines)]
+    gain = [max(-30.0, min(30.0, sum(a * b for a, b in zip(f, chain.weight)))) for f in full]
+    total, good = 0.0, [0.0] * len(lines)
+    for y in itertools.product((0, 1), repeat=len(lines)):
+        w = math.exp(sum(g for g, k in zip(gain, y) if k) + sum(chain.move[a][b] for a, b in zip(y, y[1:])))
+        total += w
+        good = [g + w * k for g, k in zip(good, y)]
+    mean = sum(g / total * n for g, (_, n) in zip(good, lines)) / sum(n for _, n in lines)
+    mean = min(max(mean, 1e-9), 1 - 1e-9)
+    return 1 / (1 + math.exp(-(chain.slope * math.log(mean / (1 - mean)) + chain.shift)))
+
+
+def test_quality_equals_a_plain_version(spark, small, edge):
+    chain = quality.train(small, spark.read.parquet(f"{SF}/labels.parquet"))
+    seen = 0
+    for df in (small, edge):
+        got = {(r["doc_id"], r["text"]): r for r in quality.score(df, chain).join(df.select("doc_id", "text"), "doc_id").collect() if r["doc_id"] not in (3, 4)}
+        for (_, text), r in got.items():
+            x, size, first = quality.lines_of(pa.array([text]))
+            want = plain_features(text)
+            assert len(want) == len(x) and all(n == m for (_, n), m in zip(want, size))
+            assert all(a == pytest.approx(list(b), abs=1e-9) for (a, _), b in zip(want, x))
+            if len(want) <= 9:
+                seen += 1
+                assert r["score"] == pytest.approx(plain_score(text, chain), abs=1e-6)
+    assert seen > 50
+    pair = pa.array(["the word", "word for word", "word word"])
+    assert np.allclose(quality.lines_of(pair)[0], np.concatenate([quality.lines_of(pair.slice(i, 1))[0] for i in range(3)]))
+
+
+def test_quality_sample_is_bounded_by_lines(spark, monkeypatch):
+    """Whole documents in hash order as long as their lines fit; long ones are not in the sample."""
+    docs = spark.createDataFrame([(i, "\n".join(["Good line here."] * 5 if i % 2 else ["### !!! |||"] * 5)) for i in range(20)] + [(20, "\n".join(["x y z."] * 50))], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    held = []
+    monkeypatch.setattr(quality, "fit_chain", lambda x, size, first, label: held.append((len(x), len(label))))
+    quality.train(docs, labels)
+    quality.train(docs, labels, lines=33)
+    monkeypatch.setattr(quality, "LONGEST", 10)
+    quality.train(docs, labels)
+    assert held[0] == (150, 21) and held[2] == (100, 20) and held[1][0] <= 33 and held[1][1] >= 1
+
+
+def test_long_chains_are_fitted_whole():
+    """A document of 300 lines and its transitions: the fit sees 299 of them."""
+    x = np.random.default_rng(1).random((600, quality.WIDTH))
+    first = np.array([0, 300, 600])
+    chain = quality.fit_chain(x, np.ones(600, np.int64), first, np.array([0, 1]))
+    _, pairs = quality.marginals(quality.with_neighbours(x, first) @ chain.weight, first, chain.move)
+    assert pairs.sum() == pytest.approx(598) and pairs[0, 0] + pairs[1, 1] > 590
+
+
 def test_quality_of_held_out_documents(spark):
     got = {r["doc_id"]: r for r in queries.op2_quality(spark, LARGER).collect()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
