@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -205,6 +206,17 @@ def shingle_hashes(words: np.ndarray, word_at: np.ndarray, n: int) -> tuple[np.n
     return out, at
 
 
+def return_memory() -> None:
+    """Lets a Python worker give memory back as soon as it is free: Arrow takes its buffers from the C library, and this takes large blocks from the
+    system one by one. Workers live on from stage to stage, and would otherwise keep the most that any stage has needed."""
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], text: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded text size: very long texts make small batches."""
     for b in batches:

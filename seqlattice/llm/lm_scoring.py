@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlattice.llm.common import batches_of, count_level, least_level, lower_ascii, materialize, mix64, span_hashes, text_bytes, text_rows, word_spans
+from seqlattice.llm.common import batches_of, count_level, least_level, lower_ascii, materialize, mix64, return_memory, span_hashes, text_bytes, text_rows, word_spans
 
 STATES, CLASSES = 8, 64
 #: Words with a code of their own while the model is found, and words whose emissions every worker holds; those of the others
@@ -32,7 +32,7 @@ STATES, CLASSES = 8, 64
 FREQUENT, HELD = 1 << 13, 1 << 17
 SLICES, EPOCHS = 4, 2
 #: Tokens that a block of a chain has, and that are worked at once.
-BLOCK, TOKENS = 2048, 1 << 19
+BLOCK, TOKENS = 2048, 1 << 18
 #: Expected counts are added up as whole multiples of 1 / UNIT, so that their sums don't depend on the order.
 UNIT = 1 << 12
 END = np.uint64(1)
@@ -100,7 +100,8 @@ def vocabulary(rows: DataFrame, frequent: int = FREQUENT, held: int = HELD) -> V
     """Counts of the words of all training rows (held_out, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, "text", 8 << 20):
+        return_memory()
+        for b in batches_of(batches, "text", 4 << 20):
             h, kind, _ = word_hashes(b.column("text"))
             words, place = distinct_words(h)
             classes = np.zeros(len(words), np.int32)
@@ -140,8 +141,9 @@ def encoded(rows: DataFrame, vocab: Vocabulary, slices: int = SLICES) -> DataFra
     shared = rows.sparkSession.sparkContext.broadcast(vocab)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_memory()
         vocab = shared.value
-        for b in batches_of(batches, "text", 8 << 20):
+        for b in batches_of(batches, "text", 4 << 20):
             h, kind, at = word_hashes(b.column("text"))
             words, token = distinct_words(h)
             place, known = vocab.place(words)
@@ -325,6 +327,7 @@ def log_likelihoods(emit: np.ndarray, codes: np.ndarray, starts: np.ndarray, len
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Batches put together up to a size: rows, their codes end to end, and each row's number of codes."""
+    return_memory()
     held, size = [], 0
     for b in batches:
         if not b.num_rows:
