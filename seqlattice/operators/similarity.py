@@ -43,8 +43,10 @@ def block_pairs(states: DataFrame, seq: str = "seq_id", pos: str = "pos", vector
     at = states.select(F.col(seq), F.col(pos).cast("long").alias("pos"), F.col(vector).cast("array<double>").alias("v"), F.floor(F.col(pos) / block).cast("int").alias("b"))
     last = at.groupBy(F.col(seq).alias("_of")).agg(F.max("b").alias("last"))
     at = at.join(last, F.col(seq) == F.col("_of")).drop("_of")
-    later = at.select(seq, "pos", "v", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("k"), F.lit(True).alias("later"))
-    earlier = at.select(seq, "pos", "v", F.explode(F.sequence(F.col("b"), F.col("last"))).alias("i"), F.col("b").alias("k"), F.lit(False).alias("later"))
+    pair = lambda i, k, later: F.struct(i.alias("i"), k.alias("k"), F.lit(later).alias("later"))
+    # both roles from one generator: a union before the grouping could leave a pair's two blocks in different tasks
+    roles = F.concat(F.transform(F.sequence(F.lit(0), F.col("b")), lambda k: pair(F.col("b"), k, True)), F.transform(F.sequence(F.col("b"), F.col("last")), lambda i: pair(i, F.col("b"), False)))
+    dealt = at.select(seq, "pos", "v", F.inline(roles))
     schema = T.StructType([T.StructField("seq", states.schema[seq].dataType), *(T.StructField(n, T.LongType()) for n in ("t", "j")), T.StructField("sim", T.DoubleType())])
 
     def product(key: tuple, rows: pa.Table) -> pa.Table:
@@ -55,7 +57,7 @@ def block_pairs(states: DataFrame, seq: str = "seq_id", pos: str = "pos", vector
         a, b = np.nonzero(at[late][:, None] > at[~late][None, :])
         return pa.table({"seq": pa.array([key[0].as_py()] * len(a), rows[seq].type), "t": at[late][a], "j": at[~late][b], "sim": sims[a, b]})
 
-    found = later.unionByName(earlier).groupBy(seq, "i", "k").applyInArrow(product, schema)
+    found = dealt.groupBy(seq, "i", "k").applyInArrow(product, schema)
     return found.select(F.col("seq").alias(seq), F.col("t").cast(states.schema[pos].dataType), F.col("j").cast(states.schema[pos].dataType), "sim")
 
 

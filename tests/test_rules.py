@@ -110,7 +110,7 @@ def test_sequence_lengths(spark):
     states = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.0]), (2, 1, [1.0, 0.0])], "seq_id long, pos int, vector array<double>")
     for short in (64, 1):
         got = {r["seq_id"]: r["num_tokens"] for r in bg.allocate_budgets(sim.similarity_triangles(states, short=short), RULE).collect()}
-        assert got == {1: [144], 2: [144, 9]}
+        assert (short, got) == (short, {1: [144], 2: [144, 9]})
     assert one(spark, bg.allocate_column(F.array().cast("array<array<double>>"), RULE)) == []
 
 
