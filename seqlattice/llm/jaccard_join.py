@@ -320,7 +320,10 @@ def similar_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     that links reach. A text of 1 to n - 1 words is one shingle; null texts and ones without words have 0 shingles
     and are components by themselves. Rows with the same id are documents of their own in the same component if their
     sets link. A null id never names a component unless all of its documents have null ids. Empty tables give no rows.
+    A percent under 50 is an error: bitmaps are compared with those of the same or twice the width only, and such sets may be further apart.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError(f"percent must be from 50 to 100, not {percent}")
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, n, id_col, text_col))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,6 +64,12 @@ def test_keep_first(edge, nothing):
     assert jaccard_join.similar_components(nothing).count() == 0
 
 
+@pytest.mark.parametrize("percent", [0, 49, 101])
+def test_percents_that_would_lose_links(edge, percent):
+    with pytest.raises(ValueError, match="from 50 to 100"):
+        jaccard_join.similar_components(edge, 4, percent)
+
+
 def test_tree_and_bitmaps_agree_with_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
