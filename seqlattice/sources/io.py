@@ -133,9 +133,10 @@ def read_parts(spark: SparkSession, path: str, schema: T.StructType | str, world
     if not files:
         raise FileNotFoundError(f"no result parts under {path}")
     if array:
-        # the first lines that aren't blank; a file's other ranges are not looked at
+        # each file's first line that isn't blank, of its first range: its lines lie in one partition, in order
         lines = spark.read.text(files).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
-        heads = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), F.monotonically_increasing_id()).alias("head"))
+        heads = lines.select(F.col("_metadata.file_path").alias("path"), F.substring(F.ltrim("value"), 1, 1).alias("head"), F.monotonically_increasing_id().alias("at"))
+        heads = heads.groupBy("path").agg(F.min_by("head", "at").alias("head"))
         if (bad := heads.where("head <> '['").head()) is not None:
             raise ValueError(f"{bad['path']} does not contain a list")
     reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("mode", "FAILFAST").option("multiLine", array)
