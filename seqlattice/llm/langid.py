@@ -1,8 +1,8 @@
 """Language identification: known words by per-language log frequency, unseen words by ever shorter character n-grams.
 
 Counts are taken over all training rows, and every counted word and n-gram is known. The most frequent ones, at most ``HELD``
-of each length, go to all workers; the rest stay in a table, and the words of the documents that need them are joined to it.
-Where a count is kept changes no score. An unseen word is scored by its n-grams of the longest length of which at least one is
+scores of each length over all languages together, go to all workers; the rest stay in a table, and the words of the documents
+that need them are joined to it. Where a count is kept changes no score. An unseen word is scored by its n-grams of the longest length of which at least one is
 known. Words and n-grams are named by 64-bit hashes of their bytes.
 """
 
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from seqlattice.llm.common import batches_of, count_level, least_level, materialize, span_hashes, text_bytes, text_rows
 
-#: Words, and n-grams of each length, that every worker holds: the most frequent ones.
-HELD = 1 << 18
+#: Scores of words, and of n-grams of each length, that every worker holds: those of the most frequent ones, an entry having one
+#: for each language. What is broadcast so has the same bound for any number of languages.
+HELD = 1 << 20
 LONGEST = 5
 #: Added to every count of a known entry, so that a language that lacks it isn't ruled out.
 SMOOTH = 0.5
@@ -156,7 +157,8 @@ def unit_counts(counts: DataFrame, languages: list[str]) -> DataFrame:
 
 def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", held: int = HELD) -> LanguageModel:
     """Count the words and n-grams of every row with a language and a text. Other rows teach nothing; repeated rows count each
-    time; an empty table gives a model without languages."""
+    time; an empty table gives a model without languages. ``held``: scores of each length that workers hold, so ``held`` over
+    the number of languages are entries; under that number all entries stay in the table."""
     counts = materialize(word_counts(rows, lang_col, text_col), "word-counts")
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     k = len(languages)
@@ -171,9 +173,9 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", held:
     for length in range(LONGEST + 1):
         mine = [r for r in steps if r["length"] == length]
         bases.append(np.array([sum(r[n] for r in mine) for n in names]) + SMOOTH * max(1, sum(r["units"] for r in mine)))
-        least.append(least_level({r["level"]: r["units"] for r in mine}, held))
+        least.append(least_level({r["level"]: r["units"] for r in mine}, held // k))
     sent = count_level(both) >= F.element_at(F.array(*map(F.lit, least)), F.col("length") + 1)
-    near = units.where(sent).select("length", "h", *names).toArrow()  # at most ``held`` of each length
+    near = units.where(sent).select("length", "h", *names).toArrow()  # at most ``held // k`` of each length
     tables = []
     for length, base in enumerate(bases):
         t = near.filter(pc.equal(near.column("length"), length))

@@ -215,6 +215,14 @@ def test_languages_equal_a_plain_version(small, held):
         assert r["lang_pred"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1], abs=1e-6)
 
 
+def test_held_scores_are_bounded_for_any_number_of_languages(small):
+    for languages in (1, 4, 40):
+        rows = small.where("doc_id < 160").withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % languages).cast("string")))
+        model = langid.train(rows, held=400)
+        assert len(model.languages) == languages
+        assert all(scores.size <= 400 for _, scores in model.held) and (languages == 40 or any(len(keys) for keys, _ in model.held))
+
+
 @pytest.mark.parametrize("held", [langid.HELD, 20])
 def test_language_edges(edge, nothing, held):
     model = langid.train(edge, held=held)
