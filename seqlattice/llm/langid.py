@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlattice.llm.common import batches_of, count_level, least_level, materialize, span_hashes, text_bytes, text_rows
+from seqlattice.llm.common import batches_of, count_level, least_level, materialize, return_memory, span_hashes, text_bytes, text_rows
 
 #: Scores of words, and of n-grams of each length, that every worker holds: those of the most frequent ones, an entry having one
 #: for each language. What is broadcast so has the same bound for any number of languages.
@@ -97,6 +97,7 @@ def word_counts(rows: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """(lang, unit, n) over every row with a language and a text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_memory()
         for b in batches_of(batches, "text", 8 << 20):
             words, code, row = words_of(b.column("text"))
             lang = b.column("lang").dictionary_encode()
@@ -134,6 +135,7 @@ def unit_counts(counts: DataFrame, languages: list[str]) -> DataFrame:
             yield pa.Table.from_batches(held).combine_chunks()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_memory()
         gathered = [(np.zeros(0, np.uint64), np.zeros((0, k))) for _ in range(LONGEST + 1)]
         for t in chunks(batches):
             words = t.column("unit").combine_chunks()
