@@ -56,6 +56,14 @@ def test_a_million_intervals(spark):
     assert "cross" not in plan.lower() and "nested" not in got._jdf.queryExecution().executedPlan().toString().lower()
 
 
+def test_indexed_intervals_are_not_broadcast(spark):
+    """The pieces stand once for each bin and salt, which size estimates don't know: the driver would have to hold all of them."""
+    table = spark.range(500).select(F.lit("s").alias("scheme"), F.col("id").cast("double").alias("left"), (F.col("id") + 0.5).alias("right"), F.col("id").cast("int").alias("budget"))
+    got = bg.budget_for_tsim(spark.range(100).select("id", (F.col("id") + 0.25).alias("tsim")), table)
+    assert got.where("id <> budget").count() == 0 and got.count() == 100
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_many_schemes_go_in_blocks(spark):
     rows = spark.range(3).select("id")
     schemes = spark.range(25).select(F.col("id").cast("string").alias("scheme"))
