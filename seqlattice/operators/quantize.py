@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,45 +22,97 @@ def normalized(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, l2_normalize(F.col(vector)))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch of (code, vec) as one row: the bytes of both, and the length of a vector."""
+    for b in batches:
+        if b.num_rows:
+            flat, size = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.diff(b.column("vec").offsets.to_numpy())
+            if b.column("vec").null_count or b.column("code").null_count or (size != size[0]).any():
+                raise ValueError("a code or its vector is null, or the vectors differ in length")
+            yield pa.RecordBatch.from_pydict({"codes": [b.column("code").to_numpy().tobytes()], "vecs": [flat.tobytes()], "d": pa.array([size[0]], pa.int32())})
+
+
 def _code_blocks(codebook: DataFrame, code: str, code_vector: str, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(codes, vectors) in ascending order of the codes, in blocks of at most ``most`` numbers (one code at least)."""
-    codes, rows = [], []
-    for r in codebook.select(code, code_vector).orderBy(code).toLocalIterator():
-        if rows and (len(rows) + 1) * len(r[1]) > most:
-            yield np.array(codes, np.int64), np.array(rows, np.float64)
-            codes, rows = [], []
-        codes.append(r[0])
-        rows.append(r[1])
-    if rows:
-        yield np.array(codes, np.int64), np.array(rows, np.float64)
+    """(codes, vectors) in blocks of at most ``most`` numbers (one code at least); of equal vectors the lowest code, as no other one can be nearest."""
+    lowest = codebook.groupBy(F.col(code_vector).alias("vec")).agg(F.min(code).cast("long").alias("code")).select("code", "vec")
+    held, n = [], 0
+    for r in lowest.mapInArrow(_packed, "codes binary, vecs binary, d int").toLocalIterator():
+        codes = np.frombuffer(r["codes"], np.int64)
+        rows, step = np.frombuffer(r["vecs"], np.float64).reshape(len(codes), r["d"]), max(most // max(r["d"], 1), 1)
+        while len(codes):
+            held.append((codes[: step - n], rows[: step - n]))
+            n += len(held[-1][0])
+            codes, rows = codes[len(held[-1][0]) :], rows[len(held[-1][0]) :]
+            if n == step:
+                whole, held, n = tuple(map(np.concatenate, zip(*held))), [], 0
+                yield whole
+    if n:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+#: Distances that are held at once (4 MB).
+AT_ONCE = 500_000
 
 
 class Cells:
-    """A block of a codebook in cells round centres: by the triangle inequality a cell holds nothing nearer than the distance to its centre less its radius."""
-
-    def __init__(self, codes: np.ndarray, table: np.ndarray, cells: int, rounds: int = 5) -> None:
-        centres = table[np.linspace(0, len(table) - 1, cells).astype(int)].copy()
-        for _ in range(rounds):
-            own = _far(table, centres).argmin(axis=1)
-            for c in range(cells):
-                if (own == c).any():
-                    centres[c] = table[own == c].mean(axis=0)
-        own = _far(table, centres).argmin(axis=1)
-        kept = [c for c in range(cells) if (own == c).any()]
-        self.centres, self.parts = centres[kept], [(codes[own == c], table[own == c]) for c in kept]
-        self.radius = np.array([np.sqrt(((t - m) ** 2).sum(axis=1).max()) for (_, t), m in zip(self.parts, self.centres)])
+    """A block of a codebook in cells of as many codes each: by the triangle inequality a cell holds nothing nearer than the distance to its centre less
+    its radius. Cells are halved at the median of their widest dimension, so building them takes no table of distances."""
+
+    def __init__(self, codes: np.ndarray, table: np.ndarray, cells: int) -> None:
+        whole, leaves = [(np.arange(len(table)), max(cells, 1))], []
+        while whole:
+            rows, k = whole.pop()
+            if k == 1 or len(rows) < 2:
+                leaves.append(rows)
+                continue
+            part = table[rows]
+            values, at = part[:, part.var(axis=0).argmax()], max(len(rows) * (k // 2) // k, 1)
+            order = np.argpartition(values, at)
+            whole += [(rows[order[:at]], k // 2), (rows[order[at:]], k - k // 2)]
+        order = np.concatenate(leaves)
+        self.codes, self.table, self.ends = codes[order], table[order], np.cumsum([len(r) for r in leaves])
+        parts = [self.table[e - len(r) : e] for r, e in zip(leaves, self.ends)]
+        self.centres = np.array([p.mean(axis=0) for p in parts])
+        self.low, self.high = np.array([p.min(axis=0) for p in parts]), np.array([p.max(axis=0) for p in parts])
+        self.radius = np.array([np.sqrt(((p - m) ** 2).sum(axis=1).max()) for p, m in zip(parts, self.centres)])
 
     def nearest(self, x: np.ndarray, gap: np.ndarray, code: np.ndarray, seen: np.ndarray) -> None:
         """Lowers ``gap`` and ``code`` of the rows of ``x``; ``seen`` counts the codes that each was compared with."""
-        to = np.sqrt(np.maximum(_far(x, self.centres), 0))
-        own = to.argmin(axis=1)
-        slack = 1e-6 * (1 + to.max(initial=0))  # more than the rounding of the distances
-        for first in (True, False):
-            for c, (codes, table) in enumerate(self.parts):
-                rows = np.flatnonzero(own == c if first else (own != c) & (to[:, c] - self.radius[c] <= np.sqrt(gap) + slack))
-                if len(rows):
-                    _lower(x, codes, table, rows, gap, code)
-                    seen[rows] += len(codes)
+        step = max(AT_ONCE // len(self.centres), 1)
+        chunks = [slice(i, i + step) for i in range(0, len(x), step)]
+        own = np.concatenate([np.zeros(0, np.int64), *[_far(x[c], self.centres).argmin(axis=1) for c in chunks]])
+        self._visit(x, np.arange(len(x)), own, gap, code, seen)
+        pairs, wide = [], max(AT_ONCE // max(x.shape[1], 1), 1)
+        for c in chunks:
+            to = np.sqrt(np.maximum(_far(x[c], self.centres), 0))
+            slack = 1e-6 * (1 + to.max(initial=0) + np.abs(x[c]).max(initial=0) * x.shape[1])  # more than the rounding of the distances
+            near = to - self.radius <= (np.sqrt(gap[c]) + slack)[:, None]
+            near[np.arange(len(to)), own[c]] = False
+            rows, cells = np.nonzero(near)
+            rows += c.start
+            # of the cells left, those whose box is no farther than the nearest code so far
+            out = [(self._outside(x, rows[i : i + wide], cells[i : i + wide]) <= np.sqrt(gap[rows[i : i + wide]]) + slack) for i in range(0, len(rows), wide)]
+            kept = np.concatenate([np.zeros(0, bool), *out])
+            pairs.append((rows[kept], cells[kept]))
+            if c is chunks[-1] or sum(len(r) for r, _ in pairs) > AT_ONCE:
+                self._visit(x, *map(np.concatenate, zip(*pairs)), gap, code, seen)
+                pairs = []
+
+    def _outside(self, x: np.ndarray, rows: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The distance from each row to the box of its cell."""
+        part = x[rows]
+        return np.sqrt((np.maximum(np.maximum(self.low[cells] - part, part - self.high[cells]), 0) ** 2).sum(axis=1))
+
+    def _visit(self, x: np.ndarray, rows: np.ndarray, cells: np.ndarray, gap: np.ndarray, code: np.ndarray, seen: np.ndarray) -> None:
+        """Compares each of ``rows`` with the codes of its cell."""
+        order = np.argsort(cells, kind="stable")
+        rows, cells = rows[order], cells[order]
+        for some in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(cells)) + 1):
+            if len(some):
+                k = cells[some[0]]
+                of = slice(self.ends[k - 1] if k else 0, self.ends[k])
+                _lower(x, self.codes[of], self.table[of], rows[some], gap, code)
+                seen[rows[some]] += of.stop - of.start
 
 
 def _far(x: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -69,9 +122,22 @@ def _far(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 def _lower(x: np.ndarray, codes: np.ndarray, table: np.ndarray, rows: np.ndarray, gap: np.ndarray, code: np.ndarray) -> None:
     """Compares ``rows`` with the codes of a table. The product tells the few that may be nearest; these are measured again without cancellation, so
     that ties go to the lowest code."""
-    far = _far(x[rows], table)
-    least = far.min(axis=1, keepdims=True)
-    at, of = np.nonzero(far <= least + 1e-9 * (np.einsum("ij,ij->i", x[rows], x[rows])[:, None] + np.einsum("ij,ij->i", table, table).max()))
+    step = max(AT_ONCE // len(table), 1)
+    if len(rows) > step:
+        for i in range(0, len(rows), step):
+            _lower(x, codes, table, rows[i : i + step], gap, code)
+        return
+    part, norms = x[rows], np.einsum("ij,ij->i", table, table)
+    own = np.einsum("ij,ij->i", part, part)
+    far = part @ table.T
+    far *= -2
+    far += norms  # less the row's own square
+    least, slack = far.min(axis=1), 1e-9 * (own + norms.max())
+    may = np.flatnonzero(least + own - slack <= gap[rows])
+    if not len(may):
+        return
+    at, of = np.divmod(np.flatnonzero(far[may] <= (least + slack)[may, None]), len(table))
+    at = may[at]
     exact = ((x[rows[at]] - table[of]) ** 2).sum(axis=1)
     order = np.lexsort((codes[of], exact, at))
     at, of, exact = at[order], of[order], exact[order]
@@ -98,22 +164,17 @@ def nearest_code(vectors: DataFrame, codebook: DataFrame, unit: bool = True, vec
     out = T.StructType([*vectors.schema.fields, T.StructField("code", T.LongType()), T.StructField("distance", T.DoubleType()), T.StructField("compared", T.LongType())])
     found = vectors.select("*", F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("distance"), F.lit(0).cast("long").alias("compared"))
     for codes, table in _code_blocks(normalized(codebook, code_vector) if unit else codebook, code, code_vector, most):
-        shared = vectors.sparkSession.sparkContext.broadcast((codes, table, Cells(codes, table, int(len(codes) ** 0.5)) if len(codes) >= cells_from else None))
+        shared = vectors.sparkSession.sparkContext.broadcast(Cells(codes, table, int(len(codes) ** 0.5) if len(codes) >= cells_from else 1))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            codes, table, cells = shared.value
+            cells = shared.value
             for b in batches:
-                x = np.stack(b[vector].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, table.shape[1]))
+                x = np.stack(b[vector].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, cells.table.shape[1]))
                 if unit:
                     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                 gap, seen = b["distance"].to_numpy(np.float64, na_value=np.inf).copy(), b["compared"].to_numpy(np.int64).copy()
                 best = b["code"].astype("Int64").to_numpy(np.int64, na_value=np.iinfo(np.int64).max).copy()
-                if cells is None:
-                    if len(x):
-                        _lower(x, codes, table, np.arange(len(x)), gap, best)
-                    seen += len(codes)
-                else:
-                    cells.nearest(x, gap, best, seen)
+                cells.nearest(x, gap, best, seen)
                 yield b.assign(code=best, distance=gap, compared=seen)
 
         found = found.mapInPandas(run, out)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -104,3 +105,26 @@ def test_near_ties_are_measured_again(spark):
     for cells in (1, 100):
         got = {r["i"]: r["code"] for r in qz.nearest_code(vectors, book, unit=False, cells_from=cells).collect()}
         assert got == {r["i"]: r["code"] for r in qz.nearest_code_exact(vectors, book, unit=False).collect()}
+
+
+def test_cells_are_built_without_a_table_of_distances():
+    """300,000 codes and 547 cells: all distances would be 1.3 GB."""
+    table = np.random.default_rng(2).normal(size=(300_000, 2))
+    tracemalloc.start()
+    cells = qz.Cells(np.arange(300_000), table, 547)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and len(cells.centres) == 547
+
+
+def test_cells_far_from_the_origin_and_with_copies(spark):
+    """Rounding of the distances to the centres grows with the distance from the origin; of equal vectors the lowest code is found."""
+    rng = np.random.default_rng(3)
+    book = 1e6 + rng.normal(size=(2000, 2)) * 1e-2
+    book = np.vstack([book, book])
+    x = 1e6 + rng.normal(size=(300, 2)) * 1e-2
+    books = spark.createDataFrame([(5000 - i, r.tolist()) for i, r in enumerate(book)], "code long, vec array<double>")
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, vector array<double>")
+    got = {r["i"]: r["code"] for r in qz.nearest_code(vectors, books, unit=False, cells_from=64).collect()}
+    d = ((x[:, None, :] - book[None, :2000, :]) ** 2).sum(axis=2)
+    assert got == {i: 3000 - int(k) for i, k in enumerate(d.argmin(axis=1))}
