@@ -199,9 +199,14 @@ def s12(spark, sf):
 
 @query("s14_read_images", "select page_id, octet_length(encode(html))::bigint as length from pages")
 def s14(spark, sf):
+    """A file a page, of its id and its bytes. Files lie in one folder: a folder a page is slow to make, to commit and to list. They are written
+    by many tasks, however few hold the table."""
     path = scratch_path(spark, "images")
     pages = fx.table(spark, sf, "pages").select("page_id", F.encode("html", "utf-8").alias("content"))
-    pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), F.base64("content").alias("value")).write.partitionBy("name").text(path)
-    files = io.read_images(spark, path, "*.txt")
-    raw = F.unbase64(F.regexp_replace(F.decode("content", "utf-8"), r"\s", ""))
-    return files.select(F.regexp_extract("path", r"name=p(\d+)/", 1).cast("long").alias("page_id"), F.octet_length(raw).cast("long").alias("length"))
+    dealt = pages.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    text = F.concat(F.col("page_id").cast("string"), F.lit(" "), F.coalesce(F.base64("content"), F.lit("null")))
+    # by the second algorithm the tasks move their files into place, not the driver
+    dealt.select(text.alias("value")).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    files = io.read_images(spark, path, "*.txt").select(F.split(F.decode("content", "utf-8"), " ", 2).alias("p")).where(F.trim(F.col("p")[0]) != "")
+    raw = F.when(F.trim(F.translate(F.col("p")[1], "\r\n", "")) != "null", F.unbase64(F.regexp_replace(F.col("p")[1], r"\s", "")))
+    return files.select(F.col("p")[0].cast("long").alias("page_id"), F.octet_length(raw).cast("long").alias("length"))
