@@ -134,11 +134,16 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def flat_chain(prior: float) -> Chain:
+    """Gives every document the score ``prior``."""
+    return Chain(np.zeros(3 * WIDTH + 1), np.zeros((2, 2)), 0.0, float(_logit(np.array(np.clip(prior, 1e-3, 1 - 1e-3)))), prior)
+
+
 def fit_chain(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray) -> Chain:
     """Maximise the conditional likelihood by Adam; then fit slope and shift of the documents' log odds."""
     prior = float(label.mean()) if len(label) else 0.5
     if not len(x) or label.min() == label.max():
-        return Chain(np.zeros(3 * WIDTH + 1), np.zeros((2, 2)), 0.0, float(_logit(np.array(np.clip(prior, 1e-3, 1 - 1e-3)))), prior)
+        return flat_chain(prior)
     length = np.diff(first)
     full = with_neighbours(x, first)
     y = np.repeat(label, length).astype(np.float64)
@@ -175,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     """Fit on whole chains of at most ``rows`` labelled documents with at most ``lines`` lines together; their features come from the executors.
 
     Rows without an id or a label teach nothing. Of several labels of one id the largest holds, of several texts that of the
-    least hash. Labels of ids that aren't there are left out; without any, or with one label only, all scores are the labels' mean.
+    least hash. Labels of ids that aren't there are left out; without any, or where the sample has one label only, all scores are the labels' mean,
+    to which the documents count whose lines are too many for the sample.
     """
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = text_rows(docs, F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -185,21 +191,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, "text", 1 << 20):
             x, size, first = lines_of(b.column("text"))
-            few = np.diff(first) <= LONGEST
-            b, first = b.filter(pa.array(few)), np.stack([first[:-1], first[1:]])[:, few]
+            spans = [(a, z) if z - a <= LONGEST else None for a, z in zip(first[:-1], first[1:])]  # None: the label counts, not the lines
             yield pa.RecordBatch.from_pydict({
-                "id": b.column("id"), "n": pa.array(first[1] - first[0]), "label": b.column("label").cast(pa.int32()),
-                "x": pa.array([x[a:z].astype("<f4").tobytes() for a, z in first.T], pa.binary()),
-                "size": pa.array([size[a:z].astype("<i8").tobytes() for a, z in first.T], pa.binary()),
+                "id": b.column("id"), "n": pa.array([s and s[1] - s[0] for s in spans], pa.int64()), "label": b.column("label").cast(pa.int32()),
+                "x": pa.array([s and x[s[0] : s[1]].astype("<f4").tobytes() for s in spans], pa.binary()),
+                "size": pa.array([s and size[s[0] : s[1]].astype("<i8").tobytes() for s in spans], pa.binary()),
             })
 
     kept = materialize(chosen.mapInArrow(features, "id long, n long, label int, x binary, size binary"), "lines")
+    some = kept.where("n is not null")
     # at most ``rows`` rows of numbers
-    sizes = kept.select("id", "n", (F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id")) <= lines).alias("in")).where("in").select("id")
-    got = sorted(kept.join(F.broadcast(sizes), "id").toLocalIterator(), key=lambda r: (r["id"], bytes(r["x"])))
+    sizes = some.select("id", "n", (F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id")) <= lines).alias("in")).where("in").select("id")
+    got = sorted(some.join(F.broadcast(sizes), "id").toLocalIterator(), key=lambda r: (r["id"], bytes(r["x"])))
+    label = np.array([r["label"] for r in got], np.int64)
+    if len(np.unique(label)) < 2:
+        mean = kept.agg(F.avg("label")).head()[0]
+        return flat_chain(0.5 if mean is None else mean)
     x = [np.frombuffer(bytes(r["x"]), "<f4").reshape(-1, WIDTH).astype(np.float64) for r in got]
     first = np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int64)
-    return fit_chain(np.concatenate([np.zeros((0, WIDTH)), *x]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(bytes(r["size"]), "<i8") for r in got)]), first, np.array([r["label"] for r in got], np.int64))
+    return fit_chain(np.concatenate([np.zeros((0, WIDTH)), *x]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(bytes(r["size"]), "<i8") for r in got)]), first, label)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

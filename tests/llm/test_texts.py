@@ -113,6 +113,15 @@ def test_quality_sample_is_bounded_by_lines(spark, monkeypatch):
     assert held[0] == (150, 21) and held[2] == (100, 20) and held[1][0] <= 33 and held[1][1] >= 1
 
 
+def test_labels_of_long_documents_count(spark, monkeypatch):
+    """Where all good documents are too long for the sample, it can't tell good from bad: all have the share of good ones, none is dropped."""
+    docs = spark.createDataFrame([(1, "\n".join(["x y z."] * 50)), (2, "### !!! |||"), (3, "Good line here."), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (9, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "LONGEST", 10)
+    chain = quality.train(docs, labels)
+    assert {round(r["score"], 9) for r in quality.score(docs, chain).collect()} == {0.5} and quality.keep_good(docs, chain).count() == 4
+
+
 def test_long_chains_are_fitted_whole():
     """A document of 300 lines and its transitions: the fit sees 299 of them."""
     x = np.random.default_rng(1).random((600, quality.WIDTH))
